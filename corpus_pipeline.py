@@ -1,10 +1,70 @@
-"""Corpus cleaning: the training-data operators in stages over ``documents``."""
+"""Corpus cleaning: five training-data operators in stages over ``documents``.
+
+Every stage takes all that its predecessor kept; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import exact, langid, ngramjoin, packing, toxicity
+from tessella.llm._shared import shared_folder, split_of, table
+
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the texts without a language: no letters, or no language that is
+    likelier than not. Everything else stays, whatever its label says."""
+    model = langid.train(docs.filter(F.coalesce(split_of("doc_id", 3) != 1, F.lit(False))))
+    return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the texts that score as toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keep the row with the largest id."""
+    kept = exact.exact_dedup(docs).filter("kept").select("doc_id")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that links: the smallest id."""
+    kept = ngramjoin.link_groups(docs).filter("doc_id = component_id").select("doc_id")
+    return docs.join(kept.distinct(), "doc_id", "left_semi")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic_texts),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", near_dedup),
+    ("best_fit_packing", packing_stage),
+]
+
+# Classifiers and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage is written as Parquet and reread."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
