@@ -32,15 +32,17 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the row with the largest id."""
-    kept = exact.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of equal texts keep the row with the largest id, once."""
+    kept = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    marked = docs.withColumn("_text_sha", exact.text_sha256("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that links: the smallest id."""
-    kept = ngramjoin.link_groups(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    kept = ngramjoin.link_groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

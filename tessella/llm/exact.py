@@ -93,6 +93,15 @@ def text_digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").lower()).digest()
 
 
+def text_sha256(text_col: str):
+    """The lower-case hexadecimal digest of a text column."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: text_digest(t).hex())
+
+    return F.pandas_udf(run, "string")(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest) of every row."""
 
