@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import registry
 
-def queries():
-    return {}
+GROUPS = ("relational",)
 
 
-def oracle_sql():
-    return {}
+def _load() -> None:
+    for name in GROUPS:
+        importlib.import_module(f"tessella.plans.{name}_queries")
+
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.ORACLE)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["r08_reciprocal_rank_fusion"](spark, sf_dir)
