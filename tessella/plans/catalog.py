@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.plans import registry
 
-GROUPS = ("relational",)
+GROUPS = ("relational", "text", "retrieval")
 
 
 def _load() -> None:
