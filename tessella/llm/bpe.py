@@ -10,6 +10,7 @@ once for itself.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ def split_words(text: str) -> list[str]:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     out = Tokenizer.from_file(path)
     out.no_truncation()
     out.no_padding()
