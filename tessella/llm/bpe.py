@@ -53,13 +53,18 @@ def encode(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for
+    themselves, the other bytes for U+0100 onwards."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> list[bytes]:
-    """The bytes of each id, by the byte-level alphabet: printable Latin-1
-    characters stand for themselves, the other bytes for U+0100 onwards."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+    """The bytes of each id."""
+    byte_of = {c: b for b, c in byte_letters().items()}
     tok = tokenizer(path)
     special = {i: t.content.encode() for i, t in tok.get_added_tokens_decoder().items()}
     out = [b""] * tok.get_vocab_size(with_added_tokens=True)

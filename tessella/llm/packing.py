@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._shared import table, text_batches
-from tessella.llm.bpe import encode, tokenizer
+from tessella.llm.bpe import byte_letters, tokenizer
 
-LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 300_000
+LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 400_000
 
-# Within these characters, lower-casing and white space mean the same to
-# Python and to the tokenizer's normaliser, and NFC changes nothing.
-_PLAIN = re.compile("[\t-\r\x20-įı-ɏ]*")
+# Within these characters, lower-casing, letters, digits and white space mean
+# the same to Python and to the tokenizer, and NFC changes nothing.
+_PLAIN = re.compile("[\t-\r\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class BestFit:
@@ -57,30 +59,42 @@ class BestFit:
         return number, self.size - space
 
 
+@lru_cache(maxsize=2)
 def _document_ids(path: str):
     """A function that gives the ids of each text as little-endian bytes.
+
     White space ends every token, so each distinct run of other characters is
-    encoded once and joined by position; texts with unusual characters or
-    special strings go to the library whole."""
-    known: dict[str, bytes] = {}
+    encoded once and joined by position; a new run is cut where the
+    pre-tokenizer cuts it, and each distinct part goes through the library's
+    BPE model once. Texts with unusual characters or special strings go to the
+    library whole. The tables stay with the Python worker.
+    """
+    runs: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}
+    model, letters = tokenizer(path).model, byte_letters()
     raw = lambda ids: np.asarray(ids, "<u4").tobytes()
 
-    def run(texts: list[str]) -> Iterator[bytes]:
-        split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        missing = {w for ws in split if ws is not None for w in ws if w not in known}
-        if len(known) + len(missing) > LOCAL_WORDS:
-            known.clear()
-            missing = {w for ws in split if ws is not None for w in ws}
-        missing = list(missing)
-        for w, ids in zip(missing, encode(path, missing), strict=True):
-            known[w] = raw(ids)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield raw(tokenizer(path).encode(text, add_special_tokens=False).ids)
-            else:
-                yield b"".join([known[w] for w in words])
+    def encode_part(part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
+        parts[part] = out = raw([t.id for t in model.tokenize(shown)])
+        return out
 
-    return run
+    def encode_run(run: str) -> bytes:
+        runs[run] = out = b"".join([parts.get(p) or encode_part(p) for p in _PARTS.findall(run)])
+        return out
+
+    def encode_texts(texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if "<|" in text or not _PLAIN.fullmatch(text):
+                yield raw(tokenizer(path).encode(text, add_special_tokens=False).ids)
+                continue
+            if len(runs) > LOCAL_WORDS:
+                runs.clear()
+            if len(parts) > 2 * LOCAL_WORDS:
+                parts.clear()
+            yield b"".join([runs.get(w) or encode_run(w) for w in text.lower().split()])
+
+    return encode_texts
 
 
 def document_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_col: str) -> DataFrame:
