@@ -11,6 +11,26 @@ from pyspark.sql import functions as F
 
 from tessella.llm._shared import cut
 
+_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)
+
+
+def shuffle_ids(ids: np.ndarray) -> np.ndarray:
+    """A one-to-one scattering of 64-bit ids, so that the order of ids says
+    nothing about the shape of a graph."""
+    x = ids.astype(np.int64).view(np.uint64)
+    for m in _MULTIPLIERS:
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(m)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def restore_ids(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)
+    x = x ^ (x >> np.uint64(32))
+    for m in reversed(_MULTIPLIERS):
+        x = x * np.uint64(pow(m, -1, 1 << 64))
+        x = x ^ (x >> np.uint64(32))
+    return x.view(np.int64)
+
 
 class Union:
     """Union-find over any hashable ids; the smaller root wins."""
@@ -34,16 +54,32 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same components with at most one edge for each node, for every
-    200,000 edges of a partition."""
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same components with one edge (root, node) at most for each node,
+    for every 500,000 edges of a partition."""
+    union, held = Union(), 0
+    for pdf in frames:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            union.link(a, b)
+        held += len(pdf)
+        if held > 500_000:
+            yield _edges(union)
+            union, held = Union(), 0
+    yield _edges(union)
+
+
+def _edges(union: Union) -> pd.DataFrame:
+    nodes = list(union.up)
+    return pd.DataFrame({"a": np.array([union.root(x) for x in nodes], np.int64), "b": np.array(nodes, np.int64)})
+
+
+def _shuffled_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _forest(pd.DataFrame({c: shuffle_ids(pdf[c].to_numpy()) for c in ("a", "b")}) for pdf in frames)
+
+
+def _restored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        for start in range(0, len(pdf), 200_000):
-            part, union = pdf.iloc[start : start + 200_000], Union()
-            for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
-                union.link(a, b)
-            nodes = np.fromiter(union.up, np.int64, len(union.up))
-            yield pd.DataFrame({"a": [union.root(x) for x in nodes.tolist()], "b": nodes})
+        yield pd.DataFrame({"id": restore_ids(pdf["at"].to_numpy()), "top": pdf["to"].to_numpy()})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,21 +87,23 @@ def components(edges: DataFrame) -> DataFrame:
     undirected ``edges`` (a, b). Edges with a null end or of a node with itself
     link nothing.
 
-    In each round every node follows its neighbour of least hash and the edges
-    move to where their ends went, until none is left; a hub's edges become
-    loops or repeats, which go before the next shuffle.
+    Ids are scattered first. Each round contracts what a partition links by
+    itself, then moves every node to its least neighbour and the edges along
+    with their ends, until no edge is left; a star is gone after one round and
+    a path shrinks by a constant factor. The moves are composed backwards,
+    from the smallest round to the largest.
     """
-    key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    left = cut(edges.select("a", "b").filter("a <> b").mapInPandas(forest, "a long, b long").distinct())
-    nodes = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct()
-    found = nodes.withColumn("at", F.col("id"))
+    left = cut(edges.select("a", "b").filter("a <> b").mapInPandas(_shuffled_forest, "a long, b long"))
+    rounds = []
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(key("b")).alias("m"))
-        moves = cut(least.select(F.col("a").alias("at"), F.least("m", key("a"))["v"].alias("to")))
-        found = found.join(moves, "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+        moves = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("to")))
+        rounds.append(moves)
         ends = left.join(moves.withColumnsRenamed({"at": "a", "to": "ta"}), "a").join(moves.withColumnsRenamed({"at": "b", "to": "tb"}), "b")
-        left = cut(ends.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).mapInPandas(forest, "a long, b long").distinct())
-    found = cut(found)
-    least = found.groupBy("at").agg(F.min("id").alias("component"))
-    return found.join(least, "at").select("id", "component")
+        left = cut(ends.filter("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).mapInPandas(_forest, "a long, b long"))
+    reach = edges.sparkSession.createDataFrame([], "at long, to long")
+    for moves in reversed(rounds):
+        reach = moves.join(reach.select(F.col("at").alias("to"), F.col("to").alias("end")), "to", "left").select("at", F.coalesce("end", "to").alias("to"))
+    found = cut(reach.mapInPandas(_restored, "id long, top long"))
+    least = found.groupBy("top").agg(F.min("id").alias("component"))
+    return found.join(least, "top").select("id", "component")

@@ -175,6 +175,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     wanted = spark.sparkContext.broadcast(_bitmap(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), "a"))
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
