@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.plans import registry
 
-GROUPS = ("relational", "text", "retrieval", "graph")
+GROUPS = ("relational", "text", "retrieval", "graph", "operations")
 
 
 def _load() -> None:
