@@ -23,10 +23,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm._shared import cut, table, text_batches
 
-TABLE_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 300_000
+TABLE_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 150_000
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+# Within these characters, letters, digits and white space mean the same to
+# Python and to the pre-tokenizer.
+_PLAIN = re.compile("[\t-\r\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+
 
 def split_words(text: str) -> list[str]:
     """Cut before each single space that stands between two other characters.
@@ -73,6 +78,47 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+class LocalWords:
+    """What a Python worker knows of words outside the shared table: (ids as
+    text, number of ids, decoded bytes) of each. A new word is cut where the
+    pre-tokenizer cuts it, and each distinct part goes through the library's
+    BPE model once; a word with unusual characters goes to the library whole."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.words, self.parts = path, {}, {}
+        self.model, self.letters, self.by_id = tokenizer(path).model, byte_letters(), pieces(path)
+
+    def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return ",".join(map(str, ids)), len(ids), b"".join([self.by_id[i] for i in ids])
+
+    def part(self, part: str) -> tuple[str, int, bytes]:
+        got = self.parts.get(part)
+        if got is None:
+            shown = part.encode().decode("latin-1").translate(self.letters)
+            self.parts[part] = got = self.entry([t.id for t in self.model.tokenize(shown)])
+        return got
+
+    def word(self, word: str) -> tuple[str, int, bytes]:
+        got = self.words.get(word)
+        if got is None:
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                ids, n, back = zip(*map(self.part, _PARTS.findall(word)), strict=True)
+                got = ",".join(ids), sum(n), b"".join(back)
+            else:
+                got = self.entry(tokenizer(self.path).encode(word, add_special_tokens=False).ids)
+            self.words[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self.words) > LOCAL_WORDS:
+            self.words.clear()
+        if len(self.parts) > 2 * LOCAL_WORDS:
+            self.parts.clear()
+
+
+local_words = lru_cache(maxsize=2)(LocalWords)
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) of the words that some task saw twice or more."""
 
@@ -81,7 +127,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         for pdf in frames:
             for text in pdf["text"]:
                 seen.update(split_words(text or ""))
-            if len(seen) > 2 * LOCAL_WORDS:
+            if len(seen) > 4 * LOCAL_WORDS:
                 yield frame(seen)
                 seen = Counter()
         yield frame(seen)
@@ -141,23 +187,17 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_id, own, common = pieces(path), {}, shared.value
+        local, common = local_words(path), shared.value.get
         for pdf in frames:
             for part in text_batches(pdf, "text", 1 << 22):
-                split = [split_words(t or "") for t in part["text"]]
-                missing = list({w for ws in split for w in ws if w not in common and w not in own})
-                if len(own) + len(missing) > LOCAL_WORDS:
-                    own = {}
-                    missing = list({w for ws in split for w in ws if w not in common})
-                for w, ids in zip(missing, encode(path, missing), strict=True):
-                    own[w] = (",".join(map(str, ids)), len(ids), b"".join([by_id[i] for i in ids]))
                 out = []
-                for doc, words in zip(part["doc_id"], split, strict=True):
-                    got = [common.get(w) or own[w] for w in words]
-                    ids, back = ",".join([g[0] for g in got]), b"".join([g[2] for g in got])
-                    back = back.decode("utf-8", "replace")
+                for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                    got = [common(w) or local.word(w) for w in split_words(text or "")]
+                    local.trim()
+                    ids, n, back = zip(*got, strict=True) if got else ((), (), ())
+                    ids, back = ",".join(ids), b"".join(back).decode("utf-8", "replace")
                     if digest:
-                        out.append((doc, sum([g[1] for g in got]), sha(ids.encode()), sha(back.encode("utf-8"))))
+                        out.append((doc, sum(n), sha(ids.encode()), sha(back.encode("utf-8"))))
                     else:
                         out.append((doc, [int(i) for i in ids.split(",")] if ids else [], back))
                 yield pd.DataFrame(out, columns=names)

@@ -6,7 +6,6 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MOST_JSON_BYTES = 1 << 20
 
@@ -42,13 +41,13 @@ def described(files: DataFrame) -> DataFrame:
     )
 
 
-RETRIEVAL_CORPUS = T.StructType.fromDDL(
+RETRIEVAL_CORPUS = (
     "schema_version int, cases array<struct<case_id: string, query: string, expected_entities: array<struct<id: string, aliases: array<string>>>,"
     " judgments: array<struct<document_stable_id: string, episode_index: int, source_fingerprint: string, relevance: int>>>>"
 )
 
 
-def json_corpus(spark: SparkSession, path: str, schema: T.StructType = RETRIEVAL_CORPUS) -> DataFrame:
+def json_corpus(spark: SparkSession, path: str, schema: str = RETRIEVAL_CORPUS) -> DataFrame:
     """A corpus file with its byte fingerprint; one that is too large, does
     not parse or repeats a case raises ValueError."""
     raw = spark.read.format("binaryFile").load(path).select("length", "content", F.sha2("content", 256).alias("sha"))
