@@ -116,7 +116,9 @@ class LocalWords:
             self.parts.clear()
 
 
-local_words = lru_cache(maxsize=2)(LocalWords)
+@lru_cache(maxsize=2)
+def local_words(path: str) -> LocalWords:
+    return LocalWords(path)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
