@@ -32,7 +32,7 @@ from tessella.llm._components import components
 from tessella.llm._shared import cut, table, text_batches
 from tessella.llm._words import by_text, mix, word_hashes
 
-WORDS, SKETCH_BITS, SALTS, BATCH, NEEDED_BITS = 5, 22, 64, 1 << 21, 24
+WORDS, SKETCH_BITS, SALTS, BATCH, NEEDED_BITS = 5, 22, 64, 1 << 19, 24
 FREQUENT = 1 << 62
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -71,11 +71,12 @@ def _summed(docs: DataFrame) -> np.ndarray:
     blocks, width = 64, 1 << (SKETCH_BITS - 6)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen = np.zeros(1 << SKETCH_BITS, np.int32)
         for pdf in frames:
             for part in text_batches(pdf, "text", BATCH):
                 every = np.concatenate([*shingle_sets(part["text"].tolist()), np.zeros(0, np.uint64)])
-                seen += np.bincount((every >> np.uint64(62 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+                at, n = np.unique((every >> np.uint64(62 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                seen[at] += n.astype(np.int32)
         held = seen.clip(max=255).astype(np.uint8).reshape(blocks, width)
         yield pd.DataFrame({"block": np.arange(blocks), "n": [b.tobytes() for b in held]})
 
@@ -111,7 +112,7 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n, fp, rest, last, prefix): the size and fingerprint of each
+    """(doc_id, key, n, fp, rest, last, prefix): the size and fingerprint of each
     document's set, and once in a task for each fingerprint its prefix, the
     shingles after it and its last one."""
 
@@ -120,21 +121,22 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
         for pdf in frames:
             for part in text_batches(pdf, "text", BATCH):
                 out = []
-                for doc, s in zip(part["doc_id"], shingle_sets(part["text"].tolist()), strict=True):
+                for key, s in zip(part["key"], shingle_sets(part["text"].tolist()), strict=True):
                     if not len(s):
-                        out.append((doc, 0, None, None, None, None))
+                        out.append((key, 0, None, None, None, None))
                         continue
                     fp = fingerprint(s)
                     if fp in seen:
-                        out.append((doc, len(s), fp, None, None, None))
+                        out.append((key, len(s), fp, None, None, None))
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(fp)
                     prefix = ordered(s, flags)[: prefix_length(len(s))]
-                    out.append((doc, len(s), fp, len(s) - len(prefix), int(prefix[-1]), prefix))
-                yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "rest", "last", "prefix"]).astype({"fp": "Int64", "rest": "Int64", "last": "Int64"})
+                    out.append((key, len(s), fp, len(s) - len(prefix), int(prefix[-1]), prefix))
+                cols = dict(zip(("key", "n", "fp", "rest", "last", "prefix"), zip(*out, strict=True), strict=True))
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, **{c: v if c == "prefix" else pd.array(v, dtype="Int64") for c, v in cols.items()}})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, fp long, rest long, last long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, key long, n long, fp long, rest long, last long, prefix array<long>")
 
 
 def needed(n1, n2):
@@ -166,51 +168,44 @@ def _bitmap(ids: DataFrame, col: str) -> np.ndarray:
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of fingerprints whose whole sets link.
 
-    The texts are read again; a bitmap of fixed size lets only the sets of
-    documents in ``pairs`` (and few others) be shuffled. Each a takes its
-    partners in blocks.
+    A bitmap of fixed size picks the documents that stand for a set in
+    ``pairs`` (and few others), so that only their texts are shuffled; they are
+    smaller than their sets. Each a takes its partners in blocks.
     """
     spark = docs.sparkSession
     pairs = cut(pairs.select("a", "b"))
     if pairs.isEmpty():
         return pairs
-    wanted = spark.sparkContext.broadcast(_bitmap(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), "a"))
-
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, seen = wanted.value, set()
-        for pdf in frames:
-            for part in text_batches(pdf, "text", BATCH):
-                out = []
-                for s in shingle_sets(part["text"].tolist()):
-                    if len(s) and bits[(fp := fingerprint(s)) % (1 << NEEDED_BITS)] and fp not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(fp)
-                        out.append((fp, s.tobytes()))
-                yield pd.DataFrame(out, columns=["fp", "shingles"]).astype({"fp": "int64"})
-
-    held = docs.select("text").mapInPandas(sets, "fp long, shingles binary")
     block = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("blocks"))
     placed = pairs.join(sizes, "a").select("a", "b", F.pmod(block, F.col("blocks")).cast("int").alias("block"))
     ends = placed.select("a", "block", F.col("b").alias("fp")).union(
         sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("fp"))
     )
+    ends = cut(ends.join(sets.select("fp", "key"), "fp"))
+    wanted = spark.sparkContext.broadcast(np.packbits(_bitmap(ends, "key")))
+
+    def some(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy(np.int64) % (1 << NEEDED_BITS)
+        return pd.Series((wanted.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = int(pdf["a"].iloc[0])
-        held = {int(fp): np.frombuffer(s, np.uint64) for fp, s in zip(pdf["fp"], pdf["shingles"], strict=True)}
-        own = held.pop(a)
-        good = []
+        a, held = int(pdf["a"].iloc[0]), {}
+        for fp, s in zip(pdf["fp"].tolist(), shingle_sets(pdf["text"].tolist()), strict=True):
+            if fp not in held and fingerprint(s) == fp:  # rows that repeat an id may differ
+                held[fp] = s
+        own, good = held.pop(a), []
         for fp, s in held.items():
             common = len(np.intersect1d(own, s, assume_unique=True))
             if 100 * common >= 75 * (len(own) + len(s) - common):
                 good.append(fp)
         return pd.DataFrame({"a": np.full(len(good), a, np.int64), "b": np.array(good, np.int64)})
 
-    return ends.join(held, "fp").groupBy("a", "block").applyInPandas(compare, "a long, b long")
+    texts = docs.select("key", "text").filter(F.pandas_udf(some, "boolean")("key"))
+    return texts.join(ends, "key").select("a", "block", "fp", "text").groupBy("a", "block").applyInPandas(compare, "a long, b long")
 
 
 def sharing(sig: DataFrame) -> DataFrame:
@@ -234,10 +229,11 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row each; other columns are ignored; an empty table gives no rows.
     Shingles are told apart by 62 bits, sets by 64.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs))
     sig = cut(signatures(docs, frequent))
-    sets = cut(sig.filter("prefix is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("rest").alias("rest"), F.min("last").alias("last")))
+    sets = cut(sig.filter("prefix is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("rest").alias("rest"), F.min("last").alias("last"), F.min("key").alias("key")))
     shared = sharing(sig)
 
     def with_sizes(pairs: DataFrame) -> DataFrame:
@@ -252,7 +248,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     over = heads.join(top, "token").filter("lead <> a").groupBy("a", F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     star = bounded(with_sizes(follow.union(over).groupBy("a", "b").agg(F.sum("common").alias("common"))))
     best = star.groupBy("b").agg(F.max(F.struct("common", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = cut(verified(docs, best))
+    links = cut(verified(docs, best, sets))
 
     # The token-group matrix, and every document against the other groups.
     group = components(links).withColumnsRenamed({"id": "fp", "component": "grp"})
@@ -274,7 +270,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     inside = rows.select("token", F.col("fp").alias("b"), "grp")
     open_rows = rows.select("token", F.col("fp").alias("a")).join(opened.withColumnRenamed("fp", "a"), "a")
     pairs = open_rows.join(inside, ["token", "grp"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    more = verified(docs, bounded(with_sizes(pairs)))
+    more = verified(docs, bounded(with_sizes(pairs)), sets)
     links = links.union(more)
 
     reach = components(links).withColumnsRenamed({"id": "fp", "component": "top"})
