@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from tessella.llm import exact, langid, ngramjoin, packing, toxicity
 from tessella.llm._shared import shared_folder, split_of, table
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the texts without a language: no letters, or no language that is
-    likelier than not. Everything else stays, whatever its label says."""
+    """Drop the texts without a language: no letters, or all languages about
+    equally likely. Everything else stays, whatever its label says."""
     model = langid.train(docs.filter(F.coalesce(split_of("doc_id", 3) != 1, F.lit(False))))
     return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
