@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The document type of each top folder, and the fallbacks.
-DOCUMENT_TYPES = {"characters": "character", "locations": "location", "events": "event", "factions": "faction", "items": "item", "timeline": "timeline"}
+# The document type of each category folder, and the default.
+DOCUMENT_TYPES = {"world": "worldbuilding", "cultures": "culture", "factions": "faction", "characters": "character", "timeline": "chronicle", "locations": "location", "uncategorized": "misc"}
 DEFAULT_TYPE = "lore"
 
-# Credential patterns in the order in which they apply.
+# Credential patterns and what takes their place, in the order
+# in which they apply.
+_SECRET_NAME = r"(?:API[_-]?KEY|ACCESS[_-]?KEY|TOKEN|PASSWORD|PASSWD|PASSPHRASE|SECRET|CREDENTIAL)"
 REDACTIONS = [
-    (r"(?i)(authorization\s*[:=]\s*)(?:bearer|basic)?\s*[^\s,;]+", "$1[REDACTED]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (r"(?i)([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
-    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED]"),
-    (r"(?i)([?&](?:token|key|api_key|apikey|secret|password|access_token)=)[^&\s]+", "$1[REDACTED]"),
-    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*)[^\s,;&]+", "$1[REDACTED]"),
+    (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "<redacted-private-key>"),
+    (r"(?i)\b(https://(?:hooks\.slack\.com/services|discord(?:app)?\.com/api/webhooks)/)[^\s\"'<>]+", "$1<redacted>"),
+    (r"(?i)\b((?:https?|ftp|amqps?|postgres(?:ql)?|neo4j|mongodb(?:\+srv)?|mysql|redis)://[^:/@\s]+:)([^@/\s]+)(@)", "$1<redacted>$3"),
+    (rf"(?i)([?&][A-Z0-9_.-]*{_SECRET_NAME}[A-Z0-9_.-]*=)([^&#\s]+)", "$1<redacted>"),
+    (r"(?im)\b((?:proxy-)?authorization|cookie|set-cookie|x-api-key|api-key)([ \t]*:[ \t]*)([^\r\n]+)", "$1$2<redacted>"),
+    (r"(?i)\b(Bearer|Basic)([ \t]+)([A-Za-z0-9._~+/=-]{8,})", "$1$2<redacted>"),
+    (rf"""(?i)(["']?[A-Z0-9_.-]*{_SECRET_NAME}[A-Z0-9_.-]*["']?[ \t]*[:=][ \t]*)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\s,;&}}]{{4,}})""", "$1<redacted>"),
+    (r"(?i)\b(gh[pousr]_|github_pat_|glpat-|sk[-_](?:live|test)?_?|rk_(?:live|test)_|whsec_|xox[baprs]-|AIza|ya29\.|AKIA|ASIA|ls__|SG\.|npm_|pypi-|hf_|shp(?:at|ss|ca|pa)_|dop_v1_|ddapi_)([A-Za-z0-9._~+/=-]{8,})", "$1<redacted>"),
+    (r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\b", "<redacted-jwt>"),
 ]
 
 
@@ -83,19 +88,26 @@ def title_of(text: Column | str, path: Column | str) -> Column:
 
 
 def summary_of(text: Column | str, most: int = 500) -> Column:
-    """Lines that are no headers, up to ``most`` characters, cut at a word."""
-    lines = F.filter(F.split(_c(text), "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-    joined = F.trim(F.array_join(F.transform(lines, F.trim), " "))
-    cut = F.regexp_replace(F.substring(joined, 1, most), r"\s+\S*$", "")
-    return F.when(F.length(joined) <= most, joined).otherwise(F.concat(cut, F.lit("...")))
+    """Lines that are no headers, until their raw lengths reach ``most``; a
+    summary of full length is cut at its last space."""
+    lines = F.filter(F.split(_c(text), "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc, line):
+        more = F.struct((acc["used"] + F.length(line)).alias("used"), F.concat(acc["kept"], F.array(F.trim(line))).alias("kept"))
+        return F.when(acc["used"] < most, more).otherwise(acc)
+
+    joined = F.substring(F.array_join(F.aggregate(lines, start, step)["kept"], " "), 1, most)
+    return F.when(F.length(joined) < most, joined).otherwise(F.concat(F.regexp_replace(joined, r" [^ ]*$", ""), F.lit("...")))
 
 
 def document_type(path: Column | str) -> Column:
-    """By the first folder that names a type."""
-    out = F.lit(DEFAULT_TYPE)
-    for folder, kind in reversed(DOCUMENT_TYPES.items()):
-        out = F.when(F.array_contains(F.split(_c(path), "/"), folder), kind).otherwise(out)
-    return out
+    """By the category folder below ``canon``, or by the parent folder."""
+    parts = F.split(_c(path), "/")
+    known = F.create_map(*[F.lit(x) for kv in DOCUMENT_TYPES.items() for x in kv])
+    below = F.when(F.array_contains(parts, "canon"), F.try_element_at(parts, (F.array_position(parts, "canon") + 1).cast("int")))
+    parent = F.try_element_at(parts, F.lit(-2))
+    return F.coalesce(F.try_element_at(known, below), F.try_element_at(known, parent), F.lit(DEFAULT_TYPE))
 
 
 def line_count(text: Column | str) -> Column:
@@ -132,11 +144,14 @@ def bounded_message(text: Column | str, most: int = 512, default: str = "unknown
     return F.when(x.isNull() | (x == ""), default).otherwise(x)
 
 
-def backoff_seconds(key: Column, attempt: Column, base: float = 30.0, most: float = 3600.0) -> Column:
-    """Exponential delay with a jitter of 0.8 to 1.2 taken from a hash."""
-    fraction = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / F.lit(float(0xFFFFFFFF))
-    raw = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
-    return F.greatest(F.lit(1.0), F.least(F.lit(most), F.bround(raw * (F.lit(0.8) + F.lit(0.4) * fraction), 0)))
+def backoff_seconds(key: Column, attempt: Column, base: int = 30, most: int = 3600) -> Column:
+    """Exponential delay with a jitter of 0.8 to 1.2 that a hash of key and
+    attempt fixes; rounded half to even."""
+    digest = F.sha2(F.concat_ws(":", key, attempt.cast("string")), 256)
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9))
+    fraction = (high * F.lit(2.0**32) + low) / F.lit(float(2**64 - 1))
+    raw = F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(30))))
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.bround(raw * (F.lit(0.8) + F.lit(0.4) * fraction), 0).cast("int")))
 
 
 def uuid_in(text: Column | str) -> Column:
@@ -159,12 +174,21 @@ def first_json(text: Column | str) -> Column:
 
 
 def sentence_complexity(sentence: Column | str) -> Column:
-    """0 to 1 from the number of words, the commas and the long words."""
+    """Mean of the word-length part (of 6, at most 2) and the sentence-length
+    part (of 20 words, at most 1.5); 1 without words."""
     words = F.filter(F.split(_c(sentence), r"\s+"), lambda w: w != "")
     n = F.size(words)
-    commas = F.length(_c(sentence)) - F.length(F.replace(_c(sentence), F.lit(",")))
-    long_ = F.size(F.filter(words, lambda w: F.length(w) > 8))
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), n / 40 * 0.5 + commas / 5 * 0.25 + long_ / n * 0.25))
+    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+    return F.when(n == 0, 1.0).otherwise((F.least(F.try_divide(letters, n) / 6, F.lit(2.0)) + F.least(n / 20, F.lit(1.5))) / 2)
+
+
+def dynamic_most_tokens(sentences: Column, base: int = 200, most: int = 500) -> Column:
+    """The size limit of a document from the mean complexity of its first 20
+    sentences."""
+    few = F.slice(sentences, 1, 20)
+    mean = F.try_divide(F.aggregate(few, F.lit(0.0), lambda a, s: a + sentence_complexity(s)), F.size(few))
+    size = F.when(mean > 1.2, int(most * 1.2)).when(mean > 1.0, most).otherwise(max(int(most * 0.8), base * 2))
+    return F.when(F.size(sentences) == 0, most).otherwise(F.greatest(F.lit(int(base * 1.5)), F.least(size, F.lit(most * 2))))
 
 
 def retry_after_seconds(value: Column | str) -> Column:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Routes, their patterns and confidences, in order.
-ROUTES = [
-    ("relationship", r"\b(relationship|related|between|connect|ally|enemy)\b", 0.9),
-    ("timeline", r"\b(when|year|date|before|after|timeline)\b", 0.85),
-    ("location", r"\b(where|place|city|region|located)\b", 0.85),
-    ("entity", r"\b(who|what is|tell me about|describe)\b", 0.8),
-    ("list", r"\b(list|all|every|how many)\b", 0.75),
-]
-DEFAULT_ROUTE = ("general", 0.5)
+# Word patterns of requests.
+META = r"(?i)\b(help|what can you do|capabilities|commands)\b"
+QUESTLINE = r"(?i)\b(\d+\s*quests?|questline|quest\s*line|series\s*of\s*quests|connected\s*quests|quest\s*chain)\b"
+QUEST = r"(?i)\b(quest|plan|arc|story ?arc|objective|phases|campaign)\b"
+NARRATIVE = r"(?i)\b(write|scene|narrative|prose|describe|story|dramatic)\b"
+STORY = r"(?i)\b(develop|create|new story|new character|new location|expand|imagine|what if|non-?canon|story idea|collaborate)\b"
+SEQUENCE = r"(?i)\b(then|after that|based on|using that|followed by|and then|next|\d+\s*(quests?|stories|narratives|parts?|chapters?))\b"
+NUMBERED = r"(?i)\b(\d+)\s*(quests?|stories|narratives|parts?|chapters?)\b"
+
+# What ties a question to the talk before it.
+DIRECT = ["that", "this", "it", "they", "them", "he", "she", "those", "these"]
+CONTINUING = ["tell me more", "what else", "continue", "expand on", "also", "additionally"]
+SHIFTING = ["now tell me about", "what about", "switch to", "instead tell me", "now about"]
 
 
 def mentions(messages: DataFrame, key: str, order: str, entities: Column) -> DataFrame:
@@ -58,14 +62,38 @@ def exhaustion(scores: DataFrame, key: str, order: str, similarity: str, repeate
 
 
 def route(text: Column) -> tuple[Column, Column]:
-    """(route, confidence): the first pattern that occurs."""
-    name, sure = F.lit(DEFAULT_ROUTE[0]), F.lit(DEFAULT_ROUTE[1])
-    for r, pattern, c in reversed(ROUTES):
-        hit = F.lower(text).rlike(pattern)
+    """(route, confidence) of a request: the first rule that fits."""
+    text = F.trim(text)
+    many = F.regexp_extract(text, NUMBERED, 1).try_cast("int") > 1
+    of_quests = F.lower(F.regexp_extract(text, NUMBERED, 2)).contains("quest")
+    kinds = sum((F.when(text.rlike(p), 1).otherwise(0) for p in (STORY, QUEST, NARRATIVE)), F.lit(0))
+    rules = [
+        (text == "", "lore_query", 0.1), (text.rlike(META), "meta_help", 0.85), (text.rlike(QUESTLINE), "questline_generation", 0.95),
+        (many & of_quests, "questline_generation", 0.95), (many, "orchestrated", 0.95), (text.rlike(SEQUENCE) & (kinds >= 2), "orchestrated", 0.9),
+        (text.rlike(STORY), "story_development", 0.8), (text.rlike(QUEST), "quest_planning", 0.75), (text.rlike(NARRATIVE), "narrative_generation", 0.7),
+    ]
+    name, sure = F.lit("lore_query"), F.lit(0.6)
+    for hit, r, c in reversed(rules):
+        hit = F.coalesce(hit, F.lit(False))
         name, sure = F.when(hit, r).otherwise(name), F.when(hit, c).otherwise(sure)
     return name, sure
 
 
+def correlation(current: Column, previous: Column) -> Column:
+    """How far a question belongs to the last answer: direct words (0.8) or a
+    continuing phrase (0.5), less 0.8 for a change of subject, and 0.3 times
+    the overlap of capitalised names; 0 without an answer, at most 1."""
+    from tessella.functions.text import capitalised_phrases
+
+    low = F.lower(current)
+    some = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: low.contains(p))
+    direct = F.arrays_overlap(F.split(low, r"\s+"), F.array(*map(F.lit, DIRECT)))
+    now, then = F.array_distinct(capitalised_phrases(current)), F.array_distinct(capitalised_phrases(previous))
+    shared = F.coalesce(F.try_divide(F.size(F.array_intersect(now, then)), F.size(F.array_union(now, then))), F.lit(0.0))
+    score = F.when(some(SHIFTING), -0.8).otherwise(0.0) + F.when(direct, 0.8).when(some(CONTINUING), 0.5).otherwise(0.0) + shared * 0.3
+    return F.when(previous.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def follow_up(text: Column, entities: Column) -> Column:
     """A short or pronoun-led question gets up to three recent entities."""
     vague = F.lower(F.trim(text)).rlike(r"^(it|they|he|she|that|this|these|those|and)\b") | (F.size(F.split(F.trim(text), r"\s+")) < 4)

@@ -110,9 +110,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def subgraph_scores(nodes: DataFrame, edges: DataFrame, components: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
-    """(component, size, edges, score): 0.35 mean similarity (0.5 if none),
-    0.20 density, 0.15 mean degree of five, 0.10 node types of thirteen, 0.10
-    for a size of 3 to 15, 0.10 edge types of ten."""
+    """(component, size, edges, score): 0.35 mean similarity (0.5 if none is
+    given, 0 for a component without one), 0.20 density, 0.15 mean degree of
+    five, 0.10 node types of thirteen, 0.10 size band, 0.10 edge types of ten."""
     member = nodes.join(components, "id")
     n = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("label").alias("labels"))
     e = edges.join(components.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("type").alias("types"))
@@ -121,11 +121,12 @@ def subgraph_scores(nodes: DataFrame, edges: DataFrame, components: DataFrame, s
         j = j.withColumn("semantic", F.lit(0.5))
     else:
         s = similarity.join(components, "id").groupBy("component").agg(F.avg("similarity").alias("semantic"))
-        j = j.join(s, "component", "left").na.fill(0.5, ["semantic"])
-    density = F.when(F.col("size") > 1, F.least(F.lit(1.0), F.col("edges") / (F.col("size") * (F.col("size") - 1) / 2))).otherwise(0.0)
-    degree = F.least(F.lit(1.0), 2 * F.col("edges") / F.col("size") / 5)
-    band = F.when((F.col("size") >= 3) & (F.col("size") <= 15), 1.0).otherwise(0.5)
-    score = 0.35 * F.col("semantic") + 0.2 * density + 0.15 * degree + 0.1 * F.least(F.lit(1.0), F.col("labels") / 13) + 0.1 * band + 0.1 * F.least(F.lit(1.0), F.col("types") / 10)
+        j = j.join(s, "component", "left").na.fill(0.0, ["semantic"])
+    size = F.col("size")
+    density = F.when(size > 1, F.least(F.lit(1.0), F.col("edges") / (size * (size - 1) / 2))).otherwise(0.0)
+    degree = F.least(F.lit(1.0), 2 * F.col("edges") / size / 5)
+    band = F.when(size <= 3, 0.3).when(size <= 10, 1.0).when(size <= 20, 0.7).otherwise(0.5)
+    score = 0.35 * F.col("semantic") + 0.2 * density + 0.15 * degree + 0.1 * F.col("labels") / 13 + 0.1 * band + 0.1 * F.least(F.lit(1.0), F.col("types") / 10)
     return j.select("component", "size", "edges", score.alias("score"))
 
 

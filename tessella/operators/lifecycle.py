@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What a failure's disposition does to a job. (outcome, state,
-# whether a unit of the budget is used); an exhausted job is quarantined.
+# What a failure's disposition does: (disposition, budget left?,
+# outcome, job state, whether a unit of the budget is used).
 TRANSITIONS = [
-    ("retryable", "failed", "retry_wait", True),
-    ("rate_limited", "failed", "retry_wait", False),
-    ("permanent", "failed", "quarantined", True),
-    ("source_changed", "superseded", "pending", False),
-    ("cancelled", "cancelled", "pending", False),
+    ("pause_systemic", None, "paused_systemic", "retry_wait", False),
+    ("quarantine", None, "quarantined", "quarantined", True),
+    ("cancel", None, "cancelled", "retry_wait", False),
+    ("shutdown", None, "shutdown", "retry_wait", False),
+    ("retry", False, "quarantined", "quarantined", True),
+    ("retry", True, "retry_wait", "retry_wait", True),
 ]
 
-# The failure class of a status or an error name, in order.
-STATUS_CLASSES = [((401, 403), "authentication"), ((404,), "not_found"), ((408, 504), "timeout"), ((409,), "conflict"), ((413,), "too_large"), ((422,), "invalid_request"), ((429,), "rate_limited"), ((500, 502, 503), "provider_unavailable")]
-NAME_CLASSES = [("timeout", "timeout"), ("connection", "connection"), ("json", "malformed_output"), ("validation", "schema_mismatch"), ("cancel", "cancelled"), ("memory", "resource_exhausted"), ("permission", "authorization")]
+# Failure classes in the order in which they are tried: (class,
+# code, HTTP statuses, words in the error's name, disposition).
+FAILURES = [
+    ("shutdown", "worker_shutdown", (), ("shutdown",), "shutdown"),
+    ("cancellation", "worker_cancelled", (), ("cancelled",), "cancel"),
+    ("resource_exhaustion", "provider_call_limit_exhausted", (), ("providercalllimit",), "retry"),
+    ("profile_mismatch", "sync_profile_mismatch", (), ("profilemismatch",), "pause_systemic"),
+    ("graph_validation", "graph_identity_conflict", (), ("graphidentityconflict",), "quarantine"),
+    ("verification", "graph_verification_failed", (), ("graphverification",), "retry"),
+    ("malformed_json", "malformed_model_output", (), ("malformedmodeloutput", "jsondecode", "emptyresponse"), "retry"),
+    ("authentication", "provider_authentication", (401,), ("authentication", "autherror"), "pause_systemic"),
+    ("authorization", "provider_authorization", (403,), ("permissiondenied", "authorization"), "pause_systemic"),
+    ("resource_exhaustion", "provider_resource_exhausted", (402,), ("insufficientquota", "quotaexceeded", "resourceexhausted"), "pause_systemic"),
+    ("rate_limit", "provider_rate_limit", (429,), ("ratelimit",), "pause_systemic"),
+    ("output_limit", "model_output_limit", (), ("modeloutputlimit",), "retry"),
+    ("schema_validation", "model_schema_invalid", (), ("validationerror",), "retry"),
+    ("persistence", "graph_store_unavailable", (), ("neo4j", "sessionexpired"), "pause_systemic"),
+    ("persistence", "sync_ledger_unavailable", (), ("providerledger", "databas", "postgres"), "pause_systemic"),
+    ("transport", "provider_http_transient", (408, 409, "5xx"), (), "retry"),
+    ("transport", "provider_transport", (), ("timeout", "connect", "transport", "network", "serviceunavailable"), "retry"),
+    ("configuration", "provider_request_rejected", ("4xx",), (), "pause_systemic"),
+    ("configuration", "invalid_configuration", (), ("valueerror", "configuration"), "pause_systemic"),
+]
+OTHER_FAILURE = ("unknown", "unexpected_failure", "retry")
 
 
 def seed_jobs(episodes: DataFrame, id_col: str, text_col: str, budget: int = 3) -> DataFrame:
@@ -63,12 +85,15 @@ def heartbeat(jobs: DataFrame, owner: str, as_of: Column, lease_seconds: int) ->
 
 
 def transitions(attempts: DataFrame) -> DataFrame:
-    """Outcome, next state and budget use of failed attempts (disposition, used, budget)."""
-    rules = attempts.sparkSession.createDataFrame(TRANSITIONS, "disposition string, outcome string, state string, consumes boolean")
-    j = attempts.join(F.broadcast(rules), "disposition")  # five rows
-    used = F.col("used") + F.col("consumes").cast("int")
-    spent = (used >= F.col("budget")) & (F.col("state") == "retry_wait")
-    return j.withColumn("state", F.when(spent, "quarantined").otherwise(F.col("state"))).withColumn("used", used)
+    """Outcome, next state and budget use of failed attempts (disposition,
+    used, budget); the attempt itself is already in ``used``."""
+    left = F.col("used") < F.col("budget")
+    outcome = state = consumes = F.lit(None)
+    for kind, needs, o, s, c in reversed(TRANSITIONS):
+        hit = F.col("disposition") == kind
+        hit = hit if needs is None else hit & (left == F.lit(needs))
+        outcome, state, consumes = F.when(hit, o).otherwise(outcome), F.when(hit, s).otherwise(state), F.when(hit, c).otherwise(consumes)
+    return attempts.withColumns({"outcome": outcome, "state": state, "consumes": consumes})
 
 
 def recover_expired(jobs: DataFrame, as_of: Column) -> DataFrame:
@@ -94,13 +119,19 @@ def verified(candidate: Column, exact: Column, fingerprint: Column, leased: Colu
     return F.when(expired, "lease_expired").when(fingerprint != leased, "source_changed").when((candidate == 1) & (exact == 1), "verified").otherwise("rejected")
 
 
-def failure_class(status: Column, name: Column) -> Column:
-    """By status, then by the first word that the error's name holds."""
-    out = F.lit("unknown")
-    for word, kind in reversed(NAME_CLASSES):
-        out = F.when(F.lower(name).contains(word), kind).otherwise(out)
-    for codes, kind in reversed(STATUS_CLASSES):
-        out = F.when(status.isin(*codes), kind).otherwise(out)
+def failure(status: Column, name: Column) -> Column:
+    """struct(class, code, disposition) of an error by its HTTP status and
+    name: the first rule that fits."""
+    pack = lambda c, k, d: F.struct(F.lit(c).alias("class"), F.lit(k).alias("code"), F.lit(d).alias("disposition"))
+    out, name = pack(*OTHER_FAILURE), F.lower(name)
+    ranges = {"4xx": (status >= 400) & (status < 500), "5xx": status >= 500}
+    for kind, code, codes, words, disposition in reversed(FAILURES):
+        hit = F.lit(False)
+        for c in codes:
+            hit = hit | F.coalesce(ranges[c] if c in ranges else status == c, F.lit(False))
+        for w in words:
+            hit = hit | F.coalesce(name.contains(w), F.lit(False))
+        out = F.when(hit, pack(kind, code, disposition)).otherwise(out)
     return out
 
 

@@ -44,20 +44,19 @@ def snapshot_identity(rows: DataFrame, id_col: str, fingerprint_col: str) -> Dat
     return rows.agg(F.count(F.lit(1)).alias("rows"), *(part(1 + 8 * i).alias(f"h{i}") for i in range(4)))
 
 
-def progress(counts: DataFrame) -> DataFrame:
+def progress(counts: DataFrame, least_window: int = 60) -> DataFrame:
     """Percent, rate a minute and ETA with the first status that holds, from
-    (pending, leased, retry_wait, quarantined, synced, run_state, elapsed, window, recent)."""
-    left = F.col("pending") + F.col("leased") + F.col("retry_wait")
-    total = left + F.col("quarantined") + F.col("synced")
-    rate = F.try_divide(F.col("recent") * 60.0, F.col("window"))
+    (pending, leased, retry_wait, quarantined, synced, run_state, window, recent)."""
+    total = F.col("pending") + F.col("leased") + F.col("retry_wait") + F.col("quarantined") + F.col("synced")
+    left = total - F.col("synced")
+    rate = F.when(F.col("window") > 0, F.try_divide(F.col("recent") * 60.0, F.col("window"))).otherwise(0.0)
     status = (
-        F.when(total == 0, "empty").when((left == 0) & (F.col("quarantined") > 0), "blocked_by_quarantine").when(left == 0, "complete")
-        .when(F.col("run_state") == "paused", "paused").when(F.col("run_state") != "running", "not_running")
-        .when(F.col("elapsed") < 60, "warming_up").when(F.coalesce(rate, F.lit(0.0)) == 0, "stalled").otherwise("estimated")
+        F.when(left == 0, "complete").when(F.col("run_state") == "paused_systemic", "paused_systemic").when(F.col("quarantined") > 0, "blocked_quarantine")
+        .when(F.col("run_state") == "stopped", "stopped").when(F.col("window") < least_window, "warming_up").when(rate <= 0, "insufficient_progress").otherwise("available")
     )
     return counts.select(
-        "*", F.round(F.try_divide(F.col("synced") * 100.0, total), 3).alias("percent"), F.round(rate, 3).alias("rate"), status.alias("eta_status"),
-        F.when(status == "estimated", F.ceil(left * 60.0 / rate)).alias("eta_seconds"),
+        "*", F.when(total == 0, 100.0).otherwise(F.round(F.try_divide(F.col("synced") * 100.0, total), 3)).alias("percent"), F.round(rate, 3).alias("rate"), status.alias("eta_status"),
+        F.when(status == "complete", 0).when(status == "available", F.ceil(F.try_divide(left * 60.0, rate))).alias("eta_seconds"),
     )
 
 

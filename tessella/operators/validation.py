@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tessella.functions.text import screaming_snake
 
 # Fixed values of the rules.
-SYMMETRIC = ["allied_with", "at_war_with", "friends_with", "married_to", "related_to", "rivals_with"]
-EXCLUSIVE = [("allied_with", "at_war_with"), ("friends_with", "enemies_with"), ("member_of", "expelled_from"), ("created", "destroyed")]
-INVERSES = [("parent_of", "child_of"), ("leads", "led_by"), ("owns", "owned_by"), ("contains", "located_in"), ("teaches", "taught_by")]
+SYMMETRIC = ["allied_with", "opposed_to", "related_to", "connected_to", "married_to", "sibling_of", "friend_of", "enemy_of"]
+EXCLUSIVE = [("allied_with", "opposed_to"), ("friend_of", "enemy_of"), ("protects", "threatens"), ("supports", "opposes")]
+INVERSES = [("commands", "serves_under"), ("rules", "governed_by"), ("created_by", "creation_of"), ("parent_of", "child_of"), ("teaches", "student_of")]
+TYPE_PROPERTIES = ["semantic_type", "relationship_type", "type", "kind", "nature"]
+FACT_WORDS = [(("allied with", "alliance"), "allied_with"), (("opposed to", "enemy"), "opposed_to"), (("commands", "leads"), "commands"), (("serves", "follows"), "serves_under"), (("protects", "guards"), "protects")]
 SEVERITIES = ["critical", "error", "warning", "info"]
 
 
@@ -24,13 +26,17 @@ def normal_type(kind: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.col(kind) if isinstance(kind, str) else kind), r"[\s-]+", "_"))
 
 
-def semantic_type(props: dict[str, Column], name: Column, fact: Column) -> Column:
-    """The first property that is present, then the name, then a word of the
-    fact, else null."""
-    by_word = F.lit(None).cast("string")
-    for word, kind in reversed([("allied", "ALLIED_WITH"), ("war", "AT_WAR_WITH"), ("leads", "LEADS"), ("lives", "LIVES_IN"), ("owns", "OWNS")]):
-        by_word = F.when(F.lower(fact).contains(word), kind).otherwise(by_word)
-    return F.coalesce(*props.values(), name, by_word)
+def semantic_type(props: Column) -> Column:
+    """The type in a property map: the first of TYPE_PROPERTIES that is there,
+    then the name, then a word of the fact, else null."""
+    given = [F.try_element_at(props, F.lit(k)) for k in (*TYPE_PROPERTIES, "name")]
+    fact, by_word = F.lower(F.try_element_at(props, F.lit("fact"))), F.lit(None).cast("string")
+    for words, kind in reversed(FACT_WORDS):
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | fact.contains(word)
+        by_word = F.when(hit, kind).otherwise(by_word)
+    return F.coalesce(*given, by_word)
 
 
 def missing_reverse(edges: DataFrame, symmetric: list[str]) -> DataFrame:

@@ -67,8 +67,8 @@ def g09b(spark, d):
 _G10 = """WITH d AS (SELECT doc_id, lang, source, sha256(text) AS sha FROM documents), c AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY sha) AS component FROM d),
  n AS (SELECT component, count(*) AS size, count(DISTINCT lang) AS labels FROM c GROUP BY 1), e AS (SELECT component, count(*) AS edges, count(DISTINCT source) AS types FROM c WHERE doc_id <> component GROUP BY 1),
  j AS (SELECT n.component, size, labels, coalesce(edges, 0) AS edges, coalesce(types, 0) AS types FROM n LEFT JOIN e USING (component)),
- s AS (SELECT component, size, edges, 0.35 * 0.5 + 0.2 * CASE WHEN size > 1 THEN least(1.0, edges / (size * (size - 1) / 2)) ELSE 0.0 END + 0.15 * least(1.0, 2 * edges / size / 5) + 0.1 * least(1.0, labels / 13)
- + 0.1 * CASE WHEN size BETWEEN 3 AND 15 THEN 1.0 ELSE 0.5 END + 0.1 * least(1.0, types / 10) AS score FROM j)"""
+ s AS (SELECT component, size, edges, 0.35 * 0.5 + 0.2 * CASE WHEN size > 1 THEN least(1.0, edges / (size * (size - 1) / 2)) ELSE 0.0 END + 0.15 * least(1.0, 2 * edges / size / 5) + 0.1 * labels / 13
+ + 0.1 * CASE WHEN size <= 3 THEN 0.3 WHEN size <= 10 THEN 1.0 WHEN size <= 20 THEN 0.7 ELSE 0.5 END + 0.1 * least(1.0, types / 10) AS score FROM j)"""
 
 
 def _copies(spark, d):
@@ -118,25 +118,25 @@ def g20(spark, d):
 
 # -- validation: relationships between customers, from their shared orders' events
 _REL = """rel AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS src, (event_id * 7 % 150)::VARCHAR AS dst,
- CASE event_type WHEN 'signup' THEN 'Allied With' WHEN 'error' THEN 'at-war with' WHEN 'click' THEN 'parent of' WHEN 'view' THEN 'CHILD_OF' ELSE 'RELATES_TO' END AS type,
+ CASE event_type WHEN 'signup' THEN 'Allied With' WHEN 'error' THEN 'opposed-to' WHEN 'click' THEN 'parent of' WHEN 'view' THEN 'CHILD_OF' ELSE 'RELATES_TO' END AS type,
  CASE WHEN value > 50 THEN 'fact ' || event_type ELSE '' END AS fact FROM events)"""
 _T = r"lower(regexp_replace(trim(type), '[\s-]+', '_', 'g'))"
 
 
 def _relations(spark, d):
-    kind = F.when(F.col("event_type") == "signup", "Allied With").when(F.col("event_type") == "error", "at-war with").when(F.col("event_type") == "click", "parent of").when(F.col("event_type") == "view", "CHILD_OF").otherwise("RELATES_TO")
+    kind = F.when(F.col("event_type") == "signup", "Allied With").when(F.col("event_type") == "error", "opposed-to").when(F.col("event_type") == "click", "parent of").when(F.col("event_type") == "view", "CHILD_OF").otherwise("RELATES_TO")
     return table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("src"), (F.col("event_id") * 7 % 150).cast("string").alias("dst"),
         kind.alias("type"), F.when(F.col("value") > 50, F.concat(F.lit("fact "), "event_type")).otherwise("").alias("fact"),
     )
 
 
-@query("v02_missing_reverse", f"WITH {_REL} SELECT min(id) AS subject, min({_T}) AS detail FROM rel WHERE {_T} IN ('allied_with', 'at_war_with') GROUP BY least(src, dst), greatest(src, dst) HAVING count(*) = 1")
+@query("v02_missing_reverse", f"WITH {_REL} SELECT min(id) AS subject, min({_T}) AS detail FROM rel WHERE {_T} IN ('allied_with', 'opposed_to') GROUP BY least(src, dst), greatest(src, dst) HAVING count(*) = 1")
 def v02(spark, d):
     return V.missing_reverse(_relations(spark, d), V.SYMMETRIC).select("subject", "detail")
 
 
-@query("v03_exclusive_types", f"WITH {_REL} SELECT src || '>' || dst AS subject, 'allied_with|at_war_with' AS detail FROM rel GROUP BY src, dst HAVING count(*) FILTER (WHERE {_T} = 'allied_with') > 0 AND count(*) FILTER (WHERE {_T} = 'at_war_with') > 0")
+@query("v03_exclusive_types", f"WITH {_REL} SELECT src || '>' || dst AS subject, 'allied_with|opposed_to' AS detail FROM rel GROUP BY src, dst HAVING count(*) FILTER (WHERE {_T} = 'allied_with') > 0 AND count(*) FILTER (WHERE {_T} = 'opposed_to') > 0")
 def v03(spark, d):
     return V.exclusive_types(_relations(spark, d), V.EXCLUSIVE).select("subject", "detail")
 
@@ -147,6 +147,14 @@ def v04(spark, d):
     return V.missing_inverse(_relations(spark, d), V.INVERSES).select("subject", "detail")
 
 
+@query("v01_semantic_type", """SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN 'n' || user_id WHEN value > 60 THEN 'allied_with' WHEN value > 30 THEN 'serves_under' END AS kind FROM events""")
+def v01(spark, d):
+    i, e = F.col("event_id") % 4, F.col("event_type")
+    fact = F.when(F.col("value") > 60, "An Alliance of old").when(F.col("value") > 30, "he follows her").otherwise("nothing")
+    props = F.when(i == 0, F.create_map(F.lit("kind"), e, F.lit("name"), F.lit("x"))).when(i == 1, F.create_map(F.lit("name"), F.concat(F.lit("n"), F.col("user_id").cast("string")))).otherwise(F.create_map(F.lit("fact"), fact))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), V.semantic_type(props).alias("kind"))
+
+
 @query("v05_untyped", f"WITH {_REL} SELECT id AS subject, type AS detail FROM rel WHERE {_T} = 'relates_to' AND coalesce(fact, '') = ''")
 def v05(spark, d):
     return V.untyped(_relations(spark, d), "relates_to").select("subject", "detail")

@@ -62,14 +62,14 @@ def l04(spark, d):
     return L.heartbeat(_jobs(spark, d), "w1", _at(), 60).select("id", "lease_until")
 
 
-@query("l07_transitions", """WITH r(d, outcome, state, c) AS (VALUES ('retryable', 'failed', 'retry_wait', 1), ('rate_limited', 'failed', 'retry_wait', 0), ('permanent', 'failed', 'quarantined', 1), ('source_changed', 'superseded', 'pending', 0), ('cancelled', 'cancelled', 'pending', 0)),
- a AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'retryable' WHEN 'click' THEN 'rate_limited' WHEN 'error' THEN 'permanent' WHEN 'signup' THEN 'source_changed' ELSE 'cancelled' END AS d, event_id % 4 AS used FROM events)
- SELECT id, outcome, CASE WHEN state = 'retry_wait' AND used + c >= 3 THEN 'quarantined' ELSE state END AS state, used + c AS used FROM a JOIN r USING (d)""")
+@query("l07_transitions", """WITH a AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'retry' WHEN 'click' THEN 'pause_systemic' WHEN 'error' THEN 'quarantine' WHEN 'signup' THEN 'cancel' ELSE 'shutdown' END AS d, event_id % 5 AS used FROM events)
+ SELECT id, CASE d WHEN 'retry' THEN CASE WHEN used < 3 THEN 'retry_wait' ELSE 'quarantined' END WHEN 'pause_systemic' THEN 'paused_systemic' WHEN 'quarantine' THEN 'quarantined' WHEN 'cancel' THEN 'cancelled' ELSE 'shutdown' END AS outcome,
+ CASE WHEN d = 'quarantine' OR (d = 'retry' AND used >= 3) THEN 'quarantined' ELSE 'retry_wait' END AS state, d IN ('retry', 'quarantine') AS consumes FROM a""")
 def l07(spark, d):
     e = F.col("event_type")
-    kind = F.when(e == "view", "retryable").when(e == "click", "rate_limited").when(e == "error", "permanent").when(e == "signup", "source_changed").otherwise("cancelled")
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("disposition"), (F.col("event_id") % 4).alias("used"), F.lit(3).alias("budget"))
-    return L.transitions(rows).select("id", "outcome", "state", "used")
+    kind = F.when(e == "view", "retry").when(e == "click", "pause_systemic").when(e == "error", "quarantine").when(e == "signup", "cancel").otherwise("shutdown")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), kind.alias("disposition"), (F.col("event_id") % 5).alias("used"), F.lit(3).alias("budget"))
+    return L.transitions(rows).select("id", "outcome", "state", "consumes")
 
 
 @query("l08_recover_expired", f"WITH {_JOBS} SELECT id, CASE WHEN state = 'leased' AND lease_until <= {_AT} AND used >= budget THEN 'quarantined' WHEN state = 'leased' AND lease_until <= {_AT} THEN 'retry_wait' ELSE state END AS state FROM jobs")
@@ -90,13 +90,14 @@ def l06(spark, d):
     return e.select(F.col("event_id").alias("id"), result.alias("result"))
 
 
-@query("l11_failure_classes", """SELECT event_id AS id, CASE s WHEN 401 THEN 'authentication' WHEN 404 THEN 'not_found' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'provider_unavailable' ELSE CASE event_type WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'malformed_output' ELSE 'unknown' END END AS class
- FROM (SELECT *, CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 END AS s FROM events)""")
+@query("l11_failures", """SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'malformed_json' WHEN s = 401 THEN 'authentication' WHEN s = 429 THEN 'rate_limit' WHEN s IN (409, 503) THEN 'transport' WHEN event_type = 'view' THEN 'transport' WHEN s = 404 THEN 'configuration' ELSE 'unknown' END AS class,
+ CASE WHEN event_type = 'click' THEN 'retry' WHEN s IN (401, 429) THEN 'pause_systemic' WHEN s IN (409, 503) OR event_type = 'view' THEN 'retry' WHEN s = 404 THEN 'pause_systemic' ELSE 'retry' END AS disposition
+ FROM (SELECT *, CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 409 END AS s FROM events)""")
 def l11(spark, d):
     i, e = F.col("event_id") % 9, F.col("event_type")
-    status = F.when(i == 0, 401).when(i == 1, 404).when(i == 2, 429).when(i == 3, 503)
+    status = F.when(i == 0, 401).when(i == 1, 404).when(i == 2, 429).when(i == 3, 503).when(i == 4, 409)
     name = F.when(e == "view", "ReadTimeout").when(e == "click", "JSONDecodeError").otherwise("Oops")
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), L.failure_class(status, name).alias("class"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), L.failure(status, name).alias("f")).select("id", "f.class", "f.disposition")
 
 
 @query("l05_numbered_calls", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS call_number, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 40 AS allowed FROM events")
@@ -160,17 +161,17 @@ def q03b(spark, d):
     return Q.failure_matrix(I.attempts(spark, d), ["view", "click", "error"])
 
 
-@query("q04_progress", """WITH c AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'signup') AS pending, 0 AS leased, count(*) FILTER (WHERE event_type = 'error' AND value > 50) AS retry_wait, count(*) FILTER (WHERE event_type = 'click') AS quarantined, count(*) FILTER (WHERE event_type = 'view') AS synced,
- CASE WHEN user_id % 5 = 0 THEN 'paused' WHEN user_id % 7 = 0 THEN 'stopped' ELSE 'running' END AS run_state, user_id % 100 * 10 AS elapsed, 300 AS "window", user_id % 3 AS recent FROM events GROUP BY user_id),
- s AS (SELECT *, pending + leased + retry_wait AS todo, pending + leased + retry_wait + quarantined + synced AS total, recent * 60.0 / "window" AS r FROM c)
- SELECT id, round(synced * 100.0 / nullif(total, 0), 3) AS percent, CASE WHEN total = 0 THEN 'empty' WHEN todo = 0 AND quarantined > 0 THEN 'blocked_by_quarantine' WHEN todo = 0 THEN 'complete' WHEN run_state = 'paused' THEN 'paused' WHEN run_state <> 'running' THEN 'not_running'
- WHEN elapsed < 60 THEN 'warming_up' WHEN r = 0 THEN 'stalled' ELSE 'estimated' END AS eta_status FROM s""")
+@query("q04_progress", """WITH c AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'signup' AND value > 60) AS pending, 0 AS leased, 0 AS retry_wait, count(*) FILTER (WHERE event_type = 'click' AND value > 97) AS quarantined, count(*) FILTER (WHERE event_type = 'view') AS synced,
+ CASE WHEN user_id % 5 = 0 THEN 'paused_systemic' WHEN user_id % 7 = 0 THEN 'stopped' ELSE 'running' END AS run_state, user_id % 4 * 100 AS "window", user_id % 3 AS recent FROM events GROUP BY user_id),
+ s AS (SELECT *, pending + quarantined AS todo, pending + quarantined + synced AS total, CASE WHEN "window" > 0 THEN recent * 60.0 / "window" ELSE 0 END AS r FROM c),
+ t AS (SELECT *, CASE WHEN todo = 0 THEN 'complete' WHEN run_state = 'paused_systemic' THEN 'paused_systemic' WHEN quarantined > 0 THEN 'blocked_quarantine' WHEN run_state = 'stopped' THEN 'stopped' WHEN "window" < 60 THEN 'warming_up' WHEN r <= 0 THEN 'insufficient_progress' ELSE 'available' END AS eta_status FROM s)
+ SELECT id, CASE WHEN total = 0 THEN 100.0 ELSE round(synced * 100.0 / total, 3) END AS percent, eta_status, CASE eta_status WHEN 'complete' THEN 0 WHEN 'available' THEN ceil(todo * 60.0 / r) END AS eta_seconds FROM t""")
 def q04(spark, d):
-    n = lambda k: F.count_if(F.col("event_type") == k)
+    n = lambda k, v: F.count_if((F.col("event_type") == k) & (F.col("value") > v))
     u = F.col("user_id")
-    rows = table(spark, d, "events").groupBy("user_id").agg(n("signup").alias("pending"), F.lit(0).alias("leased"), F.count_if((F.col("event_type") == "error") & (F.col("value") > 50)).alias("retry_wait"), n("click").alias("quarantined"), n("view").alias("synced"))
-    rows = rows.withColumns({"run_state": F.when(u % 5 == 0, "paused").when(u % 7 == 0, "stopped").otherwise("running"), "elapsed": u % 100 * 10, "window": F.lit(300), "recent": u % 3})
-    return Q.progress(rows).select(F.col("user_id").alias("id"), "percent", "eta_status")
+    rows = table(spark, d, "events").groupBy("user_id").agg(n("signup", 60).alias("pending"), F.lit(0).alias("leased"), F.lit(0).alias("retry_wait"), n("click", 97).alias("quarantined"), F.count_if(F.col("event_type") == "view").alias("synced"))
+    rows = rows.withColumns({"run_state": F.when(u % 5 == 0, "paused_systemic").when(u % 7 == 0, "stopped").otherwise("running"), "window": u % 4 * 100, "recent": u % 3})
+    return Q.progress(rows).select(F.col("user_id").alias("id"), "percent", "eta_status", "eta_seconds")
 
 
 @query("q06_attempt_chain", with_("attempts") + """SELECT episode_id, array_to_string(list(attempt_id || ':' || outcome ORDER BY completed_at, attempt_id), ',') AS chain FROM (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY completed_at DESC, attempt_id DESC) <= 5) GROUP BY episode_id""")
@@ -310,10 +311,28 @@ def n05(spark, d):
     return N.exhaustion(rows, "user_id", "event_id", "s", "rep", "f").select("user_id", "score")
 
 
-@query("n09_routes", """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(relationship|related|between|connect|ally|enemy)\\b') THEN 'relationship' WHEN regexp_matches(lower(text), '\\b(when|year|date|before|after|timeline)\\b') THEN 'timeline' WHEN regexp_matches(lower(text), '\\b(where|place|city|region|located)\\b') THEN 'location'
- WHEN regexp_matches(lower(text), '\\b(who|what is|tell me about|describe)\\b') THEN 'entity' WHEN regexp_matches(lower(text), '\\b(list|all|every|how many)\\b') THEN 'list' ELSE 'general' END AS route FROM conversations""")
+@query("n06_query_correlation", r"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations), p AS (SELECT *, lower(text) AS t,
+ list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS a, list_distinct(regexp_extract_all(coalesce(prev, ''), '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS b FROM c),
+ s AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS o FROM p)
+ SELECT conv_id, turn, round(CASE WHEN prev IS NULL THEN 0 ELSE greatest(0, least(1, CASE WHEN regexp_matches(t, 'now tell me about|what about|switch to|instead tell me|now about') THEN -0.8 ELSE 0 END
+ + CASE WHEN len(list_intersect(regexp_split_to_array(t, '[ \t\n\r\f\x0B]+'), ['that', 'this', 'it', 'they', 'them', 'he', 'she', 'those', 'these'])) > 0 THEN 0.8 WHEN regexp_matches(t, 'tell me more|what else|continue|expand on|also|additionally') THEN 0.5 ELSE 0 END + 0.3 * o)) END, 9) AS score FROM s""")
+def n06(spark, d):
+    from pyspark.sql import Window
+
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").withColumn("prev", prev)
+    return rows.select("conv_id", "turn", F.round(N.correlation(F.col("text"), F.col("prev")), 9).alias("score"))
+
+
+@query("n09_routes", """WITH m AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Help me' WHEN 1 THEN 'make ' || (user_id % 4) || ' quests please' WHEN 2 THEN 'write ' || (user_id % 4) || ' chapters' WHEN 3 THEN 'create a plan, then describe it' WHEN 4 THEN 'imagine this' WHEN 5 THEN 'a campaign' WHEN 6 THEN 'a dramatic day' ELSE event_type END AS t, user_id % 4 AS k FROM events)
+ SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'meta_help' WHEN 1 THEN 'questline_generation' WHEN 2 THEN CASE WHEN k > 1 THEN 'orchestrated' ELSE 'narrative_generation' END WHEN 3 THEN 'orchestrated' WHEN 4 THEN 'story_development' WHEN 5 THEN 'quest_planning' WHEN 6 THEN 'narrative_generation' ELSE 'lore_query' END AS route FROM m""")
 def n09(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", N.route(F.col("text"))[0].alias("route"))
+    i, k = F.col("event_id") % 8, (F.col("user_id") % 4).cast("string")
+    t = (
+        F.when(i == 0, "Help me").when(i == 1, F.concat(F.lit("make "), k, F.lit(" quests please"))).when(i == 2, F.concat(F.lit("write "), k, F.lit(" chapters")))
+        .when(i == 3, "create a plan, then describe it").when(i == 4, "imagine this").when(i == 5, "a campaign").when(i == 6, "a dramatic day").otherwise(F.col("event_type"))
+    )
+    return table(spark, d, "events").select("event_id", N.route(t)[0].alias("route"))
 
 
 @query("n13_limited_state", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE a <= 2 OR b <= 3")

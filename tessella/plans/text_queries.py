@@ -71,17 +71,25 @@ def f20(spark, d):
     return docs.filter("text <> redacted").select("doc_id", F.sha2("redacted", 256).alias("redacted_sha"))
 
 
-@query("f20_password_redaction", r"SELECT doc_id, regexp_replace(lang || ' password=' || source || '; ok', '(?i)\b((?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*)[^\s,;&]+', '\1[REDACTED]', 'g') AS redacted FROM documents")
+@query("f20_password_redaction", "SELECT doc_id, lang || ' password=<redacted>; Bearer <redacted> https://u:<redacted>@h/' AS redacted FROM documents")
 def f20b(spark, d):
-    line = F.concat("lang", F.lit(" password="), "source", F.lit("; ok"))
+    line = F.concat("lang", F.lit(" password="), "source", F.lit("; Bearer "), "source", F.lit("0123456789 https://u:"), "source", F.lit("@h/"))
     return table(spark, d, "documents").select("doc_id", X.redact(line).alias("redacted"))
 
 
-@query("f22_backoff", """SELECT event_id, greatest(1.0, least(3600.0, round_even(least(3600.0, 30.0 * pow(2.0, event_id % 9)) * (0.8 + 0.4 * (('0x' || substr(sha256(event_id::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967295.0)), 0))) AS delay FROM events""")
+@query("f22_backoff", """SELECT event_id, greatest(1, least(3600, round_even(least(3600.0, 30.0 * pow(2.0, event_id % 9)) * (0.8 + 0.4 * ((('0x' || substr(h, 1, 8))::BIGINT::DOUBLE * 4294967296.0 + ('0x' || substr(h, 9, 8))::BIGINT::DOUBLE) / 18446744073709551615.0)), 0)))::INT AS delay
+ FROM (SELECT event_id, sha256(event_id || ':' || (event_id % 9 + 1)) AS h FROM events)""")
 def f22(spark, d):
     return table(spark, d, "events").select("event_id", X.backoff_seconds(F.col("event_id").cast("string"), F.col("event_id") % 9 + 1).alias("delay"))
 
 
+@query("f27_sentence_complexity", r"""SELECT doc_id, round(avg(c), 9) AS complexity FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN 1.0 ELSE (least(list_sum(list_transform(w, lambda x: length(x))) / len(w) / 6, 2.0) + least(len(w) / 20, 1.5)) / 2 END AS c FROM
+ (SELECT doc_id, list_filter(regexp_split_to_array(unnest(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')), '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS w FROM documents)) GROUP BY doc_id""")
+def f27(spark, d):
+    each = table(spark, d, "documents").select("doc_id", F.explode(C.sentences(F.col("text"))).alias("s"))
+    return each.groupBy("doc_id").agg(F.round(F.avg(X.sentence_complexity("s")), 9).alias("complexity"))
+
+
 @query("f24_percentage", "SELECT user_id, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE value > 98), 0), 3) AS pct FROM events GROUP BY user_id")
 def f24(spark, d):
     from tessella.operators.relational import percentage

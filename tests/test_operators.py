@@ -99,9 +99,9 @@ def test_relationship_policy_decisions(spark):
 
 
 def test_progress_example(spark):
-    row = [(2, 0, 0, 0, 8, "running", 300, 300, 5)]
-    r = reconcile.progress(spark.createDataFrame(row, "pending int, leased int, retry_wait int, quarantined int, synced int, run_state string, elapsed int, window int, recent int")).first()
-    assert (r["percent"], r["rate"], r["eta_status"], r["eta_seconds"]) == (80.0, 1.0, "estimated", 120)
+    row = [(2, 0, 0, 0, 8, "running", 300, 5)]
+    r = reconcile.progress(spark.createDataFrame(row, "pending int, leased int, retry_wait int, quarantined int, synced int, run_state string, window int, recent int")).first()
+    assert (r["percent"], r["rate"], r["eta_status"], r["eta_seconds"]) == (80.0, 1.0, "available", 120)
 
 
 def test_best_duplicate_stays(spark):
