@@ -147,11 +147,11 @@ def test_full_text_needs_all_terms(spark):
 
 
 def test_markdown_source(spark, tmp_path):
-    (tmp_path / "canon" / "items").mkdir(parents=True)
-    (tmp_path / "canon" / "items" / "blade.md").write_text("# Blade\nA sharp thing.")
+    (tmp_path / "canon" / "locations").mkdir(parents=True)
+    (tmp_path / "canon" / "locations" / "blade.md").write_text("# Blade\nA sharp thing.")
     (tmp_path / "canon" / "x.txt").write_text("no")
     got = corpus.described(corpus.markdown_files(spark, str(tmp_path / "canon"))).collect()
-    assert [(r["title"], r["document_type"], r["words"]) for r in got] == [("Blade", "item", 5)]
+    assert [(r["title"], r["document_type"], r["words"]) for r in got] == [("Blade", "location", 5)]
     assert corpus.inside("canon", "canon/a/b.MD") and not corpus.inside("canon", "canon/../b.md") and not corpus.inside("canon", "canon/a.txt")
 
 
