@@ -172,40 +172,58 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of fingerprints whose whole sets link.
 
     A bitmap of fixed size picks the documents that stand for a set in
-    ``pairs`` (and few others), so that only their texts are shuffled; they are
-    smaller than their sets. Each a takes its partners in blocks.
+    ``pairs`` (and few others), so that only their texts are shuffled,
+    compressed; they are smaller than their sets. Each a meets its partners in
+    blocks: its own text comes first, the others stream past it.
     """
     spark = docs.sparkSession
     pairs = cut(pairs.select("a", "b"))
     if pairs.isEmpty():
         return pairs
-    block = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("blocks"))
-    placed = pairs.join(sizes, "a").select("a", "b", F.pmod(block, F.col("blocks")).cast("int").alias("block"))
+    placed = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     ends = placed.select("a", "block", F.col("b").alias("fp")).union(
         sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("fp"))
     )
-    ends = cut(ends.join(sets.select("fp", "key"), "fp"))
+    ends = cut(ends.join(sets.select("fp", "key"), "fp").select("key", "fp", "a", "block"))
     wanted = spark.sparkContext.broadcast(np.packbits(_bitmap(ends, "key")))
 
     def some(keys: pd.Series) -> pd.Series:
         at = keys.to_numpy(np.int64) % (1 << NEEDED_BITS)
         return pd.Series((wanted.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, held = int(pdf["a"].iloc[0]), {}
-        for fp, s in zip(pdf["fp"].tolist(), shingle_sets(pdf["text"].tolist()), strict=True):
-            if fp not in held and fingerprint(s) == fp:  # rows that repeat an id may differ
-                held[fp] = s
-        own, good = held.pop(a), []
-        for fp, s in held.items():
-            common = len(np.intersect1d(own, s, assume_unique=True))
-            if 100 * common >= 75 * (len(own) + len(s) - common):
-                good.append(fp)
-        return pd.DataFrame({"a": np.full(len(good), a, np.int64), "b": np.array(good, np.int64)})
+    def squeeze(texts: pd.Series) -> pd.Series:
+        import zstandard
 
-    texts = docs.select("key", "text").filter(F.pandas_udf(some, "boolean")("key"))
-    return texts.join(ends, "key").select("a", "block", "fp", "text").groupBy("a", "block").applyInPandas(compare, "a long, b long")
+        tool = zstandard.ZstdCompressor(level=3)
+        return texts.map(lambda t: tool.compress(t.encode("utf-8", "surrogatepass")))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        tool, group, own, done = zstandard.ZstdDecompressor(), None, None, set()
+        for pdf in frames:
+            for start in range(0, len(pdf), 256):
+                part, good = pdf.iloc[start : start + 256], []
+                texts = [tool.decompress(z).decode("utf-8", "surrogatepass") for z in part["z"]]
+                for a, block, fp, s in zip(part["a"].tolist(), part["block"].tolist(), part["fp"].tolist(), shingle_sets(texts), strict=True):
+                    if group != (a, block):
+                        group, own, done = (a, block), None, set()
+                    if fp in done or fingerprint(s) != fp:  # rows that repeat an id may differ
+                        continue
+                    done.add(fp)
+                    if fp == a:
+                        own = s
+                        continue
+                    common = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * common >= 75 * (len(own) + len(s) - common):
+                        good.append((a, fp))
+                yield pd.DataFrame({"a": np.array([g[0] for g in good], np.int64), "b": np.array([g[1] for g in good], np.int64)})
+
+    texts = docs.select("key", "text").filter(F.pandas_udf(some, "boolean")("key") & F.col("text").isNotNull())
+    texts = texts.select("key", F.pandas_udf(squeeze, "binary")("text").alias("z"))
+    rows = texts.join(ends, "key").select("a", "block", "fp", "z").repartition("a", "block").sortWithinPartitions("a", "block", F.col("fp") != F.col("a"))
+    return rows.mapInPandas(compare, "a long, b long")
 
 
 def sharing(sig: DataFrame) -> DataFrame:
@@ -214,9 +232,11 @@ def sharing(sig: DataFrame) -> DataFrame:
     leads follow a lead of their own."""
     rows = sig.filter("prefix is not null").select("fp", F.explode("prefix").alias("token"))
     salt = F.when(F.col("token") >= FREQUENT, F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)
-    each = Window.partitionBy("token", "salt")
-    rows = rows.withColumn("salt", salt).withColumn("lead", F.min("fp").over(each)).withColumn("end", F.max("fp").over(each))
-    return cut(rows.filter((F.col("lead") < F.col("end")) | (F.col("token") >= FREQUENT)).select("token", "fp", "lead").distinct())
+    order = Window.partitionBy("token", "salt").orderBy("fp")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("salt", salt).withColumns({"lead": F.first("fp").over(whole), "end": F.last("fp").over(whole), "before": F.lag("fp").over(order)})
+    once = F.col("before").isNull() | (F.col("before") != F.col("fp"))  # tasks repeat copies
+    return cut(rows.filter(once & ((F.col("lead") < F.col("end")) | (F.col("token") >= FREQUENT))).select("token", "fp", "lead"))
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,15 +272,16 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # The token-group matrix, and every document against the other groups.
     group = components(links).withColumnsRenamed({"id": "fp", "component": "grp"})
-    member = cut(sets.join(group, "fp", "left").withColumn("grp", F.coalesce("grp", "fp")))
-    rows = shared.select("token", "fp").join(member, "fp")
-    several = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).filter("g1 < g2").select("token")
-    rows = cut(rows.join(several, "token"))
+    member = cut(sets.join(group, "fp", "left").select("fp", "n", "rest", F.coalesce("grp", "fp").alias("grp")))
+    placed = cut(shared.select("token", "fp").join(member.select("fp", "grp"), "fp"))
+    several = placed.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).filter("g1 < g2").select("token")
+    rows = cut(placed.join(several, "token"))
     facts = member.groupBy("grp").agg(
         F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest"),
     )
     matrix = rows.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("here")).select("token", "grp").join(facts, "grp")
-    asks = rows.join(facts.select("grp", F.col("members").alias("own")), "grp").withColumnRenamed("grp", "own_grp")
+    own = member.join(facts.select("grp", F.col("members").alias("own")), "grp").select("fp", "n", "rest", "own", F.col("grp").alias("own_grp"))
+    asks = rows.select("token", "fp").join(own, "fp")
     met = asks.join(matrix, "token").filter("grp <> own_grp and (own, own_grp) < (members, grp) and 3 * n <= 4 * most and 3 * least <= 4 * n")
     opened = (
         met.groupBy("fp", "grp", "n", "rest", "least", "most_rest").agg(F.count(F.lit(1)).alias("common"))

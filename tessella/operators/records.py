@@ -142,21 +142,39 @@ def scope_violations(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.filter(~(F.coalesce("canonical", F.lit(False)) & F.col("source_file").startswith(prefix)))
 
 
-# Words that tell what a request wants, in order.
-INTENTS = [("compare", ["compare", "difference", "versus"]), ("explain", ["why", "explain", "how does"]), ("find", ["find", "show", "list"]), ("create", ["write", "create", "generate"])]
+# Words that ask for new content.
+CONTENT_NOUNS = ["quest", "questline", "npc", "npcs", "story", "stories", "narrative", "adventure", "mission", "encounter", "dialogue", "hook", "phase", "reward", "episode", "scene", "campaign"]
+CREATION_WORDS = ["create", "generate", "write", "design", "craft", "build", "compose", "produce", "make", "plan", "draft", "invent", "come up with", "give me", "need a", "need another", "continue the", "continue this", "develop"]
+STORY_PHRASES = ["tell me a story", "spin a tale", "share a story", "story about", "extend that story", "extend the story", "add to the story", "continue that story", "longer story", "multi chapter", "multi-part story"]
+CONTINUATIONS = ["continue", "continue story", "continue the story", "continue the quest", "extend that story", "extend the story", "more story", "more of the story"]
 
 
 def intent(text: Column) -> Column:
-    low, out = F.lower(text), F.lit("lookup")
-    for name, words in reversed(INTENTS):
-        out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w)), name).otherwise(out)
-    return out
-
-
-def next_step(done: Column, planned: Column, confidence: Column, rounds: Column, most: int = 5) -> Column:
-    """Whether an agent goes on: stop at the round limit or a finished plan
-    with confidence, ask again where confidence is low, else continue."""
-    return F.when(rounds >= most, "finalise").when((done >= planned) & (confidence >= 0.6), "finalise").when(confidence < 0.3, "retry").otherwise("continue")
+    """``generative`` for a wish for content, a story phrase or a bare
+    continuation; everything else is ``informational``."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    some = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    made = (some(CREATION_WORDS) & some(CONTENT_NOUNS)) | some(STORY_PHRASES) | F.trim(low).isin(*CONTINUATIONS)
+    return F.when(made, "generative").otherwise("informational")
+
+
+def next_step(state: dict[str, Column]) -> Column:
+    """Whether an agent goes on. ``state`` has rounds, most_rounds,
+    last_action, intent, failures, request, created (an array of content
+    types), planned and done. It finalises at the round limit, on its own
+    word, with an answer to an informational request, after more than three
+    failures, with a whole quest, or with a finished plan and some content."""
+    created = state["created"]
+    has = lambda kind: F.exists(created, lambda c: c.contains(kind))
+    phases = F.size(F.filter(created, lambda c: c.contains("create_quest_phase")))
+    quest = F.lower(state["request"]).contains("quest") & (phases >= 3) & has("create_quest_hook")
+    whole = has("combine_quest_phases") & has("create_quest_reward")
+    return (
+        F.when(state["rounds"] >= state["most_rounds"], "finalize").when(state["last_action"] == "finalize", "finalize")
+        .when((state["intent"] == "informational") & has("answer_lore_question"), "finalize").when(state["failures"] > 3, "finalize")
+        .when(quest & whole, "finalize").when(quest, "continue")
+        .when((state["planned"] > 0) & (state["done"] == state["planned"]) & (F.size(created) > 0), "finalize").otherwise("continue")
+    )
 
 
 def topic_relevance(chunks: DataFrame, keywords: Sequence[str], least: int = 2, top: int = 3) -> DataFrame:

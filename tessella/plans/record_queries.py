@@ -190,17 +190,24 @@ def n08(spark, d):
     return R.topic_relevance(rows, ["the", "tion", "ß"]).select("key", "hits")
 
 
-@query("n10_intents", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'compare' WHEN 1 THEN 'explain' WHEN 2 THEN 'find' WHEN 3 THEN 'create' ELSE 'lookup' END AS intent FROM events")
+@query("n10_intents", "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 2) THEN 'generative' ELSE 'informational' END AS intent FROM events")
 def n10(spark, d):
     i = F.col("event_id") % 5
-    text = F.when(i == 0, "The DIFFERENCE, and why").when(i == 1, "How does it end").when(i == 2, "show it").when(i == 3, "please generate").otherwise("hm")
+    text = F.when(i == 0, "Please DESIGN an encounter").when(i == 1, "a story about ships").when(i == 2, " continue ").when(i == 3, "who built this?")
     return table(spark, d, "events").select("event_id", R.intent(text).alias("intent"))
 
 
-@query("n11_next_steps", "SELECT event_id, CASE WHEN user_id % 7 >= 5 THEN 'finalise' WHEN event_id % 4 >= 2 AND value / 100 >= 0.6 THEN 'finalise' WHEN value / 100 < 0.3 THEN 'retry' ELSE 'continue' END AS step FROM events")
+@query("n11_next_steps", """WITH s AS (SELECT event_id, user_id % 7 AS rounds, event_type, event_id % 5 AS c, value FROM events)
+ SELECT event_id, CASE WHEN rounds >= 6 OR event_type = 'error' THEN 'finalize' WHEN event_type = 'view' AND c = 0 THEN 'finalize' WHEN value > 95 THEN 'finalize' WHEN c = 1 THEN 'finalize' WHEN c = 2 THEN 'continue' WHEN c <> 4 AND value < 20 THEN 'finalize' ELSE 'continue' END AS step FROM s""")
 def n11(spark, d):
-    step = R.next_step(F.col("event_id") % 4, F.lit(2), F.col("value") / 100, F.col("user_id") % 7)
-    return table(spark, d, "events").select("event_id", step.alias("step"))
+    c, quest = F.col("event_id") % 5, ["create_quest_phase_1", "create_quest_phase_2", "create_quest_phase_3", "create_quest_hook"]
+    arr = lambda xs: F.array(*map(F.lit, xs))
+    created = F.when(c == 0, arr(["answer_lore_question"])).when(c == 1, arr([*quest, "combine_quest_phases", "create_quest_reward"])).when(c == 2, arr(quest)).when(c == 3, arr(["note"])).otherwise(F.array().cast("array<string>"))
+    state = {
+        "rounds": F.col("user_id") % 7, "most_rounds": F.lit(6), "last_action": F.when(F.col("event_type") == "error", "finalize"), "intent": F.when(F.col("event_type") == "view", "informational").otherwise("generative"),
+        "failures": F.when(F.col("value") > 95, 4).otherwise(0), "request": F.lit("A Quest"), "created": created, "planned": F.lit(2), "done": F.when(F.col("value") < 20, 2).otherwise(1),
+    }
+    return table(spark, d, "events").select("event_id", R.next_step(state).alias("step"))
 
 
 @query("o04_boolean_sort", "SELECT event_id FROM events ORDER BY (event_type = 'error') DESC, value, event_id LIMIT 50")
