@@ -188,15 +188,14 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = cut(ends.join(sets.select("fp", "key"), "fp").select("key", "fp", "a", "block"))
     wanted = spark.sparkContext.broadcast(np.packbits(_bitmap(ends, "key")))
 
-    def some(keys: pd.Series) -> pd.Series:
-        at = keys.to_numpy(np.int64) % (1 << NEEDED_BITS)
-        return pd.Series((wanted.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-
-    def squeeze(texts: pd.Series) -> pd.Series:
+    def squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        tool = zstandard.ZstdCompressor(level=3)
-        return texts.map(lambda t: tool.compress(t.encode("utf-8", "surrogatepass")))
+        tool, bits = zstandard.ZstdCompressor(level=3), wanted.value
+        for pdf in frames:
+            at = pdf["key"].to_numpy(np.int64) % (1 << NEEDED_BITS)
+            part = pdf[(bits[at >> 3] >> (7 - (at & 7))) & 1 == 1]
+            yield pd.DataFrame({"key": part["key"], "z": [tool.compress(t.encode("utf-8", "surrogatepass")) for t in part["text"]]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -220,8 +219,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         good.append((a, fp))
                 yield pd.DataFrame({"a": np.array([g[0] for g in good], np.int64), "b": np.array([g[1] for g in good], np.int64)})
 
-    texts = docs.select("key", "text").filter(F.pandas_udf(some, "boolean")("key") & F.col("text").isNotNull())
-    texts = texts.select("key", F.pandas_udf(squeeze, "binary")("text").alias("z"))
+    texts = docs.select("key", "text").filter("text is not null").mapInPandas(squeeze, "key long, z binary")
     rows = texts.join(ends, "key").select("a", "block", "fp", "z").repartition("a", "block").sortWithinPartitions("a", "block", F.col("fp") != F.col("a"))
     return rows.mapInPandas(compare, "a long, b long")
 
