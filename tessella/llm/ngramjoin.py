@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._components import components
-from tessella.llm._shared import cut, table, text_batches
+from tessella.llm._shared import cut, small_batches, table, text_batches
 from tessella.llm._words import by_text, mix, word_hashes
 
 WORDS, SKETCH_BITS, SALTS, BATCH, NEEDED_BITS = 5, 22, 64, 1 << 19, 24
@@ -97,7 +97,8 @@ def _summed(docs: DataFrame) -> np.ndarray:
 def frequent_buckets(docs: DataFrame) -> np.ndarray:
     """Flags of the sketch buckets that hold a frequent shingle."""
     n = _summed(docs)
-    return n >= 3 * n.mean() + 24
+    mean = n.mean()
+    return n >= mean + 4 * np.sqrt(mean) + 8
 
 
 def prefix_length(n: int) -> int:
@@ -249,6 +250,11 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
+    with small_batches(docs.sparkSession):  # all Python work is done inside
+        return _link_groups(docs)
+
+
+def _link_groups(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs))
     sig = cut(signatures(docs, frequent))
     sets = cut(sig.filter("prefix is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("rest").alias("rest"), F.min("last").alias("last"), F.min("key").alias("key")))
@@ -290,7 +296,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_rows = rows.select("token", F.col("fp").alias("a")).join(opened.withColumnRenamed("fp", "a"), "a")
     pairs = open_rows.join(inside, ["token", "grp"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     more = verified(docs, bounded(with_sizes(pairs)), sets)
-    links = links.union(more)
+    links = links.union(cut(more))
 
     reach = components(links).withColumnsRenamed({"id": "fp", "component": "top"})
     named = sig.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")).join(reach, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
