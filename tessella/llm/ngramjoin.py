@@ -5,8 +5,8 @@ global order, two linked sets share one of their first |x|/4 + 1 shingles, so
 only these prefixes are shuffled. The order puts frequent shingles last; a
 sketch of fixed size that has counted all documents says which they are.
 
-1. Sets that share a prefix shingle with a leader (the least set of that
-   shingle) and verify against it form groups of similar documents.
+1. Sets that share prefix shingles with a leader and verify against it form
+   groups of similar documents.
 2. The token-group matrix holds the union of prefix shingles of each group.
    Every document is a query against the groups that it does not belong to;
    the number of its prefix shingles in a group's union bounds its overlap
@@ -226,16 +226,24 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sharing(sig: DataFrame) -> DataFrame:
-    """(token, fp, lead): the prefix shingles that several sets share and the
-    least set of each. A frequent shingle is dealt over SALTS parts, whose
-    leads follow a lead of their own."""
+    """(token, fp): the prefix shingles that several sets share. A frequent
+    shingle is dealt over SALTS parts and taken as shared."""
     rows = sig.filter("prefix is not null").select("fp", F.explode("prefix").alias("token"))
     salt = F.when(F.col("token") >= FREQUENT, F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0)
     order = Window.partitionBy("token", "salt").orderBy("fp")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("salt", salt).withColumns({"lead": F.first("fp").over(whole), "end": F.last("fp").over(whole), "before": F.lag("fp").over(order)})
+    rows = rows.withColumn("salt", salt).withColumns({"first": F.first("fp").over(whole), "end": F.last("fp").over(whole), "before": F.lag("fp").over(order)})
     once = F.col("before").isNull() | (F.col("before") != F.col("fp"))  # tasks repeat copies
-    return cut(rows.filter(once & ((F.col("lead") < F.col("end")) | (F.col("token") >= FREQUENT))).select("token", "fp", "lead"))
+    return cut(rows.filter(once & ((F.col("first") < F.col("end")) | (F.col("token") >= FREQUENT))).select("token", "fp"))
+
+
+def followers(shared: DataFrame) -> DataFrame:
+    """(a, b, common): every set b with the leaders a of its shingles. The
+    leader of a shingle is the set with the most shared prefix shingles: an
+    unchanged original rather than one of its edited copies."""
+    weight = shared.groupBy("fp").agg(F.count(F.lit(1)).alias("w"))
+    leads = shared.join(weight, "fp").groupBy("token").agg(F.max(F.struct("w", "fp")).alias("m")).select("token", F.col("m.fp").alias("a"))
+    return shared.join(leads, "token").filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("common"))
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,11 +274,7 @@ def _link_groups(docs: DataFrame) -> DataFrame:
         return pairs
 
     # Groups of similar documents: each set with the leader it shares most with.
-    follow = shared.filter("fp <> lead").groupBy(F.col("lead").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    heads = shared.filter(F.col("token") >= FREQUENT).select("token", "lead").distinct()
-    top = heads.groupBy("token").agg(F.min("lead").alias("a"))
-    over = heads.join(top, "token").filter("lead <> a").groupBy("a", F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("common"))
-    star = bounded(with_sizes(follow.union(over).groupBy("a", "b").agg(F.sum("common").alias("common"))))
+    star = bounded(with_sizes(followers(shared)))
     best = star.groupBy("b").agg(F.max(F.struct("common", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = cut(verified(docs, best, sets))
 
