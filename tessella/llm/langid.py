@@ -125,7 +125,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     sample = rows.filter(chance < limit).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"))
     got = sample.mapInPandas(run, "lang string, h long, at array<int>, x array<float>").toPandas().sort_values("h", kind="stable")
-    data = [(np.asarray(a, np.int64), np.asarray(x, float), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
+    data = [(np.asarray(a, np.int32), np.asarray(x, np.float32), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
+    del got
     held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     model = FtrlSoftmax(len(langs))
     for _ in range(EPOCHS):

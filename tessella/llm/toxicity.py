@@ -79,12 +79,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def evidence(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The buckets that occur in enough documents and whose share of toxic
     ones is further from the mean than chance explains (z of MIN_EVIDENCE)."""
-    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    n = np.bincount(every, minlength=1 << BITS)
-    toxic = np.bincount(every, np.repeat(y, [len(r) for r in rows]), 1 << BITS)
-    p = y.mean() if len(y) else 0.0
-    z = (toxic - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-    return np.flatnonzero((n >= MIN_DOCUMENTS) & (np.abs(z) >= MIN_EVIDENCE))
+    n, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for row, mark in zip(rows, y, strict=True):
+        n[row] += 1  # a row holds a bucket once
+        if mark:
+            toxic[row] += 1
+    p = float(y.mean()) if len(y) else 0.0
+    at = np.flatnonzero(n >= MIN_DOCUMENTS)
+    z = (toxic[at] - n[at] * p) / np.sqrt(np.maximum(n[at] * p * (1 - p), 1e-9))
+    return at[np.abs(z) >= MIN_EVIDENCE]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -110,12 +113,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 yield pd.DataFrame({"h": own["h"].to_numpy(), "toxic": own["toxic"].to_numpy(), "at": found})
 
     got = part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(run, "h long, toxic int, at array<int>").toPandas().sort_values("h", kind="stable")
-    rows, y = [np.asarray(a, np.int64) for a in got["at"]], got["toxic"].to_numpy(float)
+    rows, y = [np.asarray(a, np.int32) for a in got["at"]], got["toxic"].to_numpy(float)
+    del got
     chosen = evidence(rows, y)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     kept = [p[p >= 0] for p in (place[r] for r in rows)]
-    model = FactorizationMachine(len(chosen)).fit(kept, y) if len(rows) else FactorizationMachine(0)
+    del rows
+    model = FactorizationMachine(len(chosen)).fit(kept, y) if len(kept) else FactorizationMachine(0)
     return {"chosen": chosen, "bias": model.bias, "w": model.w, "v": model.v}
 
 
