@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import table, text_batches
 from tessella.llm.bpe import byte_letters, tokenizer
 
-LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 400_000
+LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 100_000
 
 # Within these characters, lower-casing, letters, digits and white space mean
 # the same to Python and to the tokenizer, and NFC changes nothing.
@@ -104,7 +104,7 @@ def document_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_col
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = _document_ids(path)
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 22):
+            for part in text_batches(pdf, "text", 1 << 20):
                 out = []
                 for doc, uid, ids in zip(part["doc_id"], part["uid"], ids_of([t or "" for t in part["text"]]), strict=True):
                     ids += b"\0\0\0\0"
