@@ -11,6 +11,9 @@ sketch of fixed size that has counted all documents says which they are.
    Every document is a query against the groups that it does not belong to;
    the number of its prefix shingles in a group's union bounds its overlap
    with any member, and only groups that reach the needed overlap are opened.
+   A prefix with frequent shingles holds all others of its set, so two sets
+   that share only frequent ones have no more in common than the lesser
+   number of them.
 3. Members of opened groups are bounded one by one and verified on whole sets.
 
 Documents that are already in one group need no further comparison for the
@@ -113,9 +116,9 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, key, n, fp, rest, last, prefix): the size and fingerprint of each
-    document's set, and once in a task for each fingerprint its prefix, the
-    shingles after it and its last one."""
+    """(doc_id, key, n, fp, rest, last, late, prefix): the size and fingerprint of
+    each document's set, and once in a task for each fingerprint its prefix, the
+    shingles after it, its last one and the frequent shingles of the whole set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, seen = frequent.value, set()
@@ -124,20 +127,21 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                 out = []
                 for key, s in zip(part["key"], shingle_sets(part["text"].tolist()), strict=True):
                     if not len(s):
-                        out.append((key, 0, None, None, None, None))
+                        out.append((key, 0, None, None, None, None, None))
                         continue
                     fp = fingerprint(s)
                     if fp in seen:
-                        out.append((key, len(s), fp, None, None, None))
+                        out.append((key, len(s), fp, None, None, None, None))
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(fp)
-                    prefix = ordered(s, flags)[: prefix_length(len(s))]
-                    out.append((key, len(s), fp, len(s) - len(prefix), int(prefix[-1]), prefix))
-                cols = dict(zip(("key", "n", "fp", "rest", "last", "prefix"), zip(*out, strict=True), strict=True))
+                    whole = ordered(s, flags)
+                    prefix = whole[: prefix_length(len(s))]
+                    out.append((key, len(s), fp, len(s) - len(prefix), int(prefix[-1]), int((whole >= FREQUENT).sum()), prefix))
+                cols = dict(zip(("key", "n", "fp", "rest", "last", "late", "prefix"), zip(*out, strict=True), strict=True))
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, **{c: v if c == "prefix" else pd.array(v, dtype="Int64") for c, v in cols.items()}})
 
-    return docs.mapInPandas(run, "doc_id long, key long, n long, fp long, rest long, last long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, key long, n long, fp long, rest long, last long, late long, prefix array<long>")
 
 
 def needed(n1, n2):
@@ -246,6 +250,30 @@ def followers(shared: DataFrame) -> DataFrame:
     return shared.join(leads, "token").filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("common"))
 
 
+def met_groups(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """The shared shingles of every query and the groups that it does not
+    belong to. A frequent one is left out where even all the frequent shingles
+    of both sides are too few; a pair that links nevertheless shares others."""
+    facts = member.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("rest").alias("most_rest"), F.max("known_rest").alias("most_known_rest"),
+    )
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("late").alias("most_late")).join(facts, "grp")
+    own = member.join(facts.select("grp", F.col("members").alias("own")), "grp").select("fp", "rest", "known_rest", "own", F.col("grp").alias("own_grp"))
+    asks = rows.select("token", "fp", "n", "late").join(own, "fp")
+    other = F.expr("grp <> own_grp and (own, own_grp) < (members, grp) and 3 * n <= 4 * most_n and 3 * least_n <= 4 * n")
+    enough = F.least("late", "most_late") >= needed(F.col("n"), F.greatest("least_n", F.ceil(F.col("n") * 0.75)))
+    return asks.join(matrix, "token").filter(other & ((F.col("token") < FREQUENT) | enough))
+
+
+def opened_groups(met: DataFrame) -> DataFrame:
+    """(fp, grp): the groups that may hold a partner of the query."""
+    bound = needed(F.col("n"), F.greatest("least", F.ceil(F.col("n") * 0.75)))
+    keys = ["fp", "grp", "n", "rest", "known_rest", "least", "most_rest", "most_known_rest"]
+    counts = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("common"), F.count_if(F.col("token") < FREQUENT).alias("rare"))
+    by_rare = (F.col("rare") > 0) & (F.col("rare") + F.greatest("known_rest", "most_known_rest") >= bound)
+    return counts.filter(by_rare | (F.col("common") + F.greatest("rest", "most_rest") >= bound)).select("fp", "grp")
+
+
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -265,7 +293,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _link_groups(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs))
     sig = cut(signatures(docs, frequent))
-    sets = cut(sig.filter("prefix is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("rest").alias("rest"), F.min("last").alias("last"), F.min("key").alias("key")))
+    sets = cut(sig.filter("prefix is not null").groupBy("fp").agg(F.min("n").alias("n"), F.min("rest").alias("rest"), F.min("last").alias("last"), F.min("late").alias("late"), F.min("key").alias("key")))
     shared = sharing(sig)
 
     def with_sizes(pairs: DataFrame) -> DataFrame:
@@ -280,22 +308,12 @@ def _link_groups(docs: DataFrame) -> DataFrame:
 
     # The token-group matrix, and every document against the other groups.
     group = components(links).withColumnsRenamed({"id": "fp", "component": "grp"})
-    member = cut(sets.join(group, "fp", "left").select("fp", "n", "rest", F.coalesce("grp", "fp").alias("grp")))
-    placed = cut(shared.select("token", "fp").join(member.select("fp", "grp"), "fp"))
+    known_rest = F.when(F.col("last") < FREQUENT, F.col("rest")).otherwise(F.col("late"))  # beyond the prefix, or the frequent ones
+    member = cut(sets.join(group, "fp", "left").select("fp", "n", "rest", "late", known_rest.alias("known_rest"), F.coalesce("grp", "fp").alias("grp")))
+    placed = cut(shared.join(member.select("fp", "n", "late", "grp"), "fp"))
     several = placed.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).filter("g1 < g2").select("token")
     rows = cut(placed.join(several, "token"))
-    facts = member.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest"),
-    )
-    matrix = rows.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("here")).select("token", "grp").join(facts, "grp")
-    own = member.join(facts.select("grp", F.col("members").alias("own")), "grp").select("fp", "n", "rest", "own", F.col("grp").alias("own_grp"))
-    asks = rows.select("token", "fp").join(own, "fp")
-    met = asks.join(matrix, "token").filter("grp <> own_grp and (own, own_grp) < (members, grp) and 3 * n <= 4 * most and 3 * least <= 4 * n")
-    opened = (
-        met.groupBy("fp", "grp", "n", "rest", "least", "most_rest").agg(F.count(F.lit(1)).alias("common"))
-        .filter(F.col("common") + F.greatest("rest", "most_rest") >= needed(F.col("n"), F.greatest("least", F.ceil(F.col("n") * 0.75))))
-        .select("fp", "grp")
-    )
+    opened = opened_groups(met_groups(rows, member))
     inside = rows.select("token", F.col("fp").alias("b"), "grp")
     open_rows = rows.select("token", F.col("fp").alias("a")).join(opened.withColumnRenamed("fp", "a"), "a")
     pairs = open_rows.join(inside, ["token", "grp"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
