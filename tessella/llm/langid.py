@@ -46,7 +46,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(BUCKETS + 1, np.int64)
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 21):
+            for part in text_batches(pdf, "text", 1 << 19):
                 for grams in gram_buckets([t or "" for t in part["text"]]):
                     seen[:BUCKETS] += np.bincount(grams, minlength=BUCKETS) > 0
                     seen[BUCKETS] += 1
@@ -115,7 +115,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 21):
+            for part in text_batches(pdf, "text", 1 << 19):
                 out = []
                 for lang, h, grams in zip(part["lang"], part["h"], gram_buckets(part["text"].tolist()), strict=True):
                     tf = term_frequencies(grams)
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         langs, w, t = (shared.value[k] for k in ("langs", "weights", "temperature"))
         for series in parts:
             out = []
-            for part in text_batches(series.to_frame("text"), "text", 1 << 21):
+            for part in text_batches(series.to_frame("text"), "text", 1 << 19):
                 texts = [x or "" for x in part["text"]]
                 lettered = [any(map(str.isalpha, x)) for x in texts]
                 for ok, grams in zip(lettered, gram_buckets(texts), strict=True):

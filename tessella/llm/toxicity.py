@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for own in text_batches(pdf, "text", 1 << 21):
+            for own in text_batches(pdf, "text", 1 << 19):
                 row, bucket = terms(own["text"].tolist())
                 both = np.unique(row << BITS | bucket)
                 edges = np.searchsorted(both >> BITS, np.arange(len(own) + 1))
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         place[held["chosen"]] = np.arange(len(held["chosen"]))
         for series in parts:
             out = [np.zeros(0)]
-            for part in text_batches(series.to_frame("text"), "text", 1 << 21):
+            for part in text_batches(series.to_frame("text"), "text", 1 << 19):
                 row, bucket = terms(part["text"].tolist())
                 feature = place[bucket]
                 row, feature = row[feature >= 0], feature[feature >= 0]
