@@ -121,9 +121,10 @@ def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_B
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces of ``size`` ids fill a sequence; every other piece goes into the
-    open bin with the least room that still holds it. Documents are dealt at
-    random into shards of about ``shard_rows``; a shard packs its pieces
-    longest first with its own bins, so only its last bins stay part empty.
+    open bin with the least room that still holds it. Pieces are dealt by hash
+    into shards for about ``shard_rows`` documents each; a shard packs its
+    pieces with its own bins online, in the order of their hashes, so long and
+    short pieces meet while bins are open however the table is ordered.
     A null or empty text is the single id 0. Repeated rows are packed each;
     other columns are ignored; an empty table gives no rows.
     """
@@ -131,15 +132,15 @@ def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_B
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bins = BestFit(size, open_bins)
-        pdf = pdf.sort_values(["length", "uid", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["hash", "uid", "piece"], kind="stable")
         placed = [bins.add(n) for n in pdf["length"].tolist()]
         first = int(key[0]) << 40
         return pdf.assign(sequence_id=[first + b for b, _ in placed], offset=[o for _, o in placed])[names]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    pieces = document_pieces(docs, path, size, id_col, text_col)
-    shard = F.pmod(F.xxhash64("uid", "piece"), F.lit(shards)).cast("int")
+    pieces = document_pieces(docs, path, size, id_col, text_col).withColumn("hash", F.xxhash64("uid", "piece"))
+    shard = F.pmod("hash", F.lit(shards)).cast("int")
     return pieces.groupBy(shard.alias("shard")).applyInPandas(run, schema)
 
 

@@ -309,6 +309,16 @@ def test_packing_edge_cases(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_many_long_pieces(spark):
+    """More pieces over half a sequence than there are open bins, sorted longest first."""
+    sizes = sorted([33 + i % 30 for i in range(3000)] + [1 + i % 30 for i in range(3000)], reverse=True)
+    df = spark.createDataFrame([(i, "the " * (n - 1)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), size=64).collect()
+    used, least = check_packing(rows, [(r["doc_id"], r["text"]) for r in df.collect()], 64)
+    assert sum(r["length"] > 32 for r in rows) > 2 * packing.OPEN_BINS
+    assert used <= least * 1.05 + 1
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.add(n) for n in (7, 6, 4, 3)] == [(0, 0), (1, 0), (1, 6), (0, 7)]
