@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import checkpointed
+
 STATES = ["pending", "leased", "retry_wait", "quarantined", "synced"]
 
 
@@ -132,6 +134,21 @@ def proposal_policy(proposals: DataFrame, nodes: DataFrame, aliases: dict[str, s
 
 
 def temporal_order(docs: DataFrame, order: Column, keys: list[str]) -> DataFrame:
-    """Documents in time with their neighbours; undated ones last."""
-    w = Window.orderBy(order.asc_nulls_last(), *keys)
-    return docs.withColumn("previous", F.lag(keys[0]).over(w)).withColumn("following", F.lead(keys[0]).over(w))
+    """Documents in time with their neighbours; undated ones last. The rows
+    are dealt by ranges of the order and each range finds its neighbours by
+    itself; its first and last row take theirs from the ranges beside it. Only
+    the two ends of each range come together, so their number is that of the
+    shuffle partitions."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.withColumn("_order", order).repartitionByRange(ranges, F.col("_order").asc_nulls_last(), *keys)
+    dealt = checkpointed(dealt.withColumn("_range", F.spark_partition_id()))
+    at = F.struct(F.col("_order").isNull(), "_order", *keys)
+    ends = sorted(dealt.groupBy("_range").agg(F.min(at)[keys[0]].alias("first"), F.max(at)[keys[0]].alias("last")).collect())
+    beside = [(e["_range"], b["last"] if b else None, a["first"] if a else None) for b, e, a in zip([None, *ends], ends, [*ends[1:], None])]
+    kind = docs.schema[keys[0]].dataType.simpleString()
+    near = docs.sparkSession.createDataFrame(beside, f"_range int, _before {kind}, _after {kind}")
+    w = Window.partitionBy("_range").orderBy(F.col("_order").asc_nulls_last(), *keys)
+    own = dealt.select("*", F.lag(keys[0]).over(w).alias("previous"), F.lead(keys[0]).over(w).alias("following"), F.lag(F.lit(1)).over(w).alias("_left"), F.lead(F.lit(1)).over(w).alias("_right"))
+    beyond = lambda side, inner, outer: F.when(F.col(side).isNull(), F.col(outer)).otherwise(F.col(inner))
+    out = own.join(F.broadcast(near), "_range").withColumn("previous", beyond("_left", "previous", "_before")).withColumn("following", beyond("_right", "following", "_after"))
+    return out.select(*docs.columns, "previous", "following")

@@ -196,14 +196,22 @@ def q09(spark, d):
     return Q.field_differences(left, right, "id", ["segment", "nation"])
 
 
-@query("q10_vector_coverage", """SELECT count(v.id) AS stored, count(*) FILTER (WHERE s.fp = v.fp) AS current, count(*) FILTER (WHERE s.fp <> v.fp) AS stale, count(*) FILTER (WHERE v.id IS NULL) AS missing, count(*) FILTER (WHERE s.id IS NULL) AS orphaned FROM
- (SELECT doc_id AS id, sha256(text) AS fp FROM documents WHERE doc_id % 9 <> 0) s FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS fp FROM documents WHERE doc_id < 500) v ON s.id = v.id""")
-def q10(spark, d):
+_COVERAGE = """SELECT count(v.id) AS stored, count(*) FILTER (WHERE s.fp = v.fp) AS current, count(*) FILTER (WHERE s.fp <> v.fp) AS stale, count(*) FILTER (WHERE v.id IS NULL) AS missing, count(*) FILTER (WHERE s.id IS NULL) AS orphaned FROM
+ (SELECT doc_id AS id, sha256(text) AS fp FROM documents WHERE doc_id % 9 <> 0) s FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS fp FROM documents WHERE doc_id < 500) v ON s.id = v.id"""
+
+
+@query("q10_vector_coverage", _COVERAGE)
+def q10(spark, d, keep="id < 500"):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"))
-    stored = docs.filter("id < 500").withColumn("fingerprint", F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("fingerprint")))
+    stored = docs.filter(keep).withColumn("fingerprint", F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("fingerprint")))
     return Q.coverage(stored, docs.filter("id % 9 <> 0"))
 
 
+@query("q10_vector_coverage_all", _COVERAGE.replace(" WHERE doc_id < 500", ""))
+def q10_all(spark, d):
+    return q10(spark, d, "true")
+
+
 @query("q11_snapshot_identity", "SELECT count(*) AS rows, " + ", ".join(f"sum(('0x' || substr(sha256(doc_id || ':' || sha256(text)), {1 + 8 * i}, 8))::BIGINT) AS h{i}" for i in range(4)) + " FROM documents")
 def q11(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
@@ -218,12 +226,20 @@ def q13(spark, d):
     )
 
 
-@query("q14_temporal_order", "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM (SELECT * FROM orders WHERE o_custkey < 20) WINDOW w AS (ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey)")
-def q14(spark, d):
-    rows = table(spark, d, "orders").filter("o_custkey < 20")
+_ORDER = "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM (SELECT * FROM orders WHERE o_custkey < 20) WINDOW w AS (ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey)"
+
+
+@query("q14_temporal_order", _ORDER)
+def q14(spark, d, keep="o_custkey < 20"):
+    rows = table(spark, d, "orders").filter(keep)
     return Q.temporal_order(rows, F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")), ["o_orderkey"]).select("o_orderkey", "previous", "following")
 
 
+@query("q14_temporal_order_all", _ORDER.replace(" WHERE o_custkey < 20", ""))
+def q14_all(spark, d):
+    return q14(spark, d, "true")
+
+
 @query("q15_proposal_policy", """WITH p AS (SELECT event_id AS id, event_id AS pos, 'Customer#' || (user_id % 40) AS source, 'Customer#' || (event_id % 45) AS target, CASE event_id % 4 WHEN 0 THEN 'OpposedTo' WHEN 1 THEN 'opposed-to' WHEN 2 THEN 'OPPOSED_TO' ELSE 'likes' END AS type, CASE WHEN value < 5 THEN '' ELSE 'fact ' || event_type END AS fact FROM events),
  n AS (SELECT 'Customer#' || (c_custkey % 43) AS name, CASE WHEN c_custkey % 43 IN (3, 8) THEN 2 ELSE 1 END AS n FROM (SELECT DISTINCT c_custkey % 43 AS c_custkey FROM customer)),
  j AS (SELECT p.*, coalesce(a.n, 0) AS ns, coalesce(b.n, 0) AS nt, CASE WHEN type = 'likes' THEN NULL ELSE 'OpposedTo' END AS kind FROM p LEFT JOIN n a ON a.name = source LEFT JOIN n b ON b.name = target),
@@ -247,28 +263,47 @@ _CASES = """j AS (SELECT doc_id % 12 AS case_id, doc_id, 1 + quality * 2 AS grad
  s AS (SELECT case_id, h5 / judged AS recall_5, h10 / judged AS recall_10, first_rank, coalesce(1.0 / first_rank, 0) AS rr, coalesce(dcg / ideal, 0) AS ndcg FROM o JOIN i USING (case_id))"""
 
 
-def _cases(spark, d):
-    j = table(spark, d, "labels").filter("doc_id < 300").select((F.col("doc_id") % 12).alias("case_id"), "doc_id", (1 + F.col("quality") * 2).alias("grade"))
-    docs = table(spark, d, "documents").filter("doc_id < 150").select((F.col("doc_id") % 12).alias("case_id"), "doc_id")
+_CASES_ALL = _CASES.replace(" WHERE doc_id < 300", "").replace(" WHERE doc_id < 150", "")
+
+
+def _cases(spark, d, judged="doc_id < 300", ranked="doc_id < 150"):
+    j = table(spark, d, "labels").filter(judged).select((F.col("doc_id") % 12).alias("case_id"), "doc_id", (1 + F.col("quality") * 2).alias("grade"))
+    docs = table(spark, d, "documents").filter(ranked).select((F.col("doc_id") % 12).alias("case_id"), "doc_id")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy((F.col("doc_id") * 7919) % 1009, "doc_id"))
     return j, docs.withColumn("rank", rank)
 
 
-@query("m03_case_scores", f"WITH {_CASES} SELECT case_id, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, first_rank, round(rr, 9) AS rr, round(ndcg, 9) AS ndcg FROM s")
-def m03(spark, d):
-    out = M.case_scores(*_cases(spark, d))
+_SCORES = "SELECT case_id, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, first_rank, round(rr, 9) AS rr, round(ndcg, 9) AS ndcg FROM s"
+
+
+@query("m03_case_scores", f"WITH {_CASES} {_SCORES}")
+def m03(spark, d, *keep):
+    out = M.case_scores(*_cases(spark, d, *keep))
     return out.select("case_id", "first_rank", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "rr", "ndcg")))
 
 
-@query("m04_macro", f"WITH {_CASES} SELECT 15 AS cases, round(sum(recall_5) / 15, 9) AS recall_5, round(sum(recall_10) / 15, 9) AS recall_10, round(sum(rr) / 15, 9) AS rr, round(sum(ndcg) / 15, 9) AS ndcg FROM s")
-def m04(spark, d):
+@query("m03_case_scores_all", f"WITH {_CASES_ALL} {_SCORES}")
+def m03_all(spark, d):
+    return m03(spark, d, "true", "true")
+
+
+_MACRO = "SELECT 15 AS cases, round(sum(recall_5) / 15, 9) AS recall_5, round(sum(recall_10) / 15, 9) AS recall_10, round(sum(rr) / 15, 9) AS rr, round(sum(ndcg) / 15, 9) AS ndcg FROM s"
+
+
+@query("m04_macro", f"WITH {_CASES} {_MACRO}")
+def m04(spark, d, *keep):
     cases = spark.range(15).withColumnRenamed("id", "case_id")
-    out = M.macro(cases, M.case_scores(*_cases(spark, d)))
+    out = M.macro(cases, M.case_scores(*_cases(spark, d, *keep)))
     return out.select("cases", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "rr", "ndcg")))
 
 
+@query("m04_macro_all", f"WITH {_CASES_ALL} {_MACRO}")
+def m04_all(spark, d):
+    return m04(spark, d, "true", "true")
+
+
 @query("m06_extraction_recall", """WITH e AS (SELECT DISTINCT n_regionkey AS case_id, n_name AS name FROM nation), f AS (SELECT n_regionkey AS case_id, lower(n_name) || '!' AS name FROM nation WHERE n_nationkey % 3 <> 0)
  SELECT case_id, count(*) AS expected, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE hit) / count(*) AS recall FROM (SELECT e.*, EXISTS (SELECT 1 FROM f WHERE f.case_id = e.case_id AND (contains(regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g'), regexp_replace(f.name, '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(f.name, '[^a-z0-9]', '', 'g'), regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g')))) AS hit FROM e) GROUP BY case_id""")
 def m06(spark, d):

@@ -371,15 +371,24 @@ def u02(spark, d):
     return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
-@query("u03_jaccard", """SELECT a.u1, a.u2, round(a.both * 1.0 / (x.n + y.n - a.both), 6) AS jaccard, round(a.both * 1.0 / least(x.n, y.n), 6) AS overlap FROM
+_JACCARD = """SELECT a.u1, a.u2, round(a.both * 1.0 / (x.n + y.n - a.both), 6) AS jaccard, round(a.both * 1.0 / least(x.n, y.n), 6) AS overlap FROM
  (SELECT p.user_id AS u1, q.user_id AS u2, count(*) AS both FROM (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events WHERE user_id < 20) p
   JOIN (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events WHERE user_id < 20) q ON p.b = q.b AND p.user_id < q.user_id GROUP BY 1, 2) a
  JOIN (SELECT user_id, count(DISTINCT floor(value / 2)) AS n FROM events GROUP BY 1) x ON x.user_id = u1
- JOIN (SELECT user_id, count(DISTINCT floor(value / 2)) AS n FROM events GROUP BY 1) y ON y.user_id = u2""")
-def u03(spark, d):
-    sets = table(spark, d, "events").filter("user_id < 20").groupBy("user_id").agg(F.collect_set(F.floor(F.col("value") / 2)).alias("s"))
-    a, b = sets.select(F.col("user_id").alias("u1"), F.col("s").alias("s1")), sets.select(F.col("user_id").alias("u2"), F.col("s").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2"))
-    return a.join(b, F.col("u1") < F.col("u2")).filter(both > 0).select(
-        "u1", "u2", F.round(both / F.size(F.array_union("s1", "s2")), 6).alias("jaccard"), F.round(both / F.least(F.size("s1"), F.size("s2")), 6).alias("overlap")
-    )
+ JOIN (SELECT user_id, count(DISTINCT floor(value / 2)) AS n FROM events GROUP BY 1) y ON y.user_id = u2"""
+
+
+@query("u03_jaccard", _JACCARD)
+def u03(spark, d, keep="user_id < 20"):
+    members = table(spark, d, "events").filter(keep).select("user_id", F.floor(F.col("value") / 2).alias("b")).distinct()
+    sizes = members.groupBy("user_id").agg(F.count("b").alias("n"))
+    a, b = members.select(F.col("user_id").alias("u1"), "b"), members.select(F.col("user_id").alias("u2"), "b")
+    both = a.join(b, "b").filter("u1 < u2").groupBy("u1", "u2").agg(F.count(ONE(1)).alias("both"))
+    for u, n in (("u1", "n1"), ("u2", "n2")):
+        both = both.join(sizes.select(F.col("user_id").alias(u), F.col("n").alias(n)), u)
+    return both.select("u1", "u2", F.round(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), 6).alias("jaccard"), F.round(F.col("both") / F.least("n1", "n2"), 6).alias("overlap"))
+
+
+@query("u03_jaccard_all", _JACCARD.replace(" WHERE user_id < 20", ""))
+def u03_all(spark, d):
+    return u03(spark, d, "true")

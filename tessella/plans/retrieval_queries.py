@@ -121,6 +121,14 @@ def r15(spark, d):
     return T.context_block([(1, one), (2, two)]).select("tier", "pos")
 
 
+@query("r15_context_block_all", """SELECT tier, pos FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY tier, pos) AS n FROM
+ (SELECT 1 AS tier, turn AS pos, text FROM conversations UNION ALL SELECT 2, doc_id, text FROM documents)) WHERE n = 1 ORDER BY tier, pos, text LIMIT 40""")
+def r15_all(spark, d):
+    one = table(spark, d, "conversations").select(F.col("turn").alias("pos"), "text")
+    two = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
+    return T.context_block([(1, one), (2, two)]).select("tier", "pos")
+
+
 @query("r17_relation_relevance", with_("edges", "nodes") + """SELECT e.id, len(list_intersect(list_distinct(regexp_extract_all(lower(type || ' ' || n.name), '[a-z0-9]+')), ['located', 'nation', 'china', 'in'])) AS overlap
  FROM edges e JOIN nodes n ON n.id = e.dst WHERE overlap > 0 ORDER BY overlap DESC, e.id LIMIT 20""")
 def r17(spark, d):

@@ -48,10 +48,18 @@ def f10(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains('"')).select("doc_id", F.array_join(F.sort_array(F.array_distinct(X.quoted_phrases("text"))), "|").alias("quoted"))
 
 
-@query("f11_years", r"SELECT event_id, regexp_extract_all(event_id || 'DR and ' || user_id || ' Age', '(\d{3,4})\s*(?:DR|CR|Age)', 1)::INT[]::VARCHAR AS years FROM events WHERE event_id < 2000")
-def f11(spark, d):
+_YEARS = r"SELECT event_id, regexp_extract_all(event_id || 'DR and ' || user_id || ' Age', '(\d{3,4})\s*(?:DR|CR|Age)', 1)::INT[]::VARCHAR AS years FROM events WHERE event_id < 2000"
+
+
+@query("f11_years", _YEARS)
+def f11(spark, d, keep="event_id < 2000"):
     t = F.concat(F.col("event_id").cast("string"), F.lit("DR and "), F.col("user_id").cast("string"), F.lit(" Age"))
-    return table(spark, d, "events").filter("event_id < 2000").select("event_id", F.concat(F.lit("["), F.array_join(X.years(t).cast("array<string>"), ", "), F.lit("]")).alias("years"))
+    return table(spark, d, "events").filter(keep).select("event_id", F.concat(F.lit("["), F.array_join(X.years(t).cast("array<string>"), ", "), F.lit("]")).alias("years"))
+
+
+@query("f11_years_all", _YEARS.replace(" WHERE event_id < 2000", ""))
+def f11_all(spark, d):
+    return f11(spark, d, "true")
 
 
 @query("f15_counts", r"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) AS words, contains(text, '# ') AS headers FROM documents")

@@ -191,3 +191,14 @@ def test_foreach_batch_merge(spark, tmp_path):
     jobs.merge_batches(s, str(tmp_path / "out"), "id", "version", str(tmp_path / "cp"))
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
     assert {(r["id"], r["value"]) for r in spark.read.parquet(str(last)).collect()} == {(1, "b"), (10, "a"), (11, "b")}
+
+
+def test_temporal_order_over_several_ranges(spark):
+    rows = [(i, None if i % 5 == 0 else (i * 37) % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, day int").repartition(3)
+    out = reconcile.temporal_order(df, F.col("day"), ["id"])
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    ids = [i for i, day in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
+    assert {(r["id"], r["previous"], r["following"]) for r in out.collect()} == set(zip(ids, [None, *ids], [*ids[1:], None]))
+    assert out.columns == ["id", "day", "previous", "following"]
+    assert reconcile.temporal_order(df.limit(0), F.col("day"), ["id"]).count() == 0

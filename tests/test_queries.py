@@ -22,3 +22,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, source, key", [("f11_years_all", "events", "event_id"), ("q14_temporal_order_all", "orders", "o_orderkey")])
+def test_query_reads_the_whole_table(spark, sf_dir, name, source, key):
+    want = {r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect()}
+    assert {r[key] for r in QUERIES[name](spark, sf_dir).collect()} == want
