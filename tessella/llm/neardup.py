@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessella.llm._components import components
 from tessella.llm._shared import cut, join_skewed, table
 
-COSINE, SAMPLE, MOST_CELLS, MARGIN, BLOCK = 0.93, 20_000, 1024, 0.15, 2048
+COSINE, SAMPLE, CELL, MOST_CELLS, BLOCK = 0.93, 20_000, 2000, 1024, 2048
+REACH = float(np.sqrt(1 - COSINE**2))
 
 
 def unit(v) -> np.ndarray | None:
@@ -58,33 +59,45 @@ def units(vectors: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "vec_id long, label long, width int, key binary, x array<double>")
 
 
-def fit_cells(distinct: DataFrame, total: int, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Centroids for each vector width, one for about 500 vectors and
-    MOST_CELLS at most, fitted on about ``sample`` vectors drawn by hash."""
+def fit_cells(distinct: DataFrame, total: int, sample: int = SAMPLE) -> dict[tuple[int, int], np.ndarray]:
+    """Centroids for each label and vector width with at least two cells' worth
+    of vectors: one for about CELL vectors, MOST_CELLS in all at most, fitted on
+    about ``sample`` vectors drawn by hash."""
+    per = max(CELL, -(-total // MOST_CELLS))
+    sizes = distinct.groupBy("label", "width").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * per).collect()
+    cells = {(r["label"], r["width"]): r["n"] // per for r in sizes}
+    if not cells:
+        return {}
     chance = int(1_000_000 * sample / max(1, total)) + 1
-    got = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < chance).select("key", "width", "x").toPandas()
+    got = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < chance).select("key", "label", "width", "x").toPandas()
     got["key"] = got["key"].map(bytes)
     got = got.sort_values("key", kind="stable")
-    return {int(w): spherical_kmeans(np.stack(g["x"].to_numpy()), int(np.clip(total // 500, 1, MOST_CELLS))) for w, g in got.groupby("width")}
+    return {at: spherical_kmeans(np.stack(g["x"].to_numpy()), cells[at]) for at, g in got.groupby(["label", "width"]) if at in cells}
 
 
-def assign(distinct: DataFrame, cells: dict[int, np.ndarray], margin: float = MARGIN) -> DataFrame:
+def assign(distinct: DataFrame, cells: dict[tuple[int, int], np.ndarray]) -> DataFrame:
     """Every vector in its own cell (home), and as a visitor in every cell
-    whose centroid is less than ``margin`` of cosine further away, where a
-    partner across the border would have its home."""
+    where a partner may have its home. With d the home's centroid less the
+    cell's, such a partner y has y.d <= 0 and so is 90 degrees or more from d;
+    a vector within COSINE of y then has x.d <= sin(arccos(COSINE)) |d|."""
     shared = distinct.sparkSession.sparkContext.broadcast(cells)
+    names = ["node", "copies", "label", "width", "x"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for start in range(0, len(pdf), 2048):
-                for width, g in pdf.iloc[start : start + 2048].groupby("width"):
-                    x, c = np.stack(g["x"].to_numpy()), shared.value.get(int(width))
-                    near = np.zeros((len(g), 1)) if c is None else x @ c.T
+            alone = np.array([at not in shared.value for at in zip(pdf["label"], pdf["width"], strict=True)], bool)
+            yield pdf[alone][names].assign(cell=0, home=True)
+            rest = pdf[~alone]
+            for start in range(0, len(rest), 2048):
+                for at, g in rest.iloc[start : start + 2048].groupby(["label", "width"]):
+                    x, c = np.stack(g["x"].to_numpy()), shared.value[at]
+                    near = x @ c.T
                     home = near.argmax(1)
-                    row, cell = np.nonzero(near >= near.max(1, keepdims=True) - margin)
-                    yield pd.DataFrame({**{k: g[k].to_numpy()[row] for k in ("node", "copies", "label", "width", "x")}, "cell": cell, "home": home[row] == cell})
+                    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+                    row, cell = np.nonzero(near.max(1, keepdims=True) - near <= REACH * apart[home] + 1e-9)
+                    yield pd.DataFrame({**{k: g[k].to_numpy()[row] for k in names}, "cell": cell, "home": home[row] == cell})
 
-    return distinct.select("node", "copies", "label", "width", "x").mapInPandas(run, "node long, copies long, label long, width int, x array<double>, cell int, home boolean")
+    return distinct.select(*names).mapInPandas(run, "node long, copies long, label long, width int, x array<double>, cell int, home boolean")
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +132,8 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def links(assigned: DataFrame, total: int) -> DataFrame:
     """Compare the vectors of each label and cell, home against all, in pairs
     of blocks. A cell over the block size is split by hash; as a block holds
-    at least 1/4096 of all vectors, at most 4096 cells are that large."""
+    at least 1/4096 of all vectors, at most 4096 groups with one cell and the
+    MOST_CELLS fitted cells are that large."""
     block = max(BLOCK, total // 4096)
     cell = ["label", "width", "cell"]
     large = (
@@ -143,8 +157,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     non-finite value, links with nothing; so do vectors of unlike width. Equal
     vectors are compared once and counted as often as they occur. vec_id names
     a vector; rows without it link with nothing. Other columns are ignored; an
-    empty table gives no rows. Partners more than MARGIN from each other's
-    cells can be missed; no link is below COSINE.
+    empty table gives no rows. Cells save comparisons and lose no link.
     """
     rows = cut(units(vectors))
     able = rows.filter("key is not null and vec_id is not null")

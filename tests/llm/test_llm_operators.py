@@ -116,6 +116,26 @@ def test_near_duplicates_match_brute_force(spark):
     assert [g for g, w in zip(got, want) if w[1] == 0] == [w for w in want if w[1] == 0]
 
 
+def test_near_duplicates_across_cells(spark, monkeypatch):
+    """Partners just above the cosine, in eleven cells: every link, from both its ends."""
+    monkeypatch.setattr(neardup, "CELL", 500, raising=False)
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(2750, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.932 * a + np.sqrt(1 - 0.932**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(e) for e in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = np.stack([neardup.unit(v) for v in x])
+    linked = (u @ u.T >= neardup.COSINE) & ~np.eye(len(u), dtype=bool)
+    sets = Sets()
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        sets.link(int(i), int(j))
+    want = [(i, int(n), sets.root(i), sets.root(i) == i) for i, n in enumerate(linked.sum(1))]
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     for edges in ([(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(7, i) for i in range(90)], []):
