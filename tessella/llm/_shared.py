@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one that the cluster names in
-    ``spark.checkpoint.dir``. A temporary one is set only where that is unset,
-    as in tests."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves
+    one machine (``local[n]``); a cluster without it is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     return sc.getCheckpointDir()
 
 
@@ -30,17 +35,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Smaller Arrow batches for what runs inside, so that long texts do not
-    fill a Python worker; the session's own setting returns afterwards."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, so that long texts do
+    not fill a Python worker. The setting is only ever lowered and never put
+    back: no result depends on it, and plans that run later need it too."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for a Python worker that gives the memory of its batches back to
+    the system when it is done, as workers live on between stages."""
+
+    @wraps(run)
+    def trimmed(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return trimmed
 
 
 def join_skewed(left: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -60,15 +80,19 @@ def split_of(id_col: str, parts: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def text_batches(pdf, text_col: str, limit: int):
-    """Slices of ``pdf`` whose texts come to about ``limit`` characters; a
-    longer single text is a slice of its own."""
-    sizes = pdf[text_col].str.len().fillna(0).astype("int64").to_numpy()
+def sized_batches(pdf, size_col: str, limit: int):
+    """Slices of ``pdf`` whose sizes come to about ``limit``; a larger single
+    row is a slice of its own."""
     start = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(pdf[size_col].to_numpy()):
         if i > start and total + n > limit:
             yield pdf.iloc[start:i]
             start, total = i, 0
         total += int(n)
     if len(pdf):
         yield pdf.iloc[start:]
+
+
+def text_batches(pdf, text_col: str, limit: int):
+    """Slices of ``pdf`` whose texts come to about ``limit`` characters."""
+    return sized_batches(pdf.assign(_size=pdf[text_col].str.len().fillna(0).astype("int64")), "_size", limit)

@@ -15,6 +15,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+WINDOW = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,16 +39,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes], gap: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(hashes, text of each, prefix hashes) of all words of ``texts``.
+def _long_word(word: np.ndarray, n: int) -> np.uint64:
+    """Running sum of the first ``n`` bytes of a word of any length, in parts."""
+    total, start = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, n, WINDOW):
+        part = word[at : min(n, at + WINDOW)]
+        total += start * (_BYTES[part] * _power(_BASE, len(part))[: len(part)]).sum(dtype=np.uint64)
+        start *= np.array([pow(_BASE, len(part), 1 << 64)], np.uint64)
+    return total
 
-    ``prefixes`` asks for hashes of the first n bytes of the words that have
-    more; each is (hashes, text of each).
-    """
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    if not len(data):
-        none = np.zeros(0, np.uint64)
-        return none, np.zeros(0, np.int64), [(none, np.zeros(0, np.int64)) for _ in prefixes]
+
+def _windows(data: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, alone) of slices of at most WINDOW bytes that cut no word;
+    a longer word is a slice alone."""
+    at, size = 0, len(data)
+    while at < size:
+        stop = min(size, at + WINDOW)
+        if stop < size and not gap[data[stop]]:
+            blank = np.flatnonzero(gap[data[at:stop]])
+            if len(blank):
+                stop = at + int(blank[-1]) + 1
+            else:
+                while stop < size and not (later := gap[data[stop : stop + WINDOW]]).any():
+                    stop = min(size, stop + WINDOW)
+                stop += int(later.argmax()) if stop < size else 0
+                yield at, stop, True
+                at = stop
+                continue
+        yield at, stop, False
+        at = stop
+
+
+def _window_hashes(data: np.ndarray, gap: np.ndarray, prefixes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(hashes, where each word starts)] of the words of a slice and of their prefixes."""
     blank = gap[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
@@ -55,15 +79,35 @@ def word_hashes(texts: list[bytes], gap: np.ndarray = WHITE, prefixes: tuple[int
     sums[0] = 0
     np.cumsum(_BYTES[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:])
     back = _power(_INVERSE, len(data))[starts]
-    hashes = mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(stops, starts, side="right")
-    cut = []
+    out = [(mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64)), starts)]
     for n in prefixes:
         long_ = np.flatnonzero(ends - starts > n)
         at = starts[long_]
-        cut.append((mix((sums[at + n] - sums[at]) * back[long_] + np.uint64(n + 7919)), owner[long_]))
-    return hashes, owner, cut
+        out.append((mix((sums[at + n] - sums[at]) * back[long_] + np.uint64(n + 7919)), at))
+    return out
+
+
+def word_hashes(texts: list[bytes], gap: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(hashes, text of each, prefix hashes) of all words of ``texts``.
+
+    ``prefixes`` asks for hashes of the first n bytes of the words that have
+    more; each is (hashes, text of each). Memory beyond the texts and hashes
+    has a bound, as the bytes are read in slices of WINDOW.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for _ in range(1 + len(prefixes))]
+    for start, stop, alone in _windows(data, gap):
+        if alone:
+            part, n = data[start:stop], stop - start
+            got = [(mix(_long_word(part, n) + np.uint64(n)), np.zeros(1, np.int64))]
+            got += [(mix(_long_word(part, p) + np.uint64(p + 7919)), np.zeros(1, np.int64)) for p in prefixes]
+        else:
+            got = _window_hashes(data[start:stop], gap, prefixes)
+        for held, (hashes, at) in zip(found, got, strict=True):
+            held.append((hashes, np.searchsorted(stops, at + start, side="right")))
+    joined = [(np.concatenate([h for h, _ in held]), np.concatenate([o for _, o in held])) for held in found]
+    return *joined[0], joined[1:]
 
 
 def by_text(owner: np.ndarray, texts: int) -> Iterator[slice]:
