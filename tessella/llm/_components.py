@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import cut
+from tessella.llm._shared import cut, lean
 
 _MULTIPLIERS = (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)
 
@@ -93,17 +93,17 @@ def components(edges: DataFrame) -> DataFrame:
     a path shrinks by a constant factor. The moves are composed backwards,
     from the smallest round to the largest.
     """
-    left = cut(edges.select("a", "b").filter("a <> b").mapInPandas(_shuffled_forest, "a long, b long"))
+    left = cut(edges.select("a", "b").filter("a <> b").mapInPandas(lean(_shuffled_forest), "a long, b long"))
     rounds = []
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moves = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("at"), F.least("a", "m").alias("to")))
         rounds.append(moves)
         ends = left.join(moves.withColumnsRenamed({"at": "a", "to": "ta"}), "a").join(moves.withColumnsRenamed({"at": "b", "to": "tb"}), "b")
-        left = cut(ends.filter("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).mapInPandas(_forest, "a long, b long"))
+        left = cut(ends.filter("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).mapInPandas(lean(_forest), "a long, b long"))
     reach = edges.sparkSession.createDataFrame([], "at long, to long")
     for moves in reversed(rounds):
         reach = moves.join(reach.select(F.col("at").alias("to"), F.col("to").alias("end")), "to", "left").select("at", F.coalesce("end", "to").alias("to"))
-    found = cut(reach.mapInPandas(_restored, "id long, top long"))
+    found = cut(reach.mapInPandas(lean(_restored), "id long, top long"))
     least = found.groupBy("top").agg(F.min("id").alias("component"))
     return found.join(least, "top").select("id", "component")

@@ -53,16 +53,29 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(frames)
         finally:
-            import pyarrow
-
-            gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return trimmed
 
 
+def give_back() -> None:
+    """Return memory that this Python process no longer uses to the system."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def join_skewed(left: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``left`` with one row per ``key`` in ``groups``.
 

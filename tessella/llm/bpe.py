@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import cut, table, text_batches
+from tessella.llm._shared import cut, lean, small_batches, table, text_batches
 
 TABLE_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 150_000
 _ODD = re.compile(r" \s|\s ")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import cut, join_skewed, table
+from tessella.llm._shared import cut, join_skewed, lean, small_batches, table
 
 
 class CuckooIndex:
@@ -109,7 +109,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [text_digest(t) for t in pdf["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, digest binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(lean(run), "doc_id long, digest binary")
 
 
 def _live_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +137,8 @@ GROUPS = "digest binary, keep_id long, group_size long"
 def digest_groups(rows: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size). Each task first joins the copies of its
     own rows, so a hot digest arrives as one row per task."""
-    own = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInPandas(_live_groups, GROUPS)
-    return own.repartition("digest").mapInPandas(_live_groups, GROUPS)
+    own = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInPandas(lean(_live_groups), GROUPS)
+    return own.repartition("digest").mapInPandas(lean(_live_groups), GROUPS)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,6 +150,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all of them are kept if their id is. Other columns are ignored; an empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = cut(digests(docs, id_col, text_col))
     groups = cut(digest_groups(rows))
     out = join_skewed(rows, groups, "digest", "group_size", rows.count())
@@ -204,7 +205,3 @@ WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
-
-STAGE_SQL = """
-SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY {lower} ORDER BY doc_id DESC) AS rn FROM {src}) WHERE rn = 1
-""".replace("{lower}", _LOWER)

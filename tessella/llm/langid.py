@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import cut, split_of, table, text_batches
+from tessella.llm._shared import give_back, lean, small_batches, split_of, table, text_batches
 
 BUCKETS, ORDERS, SAMPLE_PER_LANGUAGE, EPOCHS = 1 << 14, (1, 2, 3), 800, 3
 SCALE = 40.0
@@ -46,14 +46,14 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(BUCKETS + 1, np.int64)
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 19):
+            for part in text_batches(pdf, "text", 1 << 18):
                 for grams in gram_buckets([t or "" for t in part["text"]]):
                     seen[:BUCKETS] += np.bincount(grams, minlength=BUCKETS) > 0
                     seen[BUCKETS] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": at, "n": seen[at]})
 
-    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS + 1)
     out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return out
@@ -99,6 +99,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     of about ``per_language`` documents of each language, chosen by a hash of
     the id, of which every fifth only sets the temperature.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
@@ -115,7 +116,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 19):
+            for part in text_batches(pdf, "text", 1 << 18):
                 out = []
                 for lang, h, grams in zip(part["lang"], part["h"], gram_buckets(part["text"].tolist()), strict=True):
                     tf = term_frequencies(grams)
@@ -124,7 +125,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 yield pd.DataFrame(out, columns=["lang", "h", "at", "x"])
 
     sample = rows.filter(chance < limit).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    got = sample.mapInPandas(run, "lang string, h long, at array<int>, x array<float>").toPandas().sort_values("h", kind="stable")
+    got = sample.mapInPandas(lean(run), "lang string, h long, at array<int>, x array<float>").toPandas().sort_values("h", kind="stable")
     data = [(np.asarray(a, np.int32), np.asarray(x, np.float32), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
     del got
     held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
@@ -133,20 +134,25 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         for at, x, label in fit:
             model.learn(at, x, label)
     w = model.weights()
+    del fit
     t = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([k for _, _, k in held])) if len(held) > 20 else 1.0
+    del data, held
+    give_back()
     return {"langs": langs, "weights": (w * idf[:, None] * SCALE).astype(np.float32), "temperature": t}
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the calibrated probability of that
-    language). A text that is null or has no letter is ``und`` with score 0."""
+def predict(docs: DataFrame, model: dict, text_col: str = "text", into: str = "guess") -> DataFrame:
+    """``docs`` and a struct ``into`` with lang_pred and score (the calibrated
+    probability of that language). A text that is null or has no letter is
+    ``und`` with score 0. ``into`` must be a new name; other columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, w, t = (shared.value[k] for k in ("langs", "weights", "temperature"))
         for series in parts:
             out = []
-            for part in text_batches(series.to_frame("text"), "text", 1 << 19):
+            for part in text_batches(series.to_frame("text"), "text", 1 << 18):
                 texts = [x or "" for x in part["text"]]
                 lettered = [any(map(str.isalpha, x)) for x in texts]
                 for ok, grams in zip(lettered, gram_buckets(texts), strict=True):
@@ -158,10 +164,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                     out.append((langs[best], float(min(1.0, p[best]))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_guess", guess(F.coalesce(F.col(text_col), F.lit("")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_guess.lang_pred", "_guess.score"
-    )
+    guess = F.pandas_udf(lean(run), "lang_pred string, score double")
+    return docs.select("*", guess(F.coalesce(F.col(text_col), F.lit(""))).alias(into))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = train(rows.filter(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "guess.lang_pred", "guess.score")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

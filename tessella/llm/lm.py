@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import cut, split_of, table, text_batches
+from tessella.llm._shared import cut, lean, small_batches, split_of, table, text_batches
 from tessella.llm.bpe import most_frequent
 
 MODEL_WORDS, HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1024, 1 << 17, 64, 400_000

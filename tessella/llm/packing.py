@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import table, text_batches
+from tessella.llm._shared import lean, small_batches, table, text_batches
 from tessella.llm.bpe import byte_letters, tokenizer
 
 LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 100_000
@@ -114,7 +114,7 @@ def document_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_col
                 yield pd.DataFrame(out, columns=["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, uid long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(lean(run), "doc_id long, uid long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,6 +128,7 @@ def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_B
     A null or empty text is the single id 0. Repeated rows are packed each;
     other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_rows))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

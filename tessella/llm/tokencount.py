@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import table, text_batches
+from tessella.llm._shared import lean, small_batches, table, text_batches
 
 CHUNK, BATCH, LANE = 1 << 20, 1 << 22, 1 << 10
 SPACE = "▁"

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import split_of, table, text_batches
+from tessella.llm._shared import lean, small_batches, split_of, table, text_batches
 from tessella.llm._words import NO_LETTER, word_hashes
 
 BITS, PREFIXES, SAMPLE, FACTORS, EPOCHS, THRESHOLD = 20, (4, 5, 6), 10_000, 8, 30, 0.7
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 found = [(both[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pd.DataFrame({"h": own["h"].to_numpy(), "toxic": own["toxic"].to_numpy(), "at": found})
 
-    got = part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(run, "h long, toxic int, at array<int>").toPandas().sort_values("h", kind="stable")
+    got = part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(lean(run), "h long, toxic int, at array<int>").toPandas().sort_values("h", kind="stable")
     rows, y = [np.asarray(a, np.int32) for a in got["at"]], got["toxic"].to_numpy(float)
     del got
     chosen = evidence(rows, y)
@@ -124,15 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"chosen": chosen, "bias": model.bias, "w": model.w, "v": model.v}
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with toxicity (0 to 1); a null text reads as empty."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """``docs`` and a column ``into`` (0 to 1); a null text reads as empty.
+    ``into`` must be a new name; other columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = shared.value
         machine = FactorizationMachine(0)
         machine.bias, machine.w, machine.v = held["bias"], held["w"], held["v"]
-        place = np.full(1 << BITS, -1, np.int64)
+        place = np.full(1 << BITS, -1, np.int32)
         place[held["chosen"]] = np.arange(len(held["chosen"]))
         for series in parts:
             out = [np.zeros(0)]
@@ -145,8 +147,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 out.append(sigmoid(machine.score(both // wide, both % wide, len(part))))
             yield pd.Series(np.concatenate(out))
 
-    odds = F.pandas_udf(run, "double")
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "toxicity"], odds(F.coalesce(F.col(text_col), F.lit(""))).alias("toxicity"))
+    odds = F.pandas_udf(lean(run), "double")
+    return docs.select("*", odds(F.coalesce(F.col(text_col), F.lit(""))).alias(into))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
