@@ -1,7 +1,8 @@
 """Corpus cleaning: five training-data operators in stages over ``documents``.
 
 Every stage takes all that its predecessor kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``, and columns beside them as they came, whatever their
+names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,42 +12,65 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tessella.llm import exact, langid, ngramjoin, packing, toxicity
-from tessella.llm._shared import shared_folder, split_of, table
+from tessella.llm._shared import shared_folder, split_of, table, unused
 
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _wrapped(docs: DataFrame, *own) -> DataFrame:
+    """Each row as one struct ``row`` beside columns of our own, so that no
+    name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the texts without a language: no letters, or all languages about
-    equally likely. Everything else stays, whatever its label says."""
+    """Drop the texts without a language: null, empty or no letters, or all
+    languages about equally likely. Everything else stays, whatever its label
+    says, repeated rows included. Without any labelled text nothing can be
+    told, and only texts with letters stay."""
     model = langid.train(docs.filter(F.coalesce(split_of("doc_id", 3) != 1, F.lit(False))))
-    return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    guess = unused(docs, "guess")
+    found = langid.predict(docs, model, into=guess)
+    if not model["langs"]:
+        return found.filter(F.col("text").rlike(r"\p{L}")).drop(guess)
+    return found.filter((F.col(f"{guess}.lang_pred") != "und") & (F.col(f"{guess}.score") >= LEAST_LANGUAGE_SCORE)).drop(guess)
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the texts that score as toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    """Drop the texts that score as toxic. Null and empty texts are scored as
+    empty; repeated rows are scored each; without labels nothing is dropped."""
+    model, odds = toxicity.train(docs, table(spark, sf_dir, "labels")), unused(docs, "odds")
+    return toxicity.score(docs, model, into=odds).filter(F.col(odds) < toxicity.THRESHOLD).drop(odds)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the row with the largest id, once."""
-    kept = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_text_sha", exact.text_sha256("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).select(docs.columns)
+    """Of equal texts keep the row with the largest id, once; null equals
+    empty, and a null id is below all others. Of rows that repeat id and text
+    the one with the largest hash of all its columns stays."""
+    kept = exact.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = _wrapped(docs, F.col("doc_id").alias("own"), exact.text_sha256("text").alias("own_sha"), F.xxhash64(*hashed).alias("order"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha"))
+    once = rows.join(kept.filter("n = 1"), same, "left_semi").select("row")
+    repeated = rows.join(kept.filter("n > 1"), same, "left_semi").groupBy("own", "own_sha").agg(F.max_by("row", "order").alias("row")).select("row")
+    return once.union(repeated).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that links: the smallest id."""
-    kept = ngramjoin.link_groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    """Keep one document of each group that links: the smallest id. Texts
+    without words link with nothing and stay, as do rows without an id. Rows
+    that repeat an id stay if one of them is its group's smallest."""
+    kept = ngramjoin.link_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = _wrapped(docs, F.col("doc_id").cast("long").alias("own"))
+    named = rows.join(kept, F.col("own") == F.col("id"), "left_semi")
+    return named.union(rows.filter("own is null")).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences; see ``packing.pack``."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -64,9 +88,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage is written as Parquet and reread."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before, folder = table(spark, sf_dir, "documents"), "", f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            _remove(spark, before)
+        before = path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete the rows of a stage whose successor has been written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
