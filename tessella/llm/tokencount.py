@@ -8,13 +8,16 @@ are determinised when first reached and kept in a table, so a text costs one
 table look-up a character. Long texts are cut into chunks anywhere. A chunk's
 state map is constant after its first hard boundary (two characters that no
 piece holds side by side), so it is kept as (head before that boundary, count,
-tail after the last one); such maps compose by counting tail + head.
+tail after the last one): from any state it runs the head, adds the count and
+ends in the state after the tail. Such maps compose (the middle is the count of
+tail + head) in any grouping, so the chunks of a text are folded as a tree:
+each round joins FAN neighbours, all groups at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._shared import lean, small_batches, table, text_batches
 
-CHUNK, BATCH, LANE = 1 << 20, 1 << 22, 1 << 10
+CHUNK, BATCH, LANE, FAN = 1 << 16, 1 << 22, 1 << 10, 16
 SPACE = "▁"
 
 
@@ -32,7 +35,7 @@ class CountTransducer:
     byte fallback, without normalisation, with a dummy space in front."""
 
     MOST_STATES = 300_000
-    SHIFT, BIAS = 6, 32
+    SHIFT, BIAS = 11, 1 << 10
 
     def __init__(self, model_path: str) -> None:
         import sentencepiece
@@ -119,6 +122,8 @@ class CountTransducer:
         for pair in np.unique(states.astype(np.int64) * wide + columns).tolist():
             state, column = divmod(pair, wide)
             target, added = self._step(state, self.labels[column])
+            if not -self.BIAS <= added < self.BIAS or target >= 1 << 20:
+                raise OverflowError(f"a transition adds {added} tokens on the way to state {target}")
             if target >= len(self.table) or wide > self.table.shape[1]:
                 grown = np.full((max(len(self.table), 2 * target), max(self.table.shape[1], wide + 32 if wide > self.table.shape[1] else 0)), -1, np.int32)
                 grown[: len(self.table), : self.table.shape[1]] = self.table
@@ -237,22 +242,38 @@ def _maps(model_path: str):
     return run
 
 
-def _composed(model_path: str, over: int):
-    """Compose the maps of a document, in order: what stands open (a tail) is
-    joined with the next head and counted."""
+def _joined(machine: CountTransducer, a: tuple, b: tuple) -> tuple:
+    """The state map (head, inner, tail) of two neighbours."""
+    if a[2] is None:
+        return a[0] + b[0], b[1], b[2]
+    if b[2] is None:
+        return a[0], a[1], a[2] + b[0]
+    return a[0], a[1] + int(machine.count([a[2] + b[0]])[0]) + b[1], b[2]
+
+
+def _folded(model_path: str):
+    """Join the maps of FAN neighbours, in order."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         machine = transducer(model_path)
         pdf = pdf.sort_values("part")
-        total, open_ = 0, []
-        for head, inner, tail in zip(pdf["head"], pdf["inner"], pdf["tail"], strict=True):
-            open_.append(head)
-            if tail is not None:
-                total += int(machine.count(["".join(open_)])[0]) + int(inner)
-                open_ = [tail]
-        total += int(machine.count(["".join(open_)])[0])
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc], "n_bytes": [int(pdf["n_bytes"].sum())], "n_tokens": [total], "over_limit": [total > over]})
+        maps = list(zip(pdf["head"], pdf["inner"].tolist(), pdf["tail"], strict=True))
+        head, inner, tail = reduce(lambda a, b: _joined(machine, a, b), maps)
+        doc = pd.array([pdf["doc_id"].iloc[0]], dtype="Int64")
+        return pd.DataFrame({"doc_id": doc, "uid": pdf["uid"].iloc[:1].array, "part": [int(pdf["part"].iloc[0]) // FAN], "n_bytes": [int(pdf["n_bytes"].sum())], "head": [head], "inner": [inner], "tail": [tail]})
+
+    return run
+
+
+def _ended(model_path: str, over: int):
+    """The counts of whole texts from their maps."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = transducer(model_path)
+        for pdf in frames:
+            ends = [(h, t or "") for h, t in zip(pdf["head"], pdf["tail"], strict=True)]
+            n = pdf["inner"].to_numpy(np.int64) + machine.count([x for e in ends for x in e]).reshape(-1, 2).sum(1)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": n > over})
 
     return run
 
@@ -262,18 +283,26 @@ def token_counts(docs: DataFrame, model_path: str, over: int = 4096, id_col: str
 
     A null or empty text has no bytes and no tokens. Repeated rows and ids give
     a row each; other columns are ignored; an empty table gives no rows. Texts
-    over ``chunk`` characters are cut into chunks that are mapped apart and
-    composed again; only their maps are shuffled.
+    over ``chunk`` characters are cut into chunks that are mapped apart; only
+    the maps are shuffled. A text without any hard boundary is its own map.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(_short(model_path, over), schema)
+    short = rows.filter(F.length("text") <= chunk).mapInPandas(lean(_short(model_path, over)), schema)
+    most = rows.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
+    if most <= chunk:
+        return short
     long_ = rows.filter(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
     parts = long_.select(
         "doc_id", "uid", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("part")
     ).select("doc_id", "uid", "part", F.substring(F.col("text"), F.col("part") * chunk + 1, F.lit(chunk)).alias("text"))
-    maps = parts.mapInPandas(_maps(model_path), "doc_id long, uid long, part int, n_bytes long, head string, inner long, tail string")
-    return short.unionByName(maps.groupBy("uid").applyInPandas(_composed(model_path, over), schema))
+    of_map = "doc_id long, uid long, part int, n_bytes long, head string, inner long, tail string"
+    maps, width = parts.mapInPandas(lean(_maps(model_path)), of_map), -(-most // chunk)
+    while width > 1:
+        maps = maps.groupBy("uid", F.floor(F.col("part") / FAN)).applyInPandas(_folded(model_path), of_map)
+        width = -(-width // FAN)
+    return short.unionByName(maps.mapInPandas(lean(_ended(model_path, over)), schema))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
