@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import lean, small_batches, split_of, table, text_batches
 from tessella.llm._words import NO_LETTER, word_hashes
 
-BITS, PREFIXES, SAMPLE, FACTORS, EPOCHS, THRESHOLD = 20, (4, 5, 6), 10_000, 8, 30, 0.7
-MIN_DOCUMENTS, MIN_EVIDENCE = 5, 4.0
+BITS, PREFIXES, SAMPLE, FACTORS, EPOCHS, THRESHOLD = 20, (4, 5, 6), 10_000, 8, 8, 0.7
+MIN_DOCUMENTS, EVIDENCE, SHRINK, START = 5, 4.0, 2e-3, 0.05
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,65 +29,84 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FactorizationMachine:
-    """Binary features; log loss; Adagrad over mini-batches."""
+    """Binary features; log loss; Adagrad over mini-batches. Weights and
+    factors of a feature shrink towards zero by its own step (L1), scaled like
+    their learning rate, so terms that tell nothing, alone or in pairs, fade."""
 
     def __init__(self, features: int, factors: int = FACTORS, seed: int = 5) -> None:
         self.rng = np.random.default_rng(seed)
         self.bias = 0.0
-        self.w = np.zeros(features)
-        self.v = self.rng.normal(0, 0.05, (features, factors))
+        self.w = np.zeros(features, np.float32)
+        self.v = self.rng.normal(0, START, (features, factors)).astype(np.float32)
+
+    def _score(self, feature: np.ndarray, starts: np.ndarray, v: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        square = np.add.reduceat(np.einsum("ij,ij->i", v, v), starts)
+        return self.bias + np.add.reduceat(self.w[feature], starts) + 0.5 * ((sums**2).sum(1) - square)
 
     def score(self, row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
-        """Log odds of each row; (row, feature) are its features, once each."""
-        out = self.bias + np.bincount(row, self.w[feature], rows)
-        v = self.v[feature]
-        for k in range(v.shape[1]):
-            total = np.bincount(row, v[:, k], rows)
-            out += 0.5 * (total**2 - np.bincount(row, v[:, k] ** 2, rows))
+        """Log odds of each row; (row, feature) are its features, once each, by row."""
+        out = np.full(rows, self.bias)
+        if len(row):
+            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            v = self.v[feature]
+            out[row[starts]] = self._score(feature, starts, v, np.add.reduceat(v, starts, axis=0))
         return out
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, size: int = 256) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, shrink: np.ndarray | float = 0.0, size: int = 256) -> FactorizationMachine:
         rate_y = y.mean().clip(1e-4, 1 - 1e-4) if len(y) else 0.5
         self.bias = float(np.log(rate_y / (1 - rate_y)))
-        gw, gv, gb = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
+        gw, gv, gb = np.full(len(self.w), 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
+        shrink = np.broadcast_to(np.asarray(shrink, np.float32), len(self.w))
+        filled = np.flatnonzero([len(r) > 0 for r in rows])
         for _ in range(epochs):
-            order = self.rng.permutation(len(rows))
+            order = self.rng.permutation(filled)
             for start in range(0, len(order), size):
                 part = order[start : start + size]
-                row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+                lengths = np.array([len(rows[i]) for i in part])
+                starts = np.cumsum(lengths) - lengths
                 feature = np.concatenate([rows[i] for i in part])
-                error = (sigmoid(self.score(row, feature, len(part))) - y[part]) / len(part)
                 v = self.v[feature]
-                sums = np.stack([np.bincount(row, v[:, k], len(part)) for k in range(v.shape[1])], 1)
-                at, inverse = np.unique(feature, return_inverse=True)
-                dw = np.bincount(inverse, error[row], len(at)) + decay * self.w[at]
-                each = error[row][:, None] * (sums[row] - v)
-                dv = np.stack([np.bincount(inverse, each[:, k], len(at)) for k in range(v.shape[1])], 1) + decay * self.v[at]
+                sums = np.add.reduceat(v, starts, axis=0)
+                error = ((sigmoid(self._score(feature, starts, v, sums)) - y[part]) / len(part)).astype(np.float32)
+                each = np.repeat(error, lengths)
+                turn = np.argsort(feature, kind="stable")
+                ordered = feature[turn]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                at = ordered[first]
+                dw = np.add.reduceat(each[turn], first) + decay * self.w[at]
+                dv = np.add.reduceat((each[:, None] * (np.repeat(sums, lengths, axis=0) - v))[turn], first, axis=0) + decay * self.v[at]
                 gw[at] += dw**2
                 gv[at] += dv**2
                 gb += error.sum() ** 2
-                self.w[at] -= rate * dw / np.sqrt(gw[at])
-                self.v[at] -= 0.3 * rate * dv / np.sqrt(gv[at])
-                self.bias -= 0.1 * rate * error.sum() / np.sqrt(gb)
+                sw, sv = rate / np.sqrt(gw[at]), 0.3 * rate / np.sqrt(gv[at])
+                self.w[at] = soft(self.w[at] - sw * dw, shrink[at] * sw)
+                self.v[at] = soft(self.v[at] - sv * dv, shrink[at][:, None] * sv)
+                self.bias -= 0.1 * rate * float(error.sum()) / np.sqrt(gb)
         return self
 
 
+def soft(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def evidence(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets that occur in enough documents and whose share of toxic
-    ones is further from the mean than chance explains (z of MIN_EVIDENCE)."""
+def known_terms(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur in MIN_DOCUMENTS documents or more, whatever their
+    labels, as a term may tell nothing alone and much beside another; and how
+    hard each shrinks: the less its own share of toxic documents differs from
+    the mean (in standard errors), the harder."""
     n, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for row, mark in zip(rows, y, strict=True):
         n[row] += 1  # a row holds a bucket once
         if mark:
             toxic[row] += 1
-    p = float(y.mean()) if len(y) else 0.0
     at = np.flatnonzero(n >= MIN_DOCUMENTS)
-    z = (toxic[at] - n[at] * p) / np.sqrt(np.maximum(n[at] * p * (1 - p), 1e-9))
-    return at[np.abs(z) >= MIN_EVIDENCE]
+    p = float(y.mean()) if len(y) else 0.0
+    z = np.abs(toxic[at] - n[at] * p) / np.sqrt(np.maximum(n[at] * p * (1 - p), 1e-9))
+    return at, np.where(z >= EVIDENCE, 0.0, SHRINK).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -115,12 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     got = part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(lean(run), "h long, toxic int, at array<int>").toPandas().sort_values("h", kind="stable")
     rows, y = [np.asarray(a, np.int32) for a in got["at"]], got["toxic"].to_numpy(float)
     del got
-    chosen = evidence(rows, y)
+    chosen, shrink = known_terms(rows, y)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     kept = [p[p >= 0] for p in (place[r] for r in rows)]
     del rows
-    model = FactorizationMachine(len(chosen)).fit(kept, y) if len(kept) else FactorizationMachine(0)
+    model = FactorizationMachine(len(chosen)).fit(kept, y, shrink=shrink) if len(kept) else FactorizationMachine(0)
     return {"chosen": chosen, "bias": model.bias, "w": model.w, "v": model.v}
 
 

@@ -69,7 +69,7 @@ def test_token_counts_match_the_library(spark, sf_dir, docs):
     assert all(got[i]["n_bytes"] == len((t or "").encode()) and got[i]["over_limit"] == (n > 4096) for (i, t), n in zip(docs, want))
 
 
-@pytest.mark.parametrize("chunk", [7, 1000])
+@pytest.mark.parametrize("chunk", [7, 50, 1000])
 def test_chunk_maps_compose(spark, chunk):
     model = public_tokenizers.path("piece_bpe_32k.model")
     texts = [t for t in ODD if t] + ["a" * 99, "====" * 30, "▁▁ ▁x" * 9]
@@ -239,11 +239,40 @@ def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(4)
     rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
     y = np.array([float(0 in r and 1 in r) for r in rows])
-    fm = toxicity.FactorizationMachine(6).fit(rows, y, epochs=40, decay=1e-5, rate=0.3)
+    fm = toxicity.FactorizationMachine(6).fit(rows, y, epochs=40, decay=1e-5, rate=0.3)  # no shrinkage
     p = toxicity.sigmoid(fm.score(np.array([0, 1, 2, 2]), np.array([0, 1, 0, 1]), 4))
     assert p[2] > 0.9 and p[0] < 0.2 and p[1] < 0.2 and p[3] < 0.3
 
 
+def test_toxicity_learns_a_pair_that_is_nothing_alone(spark):
+    """The label is the exclusive or of two words, each as common in toxic
+    texts as in others, beside twelve words of chance; through train and score."""
+    rng = random.Random(9)
+    rows, marks = [], []
+    for i in range(6000):
+        words = [f"word{rng.randrange(60)}ish" for _ in range(12)]
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(words + ["scoundrel"] * one + ["northerner"] * two)))
+        marks.append((i, 1, int(one != two)))
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(df, labels).collect() if r["held_out"]]
+    assert sum(r["predicted"] == marks[r["doc_id"]][2] for r in held) > 0.95 * len(held) > 1500
+
+
+def test_toxicity_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [r for r in toxicity.op8_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in truth]
+    caught = sum(r["predicted"] for r in held if truth[r["doc_id"]] == 1)
+    assert caught > 0.7 * sum(truth[r["doc_id"]] for r in held) and sum(r["predicted"] for r in held) - caught <= 0.02 * len(held)
+
+
+def test_toxicity_of_empty_tables(spark):
+    df, none = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in toxicity.toxicity(df, none).collect()] == [0.5, 0.5]
+    assert toxicity.toxicity(df.limit(0), none).count() == 0
+
+
 def test_toxicity_on_labelled_words(spark):
     rng = random.Random(7)
     rows, marks = [], []
