@@ -2,12 +2,15 @@
 noise-contrastive estimation.
 
 The model predicts a word from the two before it: each context word's vector
-goes through a matrix of its position, their sum meets the vectors of all
-words, and a softmax over the model's vocabulary gives the next one. The
-vocabulary is the most frequent words and one class for all others; within
-that class a word has its smoothed relative frequency, so the probabilities of
-all words sum to one. Training is data-parallel: every partition learns from
-all its texts, and the parameters are averaged.
+goes through a matrix of its position, and their sum meets the vectors of the
+classes and of the words. Classes are runs of words in order of frequency, about
+as many as each has words. A word's probability is its class's, by a softmax
+over all classes, times its own within the class, by a softmax over the words
+of the class; both come from batched matrix products, and the probabilities of
+all words sum to one. Words too rare for a vector share one item, inside which a
+word has its smoothed relative frequency. Training is data-parallel: texts are
+dealt by hash into shards, each shard learns from all its texts, and the
+parameters are averaged, so the model does not depend on partitions.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import cut, lean, small_batches, split_of, table, text_batches
 from tessella.llm.bpe import most_frequent
 
-MODEL_WORDS, HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1024, 1 << 17, 64, 400_000
-WIDTH, NOISE, ROUNDS, BATCH = 32, 256, 2, 4096
-SMOOTH = 0.1
+HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 400_000
+# A word has a vector if it occurs MODEL_COUNT times or is among the
+# LEAST_WORDS most frequent; ids take 16 bits.
+MODEL_COUNT, LEAST_WORDS, MOST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 1 << 16, 5000
+WIDTH, NOISE, ROUNDS, BATCH, PAIRS = 32, 256, 2, 4096, 8192
+SMOOTH, LIMIT = 0.1, 60.0
 END, OTHER = 0, 1
 END_WORD = b"\n"  # no word holds white space
 
@@ -51,22 +57,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    return docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class LogBilinear:
-    """Word vectors R, position matrices C1 (the word before) and C2, biases b."""
+    """Word vectors r, class vectors rc, position matrices c1 (the word before)
+    and c2, biases b and bc. Scores of words and of classes are both learnt as
+    log probabilities."""
+
+    NAMES = ("r", "rc", "c1", "c2", "b", "bc")
 
     def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 17) -> None:
-        rng = np.random.default_rng(seed)
+        rng, words = np.random.default_rng(seed), len(unigram)
+        self.size = max(2, int(np.ceil(np.sqrt(words))))
+        self.of = np.arange(words) // self.size  # the class of each word
+        classes = int(self.of[-1]) + 1
         self.p = np.maximum(unigram, 1e-9) / np.maximum(unigram, 1e-9).sum()
-        self.r = rng.normal(0, 0.1, (len(unigram), width)).astype(np.float32)
+        self.pc = np.bincount(self.of, self.p)
+        self.r = rng.normal(0, 0.1, (words, width)).astype(np.float32)
+        self.rc = rng.normal(0, 0.1, (classes, width)).astype(np.float32)
         self.c1 = (np.eye(width) * 0.5).astype(np.float32)
         self.c2 = (np.eye(width) * 0.5).astype(np.float32)
-        self.b = np.log(self.p).astype(np.float32)
+        self.b, self.bc = np.log(self.p).astype(np.float32), np.log(self.pc).astype(np.float32)
         self.rng = np.random.default_rng(seed + 1)
-
-    NAMES = ("r", "c1", "c2", "b")
+        self.sums = np.cumsum(self.p)
 
     def blob(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -79,67 +93,94 @@ class LogBilinear:
             at += old.size
         return self
 
-    def learn(self, before2: np.ndarray, before: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float = 0.05) -> None:
-        """One NCE step: tell the words from noise words that the whole batch
-        shares. Scores count as log probabilities, so the noise side weighs
-        NOISE times the noise probability."""
-        r1, r2, rw = self.r[before], self.r[before2], self.r[word]
+    def _contrast(self, q, target, share, vectors, bias, p, noise, k):
+        """(error of the targets, errors of noise that the batch shares)."""
+        log_kp = np.log(k * p).astype(np.float32)
+        good = (q * vectors[target]).sum(1) + bias[target] - log_kp[target]
+        bad = q @ vectors[noise].T + bias[noise] - log_kp[noise]
+        return share * (_sigmoid(good) - 1), share[:, None] * _sigmoid(bad) * np.float32(k / len(noise))
+
+    def learn(self, before2: np.ndarray, before: np.ndarray, word: np.ndarray, weight: np.ndarray, rate: float = 0.05, k: float = 25.0) -> None:
+        """One NCE step: tell words from noise words, and their classes from
+        noise classes. Scores count as log probabilities, so the noise side
+        weighs k times the noise probability."""
+        r1, r2, rw, kind = self.r[before], self.r[before2], self.r[word], self.of[word]
         q = r1 @ self.c1 + r2 @ self.c2
-        noise = self.rng.choice(len(self.p), NOISE, p=self.p)
-        k = 25.0
-        log_kp = np.log(k * self.p).astype(np.float32)
-        good = (q * rw).sum(1) + self.b[word] - log_kp[word]
-        bad = q @ self.r[noise].T + self.b[noise] - log_kp[noise]
+        noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE)), len(self.p) - 1)
+        noise_c = self.rng.choice(len(self.pc), min(NOISE, 64), p=self.pc)
         share = (weight / weight.sum()).astype(np.float32)
-        eg = share * (_sigmoid(good) - 1)
-        eb = share[:, None] * _sigmoid(bad) * np.float32(k / NOISE)
-        dq = eg[:, None] * rw + eb @ self.r[noise]
-        grad = {"r": np.zeros_like(self.r), "b": np.zeros_like(self.b), "c1": r1.T @ dq, "c2": r2.T @ dq}
-        for at, g in ((word, eg[:, None] * q), (before, dq @ self.c1.T), (before2, dq @ self.c2.T)):
-            _scatter(grad["r"], at, g)
-        np.add.at(grad["r"], noise, eb.T @ q)
-        grad["b"] += np.bincount(word, eg, len(self.b)).astype(np.float32)
-        np.add.at(grad["b"], noise, eb.sum(0))
+        eg, eb = self._contrast(q, word, share, self.r, self.b, self.p, noise, k)
+        cg, cb = self._contrast(q, kind, share, self.rc, self.bc, self.pc, noise_c, k)
+        dq = eg[:, None] * rw + eb @ self.r[noise] + cg[:, None] * self.rc[kind] + cb @ self.rc[noise_c]
+        rows = np.concatenate([word, before, before2, noise])
+        self._step("r", rows, np.concatenate([eg[:, None] * q, dq @ self.c1.T, dq @ self.c2.T, eb.T @ q]), rate)
+        self._step("rc", np.concatenate([kind, noise_c]), np.concatenate([cg[:, None] * q, cb.T @ q]), rate)
+        self._step("b", np.concatenate([word, noise]), np.concatenate([eg, eb.sum(0)]), rate)
+        self._step("bc", np.concatenate([kind, noise_c]), np.concatenate([cg, cb.sum(0)]), rate)
+        self._step("c1", slice(None), r1.T @ dq, rate)
+        self._step("c2", slice(None), r2.T @ dq, rate)
+
+    def _step(self, name: str, at, grad: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows ``at``, which may repeat."""
         if not hasattr(self, "seen"):
             self.seen = {n: np.full_like(getattr(self, n), 1e-8) for n in self.NAMES}
-        for n in self.NAMES:
-            self.seen[n] += grad[n] ** 2
-            setattr(self, n, getattr(self, n) - np.float32(rate) * grad[n] / np.sqrt(self.seen[n]))
-
-    def pair_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each word after each one before, and two before."""
-        return self.r @ self.c1 @ self.r.T, self.r @ self.c2 @ self.r.T
-
-    def log_norms(self, before2: np.ndarray) -> np.ndarray:
-        """log of the softmax sums for contexts (before2, every word)."""
-        s1, s2 = self.pair_tables()
-        out = np.empty((len(before2), len(self.b)), np.float32)
-        for i, w in enumerate(before2):
-            s = s1 + (s2[w] + self.b)[None, :]
-            top = s.max(1, keepdims=True)
-            out[i] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        return out
+        if not isinstance(at, slice):
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            at, grad = at[starts], np.add.reduceat(grad[order], starts, axis=0)
+        held, seen = getattr(self, name), self.seen[name]
+        seen[at] += grad**2
+        held[at] -= np.float32(rate) * grad / np.sqrt(seen[at])
+
+    def log_probabilities(self, before2: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logs of the normalised probabilities. Equal contexts, and
+        equal contexts with words of one class, are summed once."""
+        words, kind = len(self.p), self.of[word]
+        contexts, at = np.unique(before2 * words + before, return_inverse=True)
+        q = self.r[contexts % words] @ self.c1 + self.r[contexts // words] @ self.c2
+        pairs, place = np.unique(kind * len(contexts) + at, return_inverse=True)
+        pair_class, pair_at = np.divmod(pairs, len(contexts))
+        z = np.empty(len(contexts), np.float32)
+        for s in range(0, len(contexts), PAIRS):
+            z[s : s + PAIRS] = _log_sum(q[s : s + PAIRS] @ self.rc.T + self.bc)
+        edges = np.searchsorted(pair_class, np.arange(len(self.bc) + 1))
+        inner = np.empty(len(pairs), np.float32)
+        for c in np.unique(pair_class).tolist():
+            own = slice(c * self.size, min((c + 1) * self.size, words))
+            for s in range(edges[c], edges[c + 1], PAIRS):
+                e = min(s + PAIRS, edges[c + 1])
+                inner[s:e] = _log_sum(q[pair_at[s:e]] @ self.r[own].T + self.b[own])
+        of_pair = _clip((q[pair_at] * self.rc[pair_class]).sum(1) + self.bc[pair_class]) - z[pair_at] - inner
+        return of_pair[place] + _clip((q[at] * self.r[word]).sum(1) + self.b[word])
+
+
+def _clip(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LIMIT, LIMIT)
+
+
+def _log_sum(scores: np.ndarray) -> np.ndarray:
+    """log of the sum of exp by row; LIMIT keeps exp within single precision."""
+    np.clip(scores, -LIMIT, LIMIT, out=scores)
+    return np.log(np.exp(scores, out=scores).sum(1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    into[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+def _ids(text: str | None, place: dict[bytes, int]) -> np.ndarray:
+    """The model's ids of the words of a text and of its end."""
+    words = words_of(text)
+    return np.fromiter((place.get(w, OTHER) for w in (*words, END_WORD)), np.uint16, len(words) + 1)
 
 
-def _contexts(texts: list[list[bytes]], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(two before, before, word, text) of every token; before its start a
     text has ends."""
-    get = place.get
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    flat = np.fromiter((get(w, OTHER) for t in texts for w in (*t, END_WORD)), np.int64, int(sizes.sum()))
-    stops = np.cumsum(sizes)
-    first = stops - sizes
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate([*texts, np.zeros(0, np.uint16)]).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
     before = np.concatenate([[END], flat[:-1]])
     before2 = np.concatenate([[END, END], flat[:-2]])[: len(flat)]
     before[first] = END
@@ -148,65 +189,86 @@ def _contexts(texts: list[list[bytes]], place: dict[bytes, int]) -> tuple[np.nda
     return before2, before, flat, np.repeat(np.arange(len(texts)), sizes)
 
 
-def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
-    """Learn from every text of ``docs``: a round trains a copy of the model
-    on each partition and averages the copies by their tokens."""
+def dealt(docs: DataFrame, place: dict[bytes, int], shards: int) -> DataFrame:
+    """(shard, h, doc_id, ids): each text as ids, dealt by a hash of id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"h": pdf["h"], "doc_id": pdf["doc_id"], "ids": [_ids(t, shared.value).tobytes() for t in pdf["text"]]})
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").mapInPandas(lean(run), "h long, doc_id long, ids binary")
+    return rows.select(F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard"), "h", "doc_id", "ids").repartition(shards, "shard")
+
+
+def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS, shard_documents: int = SHARD_DOCUMENTS) -> LogBilinear:
+    """Learn from every text of ``docs`` (doc_id, text): a round trains a copy of
+    the model on each shard and averages the copies by their tokens."""
     spark = docs.sparkSession
     model = LogBilinear(unigram)
-    size, blocks = len(model.blob()), 16
+    size, blocks, words = len(model.blob()), 16, len(unigram)
     edges = np.linspace(0, size, blocks + 1).astype(int)
-    words = len(unigram)
+    rows = cut(dealt(docs, place, -(-docs.count() // shard_documents) or 1)).sortWithinPartitions("shard", "h", "doc_id")
 
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((model.blob(), place, unigram))
+        shared = spark.sparkContext.broadcast((model.blob(), unigram))
 
-        def learn(frames: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
-            blob, known, base = shared.value
-            own, total = LogBilinear(base).load(blob), 0
+        def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray]]]:
+            """Texts of one shard at a time, about 2**18 tokens each time."""
+            shard, held, tokens = None, [], 0
             for pdf in frames:
-                for part in text_batches(pdf, "text", 1 << 22):
-                    b2, b1, w, _ = _contexts([words_of(t) for t in part["text"]], known)
-                    grams, n = np.unique((b2 * words + b1) * words + w, return_counts=True)
-                    order = own.rng.permutation(len(grams))
-                    grams, n = grams[order], n[order].astype(np.float32)
-                    total += len(w)
-                    for s in range(0, len(grams), BATCH):
-                        g = grams[s : s + BATCH]
-                        own.learn(g // (words * words), g // words % words, g % words, n[s : s + BATCH], 0.1 / (1 + number))
-            if total:
-                out = own.blob()
-                yield pd.DataFrame({"block": np.arange(blocks), "n": total, "x": [out[a:b].astype(np.float32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
+                for at, ids in zip(pdf["shard"].tolist(), pdf["ids"], strict=True):
+                    if held and (at != shard or tokens > 1 << 18):
+                        yield shard, held
+                        held, tokens = [], 0
+                    shard = at
+                    held.append(np.frombuffer(ids, np.uint16))
+                    tokens += len(held[-1])
+            if held:
+                yield shard, held
+
+        def learn(frames: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
+            blob, base = shared.value
+            own, total, shard = None, 0, None
+            for at, texts in parts(frames):
+                if at != shard:
+                    if own is not None:
+                        yield learnt(shard, total, own)
+                    own, total, shard = LogBilinear(base, seed=17 + at).load(blob), 0, at
+                b2, b1, w, _ = _contexts(texts)
+                grams, n = np.unique((b2 * words + b1) * words + w, return_counts=True)
+                order = own.rng.permutation(len(grams))
+                grams, n = grams[order], n[order].astype(np.float32)
+                total += len(w)
+                for s in range(0, len(grams), BATCH):
+                    g = grams[s : s + BATCH]
+                    own.learn(g // (words * words), g // words % words, g % words, n[s : s + BATCH], 0.1 / (1 + number))
+            if own is not None:
+                yield learnt(shard, total, own)
+
+        def learnt(shard: int, total: int, own: LogBilinear) -> pd.DataFrame:
+            out = own.blob()
+            return pd.DataFrame({"block": np.arange(blocks), "shard": shard, "n": total, "x": [out[a:b].astype(np.float32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
 
         def average(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, list] = {}
+            block, n, x = None, 0, 0.0
             for pdf in frames:
-                for block, n, x in zip(pdf["block"], pdf["n"], pdf["x"], strict=True):
-                    held = sums.setdefault(block, [0, 0.0])
-                    held[0] += int(n)
-                    held[1] = held[1] + int(n) * np.frombuffer(x, np.float32).astype(float)
-            yield pd.DataFrame({"block": list(sums), "n": [s[0] for s in sums.values()], "x": [(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()]})
-
-        schema = "block int, n long, x binary"
-        got = docs.select("text").mapInPandas(learn, schema).repartition(blocks, "block").mapInPandas(average, schema).collect()
+                for at, more, part in zip(pdf["block"].tolist(), pdf["n"].tolist(), pdf["x"], strict=True):
+                    if at != block:
+                        if block is not None:
+                            yield pd.DataFrame({"block": [block], "x": [(x / n).astype(np.float32).tobytes()]})
+                        block, n, x = at, 0, 0.0
+                    n, x = n + more, x + more * np.frombuffer(part, np.float32).astype(float)
+            if block is not None:
+                yield pd.DataFrame({"block": [block], "x": [(x / n).astype(np.float32).tobytes()]})
+
+        copies = rows.mapInPandas(lean(learn), "block int, shard int, n long, x binary").repartition(blocks, "block").sortWithinPartitions("block", "shard")
+        got = copies.mapInPandas(lean(average), "block int, x binary").collect()
         if got:
             model = LogBilinear(unigram).load(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: r["block"])]))
     return model
 
 
-def norms(spark: SparkSession, model: LogBilinear) -> np.ndarray:
-    """The softmax sums of all context pairs, as batched matrix products."""
-    blob, p = model.blob(), model.p
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = LogBilinear(p).load(blob)
-        for pdf in frames:
-            at = pdf["id"].to_numpy()
-            yield pd.DataFrame({"id": at, "z": [z.tobytes() for z in own.log_norms(at)]})
-
-    got = spark.range(0, len(p), 1, 16).mapInPandas(run, "id long, z binary").collect()
-    return np.stack([np.frombuffer(r["z"], np.float32) for r in sorted(got, key=lambda r: r["id"])])
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
@@ -219,6 +281,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     the others are joined with their counts.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(split_of(id_col, 10) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     learnt = rows.filter(~F.col("held_out"))
     counts = cut(word_counts(learnt))
@@ -226,7 +289,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     total, distinct = int(sums["n"] or 0), int(sums["v"])
     head = most_frequent(counts.filter(F.length("word") <= WORD_BYTES), HEAD_WORDS).toPandas()  # at most HEAD_WORDS short words
     held = {bytes(w): int(n) for w, n in zip(head["word"], head["n"], strict=True)}
-    ranked = sorted((w for w in held if w != END_WORD), key=lambda w: (-held[w], w))[: MODEL_WORDS - 2]
+    ranked = sorted((w for w in held if w != END_WORD), key=lambda w: (-held[w], w))[: MOST_WORDS - 2]
+    ranked = [w for i, w in enumerate(ranked) if i < LEAST_WORDS - 2 or held[w] >= MODEL_COUNT]
     place = {END_WORD: END} | {w: i + 2 for i, w in enumerate(ranked)}
     own = np.zeros(len(ranked) + 2)
     own[END] = held.get(END_WORD, 0)
@@ -236,21 +300,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # Within the class of other words: smoothed counts, and one place for the unseen.
     inside = max(total - (own.sum() - own[OTHER]), 0) + SMOOTH * (distinct - len(place) + 1)
     whole = total + SMOOTH * (distinct + 1)
-    shared = spark.sparkContext.broadcast((held, place, model.blob(), own, norms(spark, model)))
+    shared = spark.sparkContext.broadcast((held, place, model.blob(), own))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, place, blob, own, z = shared.value
+        held, place, blob, own = shared.value
         m = LogBilinear(own).load(blob)
-        s1, s2 = m.pair_tables()
-        s1 += m.b[None, :]
         ln10, log_whole, log_inside = np.log(10), np.log10(whole), np.log10(inside)
-        common = {w: np.log10(n + SMOOTH) for w, n in held.items()}
+        common = {w: float(np.log10(n + SMOOTH)) for w, n in held.items()}
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 21):
+            for part in text_batches(pdf, "text", 1 << 20):
                 texts = [words_of(t) for t in part["text"]]
-                b2, b1, w, owner = _contexts(texts, place)
-                logp = ((s1[b1, w] + s2[b2, w] - z[b2, b1]) / ln10).astype(float)
-                score = np.bincount(owner, logp, len(texts))
+                b2, b1, w, owner = _contexts([np.fromiter((place.get(x, OTHER) for x in (*t, END_WORD)), np.uint16, len(t) + 1) for t in texts])
+                score = np.bincount(owner, m.log_probabilities(b2, b1, w).astype(float) / ln10, len(texts))
                 out = []
                 for uid, doc, ho, words, s in zip(part["uid"], part["doc_id"], part["held_out"], texts, score, strict=True):
                     base, known, inner, rare = common.get(END_WORD, np.log10(SMOOTH)), int(END_WORD in held), 0.0, Counter()
@@ -271,7 +332,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     schema = "uid long, word binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(run, schema)
+    parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(lean(run), schema)
     joined = parts.join(counts, "word", "left")  # a document's own row has a word that no text holds
     rare = F.when(F.col("n_tokens").isNull(), F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)))
     known = F.when(F.col("n_tokens").isNull() & F.col("n").isNotNull(), F.col("k"))

@@ -305,14 +305,32 @@ def test_scores_and_counts(spark, sf_dir, docs):
 
 
 def test_model_probabilities_sum_to_one():
-    m = lm.LogBilinear(np.array([5.0, 10, 3, 2, 1]))
+    rng, words = np.random.default_rng(1), 23
+    m = lm.LogBilinear(rng.integers(1, 50, words).astype(float))
     for _ in range(200):
-        b2, b1, w = (np.random.default_rng(1).integers(0, 5, 64) for _ in range(3))
+        b2, b1, w = (rng.integers(0, words, 64) for _ in range(3))
         m.learn(b2, b1, w, np.ones(64, np.float32))
-    s1, s2 = m.pair_tables()
-    z = m.log_norms(np.arange(5))
-    p = np.exp(s1[None, :, :] + s2[:, None, :] + m.b - z[:, :, None])
-    assert np.allclose(p.sum(-1), 1, atol=1e-4)
+    b2, b1, w = (x.ravel() for x in np.meshgrid(range(words), range(words), range(words), indexing="ij"))
+    p = np.exp(m.log_probabilities(b2, b1, w)).reshape(words * words, words)
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    q = m.r[5] @ m.c1 + m.r[7] @ m.c2
+    by_class = np.exp(m.rc @ q + m.bc)
+    own = np.exp(m.r @ q + m.b)
+    want = [by_class[c] / by_class.sum() * own[i] / own[m.of == c].sum() for i, c in enumerate(m.of)]
+    assert np.allclose(p[7 * words + 5], want, rtol=1e-4)
+
+
+def test_model_learns_what_follows(spark):
+    """Words come in fixed threes, so the third is sure after the first two;
+    the model does not depend on how the table is partitioned."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["a1 b1 c1", "a2 b2 c2", "a1 b2 c3", "a2 b1 c4"]) for _ in range(30))) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.lm_scores(df.repartition(7)).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm.lm_scores(df.coalesce(1)).collect()}
+    assert all(abs(r["score"] - again[i]) < 1e-3 for i, r in got.items())
+    held = [r for r in got.values() if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > 0.85 * sum(r["base_score"] for r in held)
 
 
 def test_lm_edge_cases(spark):
