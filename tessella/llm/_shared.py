@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,20 @@ def lean(run: Callable) -> Callable:
     return trimmed
 
 
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], dict]) -> dict:
+    """What ``fit`` makes of a sample of bounded size, in one task; only the
+    result reaches the driver. Rows come in no fixed order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=names)
+        del held
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+
+    names = sample.columns
+    return pickle.loads(sample.repartition(1).mapInPandas(lean(run), "model binary").first()["model"])
+
+
 def give_back() -> None:
     """Return memory that this Python process no longer uses to the system."""
     import pyarrow

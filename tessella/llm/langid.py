@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import give_back, lean, small_batches, split_of, table, text_batches
+from tessella.llm._shared import fitted, lean, small_batches, split_of, table, text_batches
 
-BUCKETS, ORDERS, SAMPLE_PER_LANGUAGE, EPOCHS = 1 << 14, (1, 2, 3), 800, 3
+BUCKETS, ORDERS, SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, EPOCHS = 1 << 14, (1, 2, 3), 800, 100, 3
 SCALE = 40.0
 
 
@@ -95,7 +95,8 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Learn from the rows with a text and a language.
 
-    Document frequencies cover all of them; the weights are fitted on a sample
+    The MOST_LANGUAGES most frequent languages are learnt (a table of labels
+    with stray values has no more). Document frequencies cover all rows; the weights are fitted on a sample
     of about ``per_language`` documents of each language, chosen by a hash of
     the id, of which every fifth only sets the temperature.
     """
@@ -103,7 +104,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "weights": np.zeros((BUCKETS, 0), np.float32), "temperature": 1.0}
@@ -125,20 +127,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 yield pd.DataFrame(out, columns=["lang", "h", "at", "x"])
 
     sample = rows.filter(chance < limit).select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    got = sample.mapInPandas(lean(run), "lang string, h long, at array<int>, x array<float>").toPandas().sort_values("h", kind="stable")
-    data = [(np.asarray(a, np.int32), np.asarray(x, np.float32), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
-    del got
-    held, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
-    model = FtrlSoftmax(len(langs))
-    for _ in range(EPOCHS):
-        for at, x, label in fit:
-            model.learn(at, x, label)
-    w = model.weights()
-    del fit
-    t = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([k for _, _, k in held])) if len(held) > 20 else 1.0
-    del data, held
-    give_back()
-    return {"langs": langs, "weights": (w * idf[:, None] * SCALE).astype(np.float32), "temperature": t}
+    def fit(got: pd.DataFrame) -> dict:
+        got = got.sort_values("h", kind="stable")
+        data = [(np.asarray(a, np.int32), np.asarray(x, np.float32), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
+        held, learn = data[::5], [d for i, d in enumerate(data) if i % 5] or data
+        model = FtrlSoftmax(len(langs))
+        for _ in range(EPOCHS):
+            for at, x, label in learn:
+                model.learn(at, x, label)
+        w = model.weights()
+        t = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([k for _, _, k in held])) if len(held) > 20 else 1.0
+        return {"langs": langs, "weights": (w * idf[:, None] * SCALE).astype(np.float32), "temperature": t}
+
+    return fitted(sample.mapInPandas(lean(run), "lang string, h long, at array<int>, x array<float>"), fit)
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", into: str = "guess") -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import lean, small_batches, split_of, table, text_batches
+from tessella.llm._shared import fitted, lean, small_batches, split_of, table, text_batches
 from tessella.llm._words import NO_LETTER, word_hashes
 
 BITS, PREFIXES, SAMPLE, FACTORS, EPOCHS, THRESHOLD = 20, (4, 5, 6), 10_000, 8, 8, 0.7
@@ -131,16 +131,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 found = [(both[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pd.DataFrame({"h": own["h"].to_numpy(), "toxic": own["toxic"].to_numpy(), "at": found})
 
-    got = part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(lean(run), "h long, toxic int, at array<int>").toPandas().sort_values("h", kind="stable")
-    rows, y = [np.asarray(a, np.int32) for a in got["at"]], got["toxic"].to_numpy(float)
-    del got
-    chosen, shrink = known_terms(rows, y)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
-    kept = [p[p >= 0] for p in (place[r] for r in rows)]
-    del rows
-    model = FactorizationMachine(len(chosen)).fit(kept, y, shrink=shrink) if len(kept) else FactorizationMachine(0)
-    return {"chosen": chosen, "bias": model.bias, "w": model.w, "v": model.v}
+    def fit(got: pd.DataFrame) -> dict:
+        got = got.sort_values("h", kind="stable")
+        rows, y = [np.asarray(a, np.int32) for a in got["at"]], got["toxic"].to_numpy(float)
+        chosen, shrink = known_terms(rows, y)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        rows = [p[p >= 0] for p in (place[r] for r in rows)]
+        model = FactorizationMachine(len(chosen))
+        if len(rows):
+            model.fit(rows, y, shrink=shrink)
+        return {"chosen": chosen.astype(np.int32), "bias": model.bias, "w": model.w, "v": model.v}
+
+    return fitted(part.select("text", "toxic", F.xxhash64("doc_id", F.lit(3)).alias("h")).mapInPandas(lean(run), "h long, toxic int, at array<int>"), fit)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", into: str = "toxicity") -> DataFrame:
