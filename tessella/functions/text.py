@@ -56,8 +56,9 @@ def token_case(name: Column | str) -> Column:
 
 
 def screaming_snake(name: Column | str) -> Column:
-    """A relationship name in upper case with single underscores."""
-    x = F.regexp_replace(F.trim(_c(name)), r"[\s-]+", "_")
+    """a relationship name in upper case with single underscores; spaces,
+    hyphens and dots part its words."""
+    x = F.regexp_replace(_c(name), r"[\s\-.]+", "_")
     x = F.regexp_replace(x, r"[^A-Za-z0-9_]", "")
     return F.trim(F.upper(F.regexp_replace(x, r"_+", "_")), F.lit("_"))
 
@@ -66,15 +67,30 @@ def dedupe_key(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(_c(text), r"\s+", " ")))
 
 
+_PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+
+
 def capitalised_phrases(text: Column | str) -> Column:
-    """Runs of capitalised words, in order of place."""
-    return F.regexp_extract_all(_c(text), F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*"), 0)
+    """runs of capitalised words between word bounds, in order of place."""
+    return F.regexp_extract_all(_c(text), F.lit(rf"(?U)\b{_PHRASE}\b"), 0)
 
 
 def quoted_phrases(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit('"([^"]+)"'), 1)
 
 
+def phrases_after_the(text: Column | str) -> Column:
+    return F.regexp_extract_all(_c(text), F.lit(rf"(?U)\bthe\s+({_PHRASE})\b"), 1)
+
+
+def keywords(text: Column | str) -> Column:
+    """at most 10 capitalised, 5 quoted and 5 after-the phrases, 20 in
+    all, each once. Which ones are taken is by place (the surveyed set order
+    is arbitrary)."""
+    kinds = ((capitalised_phrases, 10), (quoted_phrases, 5), (phrases_after_the, 5))
+    return F.slice(F.array_distinct(F.concat(*(F.slice(F.array_distinct(f(text)), 1, n) for f, n in kinds))), 1, 20)
+
+
 def years(text: Column | str) -> Column:
     """Years with an era mark."""
     return F.transform(F.regexp_extract_all(_c(text), F.lit(r"(\d{3,4})\s*(?:DR|CR|Age)"), 1), lambda y: y.cast("int"))
@@ -191,8 +207,15 @@ def dynamic_most_tokens(sentences: Column, base: int = 200, most: int = 500) ->
     return F.when(F.size(sentences) == 0, most).otherwise(F.greatest(F.lit(int(base * 1.5)), F.least(size, F.lit(most * 2))))
 
 
-def retry_after_seconds(value: Column | str) -> Column:
-    """``250ms`` or ``12`` or ``1.5s`` in seconds; null for anything else."""
-    x = F.lower(F.trim(_c(value)))
-    number = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    return F.when(x.rlike(r"^[0-9.]+ms$"), number / 1000).when(x.rlike(r"^[0-9.]+s?$"), number)
+def retry_after_seconds(value: Column | str, milliseconds: Column | None = None, now: Column | None = None) -> Column:
+    """the wait that a response asks for. A valid number in its
+    milliseconds header comes first; then a number of seconds, or an HTTP date
+    against ``now``, neither below zero; null for anything else."""
+    date = F.try_to_timestamp(F.regexp_replace(F.trim(_c(value)), r"^[A-Za-z]{3},\s*|\s*(?:GMT|UTC)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    until = F.unix_micros(date) / 1e6 - F.unix_micros(F.current_timestamp() if now is None else now) / 1e6
+    number = F.coalesce(F.trim(_c(value)).try_cast("double"), until)
+    given = F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).when(number < 0, 0.0).otherwise(number)
+    if milliseconds is None:
+        return given
+    ms = F.trim(milliseconds).try_cast("double") / 1000
+    return F.when((ms >= 0) & ~F.isnan(ms) & (ms != float("inf")), ms).otherwise(given)

@@ -57,19 +57,37 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
-def packed_sentences(docs: DataFrame, id_col: str, text_col: str, least: int = 100, most: int = 500) -> DataFrame:
-    """Sentences packed in order up to ``most`` characters; pieces under
-    ``least`` are dropped. A fold over each document's sentences."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def word_tokens(text: Column) -> Column:
+    """Runs without white space, which stand for tokens here."""
+    return F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
 
-    def step(acc, s):
-        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-        full = (acc["open"] != "") & (F.length(joined) > most)
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open"))).otherwise(F.struct(acc["done"].alias("done"), joined.alias("open")))
 
-    packed = F.aggregate(sentences(F.col(text_col)), start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    kept = F.filter(packed, lambda p: F.length(p) >= least)
-    return docs.select(id_col, F.posexplode(kept).alias("chunk_index", "text"))
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def packed_paragraphs(docs: DataFrame, id_col: str, text_col: str, least: int = 100, most: int = 500, overlap: int = 50) -> DataFrame:
+    """Texts of up to ``most`` tokens whole; longer ones packed by
+    paragraphs, and paragraphs that are too long by sentences. A full piece is
+    kept from ``least`` tokens on, and the next one starts with its last
+    ``overlap`` characters. A fold over each document's units."""
+    text = F.col(text_col)
+    units = F.flatten(F.transform(F.split(text, "\n\n"), lambda p: F.when(
+        word_tokens(p) > most, F.transform(F.split(p, r"(?<=[.!?])\s+"), lambda s: F.struct(s.alias("text"), F.lit(" ").alias("end")))
+    ).otherwise(F.array(F.struct(p.alias("text"), F.lit("\n\n").alias("end"))))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("tokens"))
+
+    def step(acc, u):
+        n, added = word_tokens(u["text"]), F.concat(u["text"], u["end"])
+        tail = F.when(F.length(acc["open"]) > overlap, F.right(acc["open"], F.lit(overlap))).otherwise("")
+        fresh = F.concat(tail, added)
+        done = F.when(acc["tokens"] >= least, F.concat(acc["done"], F.array(stripped(acc["open"])))).otherwise(acc["done"])
+        joined = F.struct(acc["done"].alias("done"), F.concat(acc["open"], added).alias("open"), (acc["tokens"] + n).alias("tokens"))
+        return F.when(acc["tokens"] + n <= most, joined).otherwise(F.struct(done.alias("done"), fresh.alias("open"), word_tokens(fresh).alias("tokens")))
+
+    end = lambda a: F.when((a["tokens"] >= least) & (stripped(a["open"]) != ""), F.concat(a["done"], F.array(stripped(a["open"])))).otherwise(a["done"])
+    pieces = F.when(word_tokens(text) <= most, F.array(text)).otherwise(F.aggregate(units, start, step, end))
+    return docs.select(id_col, F.posexplode(pieces).alias("chunk_index", "text"))
 
 
 class SemanticChunker:
@@ -106,6 +124,7 @@ class SemanticChunker:
 
         out: list[tuple[str, int]] = []
         held: list[int] = []
+        tokens, total = 0, 0.0
         sizes = [len(s.split()) for s in sentences]
         x = np.array(vectors, float)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
@@ -115,16 +134,16 @@ class SemanticChunker:
             out.append((f"[Continuing from {title}] {text}" if out and title else text, sum(sizes[i] for i in held)))
 
         for i in range(len(sentences)):
-            tokens = sum(sizes[j] for j in held)
-            mean = x[held].mean(0) if held else None
-            similarity = float(mean @ x[i] / max(np.linalg.norm(mean), 1e-12)) if held else 1.0
+            similarity = float(total @ x[i] / max(np.linalg.norm(total), 1e-12)) if held else 1.0
             if held and self.starts_new(tokens, sizes[i], similarity):
                 close()
                 again = self.overlapping([sizes[j] for j in held], self.overlap * self.base)
                 held = held[len(held) - again :]
-                if sum(sizes[j] for j in held) + sizes[i] > self.most:
-                    held = []
+                tokens, total = sum(sizes[j] for j in held), x[held].sum(0)
+                if tokens + sizes[i] > self.most:
+                    held, tokens, total = [], 0, 0.0
             held.append(i)
+            tokens, total = tokens + sizes[i], total + x[i]
         if held:
             close()
         return out

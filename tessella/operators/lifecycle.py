@@ -39,7 +39,7 @@ FAILURES = [
     ("configuration", "provider_request_rejected", ("4xx",), (), "pause_systemic"),
     ("configuration", "invalid_configuration", (), ("valueerror", "configuration"), "pause_systemic"),
 ]
-OTHER_FAILURE = ("unknown", "unexpected_failure", "retry")
+OTHER_FAILURE = ("internal", "unclassified_runtime_error", "retry")
 
 
 def seed_jobs(episodes: DataFrame, id_col: str, text_col: str, budget: int = 3) -> DataFrame:
@@ -113,10 +113,18 @@ def retry_quarantined(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     }).drop("_w", "ok")
 
 
-def verified(candidate: Column, exact: Column, fingerprint: Column, leased: Column, expired: Column) -> Column:
-    """Result of a completion check: every count is one and the source is the
-    leased one."""
-    return F.when(expired, "lease_expired").when(fingerprint != leased, "source_changed").when((candidate == 1) & (exact == 1), "verified").otherwise("rejected")
+# The counts of a completion check that must all be one; the embedding profile's
+# is looked at only where one is configured.
+VERIFIED_COUNTS = ["candidate", "stable_id", "source_description", "source_fingerprint", "sync_profile", "exact"]
+
+
+def verified(counts: dict[str, Column], embedding_profile: Column, fingerprint: Column, leased: Column, expired: Column) -> Column:
+    """Result of a completion check. ``counts`` has a column for each of
+    VERIFIED_COUNTS and for ``embedding_profile``; the source must be the leased one."""
+    exact = embedding_profile.isNull() | (counts["embedding_profile"] == 1)
+    for name in VERIFIED_COUNTS:
+        exact = exact & (counts[name] == 1)
+    return F.when(expired, "lease_expired").when(fingerprint != leased, "source_changed").when(exact, "verified").otherwise("rejected")
 
 
 def failure(status: Column, name: Column) -> Column:

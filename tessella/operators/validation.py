@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessella.functions.text import screaming_snake
 
 # Fixed values of the rules.
-SYMMETRIC = ["allied_with", "opposed_to", "related_to", "connected_to", "married_to", "sibling_of", "friend_of", "enemy_of"]
+SYMMETRIC = ["allied_with", "married_to", "sibling_of", "friend_of", "enemy_of", "opposed_to"]
+GENERIC = "relates_to"
 EXCLUSIVE = [("allied_with", "opposed_to"), ("friend_of", "enemy_of"), ("protects", "threatens"), ("supports", "opposes")]
 INVERSES = [("commands", "serves_under"), ("rules", "governed_by"), ("created_by", "creation_of"), ("parent_of", "child_of"), ("teaches", "student_of")]
 TYPE_PROPERTIES = ["semantic_type", "relationship_type", "type", "kind", "nature"]
@@ -27,23 +28,27 @@ def normal_type(kind: Column | str) -> Column:
 
 
 def semantic_type(props: Column) -> Column:
-    """The type in a property map: the first of TYPE_PROPERTIES that is there,
-    then the name, then a word of the fact, else null."""
-    given = [F.try_element_at(props, F.lit(k)) for k in (*TYPE_PROPERTIES, "name")]
-    fact, by_word = F.lower(F.try_element_at(props, F.lit("fact"))), F.lit(None).cast("string")
+    """V1: the type in a property map: the first key of TYPE_PROPERTIES, then
+    ``name``, that is there (a present null reads ``None``), then a word of the
+    fact, else null."""
+    fact, out = F.lower(F.try_element_at(props, F.lit("fact"))), F.lit(None).cast("string")
     for words, kind in reversed(FACT_WORDS):
         hit = F.lit(False)
         for word in words:
             hit = hit | fact.contains(word)
-        by_word = F.when(hit, kind).otherwise(by_word)
-    return F.coalesce(*given, by_word)
+        out = F.when(hit, kind).otherwise(out)
+    for key in reversed((*TYPE_PROPERTIES, "name")):
+        out = F.when(F.map_contains_key(props, F.lit(key)), F.coalesce(F.try_element_at(props, F.lit(key)), F.lit("None"))).otherwise(out)
+    return out
 
 
 def missing_reverse(edges: DataFrame, symmetric: list[str]) -> DataFrame:
-    """Symmetric types between two nodes in one direction only."""
-    typed = edges.withColumn("t", normal_type("type")).filter(F.col("t").isin(symmetric))
-    pairs = typed.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("t").alias("t"))
-    return _finding(pairs.filter("n = 1"), "missing_reverse", "info", 0.6, 3, F.col("id"), F.col("t"))
+    """V2: unordered pairs with exactly one typed edge, of whatever type, whose
+    type is symmetric. Untyped and generic edges do not count."""
+    typed = edges.filter((F.col("type") != "") & (normal_type("type") != GENERIC))
+    pairs = typed.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("type").alias("type"))
+    t = F.replace(F.lower("type"), F.lit(" "), F.lit("_"))
+    return _finding(pairs.filter((F.col("n") == 1) & t.isin(symmetric)), "missing_reverse", "info", 0.6, 3, F.col("id"), t)
 
 
 def exclusive_types(edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -72,10 +77,17 @@ def missing_inverse(edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame
 
 
 def untyped(edges: DataFrame, generic: str) -> DataFrame:
+    """V5, first rule: generic edges without a fact."""
     bad = edges.filter((normal_type("type") == generic) & (F.coalesce("fact", F.lit("")) == ""))
     return _finding(bad, "untyped", "warning", 0.8, 2, F.col("id"), F.col("type"))
 
 
+def rich_mentions(edges: DataFrame, props: str = "props") -> DataFrame:
+    """V5, second rule: mentions that carry a type of their own."""
+    kind = semantic_type(F.col(props))
+    return _finding(edges.filter((normal_type("type") == "mentions") & (kind != "")), "rich_mention", "info", 0.5, 3, F.col("id"), kind)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
     return _finding(nodes.join(ends, "id", "left_anti"), "orphan", "info", 0.4, 4, F.col("id"), F.col("name"))
@@ -116,27 +128,36 @@ def content_check(texts: DataFrame, names: DataFrame, text: str) -> DataFrame:
 
 
 # -- correction --------------------------------------------------------------
-def completeness(edges: DataFrame) -> Column:
-    """Points of an edge for what it carries."""
-    present = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0)
-    columns = set(edges.columns)
-    score = F.lit(0)
-    for name, points in (("fact_embedding", 100), ("name_embedding", 100), ("name", 50), ("fact", 30), ("created_at", 10)):
-        if name in columns:
-            score = score + points * (F.when(F.col(name).isNotNull(), 1).otherwise(0) if name.endswith(("embedding", "at")) else present(name))
-    if "episodes" in columns:
-        score = score + F.least(5 * F.size(F.coalesce("episodes", F.array().cast("array<string>"))), F.lit(50))
-    return score
-
-
-def duplicate_corrections(edges: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Delete all but the best of the edges with one (src, dst, type)."""
+def completeness(props: Column) -> Column:
+    """Points of an edge for its properties, a map of texts: 100 for each
+    embedding key and 10 for created_at that is there, null or not; 50 for a
+    name, 30 for a fact, 5 for each episode (a JSON list, or one) up to 50; and
+    one for every property."""
+    has, value = (lambda k: F.map_contains_key(props, F.lit(k))), (lambda k: F.coalesce(F.try_element_at(props, F.lit(k)), F.lit("")))
+    points = lambda ok, n: F.when(ok, n).otherwise(0)
+    listed = F.from_json(value("episodes"), "array<string>")
+    episodes = F.when(value("episodes") == "", 0).when(value("episodes").startswith("["), F.least(5 * F.size(F.coalesce(listed, F.array().cast("array<string>"))), F.lit(50))).otherwise(5)
+    return (
+        points(has("fact_embedding"), 100) + points(has("name_embedding"), 100) + points(value("name") != "", 50) + points(value("fact") != "", 30)
+        + episodes + points(has("created_at"), 10) + F.size(props)
+    )
+
+
+def properties(edges: DataFrame) -> Column:
+    """The property map of an edge: ``props`` where there is one, else its fact."""
+    return F.col("props") if "props" in edges.columns else F.create_map(F.lit("fact"), F.col("fact"))
+
+
+def duplicate_corrections(edges: DataFrame, confidence: float = 0.95, most: int | None = None) -> DataFrame:
+    """Delete all but the best of the edges with one (src, dst, type); at
+    most ``most`` of a group, the worst first, if that is given (X5)."""
     kind = F.lower(F.trim("type"))
-    rows = edges.withColumn("_t", kind).filter("_t <> ''").withColumn("_score", completeness(edges))
+    rows = edges.withColumn("_t", kind).filter("_t <> ''").withColumn("_score", completeness(properties(edges)))
     w = Window.partitionBy("src", "dst", "_t")
-    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_score"), "id")))
+    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_score"), "id"))).withColumn("_last", F.count(F.lit(1)).over(w))
     keep = F.first("id").over(w.orderBy(F.desc("_score"), "id"))
-    return ranked.withColumn("kept_id", keep).filter("_n > 1").select(
+    chosen = (F.col("_n") > 1) & (F.lit(True) if most is None else F.col("_last") - F.col("_n") < most)
+    return ranked.withColumn("kept_id", keep).filter(chosen).select(
         F.lit("delete").alias("action"), "id", "kept_id", F.lit(None).cast("string").alias("new_type"), F.lit(confidence).alias("confidence"),
         F.to_json(F.struct("id", "src", "dst", "type", "fact")).alias("backup"),
     )
@@ -151,9 +172,11 @@ def standardise_corrections(edges: DataFrame, confidence: float = 0.90) -> DataF
     )
 
 
-def correction_plan(edges: DataFrame, least: float = 0.0, batch: str = "batch") -> DataFrame:
-    """Deletions, then renames of what is left, at or over a confidence."""
-    deletes = duplicate_corrections(edges)
+def correction_plan(edges: DataFrame, least: float = 0.0, batch: str = "batch", most: int | None = None) -> DataFrame:
+    """Deletions, then renames of what is left, at or over a confidence, and
+    at most ``most`` of either kind for an edge's group. Nothing is changed
+    before ``apply_corrections``, so the plan is the dry run."""
+    deletes = duplicate_corrections(edges, most=most)
     left = edges.join(deletes.select("id"), "id", "left_anti")
     plan = deletes.unionByName(standardise_corrections(left)).filter(F.col("confidence") >= least)
     return plan.withColumn("batch", F.lit(batch)).withColumn("step", F.when(F.col("action") == "delete", 1).otherwise(2))
@@ -178,3 +201,44 @@ def rollback_statistics(applied: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "delete").alias("deletes"), F.count_if(F.col("action") == "rename").alias("renames"),
         F.round(F.avg("confidence"), 3).alias("confidence"),
     )
+
+
+def rollback_report(edges: DataFrame, applied: DataFrame) -> DataFrame:
+    """What a rollback does with each applied correction (id, action,
+    backup, applied_at), the last applied first: ``restored``, ``renamed_back``,
+    ``already_present`` (a deleted edge that is there again), ``edge_gone`` (a
+    renamed edge that is not) or ``no_backup``."""
+    here = edges.select("id", F.lit(True).alias("here"))
+    j = applied.join(here, "id", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+    outcome = (
+        F.when(F.col("backup").isNull(), "no_backup").when((F.col("action") == "delete") & F.col("here"), "already_present").when(F.col("action") == "delete", "restored")
+        .when(F.col("here"), "renamed_back").otherwise("edge_gone")
+    )
+    return j.select("id", "action", outcome.alias("outcome"), F.col("applied_at"))
+
+
+def rollback_history(applied: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Per batch of the last ``days`` days, what was applied, rolled back
+    and failed, and when."""
+    recent = applied.filter(F.col("applied_at") >= now - F.make_dt_interval(days=F.lit(days)))
+    return recent.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("total"), F.count("rolled_back_at").alias("rolled_back"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.min("applied_at").alias("first"), F.max("applied_at").alias("last"), F.round(100 * F.try_divide(F.count("rolled_back_at"), F.count(F.lit(1))), 3).alias("percent"),
+    )
+
+
+def can_roll_back(status: Column, rolled_back_at: Column, backup: Column) -> Column:
+    """D3: a correction can be undone once, if it was applied and its backup is there."""
+    return F.coalesce((status == "applied") & rolled_back_at.isNull() & backup.isNotNull(), F.lit(False))
+
+
+def markdown_report(findings: DataFrame, title: str) -> DataFrame:
+    """V9: the report as Markdown lines (pos, line): a title, the number of
+    findings, then a section for each severity, the worst first, with a line for
+    each rule. The rows are one for each severity and rule."""
+    rows = report(findings)
+    n = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    heads = rows.groupBy("severity").agg(F.sum("n").alias("n")).select((n * 1000).alias("pos"), F.lit("").alias("rule"), F.concat(F.lit("## "), F.initcap("severity"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    lines = rows.select((n * 1000 + 1).alias("pos"), "rule", F.concat(F.lit("- "), "rule", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    top = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(1).cast("long").alias("pos"), F.lit("").alias("rule"), F.concat(F.lit(f"# {title}: "), F.col("n").cast("string"), F.lit(" findings")).alias("line"))
+    return top.unionByName(heads).unionByName(lines).orderBy("pos", "rule").select("pos", "rule", "line")

@@ -99,7 +99,7 @@ def g13(spark, d):
     return G.within(e, G.k_hop(e, seeds, 2)).select("id")
 
 
-@query("g17_upsert_edges", NE + ", w AS (SELECT src, dst, type, 'new' AS fact FROM edges WHERE src LIKE 'n%' UNION ALL SELECT 'r1', 'r2', 'NEAR', 'new') SELECT coalesce(e.id, w.src || '>' || w.type || '>' || w.dst) AS id, coalesce(w.fact, e.fact) AS fact FROM edges e FULL JOIN w ON e.src = w.src AND e.dst = w.dst AND e.type = w.type")
+@query("g17_upsert_edges", NE + " SELECT e.id, CASE WHEN src LIKE 'n%' THEN 'new' ELSE fact END AS fact FROM edges e UNION ALL SELECT 'r1>NEAR>r2', 'new'")
 def g17(spark, d):
     e = I.edges(spark, d)
     wanted = e.filter("src like 'n%'").select("src", "dst", "type", F.lit("new").alias("fact")).union(spark.createDataFrame([("r1", "r2", "NEAR", "new")], "src string, dst string, type string, fact string"))
@@ -119,19 +119,25 @@ def g20(spark, d):
 # -- validation: relationships between customers, from their shared orders' events
 _REL = """rel AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS src, (event_id * 7 % 150)::VARCHAR AS dst,
  CASE event_type WHEN 'signup' THEN 'Allied With' WHEN 'error' THEN 'opposed-to' WHEN 'click' THEN 'parent of' WHEN 'view' THEN 'CHILD_OF' ELSE 'RELATES_TO' END AS type,
- CASE WHEN value > 50 THEN 'fact ' || event_type ELSE '' END AS fact FROM events)"""
+ CASE WHEN value > 50 THEN 'fact ' || event_type ELSE '' END AS fact, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 52 WHEN 2 THEN 102 ELSE 23 END + CASE WHEN value > 50 THEN 30 ELSE 0 END AS score FROM events)"""
 _T = r"lower(regexp_replace(trim(type), '[\s-]+', '_', 'g'))"
 
 
 def _relations(spark, d):
     kind = F.when(F.col("event_type") == "signup", "Allied With").when(F.col("event_type") == "error", "opposed-to").when(F.col("event_type") == "click", "parent of").when(F.col("event_type") == "view", "CHILD_OF").otherwise("RELATES_TO")
+    fact, i, m = F.when(F.col("value") > 50, F.concat(F.lit("fact "), "event_type")).otherwise(""), F.col("event_id") % 4, F.lit
+    none = F.lit(None).cast("string")
+    props = (
+        F.when(i == 0, F.create_map(m("fact"), fact)).when(i == 1, F.create_map(m("fact"), fact, m("name"), m("x"))).when(i == 2, F.create_map(m("fact"), fact, m("fact_embedding"), none))
+        .otherwise(F.create_map(m("fact"), fact, m("created_at"), none, m("episodes"), m('["a","b"]')))
+    )
     return table(spark, d, "events").select(
-        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("src"), (F.col("event_id") * 7 % 150).cast("string").alias("dst"),
-        kind.alias("type"), F.when(F.col("value") > 50, F.concat(F.lit("fact "), "event_type")).otherwise("").alias("fact"),
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("src"), (F.col("event_id") * 7 % 150).cast("string").alias("dst"), kind.alias("type"), fact.alias("fact"), props.alias("props"),
     )
 
 
-@query("v02_missing_reverse", f"WITH {_REL} SELECT min(id) AS subject, min({_T}) AS detail FROM rel WHERE {_T} IN ('allied_with', 'opposed_to') GROUP BY least(src, dst), greatest(src, dst) HAVING count(*) = 1")
+@query("v02_missing_reverse", f"""WITH {_REL}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, min(id) AS subject, replace(lower(min(type)), ' ', '_') AS detail FROM rel WHERE type <> 'RELATES_TO' GROUP BY 1, 2)
+ SELECT subject, detail FROM p WHERE n = 1 AND detail IN ('allied_with', 'married_to', 'sibling_of', 'friend_of', 'enemy_of', 'opposed_to')""")
 def v02(spark, d):
     return V.missing_reverse(_relations(spark, d), V.SYMMETRIC).select("subject", "detail")
 
@@ -185,8 +191,8 @@ def v09(spark, d):
     return V.report(V.untyped(r, "relates_to").unionByName(V.duplicate_edges(r)))
 
 
-@query("v10_content_check", """WITH p AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'))) AS name FROM documents),
- k AS (SELECT DISTINCT list_extract(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), 1) AS name FROM documents WHERE lang = 'en'),
+@query("v10_content_check", """WITH p AS (SELECT doc_id AS id, unnest(list_distinct(PHRASES(text))) AS name FROM documents),
+ k AS (SELECT DISTINCT list_extract(PHRASES(text), 1) AS name FROM documents WHERE lang = 'en'),
  c AS (SELECT id, count(k.name) AS known, count(*) - count(k.name) AS unknown FROM p LEFT JOIN k USING (name) GROUP BY id)
  SELECT doc_id AS id, coalesce(known, 0) AS known, coalesce(unknown, 0) AS unknown, round(greatest(0.0, least(1.0, 0.8 - 0.1 * coalesce(unknown, 0))), 6) AS confidence FROM documents LEFT JOIN c ON c.id = doc_id""")
 def v10(spark, d):
@@ -196,8 +202,8 @@ def v10(spark, d):
     return out.select("id", "known", "unknown", F.round("confidence", 6).alias("confidence"))
 
 
-_SNAKE = r"trim(upper(regexp_replace(regexp_replace(regexp_replace(trim(type), '[\s-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g')), '_')"
-_DEL = f"del AS (SELECT id, kept_id FROM (SELECT id, row_number() OVER w AS n, first_value(id) OVER w AS kept_id FROM rel WINDOW w AS (PARTITION BY src, dst, lower(trim(type)) ORDER BY CASE WHEN fact <> '' THEN 30 ELSE 0 END DESC, id)) WHERE n > 1)"
+_SNAKE = r"trim(upper(regexp_replace(regexp_replace(regexp_replace(type, '[\s\-.]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g')), '_')"
+_DEL = f"del AS (SELECT id, kept_id FROM (SELECT id, row_number() OVER w AS n, first_value(id) OVER w AS kept_id FROM rel WINDOW w AS (PARTITION BY src, dst, lower(trim(type)) ORDER BY score DESC, id)) WHERE n > 1)"
 _REN = f"ren AS (SELECT id, {_SNAKE} AS new_type FROM rel WHERE id NOT IN (SELECT id FROM del) AND {_SNAKE} <> type)"
 
 
@@ -227,3 +233,50 @@ def x07(spark, d):
 @query("x08_batch_statistics", f"WITH {_REL}, {_DEL}, {_REN} SELECT 'batch' AS batch, (SELECT count(*) FROM del) + (SELECT count(*) FROM ren) AS total, (SELECT count(*) FROM del) AS deletes, (SELECT count(*) FROM ren) AS renames, round(((SELECT count(*) FROM del) * 0.95 + (SELECT count(*) FROM ren) * 0.9) / ((SELECT count(*) FROM del) + (SELECT count(*) FROM ren)), 3) AS confidence")
 def x08(spark, d):
     return V.rollback_statistics(V.correction_plan(_relations(spark, d)))
+
+
+@query("v05_rich_mentions", "SELECT event_id::VARCHAR AS subject, CASE WHEN event_id % 4 = 0 THEN 'loves' WHEN value > 60 THEN 'allied_with' END AS detail FROM events WHERE event_type = 'view' AND (event_id % 4 = 0 OR value > 60)")
+def v05b(spark, d):
+    props = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("nature"), F.lit("loves"))).when(F.col("value") > 60, F.create_map(F.lit("fact"), F.lit("an ALLIANCE"))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "view", "MENTIONS").otherwise("other").alias("type"), props.alias("props"))
+    return V.rich_mentions(rows).select("subject", "detail")
+
+
+@query("v09_markdown_report", f"""WITH {_REL}, f AS (SELECT 'untyped' AS rule FROM rel WHERE {_T} = 'relates_to' AND fact = '' UNION ALL SELECT 'duplicate' FROM rel GROUP BY src, dst, lower(type) HAVING count(*) > 1)
+ SELECT 1 AS pos, '' AS rule, '# Check: ' || count(*) || ' findings' AS line FROM f UNION ALL SELECT 3000, '', '## Warning (' || count(*) || ')' FROM f HAVING count(*) > 0 UNION ALL SELECT 3001, rule, '- ' || rule || ': ' || count(*) FROM f GROUP BY rule""")
+def v09b(spark, d):
+    r = _relations(spark, d)
+    return V.markdown_report(V.untyped(r, "relates_to").unionByName(V.duplicate_edges(r)), "Check")
+
+
+@query("x05_capped_plan", f"""WITH {_REL}, r AS (SELECT id, row_number() OVER w AS n, count(*) OVER (PARTITION BY src, dst, lower(trim(type))) AS size FROM rel WINDOW w AS (PARTITION BY src, dst, lower(trim(type)) ORDER BY score DESC, id)),
+ del AS (SELECT id FROM r WHERE n > 1 AND size - n < 2), {_REN} SELECT 'delete' AS action, id, NULL AS new_type FROM del UNION ALL SELECT 'rename', id, new_type FROM ren""")
+def x05b(spark, d):
+    return V.correction_plan(_relations(spark, d), most=2).select("action", "id", "new_type")
+
+
+def _applied(spark, d):
+    e = table(spark, d, "events")
+    i = F.col("event_id")
+    return e.select(
+        i.cast("string").alias("id"), F.when(i % 2 == 0, "delete").otherwise("rename").alias("action"), F.when(i % 9 != 0, F.lit("{}")).alias("backup"), F.col("user_id").alias("batch"), F.col("ts").alias("applied_at"),
+        F.when(i % 4 == 1, F.col("ts")).alias("rolled_back_at"), F.when(i % 5 == 0, "failed").otherwise("applied").alias("status"),
+    )
+
+
+@query("x07_rollback_report", "SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 2 = 0 THEN 'delete' ELSE 'rename' END AS action, CASE WHEN event_id % 9 = 0 THEN 'no_backup' WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'already_present' ELSE 'restored' END WHEN event_id % 3 = 0 THEN 'renamed_back' ELSE 'edge_gone' END AS outcome FROM events")
+def x07b(spark, d):
+    edges = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("id"))
+    return V.rollback_report(edges, _applied(spark, d)).select("id", "action", "outcome")
+
+
+@query("x08_rollback_history", "SELECT user_id AS batch, count(*) AS total, count(*) FILTER (WHERE event_id % 4 = 1) AS rolled_back, count(*) FILTER (WHERE event_id % 5 = 0) AS failed, round(100.0 * count(*) FILTER (WHERE event_id % 4 = 1) / count(*), 3) AS percent FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY 1")
+def x08b(spark, d):
+    rows = _applied(spark, d)
+    last = rows.agg(F.max("applied_at").alias("now"))
+    return V.rollback_history(rows.crossJoin(F.broadcast(last)), F.col("now"), 10).select("batch", "total", "rolled_back", "failed", "percent")  # one row beside
+
+
+@query("d03_can_roll_back", "SELECT event_id::VARCHAR AS id, event_id % 9 <> 0 AND event_id % 4 <> 1 AND event_id % 5 <> 0 AS can FROM events")
+def d03(spark, d):
+    return _applied(spark, d).select("id", V.can_roll_back(F.col("status"), F.col("rolled_back_at"), F.col("backup")).alias("can"))

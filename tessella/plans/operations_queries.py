@@ -83,21 +83,24 @@ def l09(spark, d):
     return L.retry_quarantined(jobs, jobs.filter("state = 'quarantined' and used = 1").select("id")).select("id", "state", "generation")
 
 
-@query("l06_verified", """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'lease_expired' WHEN value > 80 THEN 'source_changed' WHEN event_id % 3 = 1 AND event_id % 2 = 1 THEN 'verified' ELSE 'rejected' END AS result FROM events""")
+@query("l06_verified", """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'lease_expired' WHEN value > 80 THEN 'source_changed' WHEN event_id % 3 <= 1 AND event_id % 2 <> 0 AND event_id % 5 < 3 AND (event_id % 7 = 0 OR event_id % 11 <> 0) THEN 'verified' ELSE 'rejected' END AS result FROM events""")
 def l06(spark, d):
-    e = table(spark, d, "events")
-    result = L.verified(F.col("event_id") % 3, F.col("event_id") % 2, F.when(F.col("value") > 80, "b").otherwise("a"), F.lit("a"), F.col("event_type") == "error")
-    return e.select(F.col("event_id").alias("id"), result.alias("result"))
+    i = F.col("event_id")
+    one = lambda bad: F.when(bad, 0).otherwise(1)
+    counts = {"candidate": one(i % 3 == 2), "stable_id": i % 2, "source_description": one(i % 5 == 3), "source_fingerprint": one(i % 5 == 4) * 1, "sync_profile": one(i % 3 == 2), "exact": one(i % 2 == 0), "embedding_profile": F.when(i % 11 == 0, 2).otherwise(1)}
+    result = L.verified(counts, F.when(i % 7 != 0, "profile"), F.when(F.col("value") > 80, "b").otherwise("a"), F.lit("a"), F.col("event_type") == "error")
+    return table(spark, d, "events").select(i.alias("id"), result.alias("result"))
 
 
-@query("l11_failures", """SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'malformed_json' WHEN s = 401 THEN 'authentication' WHEN s = 429 THEN 'rate_limit' WHEN s IN (409, 503) THEN 'transport' WHEN event_type = 'view' THEN 'transport' WHEN s = 404 THEN 'configuration' ELSE 'unknown' END AS class,
+@query("l11_failures", """SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'malformed_json' WHEN s = 401 THEN 'authentication' WHEN s = 429 THEN 'rate_limit' WHEN s IN (409, 503) THEN 'transport' WHEN event_type = 'view' THEN 'transport' WHEN s = 404 THEN 'configuration' ELSE 'internal' END AS class,
+ CASE WHEN event_type = 'click' THEN 'malformed_model_output' WHEN s = 401 THEN 'provider_authentication' WHEN s = 429 THEN 'provider_rate_limit' WHEN s IN (409, 503) THEN 'provider_http_transient' WHEN event_type = 'view' THEN 'provider_transport' WHEN s = 404 THEN 'provider_request_rejected' ELSE 'unclassified_runtime_error' END AS code,
  CASE WHEN event_type = 'click' THEN 'retry' WHEN s IN (401, 429) THEN 'pause_systemic' WHEN s IN (409, 503) OR event_type = 'view' THEN 'retry' WHEN s = 404 THEN 'pause_systemic' ELSE 'retry' END AS disposition
  FROM (SELECT *, CASE event_id % 9 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 409 END AS s FROM events)""")
 def l11(spark, d):
     i, e = F.col("event_id") % 9, F.col("event_type")
     status = F.when(i == 0, 401).when(i == 1, 404).when(i == 2, 429).when(i == 3, 503).when(i == 4, 409)
     name = F.when(e == "view", "ReadTimeout").when(e == "click", "JSONDecodeError").otherwise("Oops")
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), L.failure(status, name).alias("f")).select("id", "f.class", "f.disposition")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), L.failure(status, name).alias("f")).select("id", "f.class", "f.code", "f.disposition")
 
 
 @query("l05_numbered_calls", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS call_number, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 40 AS allowed FROM events")
@@ -105,7 +108,10 @@ def l05(spark, d):
     return L.numbered_calls(table(spark, d, "events"), "user_id", ["ts", "event_id"], 40).select("event_id", "call_number", "allowed")
 
 
-@query("l10_run_states")
+@query("l10_run_states", """SELECT user_id AS run_id, list_reduce(list_prepend('new', list(c ORDER BY ts, event_id)), lambda a, x: CASE
+ WHEN x = 'start' AND a IN ('new', 'stopped') THEN 'running' WHEN x = 'pause' AND a = 'running' THEN 'paused' WHEN x = 'resume' AND a = 'paused' THEN 'running'
+ WHEN x = 'drain' AND a IN ('running', 'paused') THEN 'draining' WHEN x = 'stop' AND a IN ('running', 'paused', 'draining') THEN 'stopped' ELSE a END) AS state FROM
+ (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'error' THEN 'stop' ELSE 'drain' END AS c FROM events) GROUP BY user_id""")
 def l10(spark, d):
     e = F.col("event_type")
     command = F.when(e == "signup", "start").when(e == "view", "pause").when(e == "click", "resume").when(e == "error", "stop").otherwise("drain")
@@ -196,22 +202,14 @@ def q09(spark, d):
     return Q.field_differences(left, right, "id", ["segment", "nation"])
 
 
-_COVERAGE = """SELECT count(v.id) AS stored, count(*) FILTER (WHERE s.fp = v.fp) AS current, count(*) FILTER (WHERE s.fp <> v.fp) AS stale, count(*) FILTER (WHERE v.id IS NULL) AS missing, count(*) FILTER (WHERE s.id IS NULL) AS orphaned FROM
- (SELECT doc_id AS id, sha256(text) AS fp FROM documents WHERE doc_id % 9 <> 0) s FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS fp FROM documents WHERE doc_id < 500) v ON s.id = v.id"""
-
-
-@query("q10_vector_coverage", _COVERAGE)
-def q10(spark, d, keep="id < 500"):
+@query("q10_vector_coverage", """SELECT count(v.id) AS stored, count(*) FILTER (WHERE s.fp = v.fp) AS current, count(*) FILTER (WHERE s.fp <> v.fp) AS stale, count(*) FILTER (WHERE v.id IS NULL) AS missing, count(*) FILTER (WHERE s.id IS NULL) AS orphaned FROM
+ (SELECT doc_id AS id, sha256(text) AS fp FROM documents WHERE doc_id % 9 <> 0) s FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE sha256(text) END AS fp FROM documents WHERE doc_id % 10 <> 1) v ON s.id = v.id""")
+def q10(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"))
-    stored = docs.filter(keep).withColumn("fingerprint", F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("fingerprint")))
+    stored = docs.filter("id % 10 <> 1").withColumn("fingerprint", F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("fingerprint")))
     return Q.coverage(stored, docs.filter("id % 9 <> 0"))
 
 
-@query("q10_vector_coverage_all", _COVERAGE.replace(" WHERE doc_id < 500", ""))
-def q10_all(spark, d):
-    return q10(spark, d, "true")
-
-
 @query("q11_snapshot_identity", "SELECT count(*) AS rows, " + ", ".join(f"sum(('0x' || substr(sha256(doc_id || ':' || sha256(text)), {1 + 8 * i}, 8))::BIGINT) AS h{i}" for i in range(4)) + " FROM documents")
 def q11(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
@@ -226,18 +224,10 @@ def q13(spark, d):
     )
 
 
-_ORDER = "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM (SELECT * FROM orders WHERE o_custkey < 20) WINDOW w AS (ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey)"
-
-
-@query("q14_temporal_order", _ORDER)
-def q14(spark, d, keep="o_custkey < 20"):
-    rows = table(spark, d, "orders").filter(keep)
-    return Q.temporal_order(rows, F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")), ["o_orderkey"]).select("o_orderkey", "previous", "following")
-
-
-@query("q14_temporal_order_all", _ORDER.replace(" WHERE o_custkey < 20", ""))
-def q14_all(spark, d):
-    return q14(spark, d, "true")
+@query("q14_temporal_order", "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey)")
+def q14(spark, d):
+    dated = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate"))
+    return Q.temporal_order(table(spark, d, "orders"), dated, ["o_orderkey"]).select("o_orderkey", "previous", "following")
 
 
 @query("q15_proposal_policy", """WITH p AS (SELECT event_id AS id, event_id AS pos, 'Customer#' || (user_id % 40) AS source, 'Customer#' || (event_id % 45) AS target, CASE event_id % 4 WHEN 0 THEN 'OpposedTo' WHEN 1 THEN 'opposed-to' WHEN 2 THEN 'OPPOSED_TO' ELSE 'likes' END AS type, CASE WHEN value < 5 THEN '' ELSE 'fact ' || event_type END AS fact FROM events),
@@ -256,19 +246,16 @@ def q15(spark, d):
     return Q.proposal_policy(rows, nodes, {"opposedto": "OpposedTo"})
 
 
-_CASES = """j AS (SELECT doc_id % 12 AS case_id, doc_id, 1 + quality * 2 AS grade FROM labels WHERE doc_id < 300), r AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS rank FROM (SELECT doc_id % 12 AS case_id, doc_id FROM documents WHERE doc_id < 150)),
+_CASES = """j AS (SELECT doc_id % 12 AS case_id, doc_id, 1 + quality * 2 AS grade FROM labels), r AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS rank FROM (SELECT doc_id % 12 AS case_id, doc_id FROM documents)),
  h AS (SELECT j.*, rank FROM j LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r USING (case_id, doc_id)),
  o AS (SELECT case_id, count(*) AS judged, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 10) AS h10, min(rank) AS first_rank, coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)), 0) AS dcg FROM h GROUP BY 1),
  i AS (SELECT case_id, sum((pow(2, grade) - 1) / log2(p + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, doc_id) AS p FROM j) WHERE p <= 10 GROUP BY 1),
  s AS (SELECT case_id, h5 / judged AS recall_5, h10 / judged AS recall_10, first_rank, coalesce(1.0 / first_rank, 0) AS rr, coalesce(dcg / ideal, 0) AS ndcg FROM o JOIN i USING (case_id))"""
 
 
-_CASES_ALL = _CASES.replace(" WHERE doc_id < 300", "").replace(" WHERE doc_id < 150", "")
-
-
-def _cases(spark, d, judged="doc_id < 300", ranked="doc_id < 150"):
-    j = table(spark, d, "labels").filter(judged).select((F.col("doc_id") % 12).alias("case_id"), "doc_id", (1 + F.col("quality") * 2).alias("grade"))
-    docs = table(spark, d, "documents").filter(ranked).select((F.col("doc_id") % 12).alias("case_id"), "doc_id")
+def _cases(spark, d):
+    j = table(spark, d, "labels").select((F.col("doc_id") % 12).alias("case_id"), "doc_id", (1 + F.col("quality") * 2).alias("grade"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 12).alias("case_id"), "doc_id")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy((F.col("doc_id") * 7919) % 1009, "doc_id"))
@@ -279,31 +266,21 @@ _SCORES = "SELECT case_id, round(recall_5, 9) AS recall_5, round(recall_10, 9) A
 
 
 @query("m03_case_scores", f"WITH {_CASES} {_SCORES}")
-def m03(spark, d, *keep):
-    out = M.case_scores(*_cases(spark, d, *keep))
+def m03(spark, d):
+    out = M.case_scores(*_cases(spark, d))
     return out.select("case_id", "first_rank", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "rr", "ndcg")))
 
 
-@query("m03_case_scores_all", f"WITH {_CASES_ALL} {_SCORES}")
-def m03_all(spark, d):
-    return m03(spark, d, "true", "true")
-
-
 _MACRO = "SELECT 15 AS cases, round(sum(recall_5) / 15, 9) AS recall_5, round(sum(recall_10) / 15, 9) AS recall_10, round(sum(rr) / 15, 9) AS rr, round(sum(ndcg) / 15, 9) AS ndcg FROM s"
 
 
 @query("m04_macro", f"WITH {_CASES} {_MACRO}")
-def m04(spark, d, *keep):
+def m04(spark, d):
     cases = spark.range(15).withColumnRenamed("id", "case_id")
-    out = M.macro(cases, M.case_scores(*_cases(spark, d, *keep)))
+    out = M.macro(cases, M.case_scores(*_cases(spark, d)))
     return out.select("cases", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "rr", "ndcg")))
 
 
-@query("m04_macro_all", f"WITH {_CASES_ALL} {_MACRO}")
-def m04_all(spark, d):
-    return m04(spark, d, "true", "true")
-
-
 @query("m06_extraction_recall", """WITH e AS (SELECT DISTINCT n_regionkey AS case_id, n_name AS name FROM nation), f AS (SELECT n_regionkey AS case_id, lower(n_name) || '!' AS name FROM nation WHERE n_nationkey % 3 <> 0)
  SELECT case_id, count(*) AS expected, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE hit) / count(*) AS recall FROM (SELECT e.*, EXISTS (SELECT 1 FROM f WHERE f.case_id = e.case_id AND (contains(regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g'), regexp_replace(f.name, '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(f.name, '[^a-z0-9]', '', 'g'), regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g')))) AS hit FROM e) GROUP BY case_id""")
 def m06(spark, d):
@@ -315,14 +292,14 @@ def m06(spark, d):
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 
 
-@query("n01_mentions", "SELECT conv_id, entity, count(*) AS n, min(turn) AS first, max(turn) AS last FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS entity FROM conversations) GROUP BY conv_id, entity")
+@query("n01_mentions", "SELECT conv_id, entity, count(*) AS n, min(turn) AS first, max(turn) AS last FROM (SELECT conv_id, turn, unnest(PHRASES(text)) AS entity FROM conversations) GROUP BY conv_id, entity")
 def n01(spark, d):
     from tessella.functions.text import capitalised_phrases
 
     return N.mentions(table(spark, d, "conversations"), "conv_id", "turn", capitalised_phrases("text"))
 
 
-@query("n02_recent_entities", "WITH m AS (SELECT conv_id, entity, count(*) AS n, max(turn) AS last FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS entity FROM conversations) GROUP BY conv_id, entity), g AS (SELECT *, max(last) OVER (PARTITION BY conv_id) - last AS gap FROM m) SELECT conv_id, entity, round(1.0 / (gap + 1) * least(n / 10, 1.0), 9) AS weight FROM g WHERE gap <= 3")
+@query("n02_recent_entities", "WITH m AS (SELECT conv_id, entity, count(*) AS n, max(turn) AS last FROM (SELECT conv_id, turn, unnest(PHRASES(text)) AS entity FROM conversations) GROUP BY conv_id, entity), g AS (SELECT *, max(last) OVER (PARTITION BY conv_id) - last AS gap FROM m) SELECT conv_id, entity, round(1.0 / (gap + 1) * least(n / 10, 1.0), 9) AS weight FROM g WHERE gap <= 3")
 def n02(spark, d):
     from tessella.functions.text import capitalised_phrases
 
@@ -347,7 +324,7 @@ def n05(spark, d):
 
 
 @query("n06_query_correlation", r"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations), p AS (SELECT *, lower(text) AS t,
- list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS a, list_distinct(regexp_extract_all(coalesce(prev, ''), '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS b FROM c),
+ list_distinct(PHRASES(text)) AS a, list_distinct(PHRASES(prev)) AS b FROM c),
  s AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS o FROM p)
  SELECT conv_id, turn, round(CASE WHEN prev IS NULL THEN 0 ELSE greatest(0, least(1, CASE WHEN regexp_matches(t, 'now tell me about|what about|switch to|instead tell me|now about') THEN -0.8 ELSE 0 END
  + CASE WHEN len(list_intersect(regexp_split_to_array(t, '[ \t\n\r\f\x0B]+'), ['that', 'this', 'it', 'they', 'them', 'he', 'she', 'those', 'these'])) > 0 THEN 0.8 WHEN regexp_matches(t, 'tell me more|what else|continue|expand on|also|additionally') THEN 0.5 ELSE 0 END + 0.3 * o)) END, 9) AS score FROM s""")

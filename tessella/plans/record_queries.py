@@ -57,7 +57,7 @@ def j12(spark, d):
     return table(spark, d, "customer").join(o.filter("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(o.filter("o_totalprice > 400000"), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("a12_mention_statistics", "SELECT entity, lang, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS entity FROM documents) GROUP BY entity, lang")
+@query("a12_mention_statistics", "SELECT entity, lang, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, lang, unnest(PHRASES(text)) AS entity FROM documents) GROUP BY entity, lang")
 def a12(spark, d):
     each = table(spark, d, "documents").select("doc_id", "lang", F.explode(X.capitalised_phrases("text")).alias("entity"))
     per = each.groupBy("entity", "lang", "doc_id").agg(F.count(F.lit(1)).alias("n"))  # one row a document before the second grouping

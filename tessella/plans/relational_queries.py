@@ -324,7 +324,9 @@ def w07(spark, d):
     return docs.groupBy("key", "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
 
 
-@query("w09_greedy_budget")
+@query("w09_greedy_budget", """WITH i AS (SELECT source, list(struct_pack(id := doc_id, used := len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'))::BIGINT, kept := []::BIGINT[]) ORDER BY doc_id) AS rows FROM documents GROUP BY source),
+ f AS (SELECT source, list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 OR len(a.kept) = 0 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
+ SELECT doc_id, source, len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+')) AS tokens FROM documents JOIN f USING (source) WHERE list_contains(r.kept, doc_id)""")
 def w09(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.size(F.split("text", r"\s+")).alias("tokens"))
     return R.greedy_budget(docs, "source", [F.col("doc_id")], "tokens", 3000).select("doc_id", "source", "tokens")
@@ -372,23 +374,18 @@ def u02(spark, d):
 
 
 _JACCARD = """SELECT a.u1, a.u2, round(a.both * 1.0 / (x.n + y.n - a.both), 6) AS jaccard, round(a.both * 1.0 / least(x.n, y.n), 6) AS overlap FROM
- (SELECT p.user_id AS u1, q.user_id AS u2, count(*) AS both FROM (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events WHERE user_id < 20) p
-  JOIN (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events WHERE user_id < 20) q ON p.b = q.b AND p.user_id < q.user_id GROUP BY 1, 2) a
+ (SELECT p.user_id AS u1, q.user_id AS u2, count(*) AS both FROM (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events) p
+  JOIN (SELECT DISTINCT user_id, floor(value / 2) AS b FROM events) q ON p.b = q.b AND p.user_id < q.user_id GROUP BY 1, 2) a
  JOIN (SELECT user_id, count(DISTINCT floor(value / 2)) AS n FROM events GROUP BY 1) x ON x.user_id = u1
  JOIN (SELECT user_id, count(DISTINCT floor(value / 2)) AS n FROM events GROUP BY 1) y ON y.user_id = u2"""
 
 
 @query("u03_jaccard", _JACCARD)
-def u03(spark, d, keep="user_id < 20"):
-    members = table(spark, d, "events").filter(keep).select("user_id", F.floor(F.col("value") / 2).alias("b")).distinct()
+def u03(spark, d):
+    members = table(spark, d, "events").select("user_id", F.floor(F.col("value") / 2).alias("b")).distinct()
     sizes = members.groupBy("user_id").agg(F.count("b").alias("n"))
     a, b = members.select(F.col("user_id").alias("u1"), "b"), members.select(F.col("user_id").alias("u2"), "b")
     both = a.join(b, "b").filter("u1 < u2").groupBy("u1", "u2").agg(F.count(ONE(1)).alias("both"))
     for u, n in (("u1", "n1"), ("u2", "n2")):
         both = both.join(sizes.select(F.col("user_id").alias(u), F.col("n").alias(n)), u)
     return both.select("u1", "u2", F.round(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), 6).alias("jaccard"), F.round(F.col("both") / F.least("n1", "n2"), 6).alias("overlap"))
-
-
-@query("u03_jaccard_all", _JACCARD.replace(" WHERE user_id < 20", ""))
-def u03_all(spark, d):
-    return u03(spark, d, "true")

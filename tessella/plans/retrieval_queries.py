@@ -91,7 +91,10 @@ def r09(spark, d):
     return T.neighbour_context(hits, rows.select("id", "document_id", "idx")).select("id", F.round("similarity", 9).alias("similarity"))
 
 
-@query("r12_context_budget")
+@query("r12_context_budget", with_("embedded") + f""", {_SIM}, h AS (SELECT id, len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'))::BIGINT AS cost, similarity FROM sim ORDER BY similarity DESC, id LIMIT 30),
+ i AS (SELECT list(struct_pack(id := id, used := cost, kept := []::BIGINT[]) ORDER BY similarity DESC, id) AS rows FROM h),
+ f AS (SELECT list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 OR len(a.kept) = 0 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
+ SELECT id, cost FROM h, f WHERE list_contains(r.kept, id)""")
 def r12(spark, d):
     hits = T.vector_top_k(I.embedded(spark, d), "embedding", I.query_vector(spark, d), 30).withColumn("all", F.lit(1))
     cost = hits.withColumn("cost", F.size(F.split("text", r"\s+")))
@@ -114,16 +117,8 @@ def r14(spark, d):
 
 
 @query("r15_context_block", """SELECT tier, pos FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY tier, pos) AS n FROM
- (SELECT 1 AS tier, turn AS pos, substr(text, 1, 30) AS text FROM conversations WHERE conv_id < 4 UNION ALL SELECT 2, doc_id, substr(text, 1, 30) FROM documents WHERE doc_id < 60)) WHERE n = 1 ORDER BY tier, pos, text LIMIT 40""")
-def r15(spark, d):
-    one = table(spark, d, "conversations").filter("conv_id < 4").select(F.col("turn").alias("pos"), F.substring("text", 1, 30).alias("text"))
-    two = table(spark, d, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("pos"), F.substring("text", 1, 30).alias("text"))
-    return T.context_block([(1, one), (2, two)]).select("tier", "pos")
-
-
-@query("r15_context_block_all", """SELECT tier, pos FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY tier, pos) AS n FROM
  (SELECT 1 AS tier, turn AS pos, text FROM conversations UNION ALL SELECT 2, doc_id, text FROM documents)) WHERE n = 1 ORDER BY tier, pos, text LIMIT 40""")
-def r15_all(spark, d):
+def r15(spark, d):
     one = table(spark, d, "conversations").select(F.col("turn").alias("pos"), "text")
     two = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
     return T.context_block([(1, one), (2, two)]).select("tier", "pos")

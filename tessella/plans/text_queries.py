@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -25,24 +27,19 @@ def f05(spark, d):
     return table(spark, d, "customer").filter(X.names_match("c_name", F.lit("R#00000001"))).select("c_custkey")
 
 
-@query("f07_screaming_snake", r"""SELECT p_type, trim(upper(regexp_replace(regexp_replace(regexp_replace(trim(p_type || ' made-Of  brass!'), '[\s-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g')), '_') AS name,
+@query("f07_screaming_snake", r"""SELECT p_type, trim(upper(regexp_replace(regexp_replace(regexp_replace('p.q ' || p_type || ' made-Of.the  brass!', '[\s\-.]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g')), '_') AS name,
  trim(upper(regexp_replace(regexp_replace('camelCaseName ' || p_type, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_') AS token FROM (SELECT DISTINCT p_type FROM part)""")
 def f07(spark, d):
     kinds = table(spark, d, "part").select("p_type").distinct()
-    return kinds.select("p_type", X.screaming_snake(F.concat("p_type", F.lit(" made-Of  brass!"))).alias("name"), X.token_case(F.concat(F.lit("camelCaseName "), "p_type")).alias("token"))
+    return kinds.select("p_type", X.screaming_snake(F.concat(F.lit("p.q "), "p_type", F.lit(" made-Of.the  brass!"))).alias("name"), X.token_case(F.concat(F.lit("camelCaseName "), "p_type")).alias("token"))
 
 
-@query("f08_dedupe_key", r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS key FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+@query("f08_dedupe_key")
 def f08(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.sha2(X.dedupe_key("text"), 256).alias("key"))
-
-
-@query("f08_dedupe_key_all")
-def f08_all(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.dedupe_key("text"), 256).alias("key"))
 
 
-@query("f09_capitalised_phrases", "SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS n, array_to_string(list_slice(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), 1, 5), '|') AS first5 FROM documents")
+@query("f09_capitalised_phrases", "SELECT doc_id, len(PHRASES(text)) AS n, array_to_string(list_slice(PHRASES(text), 1, 5), '|') AS first5 FROM documents")
 def f09(spark, d):
     p = X.capitalised_phrases("text")
     return table(spark, d, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.array_join(F.slice(p, 1, 5), "|").alias("first5"))
@@ -53,18 +50,30 @@ def f10(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains('"')).select("doc_id", F.array_join(F.sort_array(F.array_distinct(X.quoted_phrases("text"))), "|").alias("quoted"))
 
 
-_YEARS = r"SELECT event_id, regexp_extract_all(event_id || 'DR and ' || user_id || ' Age', '(\d{3,4})\s*(?:DR|CR|Age)', 1)::INT[]::VARCHAR AS years FROM events WHERE event_id < 2000"
+@query("f10_keywords", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_slice(list_filter(c, lambda v, i: list_position(c, v) = i), 1, 10), list_slice(list_filter(q, lambda v, i: list_position(q, v) = i), 1, 5), list_slice(list_filter(t, lambda v, i: list_position(t, v) = i), 1, 5)))), '|') AS keywords
+ FROM (SELECT doc_id, PHRASES(text) AS c, regexp_extract_all(text, '"([^"]+)"', 1) AS q, regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ɏ]', '0', 'g'), '\bthe\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b', 1) AS t FROM documents)""")
+def f10b(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(X.keywords("text")), "|").alias("keywords"))
 
 
-@query("f11_years", _YEARS)
-def f11(spark, d, keep="event_id < 2000"):
+@query("f11_years", r"SELECT event_id, regexp_extract_all(event_id || 'DR and ' || user_id || ' Age', '(\d{3,4})\s*(?:DR|CR|Age)', 1)::INT[]::VARCHAR AS years FROM events")
+def f11(spark, d):
     t = F.concat(F.col("event_id").cast("string"), F.lit("DR and "), F.col("user_id").cast("string"), F.lit(" Age"))
-    return table(spark, d, "events").filter(keep).select("event_id", F.concat(F.lit("["), F.array_join(X.years(t).cast("array<string>"), ", "), F.lit("]")).alias("years"))
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.array_join(X.years(t).cast("array<string>"), ", "), F.lit("]")).alias("years"))
+
+
+@query("f23_retry_after", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id * 0.25 WHEN event_id % 5 = 1 THEN user_id::DOUBLE WHEN event_id % 5 = 2 THEN greatest(0.0, epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-06-01')) END AS seconds FROM events""")
+def f23(spark, d):
+    i, utc = F.col("event_id") % 5, F.lit("2024-06-01").cast("timestamp")
+    value = F.when(i == 1, F.col("user_id").cast("string")).when(i == 2, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(i == 3, "soon").otherwise("-")
+    ms = F.when(i == 0, (F.col("event_id") * 250).cast("string")).when(i == 1, "-3")
+    return table(spark, d, "events").select("event_id", X.retry_after_seconds(value, ms, utc).alias("seconds"))
 
 
-@query("f11_years_all", _YEARS.replace(" WHERE event_id < 2000", ""))
-def f11_all(spark, d):
-    return f11(spark, d, "true")
+@query("f06_token_case", r"SELECT DISTINCT event_type, trim(upper(regexp_replace(regexp_replace('has' || upper(event_type[1]) || event_type[2:] || 'OfKind', '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_') AS token, 'Has Kind ' || upper(event_type[1]) || event_type[2:] AS label FROM events")
+def f06(spark, d):
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    return kinds.select("event_type", X.token_case(F.concat(F.lit("has"), F.initcap("event_type"), F.lit("OfKind"))).alias("token"), X.title_label(F.concat(F.lit("has_kind_"), "event_type")).alias("label"))
 
 
 @query("f15_counts", r"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) AS words, contains(text, '# ') AS headers FROM documents")
@@ -78,7 +87,13 @@ def f16(spark, d):
     return table(spark, d, "conversations").filter("turn = 1").select("conv_id", X.conversation_title("text").alias("title"))
 
 
-@query("f20_redaction")
+def _redaction_sql(x):
+    for pattern, put in X.REDACTIONS:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", put))
+    return x
+
+
+@query("f20_redaction", f"SELECT doc_id, r <> text AS changed, sha256(r) AS redacted_sha FROM (SELECT doc_id, text, {_redaction_sql('text')} AS r FROM documents)")
 def f20(spark, d):
     redacted = X.redact("text")
     return table(spark, d, "documents").select("doc_id", (redacted != F.col("text")).alias("changed"), F.sha2(redacted, 256).alias("redacted_sha"))
@@ -164,9 +179,20 @@ def c04(spark, d):
     return out.select("doc_id", "section", "header", X.line_count("text").cast("long").alias("lines"))
 
 
-@query("c05_packed_sentences")
+_N = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r\f\x0B]+'), lambda w: w <> ''))"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query("c05_packed_sentences", f"""WITH p AS (SELECT doc_id, text, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents WHERE {_N.format('text')} > 120),
+ s AS (SELECT doc_id, i, CASE WHEN {_N.format('p')} > 120 THEN list_transform(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x || ' ') ELSE [p || chr(10) || chr(10)] END AS units FROM p),
+ u AS (SELECT doc_id, flatten(list(units ORDER BY i)) AS units FROM s GROUP BY doc_id),
+ f AS (SELECT doc_id, list_reduce(list_transform(units, lambda x: {{'done': []::VARCHAR[], 'open': x, 'n': {_N.format('x')}}}), lambda a, x: CASE WHEN a.n + x.n <= 120 THEN {{'done': a.done, 'open': a.open || x.open, 'n': a.n + x.n}}
+  ELSE {{'done': CASE WHEN a.n >= 30 THEN list_append(a.done, {_STRIP.format('a.open')}) ELSE a.done END, 'open': CASE WHEN length(a.open) > 50 THEN right(a.open, 50) ELSE '' END || x.open, 'n': {_N.format("CASE WHEN length(a.open) > 50 THEN right(a.open, 50) ELSE '' END || x.open")}}} END,
+  {{'done': []::VARCHAR[], 'open': '', 'n': 0::BIGINT}}) AS r FROM u),
+ o AS (SELECT doc_id, CASE WHEN r.n >= 30 AND {_STRIP.format('r.open')} <> '' THEN list_append(r.done, {_STRIP.format('r.open')}) ELSE r.done END AS pieces FROM f UNION ALL SELECT doc_id, [text] FROM documents WHERE {_N.format('text')} <= 120)
+ SELECT doc_id, unnest(range(len(pieces))) AS chunk_index, length(unnest(pieces)) AS n FROM o""")
 def c05(spark, d):
-    out = C.packed_sentences(table(spark, d, "documents"), "doc_id", "text")
+    out = C.packed_paragraphs(table(spark, d, "documents"), "doc_id", "text", least=30, most=120)
     return out.select("doc_id", "chunk_index", F.length("text").alias("n"))
 
 

@@ -1,6 +1,7 @@
 """Exact values on small fixtures."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("name, want", [("Protects", "PROTECTS"), ("commands army", "COMMANDS_ARMY"), ("Uses-Material", "USES_MATERIAL"), ("fights  against", "FIGHTS_AGAINST"), ("", "")])
+@pytest.mark.parametrize("name, want", [("Protects", "PROTECTS"), ("commands army", "COMMANDS_ARMY"), ("Uses-Material", "USES_MATERIAL"), ("fights  against", "FIGHTS_AGAINST"), ("is.part.of", "IS_PART_OF"), (" -owes!-debt ", "OWES_DEBT"), ("", "")])
 def test_standard_relationship_names(spark, name, want):
     assert one(spark, X.screaming_snake(F.lit(name))) == want
 
@@ -42,7 +43,11 @@ def test_summary_title_and_type(spark):
 
 
 def test_retry_after_and_uuid(spark):
-    assert one(spark, X.retry_after_seconds(F.lit("250ms"))) == 0.25
+    none, now = F.lit(None).cast("string"), F.lit("2024-06-01 00:00:00").cast("timestamp")
+    assert one(spark, X.retry_after_seconds(none, F.lit("250"))) == 0.25
+    assert one(spark, X.retry_after_seconds(F.lit("7"), F.lit("-1"))) == 7.0
+    assert one(spark, X.retry_after_seconds(F.lit("-3"))) == 0.0
+    assert one(spark, X.retry_after_seconds(F.lit("Sat, 01 Jun 2024 00:00:30 GMT"), now=now)) == 30.0
     assert one(spark, X.retry_after_seconds(F.lit("12"))) == 12.0
     assert one(spark, X.retry_after_seconds(F.lit("soon"))) is None
     assert one(spark, X.uuid_in(F.lit("episode 0F8FAD5B-D9CB-469F-A165-70867728950E!"))) == "0f8fad5b-d9cb-469f-a165-70867728950e"
@@ -202,3 +207,66 @@ def test_temporal_order_over_several_ranges(spark):
     assert {(r["id"], r["previous"], r["following"]) for r in out.collect()} == set(zip(ids, [None, *ids], [*ids[1:], None]))
     assert out.columns == ["id", "day", "previous", "following"]
     assert reconcile.temporal_order(df.limit(0), F.col("day"), ["id"]).count() == 0
+
+
+def test_reverse_edges_count_the_pair_before_the_type(spark):
+    rows = [
+        ("r1", "a", "b", "Allied With"), ("r2", "c", "d", "Allied With"), ("r3", "d", "c", "rules"), ("r4", "e", "f", "related_to"),
+        ("r5", "g", "h", "RELATES_TO"), ("r6", "h", "g", "friend_of"), ("r7", "i", "j", "enemy_of"), ("r8", "j", "i", "enemy_of"),
+    ]
+    edges = spark.createDataFrame(rows, "id string, src string, dst string, type string")
+    assert {r["subject"] for r in validation.missing_reverse(edges, validation.SYMMETRIC).collect()} == {"r1", "r6"}
+
+
+@pytest.mark.parametrize("props, want", [
+    ({"fact_embedding": None, "name_embedding": None, "name": "x", "fact": "y", "created_at": None, "episodes": '["1","2","3"]'}, 100 + 100 + 50 + 30 + 10 + 15 + 6),
+    ({"name": "", "fact": None}, 2), ({"episodes": "one"}, 6), ({"episodes": str(["x"] * 20).replace("'", '"')}, 51), ({}, 0),
+])
+def test_completeness_points(spark, props, want):
+    df = spark.createDataFrame([(props,)], "p map<string,string>")
+    assert df.select(validation.completeness(F.col("p"))).first()[0] == want
+
+
+@pytest.mark.parametrize("props, want", [({"kind": "rules", "name": "x"}, "rules"), ({"type": None, "name": "x"}, "None"), ({"fact": "He LEADS them"}, "commands"), ({"fact": "nothing"}, None), ({}, None)])
+def test_semantic_type_by_key(spark, props, want):
+    assert spark.createDataFrame([(props,)], "p map<string,string>").select(validation.semantic_type(F.col("p"))).first()[0] == want
+
+
+@pytest.mark.parametrize("status, name, want", [
+    (None, "RuntimeError", ("internal", "unclassified_runtime_error", "retry")), (401, "x", ("authentication", "provider_authentication", "pause_systemic")),
+    (503, "x", ("transport", "provider_http_transient", "retry")), (404, "x", ("configuration", "provider_request_rejected", "pause_systemic")),
+    (429, "JSONDecodeError", ("malformed_json", "malformed_model_output", "retry")), (None, "ReadTimeout", ("transport", "provider_transport", "retry")),
+])
+def test_failure_classes(spark, status, name, want):
+    assert tuple(one(spark, lifecycle.failure(F.lit(status).cast("int"), F.lit(name)))) == want
+
+
+def packed(text, least, most, overlap):
+    """The packing rules, one unit after the other."""
+    count = lambda t: len(t.split())
+    if count(text) <= most:
+        return [text]
+    out, held = [], ""
+    for p in text.split("\n\n"):
+        for unit, end in [(s, " ") for s in re.split(r"(?<=[.!?])\s+", p)] if count(p) > most else [(p, "\n\n")]:
+            if count(held) + count(unit) <= most:
+                held += unit + end
+                continue
+            if count(held) >= least:
+                out.append(held.strip())
+            held = (held[-overlap:] if len(held) > overlap else "") + unit + end
+    return out + ([held.strip()] if held.strip() and count(held) >= least else [])
+
+
+def test_packed_paragraphs_with_overlap(spark):
+    texts = ["short text", "", "One two three. " * 30, "\n\n".join(f"para {i} " + "word " * (i % 7) for i in range(40)), "a b c d e f g h i j k l\n\n" + "x y. " * 40 + "\n\nend of it", "word " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in sorted(chunking.packed_paragraphs(df, "id", "text", least=5, most=20, overlap=10).collect(), key=lambda r: r["chunk_index"]):
+        got[r["id"]].append(r["text"])
+    assert got == {i: packed(t, 5, 20, 10) for i, t in enumerate(texts)}
+
+
+def test_keywords(spark):
+    text = 'the Iron Gate of Arn said "by oath" and "by oath" in the  Old Hall. École Thé'
+    assert one(spark, X.keywords(F.lit(text))) == ["Iron Gate", "Arn", "Old Hall", "by oath"]
