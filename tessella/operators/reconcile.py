@@ -38,6 +38,81 @@ def drift(episodes: DataFrame, graph: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.unionByName(nulls)
 
 
+def audit(episodes: DataFrame, nodes: DataFrame, jobs: DataFrame | None, sync_profile: str | None = None, embedding_profile: str | None = None) -> DataFrame:
+    """Q1: (finding, id, detail) of everything that disagrees between episodes
+    (id, fingerprint, synced), graph nodes (id, description, fingerprint,
+    sync_profile, embedding_profile) and jobs (id, state, desired, verified,
+    sync_profile, verified_profile, verified_at).
+
+    Nodes without an id (null or blank) give one row each with a null id. A
+    duplicate's detail is its count; a job's is the reason; a mismatch's what
+    was found. Without jobs the episodes' own flags say what is synced.
+    """
+    named = nodes.filter(F.trim(F.coalesce("id", F.lit(""))) != "")
+    g = named.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    e = episodes.select("id", F.col("fingerprint").alias("source"), "synced", F.lit(True).alias("has_e"))
+    row = e.join(g, "id", "full_outer")
+    if jobs is None:
+        row = row.withColumn("done", F.coalesce("synced", F.lit(False)))
+        job = []
+    else:
+        j = jobs.select("id", "state", "desired", "verified", F.col("sync_profile").alias("profile"), "verified_profile", "verified_at", F.lit(True).alias("has_j"))
+        row = row.join(j, "id", "full_outer").withColumn("done", F.coalesce(F.col("state") == "synced", F.lit(False)) & F.coalesce("has_e", F.lit(False)))
+        both, synced = F.col("has_e") & F.col("has_j"), F.col("state") == "synced"
+        differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+        reason = lambda name: ("incorrectly_synchronized_job", F.lit(name))
+        job = [
+            (*reason("job_without_source_episode"), F.col("has_j") & F.col("has_e").isNull()), (*reason("missing_job"), F.col("has_e") & F.col("has_j").isNull()),
+            (*reason("invalid_job_state"), both & ~F.coalesce(F.col("state").isin(*STATES), F.lit(False))), (*reason("synced_job_legacy_flag_false"), both & synced & ~F.col("synced")),
+            (*reason("non_synced_job_legacy_flag_true"), both & ~F.coalesce(synced, F.lit(False)) & F.col("synced")), (*reason("synced_job_missing_verified_at"), both & synced & F.col("verified_at").isNull()),
+            ("stale_job_source_fingerprint", F.col("desired"), both & differ("desired", "source")), ("verified_source_fingerprint_mismatch", F.col("verified"), both & synced & differ("verified", "source")),
+            ("verified_sync_profile_mismatch", F.col("verified_profile"), both & synced & differ("verified_profile", "profile")),
+            ("job_sync_profile_mismatch", F.col("profile"), both & (F.lit(False) if sync_profile is None else ~F.col("profile").eqNullSafe(F.lit(sync_profile)))),
+        ]
+    none = F.lit(None).cast("string")
+    kinds = [
+        ("missing_in_graph", none, F.col("done") & F.col("copies").isNull()), ("unexpected_in_graph", none, F.col("copies").isNotNull() & F.col("has_e").isNull()),
+        ("duplicate_in_graph", F.col("copies").cast("string"), F.col("copies") > 1), ("present_but_not_synced", none, F.col("copies").isNotNull() & F.col("has_e") & ~F.col("done")), *job,
+    ]
+    held = named.join(e.select("id", "source"), "id")
+    other = lambda c, want: F.lit(False) if want is None else F.col(c) != want
+    of_node = [
+        ("source_description_mismatch", F.col("description"), ~F.col("description").eqNullSafe(F.concat(F.lit("episode_"), "id"))), ("source_fingerprint_mismatch", F.col("fingerprint"), F.col("fingerprint") != F.col("source")),
+        ("sync_profile_mismatch", F.col("sync_profile"), other("sync_profile", sync_profile)), ("embedding_profile_mismatch", F.col("embedding_profile"), other("embedding_profile", embedding_profile)),
+    ]
+    blank = nodes.filter(F.trim(F.coalesce("id", F.lit(""))) == "").select(F.lit("null_id_in_graph").alias("finding"), none.alias("id"), none.alias("detail"))
+    return _found(row, kinds).unionByName(_found(held, of_node)).unionByName(blank)
+
+
+def _found(rows: DataFrame, kinds: list) -> DataFrame:
+    """(finding, id, detail): a row for every (name, detail, condition) that holds."""
+    each = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(name).alias("finding"), detail.alias("detail"))) for name, detail, ok in kinds)))
+    return rows.select("id", F.explode(each).alias("f")).select("f.finding", "id", "f.detail")
+
+
+def audit_summary(episodes: DataFrame, nodes: DataFrame, jobs: DataFrame | None, findings: DataFrame) -> DataFrame:
+    """Q1: one row with the totals, the jobs in each state, how many records
+    carry each fingerprint, the number of findings and ``clean`` or ``drift``."""
+    named = F.trim(F.coalesce("id", F.lit(""))) != ""
+    here = nodes.join(episodes.select("id", F.lit(1).alias("e")), "id", "left")
+    with_e = named & F.col("e").isNotNull()
+    of_nodes = here.agg(
+        F.count(F.lit(1)).alias("graph_total"), F.count_if(named).alias("graph_populated"), F.countDistinct(F.when(named, F.col("id"))).alias("graph_distinct"),
+        *(F.count(F.when(with_e, F.col(c))).alias(f"node_{c}") for c in ("fingerprint", "sync_profile", "embedding_profile")),
+    )
+    if jobs is None:
+        state = F.when(F.col("synced"), "synced").otherwise("pending")
+        of_jobs = episodes.agg(*(F.count_if(state == s).alias(f"state_{s}") for s in STATES), *(F.lit(0).alias(f"job_{c}") for c in ("desired", "verified", "sync_profile")))
+        synced = episodes.agg(F.count(F.lit(1)).alias("source_total"), F.count_if("synced").alias("source_synced"))
+    else:
+        j = jobs.join(episodes.select("id", F.lit(1).alias("e")), "id", "left")
+        of_jobs = j.agg(*(F.count_if(F.col("state") == s).alias(f"state_{s}") for s in STATES), *(F.count(F.when(F.col("e").isNotNull(), F.col(c))).alias(f"job_{c}") for c in ("desired", "verified", "sync_profile")), F.count_if(F.col("e").isNotNull() & (F.col("state") == "synced")).alias("source_synced"))
+        synced = episodes.agg(F.count(F.lit(1)).alias("source_total"))
+    drift = findings.agg(F.count(F.lit(1)).alias("findings"))
+    out = synced.crossJoin(of_nodes).crossJoin(of_jobs).crossJoin(drift)  # one row each
+    return out.withColumn("status", F.when(F.col("findings") == 0, "clean").otherwise("drift")).withColumn("source_non_synced", F.col("source_total") - F.col("source_synced"))
+
+
 def snapshot_identity(rows: DataFrame, id_col: str, fingerprint_col: str) -> DataFrame:
     """An identity of a snapshot that does not depend on row order and needs
     no list of all rows: sums of hash halves, with the count."""
@@ -93,6 +168,53 @@ def readiness(checks: DataFrame) -> DataFrame:
     return verdict.join(alerts.select("code", "severity"), F.lit(True), "left")  # one verdict
 
 
+# The thresholds of the two warnings.
+LEAST_ATTEMPTS, RETRY_PERCENT, LEAST_CALLS, FAILURE_PERCENT = 5, 25.0, 5, 25.0
+
+
+def operational_alerts(facts: DataFrame, configured_profile: str) -> DataFrame:
+    """Q7: (id, code, severity, observed) of every alert of a system, from one
+    row for each: quarantined, expired_leases, baseline_quarantined (null without
+    a baseline), run_state and run_profile (null without an active run),
+    completed_attempts, retrying, candidates (array of name, completed,
+    failures), quality_status, missing_attempts, mixed_vocabulary, audit_status,
+    drift_findings, profile_drift, embedding_status, embedding_codes."""
+    c, text = F.col, lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    percent = lambda part, whole: F.round(100.0 * F.try_divide(part, whole), 3)
+    critical = [
+        ("quarantined_jobs_present", c("quarantined"), c("quarantined") > 0), ("expired_leases_present", c("expired_leases"), c("expired_leases") > 0),
+        ("quarantined_jobs_growing", c("quarantined"), c("quarantined") > c("baseline_quarantined")), ("active_sync_profile_mismatch", c("run_profile"), c("run_state").isNotNull() & ~c("run_profile").eqNullSafe(F.lit(configured_profile))),
+        ("run_paused_systemic", c("run_state"), c("run_state") == "paused_systemic"),
+        ("relationship_quality_evidence_incomplete", c("missing_attempts"), (c("quality_status") == "available") & (c("missing_attempts") > 0)),
+        ("relationship_vocabulary_mixed", c("mixed_vocabulary"), (c("quality_status") == "available") & c("mixed_vocabulary")),
+        ("relationship_quality_unavailable", c("quality_status"), ~c("quality_status").isin("available", "no_runs")),
+        ("graph_audit_drift", c("drift_findings"), (c("audit_status") == "drift") | (c("drift_findings") > 0)), ("graph_audit_incomplete", c("audit_status"), ~c("audit_status").isin("drift", "clean") & (c("drift_findings") == 0)),
+        ("graph_profile_mismatch", c("profile_drift"), c("profile_drift") > 0),
+        ("embedding_profile_mismatch", F.array_join(F.sort_array(F.array_distinct(F.filter("embedding_codes", _profile_code))), ","), F.exists("embedding_codes", _profile_code)),
+        ("embedding_preflight_blocked", c("embedding_status"), c("embedding_status") != "ready"),
+    ]
+    retries = percent(c("retrying"), c("completed_attempts"))
+    alert = lambda code, severity, seen: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), text(seen).alias("observed"))
+    one = F.array_compact(F.array(
+        *(F.when(ok, alert(code, "critical", seen)) for code, seen, ok in critical), F.when((c("completed_attempts") >= LEAST_ATTEMPTS) & (retries >= RETRY_PERCENT), alert("retry_storm", "warning", retries)),
+    ))
+    failing = F.filter("candidates", lambda x: (x["completed"] >= LEAST_CALLS) & (percent(x["failures"], x["completed"]) >= FAILURE_PERCENT))
+    each = F.transform(failing, lambda x: alert("sustained_provider_failure", "warning", x["name"]))
+    return facts.select("id", F.explode(F.concat(one, F.coalesce(each, F.array().cast("array<struct<code:string,severity:string,observed:string>>")))).alias("a")).select("id", "a.*")
+
+
+def _profile_code(code: Column) -> Column:
+    return code.contains("profile") | code.contains("dimension_mismatch")
+
+
+def operational_status(facts: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Q7: (id, critical, warning, status): blocked by a critical alert,
+    degraded by a warning, else ready."""
+    n = alerts.groupBy("id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"))
+    j = facts.select("id").join(n, "id", "left").na.fill(0, ["critical", "warning"])
+    return j.withColumn("status", F.when(F.col("critical") > 0, "blocked").when(F.col("warning") > 0, "degraded").otherwise("ready"))
+
+
 def field_differences(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, expected, actual) where two records disagree, null-safely."""
     j = left.alias("l").join(right.alias("r"), key)

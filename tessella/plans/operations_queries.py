@@ -156,6 +156,94 @@ def q01(spark, d):
     return Q.drift(e, g, docs.filter("id % 7 <> 0").withColumn("state", state))
 
 
+_AUDIT = f"""e AS (SELECT doc_id::VARCHAR AS id, {_FP} AS fp, doc_id % 2 = 0 AS synced FROM documents WHERE doc_id % 13 <> 0),
+ n AS (SELECT CASE WHEN doc_id % 29 = 0 THEN ' ' ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 31 <> 0 THEN 'episode_' || doc_id END AS d, CASE WHEN doc_id % 17 = 0 THEN 'x' WHEN doc_id % 5 <> 0 THEN {_FP} END AS fp, CASE WHEN doc_id % 7 <> 0 THEN 'p' || (doc_id % 2) END AS sp, CASE WHEN doc_id % 11 <> 0 THEN 'v' || (doc_id % 3) END AS ep FROM documents WHERE doc_id % 3 <> 0
+  UNION ALL SELECT doc_id::VARCHAR, 'episode_' || doc_id, {_FP}, 'p1', NULL FROM documents WHERE doc_id % 19 = 0),
+ j AS (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 23 = 0 THEN 'odd' WHEN doc_id % 4 = 0 THEN 'synced' ELSE 'pending' END AS state, CASE WHEN doc_id % 6 <> 0 THEN {_FP} END AS desired, CASE WHEN doc_id % 8 = 0 THEN {_FP} END AS verified, 'p' || (doc_id % 2) AS sp, CASE WHEN doc_id % 12 <> 0 THEN 'p0' END AS vp, doc_id % 16 <> 0 AS dated FROM documents WHERE doc_id % 7 <> 0),
+ g AS (SELECT id, count(*) AS copies FROM n WHERE trim(id) <> '' GROUP BY id),
+ b AS (SELECT e.*, j.* EXCLUDE (id), j.id AS jid FROM e JOIN j ON j.id = e.id),
+ done AS (SELECT id FROM b WHERE state = 'synced'),
+ m AS (SELECT n.*, e.fp AS source FROM n JOIN e ON e.id = n.id),
+ f AS (SELECT 'missing_in_graph' AS finding, id, NULL::VARCHAR AS detail FROM done WHERE id NOT IN (SELECT id FROM g)
+ UNION ALL SELECT 'unexpected_in_graph', id, NULL FROM g WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT 'duplicate_in_graph', id, copies::VARCHAR FROM g WHERE copies > 1
+ UNION ALL SELECT 'present_but_not_synced', id, NULL FROM g WHERE id IN (SELECT id FROM e) AND id NOT IN (SELECT id FROM done)
+ UNION ALL SELECT 'null_id_in_graph', NULL, NULL FROM n WHERE trim(id) = ''
+ UNION ALL SELECT 'incorrectly_synchronized_job', id, 'job_without_source_episode' FROM j WHERE id NOT IN (SELECT id FROM e) UNION ALL SELECT 'incorrectly_synchronized_job', id, 'missing_job' FROM e WHERE id NOT IN (SELECT id FROM j)
+ UNION ALL SELECT 'incorrectly_synchronized_job', id, 'invalid_job_state' FROM b WHERE state = 'odd' UNION ALL SELECT 'incorrectly_synchronized_job', id, 'synced_job_legacy_flag_false' FROM b WHERE state = 'synced' AND NOT synced
+ UNION ALL SELECT 'incorrectly_synchronized_job', id, 'non_synced_job_legacy_flag_true' FROM b WHERE state <> 'synced' AND synced UNION ALL SELECT 'incorrectly_synchronized_job', id, 'synced_job_missing_verified_at' FROM b WHERE state = 'synced' AND NOT dated
+ UNION ALL SELECT 'stale_job_source_fingerprint', id, desired FROM b WHERE desired IS DISTINCT FROM fp UNION ALL SELECT 'verified_source_fingerprint_mismatch', id, verified FROM b WHERE state = 'synced' AND verified IS DISTINCT FROM fp
+ UNION ALL SELECT 'verified_sync_profile_mismatch', id, vp FROM b WHERE state = 'synced' AND vp IS DISTINCT FROM sp UNION ALL SELECT 'job_sync_profile_mismatch', id, sp FROM b WHERE sp <> 'p0'
+ UNION ALL SELECT 'source_description_mismatch', id, d FROM m WHERE d IS DISTINCT FROM 'episode_' || id UNION ALL SELECT 'source_fingerprint_mismatch', id, fp FROM m WHERE fp <> source
+ UNION ALL SELECT 'sync_profile_mismatch', id, sp FROM m WHERE sp <> 'p0' UNION ALL SELECT 'embedding_profile_mismatch', id, ep FROM m WHERE ep <> 'v0')"""
+
+
+def _audited(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), fingerprint("text").alias("fp"))
+    i, says = F.col("doc_id"), lambda c: F.concat(F.lit(c), "id")
+    e = docs.filter("doc_id % 13 <> 0").select("id", F.col("fp").alias("fingerprint"), (i % 2 == 0).alias("synced"))
+    n = docs.filter("doc_id % 3 <> 0").select(
+        F.when(i % 29 == 0, " ").otherwise(F.col("id")).alias("id"), F.when(i % 31 != 0, says("episode_")).alias("description"), F.when(i % 17 == 0, "x").when(i % 5 != 0, F.col("fp")).alias("fingerprint"),
+        F.when(i % 7 != 0, F.concat(F.lit("p"), (i % 2).cast("string"))).alias("sync_profile"), F.when(i % 11 != 0, F.concat(F.lit("v"), (i % 3).cast("string"))).alias("embedding_profile"),
+    ).union(docs.filter("doc_id % 19 = 0").select("id", says("episode_"), "fp", F.lit("p1"), F.lit(None).cast("string")))
+    j = docs.filter("doc_id % 7 <> 0").select(
+        "id", F.when(i % 23 == 0, "odd").when(i % 4 == 0, "synced").otherwise("pending").alias("state"), F.when(i % 6 != 0, F.col("fp")).alias("desired"), F.when(i % 8 == 0, F.col("fp")).alias("verified"),
+        F.concat(F.lit("p"), (i % 2).cast("string")).alias("sync_profile"), F.when(i % 12 != 0, "p0").alias("verified_profile"), F.when(i % 16 != 0, F.lit(1)).alias("verified_at"),
+    )
+    return e, n, j
+
+
+@query("q01_audit", f"WITH {_AUDIT} SELECT * FROM f")
+def q01b(spark, d):
+    return Q.audit(*_audited(spark, d), "p0", "v0")
+
+
+@query("q01_audit_summary", f"""WITH {_AUDIT} SELECT (SELECT count(*) FROM e) AS source_total, (SELECT count(*) FROM done) AS source_synced, (SELECT count(*) FROM e) - (SELECT count(*) FROM done) AS source_non_synced, (SELECT count(*) FROM n) AS graph_total,
+ (SELECT count(*) FROM n WHERE trim(id) <> '') AS graph_populated, (SELECT count(*) FROM g) AS graph_distinct, (SELECT count(fp) FROM m) AS node_fingerprint, (SELECT count(sp) FROM m) AS node_sync_profile, (SELECT count(ep) FROM m) AS node_embedding_profile,
+ """ + ", ".join(f"(SELECT count(*) FROM j WHERE state = '{s}') AS state_{s}" for s in Q.STATES) + ", " + ", ".join(f"(SELECT count({c}) FROM b) AS job_{k}" for k, c in (("desired", "desired"), ("verified", "verified"), ("sync_profile", "sp"))) + ", (SELECT count(*) FROM f) AS findings, 'drift' AS status")
+def q01c(spark, d):
+    rows = _audited(spark, d)
+    return Q.audit_summary(*rows, Q.audit(*rows, "p0", "v0"))
+
+
+_FACTS = """facts AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'error') // 4 AS quarantined, user_id % 3 % 2 AS expired, CASE WHEN user_id % 4 <> 0 THEN 2 END AS baseline, CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'paused_systemic' ELSE 'running' END AS run_state, CASE WHEN user_id % 6 <> 0 THEN 'p' || (user_id % 2) END AS run_profile,
+ count(*) FILTER (WHERE event_type = 'view') AS attempts, count(*) FILTER (WHERE event_type = 'view' AND value > 70) AS retrying, count(*) FILTER (WHERE event_type = 'click') AS calls, count(*) FILTER (WHERE event_type = 'click' AND value > 80) AS failures,
+ CASE user_id % 7 WHEN 0 THEN 'no_runs' WHEN 1 THEN 'broken' ELSE 'available' END AS quality, user_id % 8 AS missing, user_id % 9 = 0 AS mixed, CASE user_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'drift' ELSE 'partial' END AS audit, user_id % 4 AS drift, user_id % 2 AS profile_drift,
+ CASE WHEN user_id % 10 = 0 THEN 'blocked' ELSE 'ready' END AS embedding, user_id % 11 = 0 AS codes FROM events GROUP BY user_id),
+ alerts AS (SELECT id, 'quarantined_jobs_present' AS code, 'critical' AS severity, quarantined::VARCHAR AS observed FROM facts WHERE quarantined > 0 UNION ALL SELECT id, 'expired_leases_present', 'critical', expired::VARCHAR FROM facts WHERE expired > 0
+ UNION ALL SELECT id, 'quarantined_jobs_growing', 'critical', quarantined::VARCHAR FROM facts WHERE quarantined > baseline UNION ALL SELECT id, 'active_sync_profile_mismatch', 'critical', coalesce(run_profile, '') FROM facts WHERE run_state IS NOT NULL AND run_profile IS DISTINCT FROM 'p0'
+ UNION ALL SELECT id, 'run_paused_systemic', 'critical', run_state FROM facts WHERE run_state = 'paused_systemic' UNION ALL SELECT id, 'retry_storm', 'warning', NULL FROM facts WHERE attempts >= 5 AND round(100.0 * retrying / attempts, 3) >= 25
+ UNION ALL SELECT id, 'sustained_provider_failure', 'warning', 'one' FROM facts WHERE calls >= 5 AND round(100.0 * failures / calls, 3) >= 25 UNION ALL SELECT id, 'sustained_provider_failure', 'warning', 'two' FROM facts WHERE attempts >= 5 AND round(100.0 * retrying / attempts, 3) >= 25
+ UNION ALL SELECT id, 'relationship_quality_evidence_incomplete', 'critical', missing::VARCHAR FROM facts WHERE quality = 'available' AND missing > 0 UNION ALL SELECT id, 'relationship_vocabulary_mixed', 'critical', 'true' FROM facts WHERE quality = 'available' AND mixed
+ UNION ALL SELECT id, 'relationship_quality_unavailable', 'critical', quality FROM facts WHERE quality = 'broken' UNION ALL SELECT id, 'graph_audit_drift', 'critical', drift::VARCHAR FROM facts WHERE audit = 'drift' OR drift > 0
+ UNION ALL SELECT id, 'graph_audit_incomplete', 'critical', audit FROM facts WHERE audit = 'partial' AND drift = 0 UNION ALL SELECT id, 'graph_profile_mismatch', 'critical', profile_drift::VARCHAR FROM facts WHERE profile_drift > 0
+ UNION ALL SELECT id, 'embedding_profile_mismatch', 'critical', 'dimension_mismatch,profile_unknown' FROM facts WHERE codes UNION ALL SELECT id, 'embedding_preflight_blocked', 'critical', embedding FROM facts WHERE embedding <> 'ready')"""
+
+
+def _facts(spark, d):
+    u = F.col("id")
+    n = lambda kind, over=-1: F.count_if((F.col("event_type") == kind) & (F.col("value") > over))
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.floor(n("error") / 4).alias("quarantined"), n("view").alias("completed_attempts"), n("view", 70).alias("retrying"), n("click").alias("calls"), n("click", 80).alias("failures"))
+    pair = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.col(a).alias("completed"), F.col(b).alias("failures"))
+    return rows.withColumns({
+        "expired_leases": u % 3 % 2, "baseline_quarantined": F.when(u % 4 != 0, 2), "run_state": F.when(u % 5 == 1, "paused_systemic").when(u % 5 != 0, "running"), "run_profile": F.when(u % 6 != 0, F.concat(F.lit("p"), (u % 2).cast("string"))),
+        "candidates": F.array(pair("one", "calls", "failures"), pair("two", "completed_attempts", "retrying")), "quality_status": F.when(u % 7 == 0, "no_runs").when(u % 7 == 1, "broken").otherwise("available"), "missing_attempts": u % 8, "mixed_vocabulary": u % 9 == 0,
+        "audit_status": F.when(u % 3 == 0, "clean").when(u % 3 == 1, "drift").otherwise("partial"), "drift_findings": u % 4, "profile_drift": u % 2, "embedding_status": F.when(u % 10 == 0, "blocked").otherwise("ready"),
+        "embedding_codes": F.when(u % 11 == 0, F.array(F.lit("profile_unknown"), F.lit("dimension_mismatch"), F.lit("other"))).otherwise(F.array(F.lit("other"))),
+    })
+
+
+@query("q07_alerts", f"WITH {_FACTS} SELECT id, code, severity, CASE WHEN code <> 'retry_storm' THEN observed END AS observed FROM alerts")
+def q07b(spark, d):
+    out = Q.operational_alerts(_facts(spark, d), "p0")
+    return out.withColumn("observed", F.when(F.col("code") != "retry_storm", F.col("observed")))  # a percentage, written differently by engines
+
+
+@query("q07_status", f"WITH {_FACTS}, n AS (SELECT id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning FROM alerts GROUP BY id) SELECT facts.id, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, CASE WHEN coalesce(critical, 0) > 0 THEN 'blocked' WHEN coalesce(warning, 0) > 0 THEN 'degraded' ELSE 'ready' END AS status FROM facts LEFT JOIN n ON n.id = facts.id")
+def q07c(spark, d):
+    facts = _facts(spark, d)
+    return Q.operational_status(facts, Q.operational_alerts(facts, "p0"))
+
+
 @query("q03_run_summary", with_("attempts") + """SELECT run_id, count(*) AS attempts, count(DISTINCT episode_id) AS episodes, count(*) FILTER (WHERE outcome = 'error') AS failures,
  round(quantile_cont(latency, 0.95) FILTER (WHERE outcome <> 'error'), 6) AS p95, round(sum(latency) FILTER (WHERE outcome = 'error'), 4) AS lost, count(latency) FILTER (WHERE outcome = 'error') AS reported, max(completed_at) AS last FROM attempts GROUP BY run_id""")
 def q03(spark, d):
