@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import lean, small_batches, table, text_batches
 from tessella.llm.bpe import byte_letters, tokenizer
 
-LENGTH, OPEN_BINS, SHARD_ROWS, LOCAL_WORDS = 2048, 1024, 20_000, 100_000
+LENGTH, OPEN_BINS, SHARD_ROWS, SHARD_CHARS, LOCAL_WORDS = 2048, 1024, 20_000, 8192, 100_000
 
 # Within these characters, lower-casing, letters, digits and white space mean
 # the same to Python and to the tokenizer, and NFC changes nothing.
@@ -122,14 +122,16 @@ def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_B
 
     Pieces of ``size`` ids fill a sequence; every other piece goes into the
     open bin with the least room that still holds it. Pieces are dealt by hash
-    into shards for about ``shard_rows`` documents each; a shard packs its
+    into shards for about ``shard_rows`` documents each (or fewer, longer than
+    SHARD_CHARS characters on average); a shard packs its
     pieces with its own bins online, in the order of their hashes, so long and
     short pieces meet while bins are open however the table is ordered.
     A null or empty text is the single id 0. Repeated rows are packed each;
     other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    shards = max(1, -(-docs.count() // shard_rows))
+    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
+    shards = max(1, -(-whole["n"] // shard_rows), -(-whole["chars"] // (shard_rows * SHARD_CHARS)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bins = BestFit(size, open_bins)

@@ -4,8 +4,11 @@ fixtures with nulls, empty and long texts, ties, repeats and clashing columns.""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -14,7 +17,7 @@ import public_tokenizers
 from compare import same
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, exact, langid, lm, neardup, ngramjoin, packing, queries, tokencount, toxicity
+from tessella.llm import _words, bpe, chat, exact, langid, lm, neardup, ngramjoin, packing, queries, tokencount, toxicity
 from tessella.llm._components import components, restore_ids, shuffle_ids
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -78,6 +81,14 @@ def test_chunk_maps_compose(spark, chunk):
     assert got == {i: (n, len(t.encode())) for i, (t, n) in enumerate(zip(texts, piece_counts(texts)))}
 
 
+def test_token_counts_edge_cases(spark):
+    df, model = odd_documents(spark), public_tokenizers.path("piece_bpe_32k.model")
+    rows = df.collect()
+    want = sorted(((r["doc_id"], n, len((r["text"] or "").encode())) for r, n in zip(rows, piece_counts([r["text"] for r in rows]))), key=str)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in tokencount.token_counts(df, model).collect()), key=str) == want
+    assert tokencount.token_counts(df.limit(0), model).count() == 0
+
+
 def test_transducer_on_random_texts():
     machine = tokencount.CountTransducer(public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(3)
@@ -136,6 +147,36 @@ def test_near_duplicates_across_cells(spark, monkeypatch):
     assert sorted(tuple(r) for r in neardup.near_duplicates(df).collect()) == want
 
 
+def test_near_duplicates_in_many_cells(spark, monkeypatch):
+    """20,000 vectors in over fifty cells, half of them planted at a cosine of
+    0.930 to 0.934 of another: recall 1 against brute force."""
+    monkeypatch.setattr(neardup, "CELL", 350, raising=False)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(80, 16))
+    a = centres[rng.integers(80, size=10_000)] + 0.5 * rng.normal(size=(10_000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.930, 0.934, (len(a), 1))
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    u = np.stack([neardup.unit(v) for v in x])
+    assert len(x) // neardup.CELL >= 50
+    for s in range(0, len(u), 2000):
+        want = (u[s : s + 2000] @ u.T >= neardup.COSINE).sum(1) - 1
+        assert [got[s + i] for i in range(len(want))] == want.tolist()
+
+
+def test_near_duplicates_edge_cases(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     for edges in ([(i, i + 1) for i in range(60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], [(7, i) for i in range(90)], []):
@@ -336,6 +377,8 @@ def test_model_learns_what_follows(spark):
 def test_lm_edge_cases(spark):
     df = odd_documents(spark)
     got = lm.lm_scores(df).collect()
+    words = {r["doc_id"]: len(WORDS.findall(r["text"] or "")) + 1 for r in df.collect()}
+    assert all(r["n_tokens"] == words[r["doc_id"]] and r["n_known"] <= r["n_tokens"] for r in got)
     assert len(got) == df.count() and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
     assert lm.lm_scores(df.limit(0)).count() == 0
 
@@ -457,7 +500,68 @@ def test_jaccard_groups_on_mutations(spark):
 
 def test_jaccard_edge_cases(spark):
     df = odd_documents(spark)
-    assert ngramjoin.link_groups(df).count() == df.count()
+    got, want = ngramjoin.link_groups(df).collect(), brute_groups([(r["doc_id"], r["text"]) for r in df.collect() if r["doc_id"] is not None])
+    assert len(got) == df.count()
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+
+
+def test_jaccard_in_a_family_of_edits(spark):
+    """Edits of one text, most of them too far from it: queries that open a
+    large group and link with some of its members, or with none."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8, 12])):
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(["x1", "x2", f"w{rng.randrange(900)}"])
+        if rng.random() < 0.4:
+            cut = rng.randrange(5, 40)
+            own = own[cut:] if rng.random() < 0.5 else own[:-cut]
+        texts.append((i, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.link_groups(df).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_members_of_a_block():
+    rng = np.random.default_rng(2)
+    leader = np.arange(100)
+    near = lambda drop, add: (np.setdiff1d(leader, rng.choice(100, drop, replace=False)), rng.choice(np.arange(1000, 1040), add, replace=False))
+    sets = [near(rng.integers(0, 12), rng.integers(0, 12)) for _ in range(60)]
+    row = lambda i, held, more: (i, len(held) + len(more), np.sort(more), np.setdiff1d(leader, held))
+    block = ngramjoin._Block([row(i, *s) for i, s in enumerate(sets)])
+    for _ in range(200):
+        held, more = near(rng.integers(5, 40), rng.integers(0, 30))
+        full = set(held) | set(more)
+        query = collections.namedtuple("Q", "n_a n_b rest gaps")(100, len(full), np.sort(more), np.setdiff1d(leader, held))
+        linked = [i for i, (h, m) in enumerate(sets) if 100 * len(full & (set(h) | set(m))) >= 75 * len(full | set(h) | set(m))]
+        found = block.partner(query)
+        assert (found is None) == (not linked) and (found is None or found in linked)
+
+
+@pytest.mark.parametrize("window", [17, 64])
+def test_word_hashes_in_windows(monkeypatch, window):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab é\n0_xyz ") for _ in range(rng.randrange(200))).encode() for _ in range(80)] + [b"", b"  ", b"x" * 300, b"y" * 100 + b" z"]
+    for gap in (_words.WHITE, _words.NO_LETTER):
+        monkeypatch.setattr(_words, "WINDOW", 1 << 19)
+        want = _words.word_hashes(texts, gap, (4, 5))
+        monkeypatch.setattr(_words, "WINDOW", window)
+        got = _words.word_hashes(texts, gap, (4, 5))
+        assert all((a == b).all() for a, b in zip([*want[:2], *[x for p in want[2] for x in p]], [*got[:2], *[x for p in got[2] for x in p]], strict=True))
+
+
+def test_long_text_takes_bounded_memory():
+    """The hashes of a 96 MB text in a process of its own."""
+    code = "import resource; from tessella.llm import _words as w; n = len(w.word_hashes([b'some words of text ' * 5_000_000])[0]); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.split())
+    assert n == 20_000_000 and mb < 1500
+
+
+def test_jaccard_of_an_empty_table(spark):
+    df = odd_documents(spark)
     assert ngramjoin.link_groups(df.limit(0)).count() == 0
 
 
@@ -483,3 +587,33 @@ def test_pipeline_runs(spark, sf_dir):
 
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    own = {"score": -7.0, "lang_pred": "q", "guess": "g", "_guess": 1, "_id": 3, "_sha": "s", "row": "r", "id": 2, "own": 1, "toxicity": 0.1, "odds": "o"}
+    docs = docs.withColumns({k: F.lit(v) for k, v in own.items()})
+    null = lambda c, kind: docs.limit(2).withColumn(c, F.lit(None).cast(kind))
+    docs = docs.union(docs.limit(3)).union(null("doc_id", "long")).union(null("text", "string")).union(null("lang", "string").withColumn("text", F.lit("")))
+    columns, last = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        out = stage(spark, docs, sf_dir).collect()
+        assert all({k: r[k] for k in own} == own for r in out) and len(out) <= last, name
+        docs, last = spark.createDataFrame(out, docs.schema), len(out)
+        assert docs.columns == columns, name
+        assert name != "language_id" or all(r["text"] for r in out)
+    assert corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).count() >= last > 0
+
+
+def test_exact_stage_breaks_ties_the_same_way(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(1, "same", "en", "b", 4), (1, "same", "en", "a", 4), (1, "SAME", "fr", "c", 4), (0, "same", "en", "z", 4), (None, "other", "en", "a", 5), (None, "other", "en", "b", 5)]
+    out = []
+    for part in (1, 5):
+        df = spark.createDataFrame(rows if part == 1 else rows[::-1], "doc_id long, text string, lang string, source string, n_chars long").repartition(part)
+        out.append(sorted((tuple(r) for r in corpus_pipeline.exact_dedup(spark, df, sf_dir).collect()), key=str))
+    assert out[0] == out[1] and [r[0] for r in out[0]] == [1, None]
