@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +117,44 @@ def conversation_list(messages: DataFrame, key: str, order: str) -> DataFrame:
 
     first = F.min(F.when(F.col("role") == "user", F.struct(order, "text")))
     return messages.groupBy(key).agg(first.alias("f"), F.count(F.lit(1)).alias("messages"), F.max(order).alias("last_turn")).select(key, conversation_title(F.col("f.text")).alias("title"), "messages", "last_turn")
+
+
+# What asks for a compact answer.
+COMPACT = ["one sentence", "single sentence", "in a sentence", "concise answer", "concise sentence", "brief answer", "briefly", "short answer"]
+
+
+def wants_compact_answer(question: Column) -> Column:
+    """The question asks for a short form."""
+    said = F.regexp_replace(F.trim(F.lower(question)), r"\s+", " ")
+    return F.exists(F.array(*map(F.lit, COMPACT)), lambda m: said.contains(m))
+
+
+def digest(blocks: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, part, block, summary): numbered blocks with a summary of 200
+    characters, graph blocks apart as supporting facts."""
+    from tessella.operators.records import shortened
+
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    part = F.when(F.upper(F.trim(text)).startswith("GRAPH "), "supporting_facts").otherwise("direct_answers")
+    return blocks.select(key, part.alias("part"), n.alias("block"), shortened(F.col(text), 200).alias("summary"))
+
+
+def bounded_history(responses: DataFrame, key: str, order: Sequence[str], most: int = 10) -> DataFrame:
+    """The last ``most`` responses of each session."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
+    return responses.withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+
+
+def condensed(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(block, pos, line): the first 20 chunks, 10 entities and 15
+    relations as lines of context; those without content are left out after
+    the cut. Inputs have ``pos``; entities name, type, details; relations type,
+    source, target, insight."""
+    first = lambda df, n: df.orderBy("pos").limit(n)
+    a = first(chunks, 20).select(F.lit(1).alias("block"), "pos", F.trim("text").alias("line")).filter("line <> ''")
+    b = first(entities, 10).filter("name <> '' and details <> ''").select(F.lit(2).alias("block"), "pos", F.concat(F.lit("GRAPH ENTITY "), "name", F.lit(" ("), F.coalesce("type", F.lit("Entity")), F.lit("): "), "details").alias("line"))
+    c = first(relations, 15).filter("insight <> ''").select(
+        F.lit(3).alias("block"), "pos",
+        F.concat(F.lit("GRAPH RELATIONSHIP "), F.coalesce("type", F.lit("related_to")), F.lit(" ("), F.coalesce("source", F.lit("?")), F.lit(" -> "), F.coalesce("target", F.lit("?")), F.lit("): "), "insight").alias("line"),
+    )
+    return a.unionByName(b).unionByName(c).orderBy("block", "pos")

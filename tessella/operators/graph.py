@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves one
+    machine (``local[n]``); a cluster without it is refused."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
 
 
@@ -72,13 +76,15 @@ def two_hops(edges: DataFrame, start: str, kind: str | None = None, most: int =
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(id, distance) of the nodes within ``hops`` of a seed that has an edge."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    seen = seeds.select("id").join(both.select(F.col("src").alias("id")), "id", "left_semi").distinct().withColumn("distance", F.lit(0))
-    front = seen
+    """(id, distance) of the nodes within ``hops`` of a seed that has an
+    edge. The pairs and each frontier are written once, so a hop costs one join
+    with the pairs and never derives the edges again."""
+    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")))
+    front = checkpointed(seeds.select("id").join(both.select(F.col("src").alias("id")), "id", "left_semi").distinct().withColumn("distance", F.lit(0)))
+    seen = front
     for step in range(1, hops + 1):
         reached = front.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
-        front = reached.join(seen, "id", "left_anti").withColumn("distance", F.lit(step))
+        front = checkpointed(reached.join(seen, "id", "left_anti").withColumn("distance", F.lit(step)))
         seen = seen.unionByName(front)
     return seen
 
@@ -130,22 +136,30 @@ def subgraph_scores(nodes: DataFrame, edges: DataFrame, components: DataFrame, s
     return j.select("component", "size", "edges", score.alias("score"))
 
 
-def merge_overlapping(groups: list[tuple[str, set[str]]], threshold: float = 0.3) -> list[tuple[str, set[str]]]:
-    """Greedy merge of the top few subgraphs: each takes in every later one
-    that shares ``threshold`` of the smaller's nodes. Its input is a top-k."""
-    out: list[tuple[str, set[str]]] = []
-    left = [(name, set(ids)) for name, ids in groups]
+def merge_overlapping(members: DataFrame, order: list[str], threshold: float = 0.3) -> DataFrame:
+    """(grp, merged) of the few top subgraphs named in ``order`` (16 at
+    most): each, in turn, takes in every later one that shares ``threshold`` of
+    the smaller's nodes, growing as it does. Nodes are counted by the set of
+    groups that hold them, and only those counts reach the driver."""
+    if len(order) > 16:
+        raise ValueError("merge the top few subgraphs only")
+    bit = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, 1 << i)]) if order else F.lit(None)
+    rows = members.filter(F.col("grp").isin(order)).select("id", F.try_element_at(bit, F.col("grp")).alias("bit")).distinct()
+    counts = [(r["mask"], r["n"]) for r in rows.groupBy("id").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()]
+    size = lambda *masks: sum(n for held, n in counts if all(held & m for m in masks))
+    left, out = list(range(len(order))), []
     while left:
-        name, ids = left.pop(0)
-        rest = []
-        for other, more in left:
-            if ids and more and len(ids & more) / min(len(ids), len(more)) >= threshold:
-                ids |= more
+        head = left.pop(0)
+        taken, rest = 1 << head, []
+        for other in left:
+            smaller = min(size(taken), size(1 << other))
+            if smaller and size(taken, 1 << other) / smaller >= threshold:
+                taken |= 1 << other
             else:
-                rest.append((other, more))
-        out.append((name, ids))
+                rest.append(other)
+        out += [(order[i], order[head]) for i in range(len(order)) if taken >> i & 1]
         left = rest
-    return out
+    return members.sparkSession.createDataFrame(out, "grp string, merged string")
 
 
 def shortest_paths(edges: DataFrame, start: str, most: int = 5) -> DataFrame:
@@ -171,3 +185,64 @@ def upsert_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     new = wanted.select("src", "dst", "type", F.col("fact").alias("_new"))
     joined = edges.join(new, ["src", "dst", "type"], "full_outer")
     return joined.select(F.coalesce("id", F.concat_ws(">", "src", "type", "dst")).alias("id"), "src", "dst", "type", F.coalesce("_new", "fact").alias("fact"))
+
+
+def find_node(nodes: DataFrame, label: str | None = None, **properties) -> DataFrame:
+    """The node with the least id that has this label and these properties; a
+    property given as None is not asked for."""
+    hit = F.lit(True) if label is None else F.col("label") == label
+    for name, value in properties.items():
+        if value is not None:
+            hit = hit & (F.col(name) == value)
+    return nodes.filter(hit).orderBy("id").limit(1)
+
+
+def create(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes or edges with the new ones appended; an id that is there, or
+    comes twice, is created once."""
+    fresh = new.join(current.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return current.unionByName(fresh.select(*current.columns))
+
+
+def delete_edges(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that stay, and the deleted ones whole, as their backup."""
+    return edges.join(ids.select("id"), "id", "left_anti"), edges.join(ids.select("id"), "id", "left_semi")
+
+
+def restore_edges(edges: DataFrame, backup: DataFrame) -> DataFrame:
+    """Deleted edges put back with their properties, unless they are there."""
+    return create(edges, backup)
+
+
+def seed_edges(edges: DataFrame, nodes: DataFrame, curated: DataFrame) -> DataFrame:
+    """Curated edges by the names of their ends (source, type, target,
+    fact) added or brought up to date; a name without exactly one node is left out."""
+    one = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    ends = curated.join(one.select(F.col("name").alias("source"), F.col("id").alias("src")), "source").join(one.select(F.col("name").alias("target"), F.col("id").alias("dst")), "target")
+    return upsert_edges(edges, ends.select("src", "dst", "type", "fact"))
+
+
+def match_any(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(stable_id, candidates, by_uuid, by_stable_id, by_description) of
+    nodes (uuid, stable_id, description) that are meant by any of three ids; a
+    node counts once. Three equi-joins take the place of the disjunction."""
+    keyed = nodes.withColumn("node", F.struct("uuid", "stable_id", "description"))
+    hits = None
+    for column, key in (("uuid", F.col("stable_id")), ("stable_id", F.col("stable_id")), ("description", F.concat(F.lit("episode_"), "stable_id"))):
+        own = wanted.select(F.col("stable_id").alias("wanted"), key.alias("key")).join(keyed.select(F.col(column).alias("key"), "node"), "key").select("wanted", "node", F.lit(column).alias("by"))
+        hits = own if hits is None else hits.unionByName(own)
+    by = lambda c: F.countDistinct(F.when(F.col("by") == c, F.col("node")))
+    found = hits.groupBy("wanted").agg(F.countDistinct("node").alias("candidates"), by("uuid").alias("by_uuid"), by("stable_id").alias("by_stable_id"), by("description").alias("by_description"))
+    names = ["candidates", "by_uuid", "by_stable_id", "by_description"]
+    return wanted.select("stable_id").distinct().join(found.withColumnRenamed("wanted", "stable_id"), "stable_id", "left").na.fill(0, names)
+
+
+def graph_focus(hits: DataFrame, episodes: DataFrame, mentions: DataFrame, nodes: DataFrame, most_episodes: int = 3, per_episode: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The edges and the entities around the first hits that the graph
+    knows. ``hits`` (id, rank) meet ``episodes`` (stable_id, node); of the first
+    few, each gives its best ``mentions`` (node, edge, src, dst, score)."""
+    known = hits.join(episodes, F.col("id") == F.col("stable_id")).orderBy("rank", "id").limit(most_episodes).select("node", "rank")
+    w = Window.partitionBy("node").orderBy(F.desc("score"), "edge")
+    edges = mentions.join(F.broadcast(known), "node").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_episode).select("rank", "n", "edge", "src", "dst")  # a few hits
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return edges, nodes.join(F.broadcast(ends), "id", "left_semi")  # two ends of a few edges

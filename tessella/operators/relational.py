@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +73,29 @@ def neighbours(hits: DataFrame, rows: DataFrame, doc: str, idx: str, reach: int
 
 
 def greedy_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int) -> DataFrame:
-    """Rows kept by a greedy budget that skips what does not fit and always
-    keeps the first row of a key. A fold over each key's rows in order."""
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    item = F.struct(F.col("_n").alias("n"), F.col(cost).cast("long").alias("c"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    step = lambda a, x: F.when(
-        (a["used"] + x["c"] <= budget) | (F.size(a["kept"]) == 0), F.struct((a["used"] + x["c"]).alias("used"), F.concat(a["kept"], F.array(x["n"])).alias("kept"))
-    ).otherwise(a)
-    kept = rows.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items")).select(key, F.explode(F.aggregate("items", start, step)["kept"]).alias("_n"))
-    return rows.join(kept, [key, "_n"]).drop("_n")
+    """Rows of each key in order that still fit the budget, skipping those
+    that do not; where none fits, the first row alone. Rows stream past in
+    order, so a key of any size takes the memory of one batch."""
+    names = df.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, first = None, 0, None
+        for pdf in frames:
+            kept = []
+            for i, (k, c) in enumerate(zip(pdf[key], pdf[cost], strict=True)):
+                k = None if pd.isna(k) else k
+                if i == 0 and at is None or k != at[0]:
+                    if first is not None:
+                        yield first
+                    at, used, first = (k,), 0, pdf.iloc[i : i + 1]
+                if used + c <= budget:
+                    kept.append(i)
+                    used, first = used + c, None
+            yield pdf.iloc[kept]
+        if first is not None:
+            yield first
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.schema).select(*names)
 
 
 def prefix_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int) -> DataFrame:

@@ -57,13 +57,6 @@ def g09(spark, d):
     return G.connected_components(docs.select(F.col("doc_id").alias("id")), edges)
 
 
-@query("g09_star_components", NE + ", big AS (SELECT count(*) AS n FROM nodes WHERE EXISTS (SELECT 1 FROM edges WHERE src = nodes.id OR dst = nodes.id)) SELECT (SELECT count(DISTINCT r_regionkey) FROM region WHERE 'r' || r_regionkey IN (SELECT dst FROM edges)) > 0 AS linked, 1 AS largest")
-def g09b(spark, d):
-    comp = G.connected_components(I.nodes(spark, d), I.edges(spark, d))
-    top = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1)
-    return top.select((F.col("n") > 1).alias("linked"), F.lit(1).alias("largest"))
-
-
 _G10 = """WITH d AS (SELECT doc_id, lang, source, sha256(text) AS sha FROM documents), c AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY sha) AS component FROM d),
  n AS (SELECT component, count(*) AS size, count(DISTINCT lang) AS labels FROM c GROUP BY 1), e AS (SELECT component, count(*) AS edges, count(DISTINCT source) AS types FROM c WHERE doc_id <> component GROUP BY 1),
  j AS (SELECT n.component, size, labels, coalesce(edges, 0) AS edges, coalesce(types, 0) AS types FROM n LEFT JOIN e USING (component)),

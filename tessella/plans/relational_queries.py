@@ -325,8 +325,8 @@ def w07(spark, d):
 
 
 @query("w09_greedy_budget", """WITH i AS (SELECT source, list(struct_pack(id := doc_id, used := len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'))::BIGINT, kept := []::BIGINT[]) ORDER BY doc_id) AS rows FROM documents GROUP BY source),
- f AS (SELECT source, list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 OR len(a.kept) = 0 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
- SELECT doc_id, source, len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+')) AS tokens FROM documents JOIN f USING (source) WHERE list_contains(r.kept, doc_id)""")
+ f AS (SELECT source, rows[1].id AS first, list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
+ SELECT doc_id, source, len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+')) AS tokens FROM documents JOIN f USING (source) WHERE list_contains(CASE WHEN len(r.kept) = 0 THEN [first] ELSE r.kept END, doc_id)""")
 def w09(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.size(F.split("text", r"\s+")).alias("tokens"))
     return R.greedy_budget(docs, "source", [F.col("doc_id")], "tokens", 3000).select("doc_id", "source", "tokens")

@@ -93,8 +93,8 @@ def r09(spark, d):
 
 @query("r12_context_budget", with_("embedded") + f""", {_SIM}, h AS (SELECT id, len(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'))::BIGINT AS cost, similarity FROM sim ORDER BY similarity DESC, id LIMIT 30),
  i AS (SELECT list(struct_pack(id := id, used := cost, kept := []::BIGINT[]) ORDER BY similarity DESC, id) AS rows FROM h),
- f AS (SELECT list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 OR len(a.kept) = 0 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
- SELECT id, cost FROM h, f WHERE list_contains(r.kept, id)""")
+ f AS (SELECT rows[1].id AS first, list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 3000 THEN struct_pack(id := x.id, used := a.used + x.used, kept := list_append(a.kept, x.id)) ELSE a END, struct_pack(id := 0::BIGINT, used := 0::BIGINT, kept := []::BIGINT[])) AS r FROM i)
+ SELECT id, cost FROM h, f WHERE list_contains(CASE WHEN len(r.kept) = 0 THEN [first] ELSE r.kept END, id)""")
 def r12(spark, d):
     hits = T.vector_top_k(I.embedded(spark, d), "embedding", I.query_vector(spark, d), 30).withColumn("all", F.lit(1))
     cost = hits.withColumn("cost", F.size(F.split("text", r"\s+")))

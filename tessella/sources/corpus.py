@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,58 @@ def migrations(applied: DataFrame, wanted: DataFrame) -> DataFrame:
     j = wanted.select("version", F.col("checksum").alias("w")).join(applied.select("version", F.col("checksum").alias("a")), "version", "full_outer").crossJoin(F.broadcast(last))  # one row
     status = F.when(F.col("w").isNull(), "unknown").when(F.col("a").isNull() & (F.col("version") < F.col("last")), "gap").when(F.col("a").isNull(), "pending").when(F.col("a") != F.col("w"), "changed").otherwise("applied")
     return j.select("version", status.alias("status"))
+
+
+def embed_missing(rows: DataFrame, key: str, text: str, column: str, embed: Callable[[list[str]], list[list[float]]], size: int = 32) -> DataFrame:
+    """(key, vector) of the rows without a vector, in batches of
+    ``size`` texts. ``embed`` is any model: texts to vectors. A batch that it
+    fails on is skipped, so its rows stay without one and come again next time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in range(0, len(pdf), size):
+                part = pdf.iloc[start : start + size]
+                try:
+                    vectors = embed(part[text].tolist())
+                except Exception:
+                    continue
+                yield pd.DataFrame({key: part[key].array, column: vectors})
+
+    missing = rows.filter(F.col(column).isNull()).select(key, text)
+    return missing.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {column} array<double>")
+
+
+def with_embeddings(rows: DataFrame, key: str, column: str, made: DataFrame) -> DataFrame:
+    """Rows with the vectors that were made for them."""
+    return rows.join(made.withColumnRenamed(column, "_made"), key, "left").withColumn(column, F.coalesce(column, "_made")).drop("_made")
+
+
+def correction_rows(edges: DataFrame, plan: DataFrame, applied_at: Column) -> DataFrame:
+    """The rows that a correction sink appends: each planned correction
+    with the whole edge as a JSON backup."""
+    backup = edges.select("id", F.to_json(F.struct(*sorted(edges.columns))).alias("backup"))
+    return plan.select("id", "action", "confidence").join(backup, "id", "left").withColumns({"status": F.lit("applied"), "applied_at": applied_at, "rolled_back_at": F.lit(None).cast("timestamp")})
+
+
+def append_messages(messages: DataFrame, incoming: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Incoming messages (key, role, text, at) numbered on from the last
+    turn of their conversation; an unknown conversation starts at 1."""
+    last = messages.groupBy(key).agg(F.max("turn").alias("last"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy("at", "role", "text"))
+    new = incoming.withColumn("n", n).join(last, key, "left").withColumn("turn", F.coalesce("last", F.lit(0)) + F.col("n"))
+    return messages.unionByName(new.select(*messages.columns))
+
+
+def reconcile_corpus(judgements: DataFrame, entities: DataFrame, episodes: DataFrame, normal: Callable[[Column], Column]) -> DataFrame:
+    """Q12: (case_id, codes, ungrounded) of the cases of a retrieval corpus
+    that its source does not bear out. ``judgements`` (case_id, selector,
+    fingerprint) must meet ``episodes`` (selector, fingerprint, text); an alias of
+    each expected entity (case_id, entity, aliases) must be in the texts met."""
+    e = episodes.select("selector", F.col("fingerprint").alias("actual"), "text")
+    met = judgements.join(e, "selector", "left").withColumn("code", F.when(F.col("actual").isNull(), "judgment_episode_missing").when(F.col("actual") != F.col("fingerprint"), "judgment_source_fingerprint_mismatch"))
+    bad = met.filter("code is not null").select("case_id", "code", F.lit(None).cast("string").alias("entity"))
+    texts = met.filter("code is null").select("case_id", normal(F.col("text")).alias("said"))
+    named = entities.select("case_id", "entity", F.explode("aliases").alias("alias")).withColumn("alias", normal(F.col("alias")))
+    grounded = named.join(texts, "case_id").filter(F.col("said").contains(F.col("alias"))).select("case_id", "entity").distinct()
+    loose = entities.select("case_id", "entity").distinct().join(grounded, ["case_id", "entity"], "left_anti").select("case_id", F.lit("expected_entity_not_grounded").alias("code"), "entity")
+    return bad.unionByName(loose).groupBy("case_id").agg(F.sort_array(F.collect_set("code")).alias("codes"), F.sort_array(F.collect_set("entity")).alias("ungrounded"))

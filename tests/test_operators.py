@@ -125,8 +125,9 @@ def test_components_and_merge(spark):
     edges = spark.createDataFrame([(1, 0), (2, 1), (5, 4), (6, 5), (6, 2), (7, 99)], "src long, dst long")
     got = dict(graph.connected_components(nodes, edges).collect())
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 0, 6: 0, 7: 7, 8: 8}
-    merged = graph.merge_overlapping([("a", {"1", "2", "3"}), ("b", {"3", "4"}), ("c", {"9"})])
-    assert merged == [("a", {"1", "2", "3", "4"}), ("c", {"9"})]
+    members = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), ("b", "3"), ("b", "4"), ("c", "9")], "grp string, id string")
+    merged = dict(graph.merge_overlapping(members, ["a", "b", "c"]).collect())
+    assert merged == {"a": "a", "b": "a", "c": "c"}
 
 
 def test_claim_leases_in_order(spark):
