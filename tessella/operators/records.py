@@ -37,6 +37,16 @@ def safe_list(values: Column, most: int = 100) -> Column:
     return F.when(F.size(values) > most, F.concat(F.lit("<list of "), F.size(values).cast("string"), F.lit(">"))).otherwise(F.array_join(values.cast("array<string>"), ","))
 
 
+def safe_lists(rows: DataFrame, key: str, value: str, most: int = 100) -> DataFrame:
+    """(key, text): the sorted values of each key as text, or a placeholder
+    where there are more than ``most``. Keys are counted first, so long lists
+    are never gathered."""
+    sizes = rows.groupBy(key).agg(F.count(value).alias("n"))
+    short = rows.join(sizes.filter(F.col("n") <= most), key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("held"))
+    long_ = sizes.filter(F.col("n") > most).select(key, F.concat(F.lit("<list of "), F.col("n").cast("string"), F.lit(">")).alias("text"))
+    return short.select(key, safe_list(F.col("held"), most).alias("text")).unionByName(long_)
+
+
 def canonical_fingerprint(props: Column) -> Column:
     """Fingerprint of a string map as JSON with sorted keys, compact and
     ASCII. No built-in function escapes to ASCII, so this is a pandas UDF."""

@@ -41,8 +41,7 @@ def p09(spark, d):
 
 @query("p13_safe_lists", "SELECT user_id, CASE WHEN count(*) > 60 THEN '<list of ' || count(*) || '>' ELSE string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS ids FROM events GROUP BY user_id")
 def p13(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    return rows.select("user_id", R.safe_list(F.col("ids"), 60).alias("ids"))
+    return R.safe_lists(table(spark, d, "events"), "user_id", "event_id", 60).withColumnRenamed("text", "ids")
 
 
 @query("p16_live_state", "SELECT user_id AS key, arg_max(event_type, ts) AS value FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR")

@@ -94,3 +94,10 @@ def s03(spark, d):
 @query("s18_columns", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM events)")
 def s18(spark, d):
     return spark.createDataFrame([(n,) for n, _ in C.table_columns(table(spark, d, "events"))], "name string")
+
+
+@query("t01_messages", "SELECT user_id AS stream_id, string_agg(substr(event_type, 1, 2), '' ORDER BY event_id) AS text, false AS done FROM events GROUP BY user_id")
+def t01(spark, d):
+    tokens = S.event_stream(spark, f"{d}/events.parquet*").select(F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 2).alias("token"), F.lit(False).alias("final"))
+    out = S.drained(S.messages(tokens), _name("messages"), "update")
+    return out.groupBy("stream_id").agg(F.max_by("text", F.length("text")).alias("text"), F.max_by("done", F.length("text")).alias("done"))

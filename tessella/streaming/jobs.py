@@ -68,16 +68,15 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def job_states_batch(events: DataFrame) -> DataFrame:
-    """The same fold over a whole table, as a Column expression."""
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
-
-    def step(state, e):
-        out = state
-        for kind, to in NEXT_STATE.items():
-            out = F.when(~state.isin(*FINAL) & (e["event_type"] == kind), to).otherwise(out)
-        return out
-
-    return events.groupBy("user_id").agg(F.aggregate(ordered, F.lit("new"), step).alias("state"), F.count(F.lit(1)).alias("events"))
+    """The same fold over a whole table without gathering a key's events: the
+    first final state decides, else the last known event."""
+    to = F.create_map(*[F.lit(x) for kv in NEXT_STATE.items() for x in kv])
+    rows = events.withColumn("to", F.try_element_at(to, F.col("event_type"))).withColumn("at", F.struct("ts", "event_id"))
+    final = F.col("to").isin(*FINAL)
+    ended = F.min_by("to", F.when(final, F.col("at"))).alias("ended")
+    last = F.max_by("to", F.when(F.col("to").isNotNull(), F.col("at"))).alias("last")
+    found = rows.groupBy("user_id").agg(ended, last, F.count(F.lit(1)).alias("events"), F.count_if(final).alias("finals"))
+    return found.select("user_id", F.when(F.col("finals") > 0, F.col("ended")).otherwise(F.coalesce("last", F.lit("new"))).alias("state"), "events")
 
 
 def messages(tokens: DataFrame) -> DataFrame:
