@@ -138,7 +138,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         kept = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= WORD_BYTES]
         return pd.DataFrame(kept, columns=["word", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -164,7 +164,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", most: int = T
         for pdf in frames:
             yield pd.DataFrame({"word": pdf["word"], "ids": encode(path, pdf["word"].tolist())})
 
-    words = cut(most_frequent(counts, most).select("word").mapInPandas(run, "word string, ids array<int>"))
+    words = cut(most_frequent(counts, most).select("word").mapInPandas(lean(run), "word string, ids array<int>"))
     by_id = docs.sparkSession.createDataFrame(pd.DataFrame({"id": np.arange(len(pieces(path)), dtype=np.int32), "piece": pieces(path)}), "id int, piece binary")
     decoded = (
         words.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(by_id), "id")  # as many rows as the vocabulary has
@@ -183,6 +183,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     a text are handled as the library does by default. Repeated rows give a
     row each; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     held = word_table(docs, path, text_col).toPandas()  # at most TABLE_WORDS short words
     known = {w: (",".join(map(str, i)), len(i), bytes(d)) for w, i, d in zip(held["word"], held["ids"], held["decoded"], strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -206,7 +207,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(lean(run), schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
