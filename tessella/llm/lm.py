@@ -30,7 +30,7 @@ HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 400_000
 # A word has a vector if it occurs MODEL_COUNT times or is among the
 # LEAST_WORDS most frequent; ids take 16 bits.
 MODEL_COUNT, LEAST_WORDS, MOST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 1 << 16, 5000
-WIDTH, NOISE, ROUNDS, BATCH, PAIRS = 32, 256, 2, 4096, 8192
+WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS = 32, 64, 32, 1, 4096, 8192
 SMOOTH, LIMIT = 0.1, 60.0
 END, OTHER = 0, 1
 END_WORD = b"\n"  # no word holds white space
@@ -107,7 +107,7 @@ class LogBilinear:
         r1, r2, rw, kind = self.r[before], self.r[before2], self.r[word], self.of[word]
         q = r1 @ self.c1 + r2 @ self.c2
         noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE)), len(self.p) - 1)
-        noise_c = self.rng.choice(len(self.pc), min(NOISE, 64), p=self.pc)
+        noise_c = self.rng.choice(len(self.pc), CLASS_NOISE, p=self.pc)
         share = (weight / weight.sum()).astype(np.float32)
         eg, eb = self._contrast(q, word, share, self.r, self.b, self.p, noise, k)
         cg, cb = self._contrast(q, kind, share, self.rc, self.bc, self.pc, noise_c, k)
