@@ -30,7 +30,7 @@ HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 400_000
 # A word has a vector if it occurs MODEL_COUNT times or is among the
 # LEAST_WORDS most frequent; ids take 16 bits.
 MODEL_COUNT, LEAST_WORDS, MOST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 1 << 16, 5000
-WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS = 32, 64, 32, 1, 4096, 8192
+WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS, LEAST_STEPS = 32, 64, 32, 1, 1024, 8192, 32
 SMOOTH, LIMIT = 0.1, 60.0
 END, OTHER = 0, 1
 END_WORD = b"\n"  # no word holds white space
@@ -175,18 +175,16 @@ def _ids(text: str | None, place: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((place.get(w, OTHER) for w in (*words, END_WORD)), np.uint16, len(words) + 1)
 
 
-def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(two before, before, word, text) of every token; before its start a
-    text has ends."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.concatenate([*texts, np.zeros(0, np.uint16)]).astype(np.int64)
+def _contexts(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(two before, before) of every token of texts of these sizes; before its
+    start a text has ends."""
     first = np.cumsum(sizes) - sizes
     before = np.concatenate([[END], flat[:-1]])
     before2 = np.concatenate([[END, END], flat[:-2]])[: len(flat)]
     before[first] = END
     before2[first] = END
     before2[np.minimum(first + 1, len(flat) - 1)[sizes > 1]] = END
-    return before2, before, flat, np.repeat(np.arange(len(texts)), sizes)
+    return before2, before
 
 
 def dealt(docs: DataFrame, place: dict[bytes, int], shards: int) -> DataFrame:
@@ -203,7 +201,9 @@ def dealt(docs: DataFrame, place: dict[bytes, int], shards: int) -> DataFrame:
 
 def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS, shard_documents: int = SHARD_DOCUMENTS) -> LogBilinear:
     """Learn from every text of ``docs`` (doc_id, text): a round trains a copy of
-    the model on each shard and averages the copies by their tokens."""
+    the model on each shard and averages the copies by their tokens. Equal
+    threes of words within 2**20 tokens are learnt once, by their number; where
+    they are few they are learnt again, LEAST_STEPS steps in all."""
     spark = docs.sparkSession
     model = LogBilinear(unigram)
     size, blocks, words = len(model.blob()), 16, len(unigram)
@@ -214,11 +214,11 @@ def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds:
         shared = spark.sparkContext.broadcast((model.blob(), unigram))
 
         def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray]]]:
-            """Texts of one shard at a time, about 2**18 tokens each time."""
+            """Texts of one shard at a time, about 2**20 tokens each time."""
             shard, held, tokens = None, [], 0
             for pdf in frames:
                 for at, ids in zip(pdf["shard"].tolist(), pdf["ids"], strict=True):
-                    if held and (at != shard or tokens > 1 << 18):
+                    if held and (at != shard or tokens > 1 << 20):
                         yield shard, held
                         held, tokens = [], 0
                     shard = at
@@ -235,14 +235,15 @@ def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds:
                     if own is not None:
                         yield learnt(shard, total, own)
                     own, total, shard = LogBilinear(base, seed=17 + at).load(blob), 0, at
-                b2, b1, w, _ = _contexts(texts)
+                w = np.concatenate(texts).astype(np.int64)
+                b2, b1 = _contexts(w, np.array([len(t) for t in texts], np.int64))
                 grams, n = np.unique((b2 * words + b1) * words + w, return_counts=True)
-                order = own.rng.permutation(len(grams))
-                grams, n = grams[order], n[order].astype(np.float32)
                 total += len(w)
-                for s in range(0, len(grams), BATCH):
-                    g = grams[s : s + BATCH]
-                    own.learn(g // (words * words), g // words % words, g % words, n[s : s + BATCH], 0.1 / (1 + number))
+                for _ in range(-(-LEAST_STEPS // -(-len(grams) // BATCH))):
+                    order = own.rng.permutation(len(grams))
+                    for s in range(0, len(grams), BATCH):
+                        g = grams[order[s : s + BATCH]]
+                        own.learn(g // (words * words), g // words % words, g % words, n[order[s : s + BATCH]].astype(np.float32), 0.05 / (1 + number))
             if own is not None:
                 yield learnt(shard, total, own)
 
@@ -306,29 +307,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         held, place, blob, own = shared.value
         m = LogBilinear(own).load(blob)
         ln10, log_whole, log_inside = np.log(10), np.log10(whole), np.log10(inside)
-        common = {w: float(np.log10(n + SMOOTH)) for w, n in held.items()}
+        index = {w: i for i, w in enumerate(held)}
+        # Of each held word, and last of any other: log of its smoothed count, model id.
+        log_count = np.append(np.log10(np.fromiter(held.values(), float, len(held)) + SMOOTH), 0.0)
+        model_id = np.append(np.fromiter((place.get(w, OTHER) for w in held), np.int64, len(held)), OTHER)
         for pdf in frames:
             for part in text_batches(pdf, "text", 1 << 20):
-                texts = [words_of(t) for t in part["text"]]
-                b2, b1, w, owner = _contexts([np.fromiter((place.get(x, OTHER) for x in (*t, END_WORD)), np.uint16, len(t) + 1) for t in texts])
-                score = np.bincount(owner, m.log_probabilities(b2, b1, w).astype(float) / ln10, len(texts))
-                out = []
-                for uid, doc, ho, words, s in zip(part["uid"], part["doc_id"], part["held_out"], texts, score, strict=True):
-                    base, known, inner, rare = common.get(END_WORD, np.log10(SMOOTH)), int(END_WORD in held), 0.0, Counter()
-                    for x, n in Counter(words).items():
-                        got = common.get(x)
-                        if got is None:
-                            rare[x] += n
-                            continue
-                        base += n * got
-                        known += n
-                        if x not in place:
-                            inner += n * got
-                    others = sum(1 for x in words if x not in place)
-                    size = len(words) + 1
-                    out.append((uid, b"\n%d" % uid, 1, doc, ho, size, known, base - size * log_whole, s + inner - others * log_inside))
-                    out += [(uid, x, n, None, None, None, None, None, None) for x, n in rare.items()]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"})
+                texts = [(*words_of(t), END_WORD) for t in part["text"]]
+                flat, sizes = [w for t in texts for w in t], np.array([len(t) for t in texts], np.int64)
+                at = np.fromiter((index.get(w, -1) for w in flat), np.int64, len(flat))
+                ids, owner = model_id[at], np.repeat(np.arange(len(texts)), sizes)
+                per_text = lambda x, owner=owner, n=len(texts): np.bincount(owner, x, n)
+                other = ids == OTHER
+                score = per_text(m.log_probabilities(*_contexts(ids, sizes), ids) / ln10) + per_text(log_count[at] * other) - per_text(other) * log_inside
+                base, known = per_text(log_count[at]) - sizes * log_whole, per_text(at >= 0)
+                doc = pd.DataFrame({"uid": part["uid"], "word": [b"\n%d" % u for u in part["uid"]], "k": 1, "doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"].astype("boolean"), "n_tokens": sizes, "n_known": known.astype(np.int64), "base": base, "score": score})
+                rare = Counter((owner[i], flat[i]) for i in np.flatnonzero(at < 0).tolist())
+                uids = part["uid"].to_numpy()
+                yield doc[names]
+                if rare:
+                    none = {"doc_id": pd.NA, "held_out": pd.NA, "n_tokens": pd.NA, "n_known": pd.NA, "base": np.nan, "score": np.nan}
+                    rest = pd.DataFrame({"uid": [uids[o] for o, _ in rare], "word": [w for _, w in rare], "k": list(rare.values())}).assign(**none)
+                    yield rest[names].astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"})
 
     schema = "uid long, word binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     names = [c.split(" ")[0] for c in schema.split(", ")]
