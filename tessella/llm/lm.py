@@ -30,7 +30,7 @@ HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 400_000
 # A word has a vector if it occurs MODEL_COUNT times or is among the
 # LEAST_WORDS most frequent; ids take 16 bits.
 MODEL_COUNT, LEAST_WORDS, MOST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 1 << 16, 5000
-WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS, LEAST_STEPS = 32, 64, 32, 1, 1024, 8192, 32
+WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS, LEAST_STEPS = 32, 64, 32, 1, 1024, 1024, 32
 SMOOTH, LIMIT = 0.1, 60.0
 END, OTHER = 0, 1
 END_WORD = b"\n"  # no word holds white space
