@@ -125,3 +125,11 @@ def sized_batches(pdf, size_col: str, limit: int):
 def text_batches(pdf, text_col: str, limit: int):
     """Slices of ``pdf`` whose texts come to about ``limit`` characters."""
     return sized_batches(pdf.assign(_size=pdf[text_col].str.len().fillna(0).astype("int64")), "_size", limit)
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of ``text`` in DuckDB: each byte is added, then
+    eight shifts (-1) follow."""
+    steps = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce({steps}, lambda a, b: {step}, 4294967295::BIGINT), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, exact, langid, lm, neardup, ngramjoin, packing, tokencount, toxicity
+from tessella.llm import bpe, chat, exact, langid, lm, neardup, ngramjoin, packing, prefixtrie, spelling, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_ngram_jaccard_join": ngramjoin.op10_ngram_jaccard_join,
+    "op11_conversation_trie": prefixtrie.op11_conversation_trie,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_exact_top_k": topk.op13_exact_top_k,
 }
 
-ORACLE_SQL = {"op3_chat_formatting": chat.SQL, "op4_exact_dedup": exact.SQL}
+ORACLE_SQL = {"op3_chat_formatting": chat.SQL, "op4_exact_dedup": exact.SQL, "op11_conversation_trie": prefixtrie.SQL, "op12_spelling_variants": spelling.SQL, "op13_exact_top_k": topk.SQL}
