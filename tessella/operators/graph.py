@@ -204,6 +204,35 @@ def create(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.unionByName(fresh.select(*current.columns))
 
 
+def weighted_paths(edges: DataFrame, starts: DataFrame, most: int = 5) -> DataFrame:
+    """(start, id, distance, hops, path): the shortest simple path of one
+    to ``most`` edges from each of ``starts`` (id) to every node it reaches.
+    ``edges`` are (src, dst, distance) with distances of zero or more. Ties go
+    to fewer hops, then to the smaller list of nodes.
+
+    Every round lengthens the best paths of the round before by one edge and
+    keeps the best of each (start, node); as no distance is negative, a longer
+    path is worth keeping only if it is shorter than all before it, so what is
+    carried never exceeds one path for each pair. A node that is on its path
+    already ends it.
+    """
+    w = edges.groupBy("src", "dst").agg(F.min("distance").alias("step"))  # of parallel edges the shortest
+    best = F.min(F.struct("distance", "hops", "path")).alias("b")
+    found = checkpointed(starts.select(F.col("id").alias("start"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.array(F.col("id")).alias("path")).distinct())
+    frontier = found
+    for hop in range(1, most + 1):
+        longer = frontier.join(w, F.col("id") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(
+            "start", F.col("dst").alias("id"), (F.col("distance") + F.col("step")).alias("distance"), F.lit(hop).alias("hops"), F.concat("path", F.array("dst")).alias("path")
+        )
+        fresh = longer.groupBy("start", "id").agg(best).select("start", "id", "b.*")
+        old = found.select("start", "id", F.col("distance").alias("_old"))
+        frontier = checkpointed(fresh.join(old, ["start", "id"], "left").filter("_old is null or distance < _old").drop("_old"))
+        if frontier.isEmpty():
+            break
+        found = checkpointed(found.join(frontier.select("start", "id"), ["start", "id"], "left_anti").unionByName(frontier))
+    return found.filter("hops > 0")
+
+
 def delete_edges(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges that stay, and the deleted ones whole, as their backup."""
     return edges.join(ids.select("id"), "id", "left_anti"), edges.join(ids.select("id"), "id", "left_semi")

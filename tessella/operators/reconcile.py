@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import token_case
 from tessella.operators.graph import checkpointed
 
 STATES = ["pending", "leased", "retry_wait", "quarantined", "synced"]
@@ -230,26 +231,29 @@ def coverage(stored: DataFrame, sources: DataFrame) -> DataFrame:
     return j.agg(n(v.isNotNull()).alias("stored"), n(s.eqNullSafe(v) & s.isNotNull()).alias("current"), n(s.isNotNull() & v.isNotNull() & (s != v)).alias("stale"), n(s.isNotNull() & v.isNull()).alias("missing"), n(s.isNull()).alias("orphaned"))
 
 
-def proposal_policy(proposals: DataFrame, nodes: DataFrame, aliases: dict[str, str]) -> DataFrame:
+def proposal_policy(proposals: DataFrame, nodes: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(id, decision, type): proposals (id, pos, source, target, type, fact)
     accepted, normalised, or rejected by the first reason that holds: missing
     endpoint, ambiguous endpoint, self edge, empty fact, unknown type,
-    duplicate. Endpoints are names; a duplicate repeats an accepted key."""
-    count = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    duplicate. Endpoints are the names of ``nodes`` (id, name); a self edge and
+    a duplicate are told by the nodes' ids. A type of the vocabulary is
+    accepted; one that is it but for case, camel case and what parts its words
+    is normalised."""
+    count = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("node"))
     j = proposals
     for end in ("source", "target"):
-        j = j.join(count.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), end, "left").na.fill(0, [f"n_{end}"])
-    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    key = F.lower(F.regexp_replace(F.trim("type"), r"[\s_-]+", ""))
-    j = j.withColumn("kind", F.try_element_at(known, key))
+        j = j.join(count.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"), F.col("node").alias(f"{end}_id")), end, "left").na.fill(0, [f"n_{end}"])
+    known = F.create_map(*[c for name in vocabulary for c in (token_case(F.lit(name)), F.lit(name))])
+    kind = F.when(F.col("type").isin(*vocabulary), F.col("type")).otherwise(F.try_element_at(known, token_case(F.trim("type"))))
+    j = j.withColumn("kind", kind)
     least, most = F.least("n_source", "n_target"), F.greatest("n_source", "n_target")
     reason = (
-        F.when(least == 0, "missing_endpoint").when(most > 1, "ambiguous_endpoint").when(F.col("source") == F.col("target"), "self_edge")
+        F.when(least == 0, "missing_endpoint").when(most > 1, "ambiguous_endpoint").when(F.col("source_id") == F.col("target_id"), "self_edge")
         .when(F.trim(F.coalesce("fact", F.lit(""))) == "", "empty_fact").when(F.col("kind").isNull(), "unknown_type")
     )
     j = j.withColumn("reason", reason)
     fact = F.lower(F.trim(F.regexp_replace("fact", r"\s+", " ")))
-    first = F.row_number().over(Window.partitionBy(F.col("reason").isNull(), "source", "target", "kind", fact).orderBy("pos", "id"))
+    first = F.row_number().over(Window.partitionBy(F.col("reason").isNull(), "source_id", "target_id", "kind", fact).orderBy("pos", "id"))
     j = j.withColumn("reason", F.when(F.col("reason").isNull() & (first > 1), "duplicate").otherwise(F.col("reason")))
     decision = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("kind") == F.col("type"), "accepted").otherwise("normalized")
     return j.select("id", decision.alias("decision"), "kind")

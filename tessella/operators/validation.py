@@ -149,15 +149,22 @@ def properties(edges: DataFrame) -> Column:
 
 
 def duplicate_corrections(edges: DataFrame, confidence: float = 0.95, most: int | None = None) -> DataFrame:
-    """Delete all but the best of the edges with one (src, dst, type); at
-    most ``most`` of a group, the worst first, if that is given (X5)."""
+    """Delete all but the best of the edges with one (src, dst, type).
+
+    X5: with ``most``, groups are taken in the order of their smallest id and
+    none is begun once the deletions so far come to ``most``; a group that is
+    begun is deleted whole. Each begun group deletes one edge at least, so the
+    running total is over the first ``most`` groups only."""
     kind = F.lower(F.trim("type"))
     rows = edges.withColumn("_t", kind).filter("_t <> ''").withColumn("_score", completeness(properties(edges)))
-    w = Window.partitionBy("src", "dst", "_t")
-    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(F.desc("_score"), "id"))).withColumn("_last", F.count(F.lit(1)).over(w))
-    keep = F.first("id").over(w.orderBy(F.desc("_score"), "id"))
-    chosen = (F.col("_n") > 1) & (F.lit(True) if most is None else F.col("_last") - F.col("_n") < most)
-    return ranked.withColumn("kept_id", keep).filter(chosen).select(
+    key = ["src", "dst", "_t"]
+    if most is not None:
+        groups = rows.groupBy(*key).agg(F.min("id").alias("_least"), (F.count(F.lit(1)) - 1).alias("_gone")).filter("_gone > 0").orderBy("_least").limit(most)
+        before = F.coalesce(F.sum("_gone").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.join(F.broadcast(groups.withColumn("_before", before).filter(F.col("_before") < most).select(*key)), key, "left_semi")  # at most ``most`` rows
+    w = Window.partitionBy(*key).orderBy(F.desc("_score"), "id")
+    ranked = rows.withColumn("_n", F.row_number().over(w)).withColumn("kept_id", F.first("id").over(w))
+    return ranked.filter("_n > 1").select(
         F.lit("delete").alias("action"), "id", "kept_id", F.lit(None).cast("string").alias("new_type"), F.lit(confidence).alias("confidence"),
         F.to_json(F.struct("id", "src", "dst", "type", "fact")).alias("backup"),
     )
@@ -173,12 +180,17 @@ def standardise_corrections(edges: DataFrame, confidence: float = 0.90) -> DataF
 
 
 def correction_plan(edges: DataFrame, least: float = 0.0, batch: str = "batch", most: int | None = None) -> DataFrame:
-    """Deletions, then renames of what is left, at or over a confidence, and
-    at most ``most`` of either kind for an edge's group. Nothing is changed
-    before ``apply_corrections``, so the plan is the dry run."""
-    deletes = duplicate_corrections(edges, most=most)
-    left = edges.join(deletes.select("id"), "id", "left_anti")
-    plan = deletes.unionByName(standardise_corrections(left)).filter(F.col("confidence") >= least)
+    """Deletions, then renames, at or over a confidence. With ``most``,
+    deletions stop as ``duplicate_corrections`` says and renames, in the order
+    of ids, fill what is left of it. Renames cover all edges, those that the
+    plan deletes too: such a rename finds nothing when it is applied. Nothing is
+    changed before ``apply_corrections``, so the plan is the dry run."""
+    deletes, renames = duplicate_corrections(edges, most=most), standardise_corrections(edges)
+    if most is not None:
+        n = F.row_number().over(Window.orderBy("id"))
+        left = renames.orderBy("id").limit(most).withColumn("_n", n).crossJoin(F.broadcast(deletes.agg(F.count(F.lit(1)).alias("_gone"))))  # one row beside ``most`` at most
+        renames = left.filter(F.col("_n") + F.col("_gone") <= most).drop("_n", "_gone")
+    plan = deletes.unionByName(renames).filter(F.col("confidence") >= least)
     return plan.withColumn("batch", F.lit(batch)).withColumn("step", F.when(F.col("action") == "delete", 1).otherwise(2))
 
 

@@ -99,6 +99,32 @@ def g17(spark, d):
     return G.upsert_edges(e, wanted).select("id", "fact")
 
 
+_ROADS = """roads AS (SELECT src, dst, min(distance) AS step FROM (
+  SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_quantity::DOUBLE AS distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1.0 + s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2.0 FROM nation
+  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 3.0 + n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.5 FROM supplier) GROUP BY ALL)"""
+_HOP = "l{n} AS (SELECT start, id, min({{'d': d, 'hops': hops, 'path': path}}) AS b FROM (SELECT start, dst AS id, (b.d + step)::DOUBLE AS d, {n} AS hops, list_append(b.path, dst) AS path FROM l{m} JOIN roads ON src = l{m}.id WHERE NOT list_contains(b.path, dst)) GROUP BY ALL)"
+
+
+@query("g18_weighted_paths", f"""WITH {_ROADS}, l0 AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS id, {{'d': 0.0::DOUBLE, 'hops': 0, 'path': ['c' || c_custkey]}} AS b FROM customer),
+ {", ".join(_HOP.format(n=n, m=n - 1) for n in range(1, 6))}
+ SELECT start, id, b.d AS distance, b.hops AS hops, array_to_string(b.path, '>') AS path FROM (SELECT start, id, min(b) AS b FROM ({" UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(1, 6))}) GROUP BY ALL)""")
+def g18b(spark, d):
+    t = lambda n: table(spark, d, n)
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    far = lambda c: F.lit(c).cast("double") if isinstance(c, (int, float)) else c.cast("double")
+    road = lambda df, a, b, c: df.select(a.alias("src"), b.alias("dst"), far(c).alias("distance"))
+    nation, supplier = t("nation"), t("supplier")
+    roads = road(t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), key("c", "o_custkey"), key("s", "l_suppkey"), F.col("l_quantity"))
+    for other in (
+        road(supplier, key("s", "s_suppkey"), key("n", "s_nationkey"), F.col("s_nationkey") + 1), road(nation, key("n", "n_nationkey"), key("r", "n_regionkey"), 2),
+        road(nation, key("r", "n_regionkey"), key("n", "n_nationkey"), F.col("n_nationkey") + 3), road(supplier, key("n", "s_nationkey"), key("s", "s_suppkey"), 0.5),
+    ):
+        roads = roads.unionByName(other)
+    out = G.weighted_paths(roads, t("customer").select(key("c", "c_custkey").alias("id")))
+    return out.withColumn("path", F.array_join("path", ">"))
+
+
 @query("g18_shortest_paths", with_("edges") + "SELECT id, hops FROM (SELECT 's1' AS id, 0 AS hops UNION ALL SELECT DISTINCT dst, 1 FROM edges WHERE src = 's1' UNION ALL SELECT DISTINCT b.dst, 2 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = 's1')")
 def g18(spark, d):
     return G.shortest_paths(I.edges(spark, d), "s1")
@@ -197,7 +223,7 @@ def v10(spark, d):
 
 _SNAKE = r"trim(upper(regexp_replace(regexp_replace(regexp_replace(type, '[\s\-.]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g')), '_')"
 _DEL = f"del AS (SELECT id, kept_id FROM (SELECT id, row_number() OVER w AS n, first_value(id) OVER w AS kept_id FROM rel WINDOW w AS (PARTITION BY src, dst, lower(trim(type)) ORDER BY score DESC, id)) WHERE n > 1)"
-_REN = f"ren AS (SELECT id, {_SNAKE} AS new_type FROM rel WHERE id NOT IN (SELECT id FROM del) AND {_SNAKE} <> type)"
+_REN = f"ren AS (SELECT id, {_SNAKE} AS new_type FROM rel WHERE {_SNAKE} NOT IN (type, ''))"
 
 
 @query("x03_duplicate_corrections", f"WITH {_REL}, {_DEL} SELECT id, kept_id FROM del")
@@ -242,10 +268,21 @@ def v09b(spark, d):
     return V.markdown_report(V.untyped(r, "relates_to").unionByName(V.duplicate_edges(r)), "Check")
 
 
-@query("x05_capped_plan", f"""WITH {_REL}, r AS (SELECT id, row_number() OVER w AS n, count(*) OVER (PARTITION BY src, dst, lower(trim(type))) AS size FROM rel WINDOW w AS (PARTITION BY src, dst, lower(trim(type)) ORDER BY score DESC, id)),
- del AS (SELECT id FROM r WHERE n > 1 AND size - n < 2), {_REN} SELECT 'delete' AS action, id, NULL AS new_type FROM del UNION ALL SELECT 'rename', id, new_type FROM ren""")
+_CAPPED = f"""WITH {_REL}, g AS (SELECT src, dst, lower(trim(type)) AS t, min(id) AS least, count(*) - 1 AS gone FROM rel WHERE trim(type) <> '' GROUP BY ALL HAVING count(*) > 1),
+ b AS (SELECT *, coalesce(sum(gone) OVER (ORDER BY least ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+ r AS (SELECT rel.id, row_number() OVER (PARTITION BY rel.src, rel.dst, lower(trim(type)) ORDER BY score DESC, rel.id) AS n FROM rel JOIN b ON b.src = rel.src AND b.dst = rel.dst AND b.t = lower(trim(type)) WHERE before < MOST),
+ del AS (SELECT id FROM r WHERE n > 1), {_REN}, o AS (SELECT id, new_type, row_number() OVER (ORDER BY id) AS n FROM ren)
+ SELECT 'delete' AS action, id, NULL AS new_type FROM del UNION ALL SELECT 'rename', id, new_type FROM o WHERE n + (SELECT count(*) FROM del) <= MOST"""
+
+
+@query("x05_capped_plan", _CAPPED.replace("MOST", "100"))
 def x05b(spark, d):
-    return V.correction_plan(_relations(spark, d), most=2).select("action", "id", "new_type")
+    return V.correction_plan(_relations(spark, d), most=100).select("action", "id", "new_type")
+
+
+@query("x05_roomy_plan", _CAPPED.replace("MOST", "100000"))
+def x05c(spark, d):
+    return V.correction_plan(_relations(spark, d), most=100_000).select("action", "id", "new_type")
 
 
 def _applied(spark, d):

@@ -318,20 +318,24 @@ def q14(spark, d):
     return Q.temporal_order(table(spark, d, "orders"), dated, ["o_orderkey"]).select("o_orderkey", "previous", "following")
 
 
-@query("q15_proposal_policy", """WITH p AS (SELECT event_id AS id, event_id AS pos, 'Customer#' || (user_id % 40) AS source, 'Customer#' || (event_id % 45) AS target, CASE event_id % 4 WHEN 0 THEN 'OpposedTo' WHEN 1 THEN 'opposed-to' WHEN 2 THEN 'OPPOSED_TO' ELSE 'likes' END AS type, CASE WHEN value < 5 THEN '' ELSE 'fact ' || event_type END AS fact FROM events),
- n AS (SELECT 'Customer#' || (c_custkey % 43) AS name, CASE WHEN c_custkey % 43 IN (3, 8) THEN 2 ELSE 1 END AS n FROM (SELECT DISTINCT c_custkey % 43 AS c_custkey FROM customer)),
- j AS (SELECT p.*, coalesce(a.n, 0) AS ns, coalesce(b.n, 0) AS nt, CASE WHEN type = 'likes' THEN NULL ELSE 'OpposedTo' END AS kind FROM p LEFT JOIN n a ON a.name = source LEFT JOIN n b ON b.name = target),
- r AS (SELECT *, CASE WHEN least(ns, nt) = 0 THEN 'missing_endpoint' WHEN greatest(ns, nt) > 1 THEN 'ambiguous_endpoint' WHEN source = target THEN 'self_edge' WHEN fact = '' THEN 'empty_fact' WHEN kind IS NULL THEN 'unknown_type' END AS reason FROM j),
- f AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, source, target, kind, lower(fact) ORDER BY pos, id) > 1 THEN 'duplicate' ELSE reason END AS final FROM r)
+_SPELT = ["OpposedTo", "opposed-to", "OPPOSED_TO", "likes", "opposedto", " Opposed.To", "tradesWith", "trades -- with", "Trades.With!", "TradesWith"]
+
+
+@query("q15_proposal_policy", f"""WITH p AS (SELECT event_id AS id, event_id AS pos, 'Customer#' || (user_id % 40) AS source, 'Customer#' || (event_id % 45) AS target, ({_SPELT})[1 + event_id % {len(_SPELT)}] AS type, CASE WHEN value < 5 THEN '' ELSE 'fact ' || event_type END AS fact FROM events),
+ c AS (SELECT DISTINCT c_custkey % 43 AS k FROM customer), n AS (SELECT 'Customer#' || k AS name, CASE WHEN k IN (3, 8) THEN 2 ELSE 1 END AS n, k // 2 AS node FROM c),
+ t AS (SELECT *, trim(upper(regexp_replace(regexp_replace(trim(type), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_') AS token FROM p),
+ j AS (SELECT t.*, coalesce(a.n, 0) AS ns, coalesce(b.n, 0) AS nt, a.node AS sid, b.node AS tid, CASE token WHEN 'OPPOSED_TO' THEN 'OpposedTo' WHEN 'TRADES_WITH' THEN 'TradesWith' END AS kind FROM t LEFT JOIN n a ON a.name = source LEFT JOIN n b ON b.name = target),
+ r AS (SELECT *, CASE WHEN least(ns, nt) = 0 THEN 'missing_endpoint' WHEN greatest(ns, nt) > 1 THEN 'ambiguous_endpoint' WHEN sid = tid THEN 'self_edge' WHEN fact = '' THEN 'empty_fact' WHEN kind IS NULL THEN 'unknown_type' END AS reason FROM j),
+ f AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, sid, tid, kind, lower(fact) ORDER BY pos, id) > 1 THEN 'duplicate' ELSE reason END AS final FROM r)
  SELECT id, coalesce(final, CASE WHEN kind = type THEN 'accepted' ELSE 'normalized' END) AS decision, kind FROM f""")
 def q15(spark, d):
-    i = F.col("event_id") % 4
-    kind = F.when(i == 0, "OpposedTo").when(i == 1, "opposed-to").when(i == 2, "OPPOSED_TO").otherwise("likes")
+    kind = F.element_at(F.array(*map(F.lit, _SPELT)), (F.col("event_id") % len(_SPELT) + 1).cast("int"))
     name = lambda c, m: F.concat(F.lit("Customer#"), (F.col(c) % m).cast("string"))
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("pos"), name("user_id", 40).alias("source"), name("event_id", 45).alias("target"), kind.alias("type"), F.when(F.col("value") < 5, "").otherwise(F.concat(F.lit("fact "), "event_type")).alias("fact"))
-    one = table(spark, d, "customer").select(name("c_custkey", 43).alias("name")).distinct()
-    nodes = one.union(one.filter("name in ('Customer#3', 'Customer#8')"))
-    return Q.proposal_policy(rows, nodes, {"opposedto": "OpposedTo"})
+    # Two names for each node, and two nodes for two of the names.
+    one = table(spark, d, "customer").select(name("c_custkey", 43).alias("name"), F.floor(F.col("c_custkey") % 43 / 2).cast("string").alias("id")).distinct()
+    nodes = one.union(one.filter("name in ('Customer#3', 'Customer#8')").withColumn("id", F.concat(F.lit("x"), "id")))
+    return Q.proposal_policy(rows, nodes, ["OpposedTo", "TradesWith"])
 
 
 _CASES = """j AS (SELECT doc_id % 12 AS case_id, doc_id, 1 + quality * 2 AS grade FROM labels), r AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS rank FROM (SELECT doc_id % 12 AS case_id, doc_id FROM documents)),

@@ -93,14 +93,15 @@ def test_retrieval_case_values(spark):
 
 
 def test_relationship_policy_decisions(spark):
-    nodes = spark.createDataFrame([("Alpha", "1"), ("Beta", "2"), ("Twin", "3"), ("Twin", "4")], "name string, uuid string")
+    nodes = spark.createDataFrame([("Alpha", "1"), ("Beta", "2"), ("Twin", "3"), ("Twin", "4"), ("Alias", "1")], "name string, id string")
     rows = [
         (1, 1, "Alpha", "Beta", "OpposedTo", "f1"), (2, 2, "Alpha", "Beta", "opposed-to", "f2"), (3, 3, "Alpha", "Nobody", "OpposedTo", "f"), (4, 4, "Alpha", "Twin", "OpposedTo", "f"),
-        (5, 5, "Alpha", "Alpha", "OpposedTo", "f"), (6, 6, "Alpha", "Beta", "OpposedTo", " "), (7, 7, "Alpha", "Beta", "likes", "f"), (8, 8, "Alpha", "Beta", "OPPOSED_TO", "F1"),
+        (5, 5, "Alpha", "Alpha", "OpposedTo", "f"), (6, 6, "Alpha", "Beta", "OpposedTo", " "), (7, 7, "Alpha", "Beta", "likes", "f"), (8, 8, "Alpha", "Beta", "OPPOSED_TO", "F1"), (9, 9, "Alpha", "Alias", "OpposedTo", "f"), (10, 10, "Alias", "Beta", "opposed to", " f1 "),
+        (11, 11, "Alpha", "Beta", "opposedto", "g"), (12, 12, "Alpha", "Beta", " Opposed.To", "h"), (13, 13, "Alpha", "Beta", "opposes", "h"), (14, 14, "Alpha", "Beta", "RELATES_TO", "h"),
     ]
     p = spark.createDataFrame(rows, "id int, pos int, source string, target string, type string, fact string")
-    got = {r["id"]: r["decision"] for r in reconcile.proposal_policy(p, nodes, {"opposedto": "OpposedTo"}).collect()}
-    assert got == {1: "accepted", 2: "normalized", 3: "missing_endpoint", 4: "ambiguous_endpoint", 5: "self_edge", 6: "empty_fact", 7: "unknown_type", 8: "duplicate"}
+    got = {r["id"]: r["decision"] for r in reconcile.proposal_policy(p, nodes, ["OpposedTo"]).collect()}
+    assert got == {1: "accepted", 2: "normalized", 3: "missing_endpoint", 4: "ambiguous_endpoint", 5: "self_edge", 6: "empty_fact", 7: "unknown_type", 8: "duplicate", 9: "self_edge", 10: "duplicate", 11: "unknown_type", 12: "normalized", 13: "unknown_type", 14: "unknown_type"}
 
 
 def test_progress_example(spark):
