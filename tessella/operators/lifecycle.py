@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +178,86 @@ def run_states(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.aggregate(ordered, F.lit("new"), step).alias("state"))
 
 
+class Arbiter:
+    """The state of a scope: at most one run is active, and it owns the leases
+    taken in it."""
+
+    def __init__(self) -> None:
+        self.run = self.state = self.profile = None
+        self.leased: set = set()
+
+    def decide(self, command: str, run_id, profile, job) -> str:
+        live = self.run is not None
+        if command == "start":
+            if not live:
+                self.run, self.state, self.profile = run_id, "running", profile
+                return "started"
+            if self.profile != profile:
+                return "refused_profile"
+            return "joined" if self.state == "running" else "refused_not_accepting"
+        if command == "claim":
+            if not live or self.state != "running":
+                return "refused_run"
+            if job in self.leased:
+                return "refused_leased"
+            self.leased.add(job)
+            return "claimed"
+        if command == "finish":
+            if job not in self.leased:
+                return "refused_not_leased"
+            self.leased.discard(job)
+            return "finished"
+        if not live:
+            return "refused_state"
+        moves = {"pause": (("running",), "paused_systemic"), "drain": (("running",), "draining"), "resume": (("paused_systemic", "draining"), "running")}
+        if command in moves:
+            before, after = moves[command]
+            if self.state not in before:
+                return "refused_state"
+            self.state = after
+            return after if command != "resume" else "resumed"
+        if command != "stop":
+            return "refused_unknown"
+        if self.leased:
+            return "refused_leases"
+        self.run = self.state = self.profile = None
+        return "stopped"
+
+
+def arbitrated(commands: DataFrame) -> DataFrame:
+    """(scope, seq, command, run, decision) of commands (scope, at, seq,
+    command, run_id, profile, job), folded in order (at, seq) in each scope.
+
+    A run is started only where none is active; a second start joins a running
+    run of its profile and is refused otherwise. Claims need a running run and a
+    job that nobody holds; a run stops only without leases. ``run`` is the
+    active run at the command. A scope's commands stream through one task in
+    order; only its state is held."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scope, arbiter = None, Arbiter()
+        for pdf in frames:
+            out = []
+            for s, seq, command, run_id, profile, job in pdf[["scope", "seq", "command", "run_id", "profile", "job"]].itertuples(index=False):
+                if s != scope:
+                    scope, arbiter = s, Arbiter()
+                before = arbiter.run
+                decision = arbiter.decide(command, run_id, profile, job)
+                out.append((s, seq, command, before if before is not None else arbiter.run, decision))
+            yield pd.DataFrame(out, columns=["scope", "seq", "command", "run", "decision"]).astype({"run": "Int64"})
+
+    ordered = commands.repartition("scope").sortWithinPartitions("scope", "at", "seq").select("scope", "seq", "command", "run_id", "profile", "job")
+    kind = dict(commands.dtypes)
+    return ordered.mapInPandas(run, f"scope {kind['scope']}, seq {kind['seq']}, command string, run {kind['run_id']}, decision string")
+
+
+def attempt_rows(decisions: DataFrame, commands: DataFrame) -> DataFrame:
+    """L3: one row for each claim that was granted: (scope, run, job, attempt,
+    seq), attempts of a job numbered in order."""
+    own = decisions.filter("decision = 'claimed'").select("scope", "seq", "run").join(commands.select("scope", "seq", "at", "job"), ["scope", "seq"])
+    return own.select("scope", "run", "job", F.row_number().over(Window.partitionBy("scope", "job").orderBy("at", "seq")).alias("attempt"), "seq")
+
+
 def backfill_batches(pending: DataFrame, id_col: str, size: int, most_requests: int) -> DataFrame:
     """(batch, id): pending rows in ordered batches, within the request limit.
     The top-k bound is batch size times requests."""

@@ -3,13 +3,28 @@ views, table functions, arbitration, keyed state and tokens."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.functions import tables as U
+from tessella.functions import tokens as K
+from tessella.operators import lifecycle as L
+from tessella.operators import maintained as D
 from tessella.operators import projection as P
 from tessella.operators import rebuild as B
 from tessella.operators import shadow as H
+from tessella.operators.graph import shared_folder
 from tessella.plans.inputs import table
 from tessella.plans.registry import query
+from tessella.sources import snapshots as N
+from tessella.streaming import jobs as S
+from tessella.streaming import timers as T
+
+
+def _name(prefix: str) -> str:
+    return f"{prefix}_{uuid.uuid4().hex[:8]}"
+
 
 # -- shadow spaces ------------------------------------------------------------
 # Sources are the documents; vectors are those of ``embeddings``, half of them of
@@ -235,3 +250,202 @@ def q08e(spark, d):
     extra = [F.create_map(F.lit("synced"), F.count_if(F.col("event_type") == "purchase")).alias("counts"), F.create_map(F.lit("free"), F.max("props")).alias("ledger")]
     out = P.projected(_run_report(spark, d, extra), "report", P.SYNC_STATUS)
     return out.select("user_id", "report.active_run.state", "report.active_run.started_at", F.col("report.counts")["synced"].alias("synced"), F.col("report.ledger").cast("int").alias("notes"))
+
+
+# -- timers -------------------------------------------------------------------
+_HOURS = 3
+_ISLANDS = f"""o AS (SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS kind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ n AS (SELECT *, sum(CASE WHEN before IS NULL OR kind = 'purchase' OR ts >= before + INTERVAL {_HOURS} HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS attempt FROM o),
+ i AS (SELECT user_id, attempt, min(ts) AS since, max(ts) AS last, count(*) AS beats, bool_or(event_type = 'purchase') AS done FROM n GROUP BY ALL),
+ l AS (SELECT *, max(attempt) OVER (PARTITION BY user_id) AS final, (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS mark FROM i)"""
+
+
+@query("t02_leases", f"""WITH {_ISLANDS} SELECT user_id, attempt::INT AS attempt, CASE WHEN done THEN 'done' ELSE 'expired' END AS state, epoch_us(since) AS since, epoch_us(last + INTERVAL {_HOURS} HOUR) AS until, beats::INT AS beats
+ FROM l WHERE done OR attempt < final OR last + INTERVAL {_HOURS} HOUR <= mark""")
+def t02(spark, d):
+    with T.rocksdb(spark):
+        return S.drained(T.leases(S.event_stream(spark, f"{d}/events.parquet*"), _HOURS * 3600, "purchase"), _name("leases"), "append")
+
+
+@query("t05_expired_sessions", """WITH a AS (SELECT * FROM events WHERE event_type NOT IN ('signup', 'error')), b AS (SELECT * FROM events WHERE event_type <> 'signup'),
+ m AS (SELECT (SELECT max(ts) FROM a) - INTERVAL 10 MINUTE AS m0, (SELECT max(ts) FROM b) - INTERVAL 10 MINUTE AS m1),
+ one AS (SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM b GROUP BY 1),
+ c AS (SELECT * FROM events WHERE event_type = 'signup' AND ts >= (SELECT m0 FROM m)),
+ e1 AS (SELECT * FROM one WHERE last + INTERVAL 6 HOUR <= (SELECT m0 FROM m)),
+ two AS (SELECT user_id, sum(n)::BIGINT AS n, min(first) AS first, max(last) AS last FROM (SELECT * FROM one WHERE user_id NOT IN (SELECT user_id FROM e1) UNION ALL SELECT user_id, count(*), min(ts), max(ts) FROM c GROUP BY 1) GROUP BY 1),
+ done AS (SELECT greatest((SELECT m1 FROM m), (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE) AS m2)
+ SELECT user_id, n, epoch_us(first) AS first, epoch_us(last) AS last FROM e1 UNION ALL SELECT user_id, n, epoch_us(first), epoch_us(last) FROM two WHERE last + INTERVAL 6 HOUR <= (SELECT m2 FROM done)""")
+def t05c(spark, d):
+    """The events come in three files; the sign-ups come last, and those behind
+    the watermark of the first file are late and are dropped."""
+    events, folder = table(spark, d, "events"), f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    for i, part in enumerate((~kind.isin("signup", "error"), kind == "error", kind == "signup")):
+        events.filter(part).coalesce(1).write.parquet(f"{folder}/{i}")
+    with T.rocksdb(spark):
+        out = S.drained(T.sessions(S.event_stream(spark, f"{folder}/*/part-*"), 6 * 3600), _name("sessions"), "append")
+    return out.select("user_id", "n", "first", "last")
+
+
+# -- incremental load ---------------------------------------------------------
+@query("t06_incremental_load", """WITH m AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1)
+ SELECT d.doc_id, CASE WHEN quality = 0 THEN 3 WHEN quality = 1 THEN 2 ELSE 1 END AS version, sha256(CASE WHEN quality = 0 THEN text || '!' ELSE text END) AS fingerprint, CASE WHEN quality = 0 THEN 2 ELSE 1 END AS generation, 'pending' AS state FROM documents d LEFT JOIN m USING (doc_id)""")
+def t06(spark, d):
+    """All documents come in, then the labelled ones unchanged, then those of
+    low quality edited; a changed source is queued again."""
+    folder = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
+    for version, (wanted, text) in enumerate([("true", F.col("text")), ("quality is not null", F.col("text")), ("quality = 0", F.concat("text", F.lit("!")))], 1):
+        docs.filter(wanted).select("doc_id", F.lit(version).alias("version"), F.sha2(text, 256).alias("fingerprint")).coalesce(1).write.parquet(f"{folder}/in/{version}")
+    stream = spark.readStream.schema("doc_id long, version int, fingerprint string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*/part-*")
+    sources = N.BucketedSnapshot(spark, f"{folder}/sources", "doc_id long, version int, fingerprint string", "doc_id", "version", 16)
+    jobs = N.BucketedSnapshot(spark, f"{folder}/jobs", "doc_id long, generation int, state string", "doc_id", "generation", 16)
+    S.load_incrementally(stream, sources, jobs, "fingerprint", f"{folder}/checkpoint")
+    return sources.read().join(jobs.read(), "doc_id")
+
+
+# -- maintained views ---------------------------------------------------------
+# The change rows: sign-ups are inserted, errors are deleted, clicks move to the
+# next user with twice their value.
+def _changes(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    before = events.filter("event_type <> 'signup'")
+    row = F.struct("event_id", "user_id", "event_type", "value")
+    moved = F.struct("event_id", (F.col("user_id") + 1).alias("user_id"), "event_type", (F.col("value") * 2).alias("value"))
+    kind = F.col("event_type")
+    changes = events.filter(kind.isin("signup", "error", "click")).select(F.when(kind != "signup", row).alias("old"), F.when(kind == "signup", row).when(kind == "click", moved).alias("new"))
+    return before, changes
+
+
+_AFTER = "a AS (SELECT event_id, CASE WHEN event_type = 'click' THEN user_id + 1 ELSE user_id END AS user_id, event_type, CASE WHEN event_type = 'click' THEN value * 2 ELSE value END AS value FROM events WHERE event_type <> 'error')"
+
+
+@query("d04_maintained_counts", f"WITH {_AFTER} SELECT user_id, count(*) AS n, round(sum(value::DECIMAL(28,6)) / count(*), 4)::DOUBLE AS mean FROM a GROUP BY user_id")
+def d04a(spark, d):
+    before, changes = _changes(spark, d)
+    out = D.maintained(D.counted(before, ["user_id"], ["value"]), changes, ["user_id"], ["value"])
+    return out.select("user_id", "n", F.round(F.col("sum_value") / F.col("n"), 4).cast("double").alias("mean"))
+
+
+@query("d04_maintained_distinct", f"WITH {_AFTER} SELECT user_id, count(DISTINCT event_type) AS kinds FROM a GROUP BY user_id")
+def d04b(spark, d):
+    before, changes = _changes(spark, d)
+    return D.distinct_counts(D.maintained_bag(D.bag(before, ["user_id"], "event_type"), changes, ["user_id"], "event_type"), ["user_id"], "kinds")
+
+
+@query("d04_maintained_extremes", f"WITH {_AFTER} SELECT user_id, min(value) AS least, max(value) AS most FROM a GROUP BY user_id")
+def d04c(spark, d):
+    before, changes = _changes(spark, d)
+    return D.maintained_extremes(D.extremes(before, ["user_id"], "value"), changes, D.applied(before, changes, "event_id"), ["user_id"], "value")
+
+
+@query("d04_updated_at", "SELECT doc_id, CASE WHEN quality = 0 THEN 2 ELSE 1 END AS updated_at FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)")
+def d04d(spark, d):
+    rows = _labelled(spark, d).select("doc_id", "quality", F.sha2("text", 256).alias("fingerprint"), "lang")
+    old = rows.withColumn("updated_at", F.lit(1))
+    new = rows.withColumn("fingerprint", F.when(F.col("quality") == 0, "edited").otherwise(F.col("fingerprint")))
+    return D.touched(old, new, "doc_id", ["fingerprint", "lang"], F.lit(2)).select("doc_id", "updated_at")
+
+
+@query("d04_refused_changes", """WITH m AS (SELECT event_id, event_type, value FROM events) SELECT event_id, CASE WHEN event_type = 'error' THEN 'append_only' WHEN value < 50 OR event_type = 'view' THEN 'outcome_is_final' WHEN event_type = 'click' THEN 'identity_is_immutable' END AS rule FROM m WHERE event_type IN ('error', 'view', 'click') OR value < 50""")
+def d04e(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    old = F.struct("event_id", "user_id", F.when(value < 50, "succeeded").otherwise("reserved").alias("state"))
+    new = F.struct("event_id", F.when(kind == "click", F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), F.when(kind == "view", "reserved").otherwise("failed").alias("state"))
+    changes = table(spark, d, "events").select("event_id", old.alias("old"), F.when(kind != "error", new).alias("new"))
+    return D.refused(changes, ["event_id", "user_id"]).select("event_id", "rule")
+
+
+# -- table functions ----------------------------------------------------------
+@query("d02_batch_summary", """SELECT user_id AS batch, count(*) AS total_corrections, count(*) FILTER (WHERE event_type IN ('error', 'click')) AS deduplication_count, count(*) FILTER (WHERE event_type NOT IN ('error', 'click')) AS standardization_count,
+ count(*) FILTER (WHERE event_type IN ('error', 'click')) AS deleted_relationships, count(*) FILTER (WHERE event_type NOT IN ('error', 'click')) AS updated_relationships, count(*) FILTER (WHERE event_type = 'view') AS rolled_back_count,
+ round(avg(CASE WHEN event_type <> 'signup' THEN CASE WHEN event_type IN ('error', 'click') THEN 0.95 ELSE 0.9 END END::DECIMAL(9,4)), 3) AS avg_confidence FROM events GROUP BY user_id""")
+def d02a(spark, d):
+    drop = F.col("event_type").isin("error", "click")
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("batch"), F.when(drop, "DEDUPLICATION").otherwise("SEMANTIC_STANDARDIZATION").alias("type"), F.when(drop, "DELETE").otherwise("UPDATE").alias("action"),
+        (F.col("event_type") == "view").alias("rolled_back"), F.when(F.col("event_type") != "signup", F.when(drop, 0.95).otherwise(0.9)).alias("confidence"),
+    )
+    U.register(spark)
+    rows.createOrReplaceTempView("tessella_corrections")
+    return spark.sql("SELECT * FROM correction_batch_summary(TABLE(tessella_corrections) PARTITION BY batch)")
+
+
+@query("d02_temporal_context", """WITH e AS (SELECT c_custkey AS document_id, o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'O')
+ SELECT document_id, (o_orderkey % 1000)::INT AS temporal_order, o_orderpriority AS temporal_type, o_orderstatus || ',' || substr(o_orderpriority, 1, 1) AS eras, length(o_orderpriority)::INT AS event_count FROM e WHERE n = 1""")
+def d02b(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").alias("document_id"), F.col("o_orderkey").alias("ordinal"), (F.col("o_orderstatus") != "O").alias("is_temporal"), (F.col("o_orderkey") % 1000).cast("int").alias("temporal_order"),
+        F.col("o_orderpriority").alias("temporal_type"), F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("eras"), F.length("o_orderpriority").alias("event_count"),
+    )
+    U.register(spark)
+    rows.createOrReplaceTempView("tessella_episodes")
+    return spark.sql("SELECT document_id, temporal_order, temporal_type, array_join(eras, ',') AS eras, event_count FROM temporal_context(TABLE(tessella_episodes) PARTITION BY document_id ORDER BY ordinal)")
+
+
+# -- arbitration --------------------------------------------------------------
+_COMMANDS = """cmd AS (SELECT user_id AS scope, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'finish' WHEN 'error' THEN 'stop' ELSE CASE WHEN value < 20 THEN 'drain' WHEN value < 40 THEN 'pause' ELSE 'resume' END END AS command,
+  CASE WHEN value < 30 THEN 'p2' ELSE 'p1' END AS profile, event_id % 3 AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
+_FOLD = f"""WITH RECURSIVE {_COMMANDS}, f AS (
+  SELECT scope, 0::BIGINT AS n, NULL::BIGINT AS run, NULL::VARCHAR AS st, NULL::VARCHAR AS prof, []::BIGINT[] AS jobs, NULL::BIGINT AS seq, NULL::VARCHAR AS command, NULL::BIGINT AS seen, NULL::BIGINT AS job, NULL::VARCHAR AS decision FROM (SELECT DISTINCT scope FROM cmd)
+  UNION ALL
+  SELECT scope, n, CASE decision WHEN 'started' THEN seq WHEN 'stopped' THEN NULL ELSE run END, CASE decision WHEN 'started' THEN 'running' WHEN 'resumed' THEN 'running' WHEN 'draining' THEN 'draining' WHEN 'paused_systemic' THEN 'paused_systemic' WHEN 'stopped' THEN NULL ELSE st END,
+    CASE decision WHEN 'started' THEN profile WHEN 'stopped' THEN NULL ELSE prof END, CASE decision WHEN 'claimed' THEN list_append(jobs, job) WHEN 'finished' THEN list_filter(jobs, lambda x: x <> job) ELSE jobs END,
+    seq, command, coalesce(run, CASE WHEN decision = 'started' THEN seq END), job, decision FROM (
+    SELECT c.scope, c.n, f.run, f.st, f.prof, f.jobs, c.seq, c.command, c.profile, c.job, CASE c.command
+      WHEN 'start' THEN CASE WHEN f.run IS NULL THEN 'started' WHEN f.prof <> c.profile THEN 'refused_profile' WHEN f.st = 'running' THEN 'joined' ELSE 'refused_not_accepting' END
+      WHEN 'claim' THEN CASE WHEN f.run IS NULL OR f.st <> 'running' THEN 'refused_run' WHEN list_contains(f.jobs, c.job) THEN 'refused_leased' ELSE 'claimed' END
+      WHEN 'finish' THEN CASE WHEN list_contains(f.jobs, c.job) THEN 'finished' ELSE 'refused_not_leased' END
+      WHEN 'drain' THEN CASE WHEN f.st = 'running' THEN 'draining' ELSE 'refused_state' END WHEN 'pause' THEN CASE WHEN f.st = 'running' THEN 'paused_systemic' ELSE 'refused_state' END
+      WHEN 'resume' THEN CASE WHEN f.st IN ('paused_systemic', 'draining') THEN 'resumed' ELSE 'refused_state' END
+      ELSE CASE WHEN f.run IS NULL THEN 'refused_state' WHEN len(f.jobs) > 0 THEN 'refused_leases' ELSE 'stopped' END END AS decision
+    FROM f JOIN cmd c ON c.scope = f.scope AND c.n = f.n + 1))"""
+
+
+def _commands(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    other = F.when(value < 20, "drain").when(value < 40, "pause").otherwise("resume")
+    command = F.when(kind == "signup", "start").when(kind == "view", "claim").when(kind == "click", "finish").when(kind == "error", "stop").otherwise(other)
+    return table(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), command.alias("command"), F.col("event_id").alias("run_id"), F.when(value < 30, "p2").otherwise("p1").alias("profile"), (F.col("event_id") % 3).alias("job"))
+
+
+@query("l10_arbitrated", f"{_FOLD} SELECT scope, seq, command, seen AS run, decision FROM f WHERE n > 0")
+def l10b(spark, d):
+    return L.arbitrated(_commands(spark, d))
+
+
+@query("l03_attempt_rows", f"{_FOLD} SELECT scope, seen AS run, job, row_number() OVER (PARTITION BY scope, job ORDER BY n)::INT AS attempt, seq FROM f WHERE decision = 'claimed'")
+def l03b(spark, d):
+    commands = _commands(spark, d)
+    return L.attempt_rows(L.arbitrated(commands), commands)
+
+
+# -- keyed state and tokens ---------------------------------------------------
+@query("s15_state_store", """WITH m AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) AS updated_at, arg_max(event_type, {'t': ts, 'i': event_id}) AS value FROM events GROUP BY 1)
+ SELECT user_id::VARCHAR AS key, value FROM l, m WHERE value <> 'error' AND updated_at >= now - INTERVAL 2 HOUR""")
+def s15(spark, d):
+    """Every user's last event is put in two rounds; an error deletes the key."""
+    events = table(spark, d, "events")
+    last = events.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("value"))
+    first = events.groupBy("user_id").agg(F.min("ts").alias("ts"), F.min_by("event_type", F.struct("ts", "event_id")).alias("value"))
+    state = lambda rows: rows.select(F.col("user_id").cast("string").alias("key"), F.when(F.col("value") != "error", F.col("value")).alias("value"), F.col("ts").cast("timestamp").alias("updated_at"))
+    store = N.StateStore(spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", hours=2, buckets=8)
+    store.put(state(first))
+    store.put(state(last))
+    now = F.lit(events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+    store.compact(now)
+    return store.get(state(last).select("key"), now).select("key", "value")
+
+
+@query("f17_truncated_texts", r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::INT AS tokens, sha256(array_to_string(list_slice(regexp_extract_all(coalesce(text, ''), '\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])'), 1, 100), '')) AS cut FROM documents""")
+def f17a(spark, d):
+    return table(spark, d, "documents").select("doc_id", K.word_count(F.col("text")).alias("tokens"), F.sha2(K.word_truncated(F.col("text"), 100), 256).alias("cut"))
+
+
+@query("f17_library_tokens")
+def f17b(spark, d):
+    """Any tokenizer file will do; this is a public one."""
+    import public_tokenizers
+
+    encode, decode = K.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return K.tokenised(table(spark, d, "documents"), "doc_id", "text", encode, 300, decode)

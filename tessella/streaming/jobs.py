@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.sources.snapshots import BucketedSnapshot
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -126,17 +128,21 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = No
     return stream.sparkSession.table(name)
 
 
-def merge_batches(stream: DataFrame, target: str, key: str, order: str, checkpoint: str) -> None:
-    """File source to a snapshot table: every micro-batch is merged by key,
-    the last by ``order`` wins, into a new version of the Parquet folder."""
+def load_incrementally(stream: DataFrame, sources: BucketedSnapshot, jobs: BucketedSnapshot | None, content: str, checkpoint: str) -> None:
+    """File source to a snapshot. Every micro-batch rewrites only the
+    buckets that it touches; a new source, or one whose ``content`` changed, is
+    queued in ``jobs`` (key, generation, state) again, in the next generation.
+    A micro-batch that comes twice changes nothing."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        from tessella.sources.corpus import latest_wins
-
-        spark = batch.sparkSession
-        old = f"{target}/v={epoch - 1}"
-        rows = batch if epoch == 0 else batch.unionByName(spark.read.parquet(old))
-        latest_wins(rows, [key], [F.desc(order)]).write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        # The jobs of an epoch are written first: while its sources are not
+        # there, the same changes are found again.
+        if jobs is not None and epoch not in jobs.epochs() and epoch not in sources.epochs():
+            changed = sources.changes(batch, content).filter("change <> 'refresh'").select(sources.key)
+            held = jobs.read().select(jobs.key, F.col("generation").alias("_before"))
+            due = changed.join(held, jobs.key, "left").select(jobs.key, (F.coalesce("_before", F.lit(0)) + 1).cast("int").alias("generation"), F.lit("pending").alias("state"))
+            jobs.merge(due, epoch)
+        sources.merge(batch, epoch)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:

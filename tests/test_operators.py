@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.functions import vectors as V
 from tessella.operators import chunking, graph, lifecycle, metrics, reconcile, relational, retrieval, validation
-from tessella.sources import corpus
+from tessella.sources import corpus, snapshots
 from tessella.streaming import jobs
 
 
@@ -195,9 +195,9 @@ def test_foreach_batch_merge(spark, tmp_path):
     for i, v in enumerate(["a", "b"]):
         spark.createDataFrame([(1, i, v), (10 + i, 0, v)], "id int, version int, value string").coalesce(1).write.mode("append").parquet(str(src))
     s = spark.readStream.schema("id int, version int, value string").option("maxFilesPerTrigger", 1).parquet(str(src))
-    jobs.merge_batches(s, str(tmp_path / "out"), "id", "version", str(tmp_path / "cp"))
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert {(r["id"], r["value"]) for r in spark.read.parquet(str(last)).collect()} == {(1, "b"), (10, "a"), (11, "b")}
+    held = snapshots.BucketedSnapshot(spark, str(tmp_path / "out"), "id int, version int, value string", "id", "version", 4)
+    jobs.load_incrementally(s, held, None, "value", str(tmp_path / "cp"))
+    assert {(r["id"], r["value"]) for r in held.read().collect()} == {(1, "b"), (10, "a"), (11, "b")}
 
 
 def test_temporal_order_over_several_ranges(spark):
