@@ -4,6 +4,7 @@ dst, type, fact)."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,32 +143,45 @@ def subgraph_scores(nodes: DataFrame, edges: DataFrame, components: DataFrame, s
     return j.select("component", "size", "edges", score.alias("score"))
 
 
-def merge_overlapping(members: DataFrame, order: list[str], threshold: float = 0.3) -> DataFrame:
-    """(grp, merged) of the few top subgraphs named in ``order`` (16 at
-    most): each, in turn, takes in every later one that shares ``threshold`` of
-    the smaller's nodes, growing as it does. Nodes are counted by the set of
-    groups that hold them, and only those counts reach the driver."""
-    if len(order) > 16:
-        raise ValueError("merge the top few subgraphs only")
-    bit = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, 1 << i)]) if order else F.lit(None)
-    rows = members.filter(F.col("grp").isin(order)).select("id", F.try_element_at(bit, F.col("grp")).alias("bit")).distinct()
-    counts = [(r["mask"], r["n"]) for r in rows.groupBy("id").agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()]
-    size = lambda *masks: sum(n for held, n in counts if all(held & m for m in masks))
-    left, out = list(range(len(order))), []
+def merge_overlapping(members: DataFrame, order: Sequence[str], threshold: float = 0.3) -> DataFrame:
+    """(grp, merged): every group, in turn, takes in each later one that
+    shares ``threshold`` of the smaller's nodes, growing as it does.
+
+    Nodes are reduced to the sets of groups that hold them, with a count; the
+    overlap of the growing group with all others is one aggregate over those,
+    and is taken again only when the group has grown."""
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i)])
+    held = members.filter(F.col("grp").isin(*order)).select("id", F.try_element_at(place, F.col("grp")).alias("g")).distinct()
+    masks = checkpointed(held.groupBy("id").agg(F.array_sort(F.collect_set("g")).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {r["g"]: r["n"] for r in masks.select(F.explode("mask").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).collect()}  # one for each group
+
+    def overlap(taken: list[int]) -> tuple[int, dict[int, int]]:
+        hit = masks.filter(F.arrays_overlap("mask", F.array(*map(F.lit, taken))))
+        shared = hit.select(F.explode("mask").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).unionByName(hit.agg(F.lit(-1).alias("g"), F.sum("n").alias("n")))
+        got = {r["g"]: r["n"] or 0 for r in shared.collect()}  # one for each group
+        return got.pop(-1), got
+
+    left, out = [g for g in range(len(order))], []
     while left:
-        head = left.pop(0)
-        taken, rest = 1 << head, []
-        for other in left:
-            smaller = min(size(taken), size(1 << other))
-            if smaller and size(taken, 1 << other) / smaller >= threshold:
-                taken |= 1 << other
-            else:
-                rest.append(other)
-        out += [(order[i], order[head]) for i in range(len(order)) if taken >> i & 1]
-        left = rest
+        head, rest = left.pop(0), list(left)
+        taken = [head]
+        size, shared = overlap(taken)
+        while rest:
+            other = rest.pop(0)
+            smaller = min(size, sizes.get(other, 0))
+            if smaller and shared.get(other, 0) / smaller >= threshold:
+                taken.append(other)
+                size, shared = overlap(taken)
+        left = [g for g in left if g not in taken]
+        out += [(order[g], order[head]) for g in taken]
     return members.sparkSession.createDataFrame(out, "grp string, merged string")
 
 
+def merged_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """The edges (grp, src, dst, type) of merged groups, each once."""
+    return edges.join(F.broadcast(merged), "grp").select(F.col("merged").alias("grp"), "src", "dst", "type").distinct()  # one row for each group
+
+
 def shortest_paths(edges: DataFrame, start: str, most: int = 5) -> DataFrame:
     """(id, hops) along directed edges, up to ``most`` hops."""
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")

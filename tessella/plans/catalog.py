@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.plans import registry
 
-GROUPS = ("relational", "text", "retrieval", "graph", "operations", "stream", "record", "more", "state")
+GROUPS = ("relational", "text", "retrieval", "graph", "operations", "stream", "record", "more", "state", "report")
 
 
 def _load() -> None:

@@ -118,10 +118,10 @@ def s10(spark, d):
     return C.with_embeddings(rows, "doc_id", "v", made).select("doc_id", "v")
 
 
-@query("s12_correction_rows", with_("edges") + "SELECT id, 'delete' AS action, type AS backup_type, 'applied' AS status FROM edges WHERE dst = 'n3'")
+@query("s12_correction_rows", with_("edges") + "SELECT id, 'delete' AS action, type AS backup_type, 'applied' AS status FROM edges")
 def s12(spark, d):
     e = I.edges(spark, d)
-    plan = e.filter("dst = 'n3'").select("id", F.lit("delete").alias("action"), F.lit(0.95).alias("confidence"))
+    plan = e.select("id", F.lit("delete").alias("action"), F.lit(0.95).alias("confidence"))
     out = C.correction_rows(e, plan, F.lit("2024-06-01").cast("timestamp"))
     return out.select("id", "action", F.get_json_object("backup", "$.type").alias("backup_type"), "status")
 
@@ -150,11 +150,34 @@ def q12(spark, d):
     return out.select("case_id", F.array_join("codes", ",").alias("codes"), F.coalesce(F.array_join("ungrounded", ","), F.lit("")).alias("ungrounded"))
 
 
-@query("g12_merged_subgraphs", """WITH m AS (SELECT DISTINCT event_type AS grp, user_id AS id FROM events WHERE value > 90), p AS (SELECT a.grp AS a, b.grp AS b, count(*) AS shared FROM m a JOIN m b USING (id) GROUP BY 1, 2), s AS (SELECT grp, count(*) AS n FROM m GROUP BY grp)
- SELECT 'click' AS grp, 'click' AS merged UNION ALL SELECT 'error', CASE WHEN (SELECT shared FROM p WHERE a = 'click' AND b = 'error') / (SELECT min(n) FROM s WHERE grp IN ('click', 'error')) >= 0.3 THEN 'click' ELSE 'error' END""")
+_MERGED = """WITH RECURSIVE m AS (MEMBERS), o AS (SELECT grp, ids, row_number() OVER (ORDER BY grp) AS n FROM m),
+ s AS (SELECT 1::BIGINT AS pos, 0::BIGINT AS head, []::BIGINT[] AS taken, []::BIGINT[] AS done, []::BIGINT[] AS own, NULL::BIGINT AS joined, 0::BIGINT AS into_
+  UNION ALL
+  SELECT CASE WHEN pos >= (SELECT max(n) FROM o) THEN new_head + 1 ELSE pos + 1 END, CASE WHEN pos >= (SELECT max(n) FROM o) THEN 0 ELSE new_head END, CASE WHEN hit THEN list_distinct(list_concat(taken, ids)) ELSE taken END, CASE WHEN hit THEN list_append(done, pos) ELSE done END, own, CASE WHEN hit THEN pos END, new_head
+  FROM (SELECT s.pos, CASE WHEN head = 0 THEN pos ELSE head END AS new_head, CASE WHEN head = 0 THEN []::BIGINT[] ELSE taken END AS taken, done, own, o.ids,
+    NOT list_contains(done, pos) AND (head = 0 OR len(list_intersect(taken, o.ids)) / least(len(taken), len(o.ids)) >= 0.3) AS hit, head FROM s JOIN o ON o.n = s.pos)
+  WHERE new_head <= (SELECT max(n) FROM o))
+ SELECT a.grp, b.grp AS merged FROM s JOIN o a ON a.n = joined JOIN o b ON b.n = into_"""
+
+
+@query("g12_merged_subgraphs", _MERGED.replace("MEMBERS", "SELECT event_type AS grp, list(DISTINCT user_id) AS ids FROM events GROUP BY 1"))
 def g12(spark, d):
-    members = table(spark, d, "events").filter("value > 90").select(F.col("event_type").alias("grp"), F.col("user_id").alias("id")).distinct()
-    return G.merge_overlapping(members, ["click", "error"])
+    members = table(spark, d, "events").select(F.col("event_type").alias("grp"), F.col("user_id").alias("id"))
+    return G.merge_overlapping(members, ["click", "error", "purchase", "signup", "view"])
+
+
+@query("g12_merged_quarters", _MERGED.replace("MEMBERS", "SELECT year(o_orderdate) || 'q' || quarter(o_orderdate) AS grp, list(DISTINCT o_custkey) AS ids FROM orders GROUP BY 1"))
+def g12b(spark, d):
+    quarter = F.concat(F.year("o_orderdate").cast("string"), F.lit("q"), F.quarter("o_orderdate").cast("string"))
+    members = table(spark, d, "orders").select(quarter.alias("grp"), F.col("o_custkey").alias("id"))
+    return G.merge_overlapping(members, sorted(r["grp"] for r in members.select("grp").distinct().collect()))  # one for each quarter
+
+
+@query("g12_merged_edges", "SELECT o_orderstatus AS grp, o_custkey::VARCHAR AS src, o_orderpriority AS dst, 'ORDERS' AS type FROM orders WHERE o_orderstatus = 'O' UNION SELECT 'F', o_custkey::VARCHAR, o_orderpriority, 'ORDERS' FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def g12c(spark, d):
+    edges = table(spark, d, "orders").select(F.col("o_orderstatus").alias("grp"), F.col("o_custkey").cast("string").alias("src"), F.col("o_orderpriority").alias("dst"), F.lit("ORDERS").alias("type"))
+    merged = spark.createDataFrame([("F", "F"), ("P", "F"), ("O", "O")], "grp string, merged string")
+    return G.merged_edges(edges, merged)
 
 
 @query("g09_component_sizes", "SELECT count(*) AS members, count(DISTINCT lang) AS languages, min(doc_id) AS component FROM documents GROUP BY sha256(text)")

@@ -112,6 +112,13 @@ def table_columns(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """(name, present, different): for each column how many rows hold a
+    value and how many values there are, in one pass of aggregates."""
+    counts = [F.struct(F.lit(c).alias("name"), F.count(c).alias("present"), F.countDistinct(c).alias("different")) for c in df.columns]
+    return df.agg(*(s.alias(f"c{i}") for i, s in enumerate(counts))).select(F.explode(F.array(*(F.col(f"c{i}") for i in range(len(counts))))).alias("c")).select("c.*")
+
+
 def migrations(applied: DataFrame, wanted: DataFrame) -> DataFrame:
     """(version, status) of (version, checksum): applied, changed, pending, or
     gap where a later one is applied already, or unknown."""
@@ -122,27 +129,28 @@ def migrations(applied: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def embed_missing(rows: DataFrame, key: str, text: str, column: str, embed: Callable[[list[str]], list[list[float]]], size: int = 32) -> DataFrame:
-    """(key, vector) of the rows without a vector, in batches of
-    ``size`` texts. ``embed`` is any model: texts to vectors. A batch that it
-    fails on is skipped, so its rows stay without one and come again next time."""
+    """(key, vector, error) of the rows without a vector, in batches of
+    ``size`` texts. ``embed`` is any model: texts to vectors. The rows of a batch
+    that it fails on come back without a vector and with the name of the error;
+    they stay without one and come again next time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for start in range(0, len(pdf), size):
                 part = pdf.iloc[start : start + size]
                 try:
-                    vectors = embed(part[text].tolist())
-                except Exception:
-                    continue
-                yield pd.DataFrame({key: part[key].array, column: vectors})
+                    vectors, error = embed(part[text].tolist()), None
+                except Exception as e:  # any model may raise anything; the rows say so
+                    vectors, error = [None] * len(part), type(e).__name__
+                yield pd.DataFrame({key: part[key].array, column: pd.Series(vectors, dtype=object), "error": pd.Series([error] * len(part), dtype=object)})
 
     missing = rows.filter(F.col(column).isNull()).select(key, text)
-    return missing.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {column} array<double>")
+    return missing.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {column} array<double>, error string")
 
 
 def with_embeddings(rows: DataFrame, key: str, column: str, made: DataFrame) -> DataFrame:
     """Rows with the vectors that were made for them."""
-    return rows.join(made.withColumnRenamed(column, "_made"), key, "left").withColumn(column, F.coalesce(column, "_made")).drop("_made")
+    return rows.join(made.select(key, F.col(column).alias("_made")), key, "left").withColumn(column, F.coalesce(column, "_made")).drop("_made")
 
 
 def correction_rows(edges: DataFrame, plan: DataFrame, applied_at: Column) -> DataFrame:

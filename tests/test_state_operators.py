@@ -333,3 +333,53 @@ def test_truncation_cuts_at_a_token_and_decodes_back(spark):
                 assert r["kept"] <= r["n_tokens"]
     words = df.select("id", tokens.word_count(F.col("text")).alias("n"), tokens.word_truncated(F.col("text"), 3).alias("cut")).orderBy("id").collect()
     assert [(r["n"], r["cut"]) for r in words][:3] == [(0, ""), (0, ""), (1, "one")] and words[3]["cut"] == "Tokens are pieces" and words[5]["cut"] == "  spaces \n\n\t and  tabs"
+
+
+# -- records
+def test_embedding_reports_the_batches_that_failed(spark):
+    from tessella.sources import corpus
+
+    def model(texts):
+        if "bad" in texts:
+            raise TimeoutError("no answer")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "bad", None), (3, "ccc", None), (4, "dd", [9.0])], "id long, text string, v array<double>").coalesce(1)
+    made = corpus.embed_missing(rows, "id", "text", "v", model, size=1)
+    assert {(r["id"], tuple(r["v"]) if r["v"] else None, r["error"]) for r in made.collect()} == {(1, (1.0,), None), (2, None, "TimeoutError"), (3, (3.0,), None)}
+    filled = {r["id"]: r["v"] for r in corpus.with_embeddings(rows, "id", "v", made).collect()}
+    assert filled == {1: [1.0], 2: None, 3: [3.0], 4: [9.0]}
+
+
+def test_oversize_text_is_cut_and_order_kept(spark):
+    from tessella.operators import reports
+
+    rows = spark.createDataFrame([("k", 1, 0.1, "a b", 2), ("k", 2, 0.9, "c d e", 3), ("k", 3, 0.5, "f", 1), ("big", 1, 0.3, "one two three four", 4), ("big", 2, 0.9, "a b c d e f g", 7)], "key string, pos int, score double, text string, cost int")
+    got = {(r["key"], r["pos"]): (r["rank"], r["text"]) for r in reports.within_budget(rows, "key", "pos", "score", "text", "cost", 3).collect()}
+    assert got == {("k", 2): (1, "c d e"), ("big", 2): (1, "a b c")}
+    got = {(r["key"], r["pos"]): r["rank"] for r in reports.within_budget(rows, "key", "pos", "score", "text", "cost", 5).collect()}
+    assert got == {("k", 2): 1, ("k", 3): 2, ("big", 1): 1}
+
+
+def test_extraction_corpus_must_hold_together(spark):
+    from tessella.operators import reports
+
+    case = lambda i, entities, relations: (i, "text", True, True, entities, relations)
+    rows = [(1, [
+        case("a", [("x", ["X"]), ("y", ["Y"])], [("x", "y", ["KNOWS"])]), case("b", [("x", []), ("x", ["X"])], [("x", "ghost", ["T"]), ("x", "x", [])]), case("b", None, None),
+    ])]
+    got = {tuple(r) for r in reports.extraction_problems(spark.createDataFrame(rows, reports.EXTRACTION_CORPUS)).collect()}
+    assert got == {("b", "duplicate_case", "b"), ("b", "duplicate_entity", "x"), ("b", "no_aliases", "x"), ("b", "unknown_entity", "ghost"), ("b", "no_types", "x>x")}
+
+
+def test_more_than_sixteen_groups_merge(spark):
+    members = [(f"g{i:02}", i * 10 + k) for i in range(20) for k in range(14)] + [("lone", 10_000)]
+    df = spark.createDataFrame(members, "grp string, id long")
+    order = [*sorted({g for g, _ in members if g != "lone"}), "lone", "empty"]
+    got = dict(map(tuple, graph.merge_overlapping(df, order).collect()))
+    assert got == {f"g{i:02}": f"g{i:02}" for i in range(20)} | {"lone": "lone", "empty": "empty"}  # 4 of 14 is below 0.3
+    got = dict(map(tuple, graph.merge_overlapping(df, order, 0.28).collect()))
+    assert {got[f"g{i:02}"] for i in range(20)} == {"g00"} and got["lone"] == "lone"
+    edges = spark.createDataFrame([("g00", "a", "b", "t"), ("g01", "a", "b", "t"), ("lone", "a", "b", "t")], "grp string, src string, dst string, type string")
+    merged = graph.merged_edges(edges, spark.createDataFrame(list(got.items()), "grp string, merged string"))
+    assert sorted(map(tuple, merged.collect())) == [("g00", "a", "b", "t"), ("lone", "a", "b", "t")]
