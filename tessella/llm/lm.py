@@ -9,8 +9,12 @@ over all classes, times its own within the class, by a softmax over the words
 of the class; both come from batched matrix products, and the probabilities of
 all words sum to one. Words too rare for a vector share one item, inside which a
 word has its smoothed relative frequency. Training is data-parallel: texts are
-dealt by hash into shards, each shard learns from all its texts, and the
-parameters are averaged, so the model does not depend on partitions.
+dealt by hash into shards and each shard learns from all its texts. The shards
+are brought together several times in a round, row by row: a word's vector moves
+by the sum of the moves that the shards made, divided by how many of them saw the
+word often. So a word that each of many shards saw once or twice learns from all
+of them, and one that all saw often is their mean. The step sizes are kept from
+one time to the next. The model does not depend on partitions.
 """
 
 from __future__ import annotations
@@ -28,9 +32,13 @@ from tessella.llm.bpe import most_frequent
 
 HEAD_WORDS, WORD_BYTES, LOCAL_WORDS = 1 << 17, 64, 400_000
 # A word has a vector if it occurs MODEL_COUNT times or is among the
-# LEAST_WORDS most frequent; ids take 16 bits.
-MODEL_COUNT, LEAST_WORDS, MOST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 1 << 16, 5000
-WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS, LEAST_STEPS = 32, 64, 32, 1, 1024, 1024, 32
+# LEAST_WORDS most frequent, and is one of the HEAD_WORDS that are broadcast.
+MODEL_COUNT, LEAST_WORDS, SHARD_DOCUMENTS = 1000, 1024, 5000
+WIDTH, NOISE, CLASS_NOISE, ROUNDS, BATCH, PAIRS, LEAST_STEPS = 32, 256, 64, 2, 1024, 1024, 32
+# Shards meet PARTS times in a round, FAN of them at a time; a shard that saw a
+# word OFTEN times counts half in how far its moves are divided. ROWS words or
+# classes are brought together in one task.
+PARTS, FAN, OFTEN, ROWS = 4, 64, 5.0, 1024
 SMOOTH, LIMIT = 0.1, 60.0
 END, OTHER = 0, 1
 END_WORD = b"\n"  # no word holds white space
@@ -82,15 +90,16 @@ class LogBilinear:
         self.rng = np.random.default_rng(seed + 1)
         self.sums = np.cumsum(self.p)
 
-    def blob(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+    def state(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray] | None]:
+        """The parameters and the sums of squares that size the steps."""
+        return {n: getattr(self, n) for n in self.NAMES}, getattr(self, "seen", None)
 
-    def load(self, blob: np.ndarray) -> LogBilinear:
-        at = 0
-        for n in self.NAMES:
-            old = getattr(self, n)
-            setattr(self, n, blob[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+    def restored(self, state: tuple) -> LogBilinear:
+        """This model with a copy of a state."""
+        for n, x in state[0].items():
+            setattr(self, n, x.copy())
+        if state[1] is not None:
+            self.seen = {n: x.copy() for n, x in state[1].items()}
         return self
 
     def _contrast(self, q, target, share, vectors, bias, p, noise, k):
@@ -172,7 +181,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _ids(text: str | None, place: dict[bytes, int]) -> np.ndarray:
     """The model's ids of the words of a text and of its end."""
     words = words_of(text)
-    return np.fromiter((place.get(w, OTHER) for w in (*words, END_WORD)), np.uint16, len(words) + 1)
+    return np.fromiter((place.get(w, OTHER) for w in (*words, END_WORD)), np.uint32, len(words) + 1)
 
 
 def _contexts(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +197,7 @@ def _contexts(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def dealt(docs: DataFrame, place: dict[bytes, int], shards: int) -> DataFrame:
-    """(shard, h, doc_id, ids): each text as ids, dealt by a hash of id and text."""
+    """(shard, part, h, doc_id, ids): each text as ids, dealt by a hash of id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,22 +205,116 @@ def dealt(docs: DataFrame, place: dict[bytes, int], shards: int) -> DataFrame:
             yield pd.DataFrame({"h": pdf["h"], "doc_id": pdf["doc_id"], "ids": [_ids(t, shared.value).tobytes() for t in pdf["text"]]})
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").mapInPandas(lean(run), "h long, doc_id long, ids binary")
-    return rows.select(F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard"), "h", "doc_id", "ids").repartition(shards, "shard")
+    return rows.select(F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard"), F.pmod("h", F.lit(PARTS)).cast("int").alias("part"), "h", "doc_id", "ids").repartition(shards, "shard")
+
+
+# What the shards moved. kind: w (word vectors and biases), c (class vectors and
+# biases) or m (both matrices, one row). Of each row of a block its id, how
+# often it was seen, its moves and the roots of what its step sizes gained; raw
+# rows are of one shard, others are sums.
+MOVES = "kind string, block int, shard long, shards long, raw boolean, ids binary, seen binary, moves binary, gains binary"
+KINDS = {"w": ("r", "b"), "c": ("rc", "bc"), "m": ("c1", "c2")}
+
+
+def _table(values: dict[str, np.ndarray], kind: str) -> np.ndarray:
+    """The rows of a kind, one matrix; the matrices of the positions are one row."""
+    parts = [values[n] for n in KINDS[kind]]
+    return np.concatenate([x.ravel() for x in parts])[None] if kind == "m" else np.column_stack(parts)
+
+
+def _moves(shard: int, counts: np.ndarray, before: LogBilinear, after: LogBilinear) -> pd.DataFrame:
+    """What a shard moved, in blocks of rows; rows that did not move are left out."""
+    old, new = before.state(), after.state()
+    base = old[1] or {n: np.full_like(x, 1e-8) for n, x in old[0].items()}
+    out = []
+    for kind in KINDS:
+        moves, gains = _table(new[0], kind) - _table(old[0], kind), np.sqrt(np.maximum(_table(new[1], kind) - _table(base, kind), 0))
+        often = {"w": counts, "c": np.bincount(before.of, counts), "m": np.array([counts.sum()])}[kind].astype(float)
+        at = np.flatnonzero(np.abs(moves).max(1) > 0)
+        edges = np.searchsorted(at, np.arange(0, len(moves) + ROWS, ROWS))
+        for block, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if b > a:
+                own = at[a:b]
+                out.append((kind, block, shard, 1, True, own.astype(np.uint32).tobytes(), often[own].astype(np.float64).tobytes(), moves[own].astype(np.float16).tobytes(), gains[own].astype(np.float16).tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in MOVES.split(", ")])
+
+
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of each block over its shards, FAN of them in a group; rows come
+    sorted. Moves of single shards count by how often they saw the row: those of
+    the matrices weigh by tokens, the others are added, and what they are divided
+    by is added beside them."""
+    key, held = None, None
+    names = [c.split()[0] for c in MOVES.split(", ")]
+
+    def result() -> pd.DataFrame:
+        ids, seen, moves, gains, shards = held
+        at = np.flatnonzero(seen != 0)
+        row = (*key, shards, False, ids[at].astype(np.uint32).tobytes(), seen[at].tobytes(), moves[at].astype(np.float32).tobytes(), gains[at].astype(np.float32).tobytes())
+        return pd.DataFrame([row], columns=names)
+
+    for pdf in frames:
+        for kind, block, shard, shards, raw, ids, seen, moves, gains in pdf[names].itertuples(index=False):
+            if key != (kind, block, shard // FAN):
+                if key is not None:
+                    yield result()
+                key, held = (kind, block, shard // FAN), None
+            own, often = np.frombuffer(ids, np.uint32).astype(int), np.frombuffer(seen, np.float64)
+            step, gain = (np.frombuffer(x, np.float16 if raw else np.float32).astype(np.float64).reshape(len(own), -1) for x in (moves, gains))
+            if raw:
+                gain = gain**2
+                if kind == "m":
+                    step = step * often[:, None]
+                else:
+                    often = often / (often + OFTEN) + 1e-12
+            if held is None:
+                held = [block * ROWS + np.arange(ROWS), np.zeros(ROWS), np.zeros((ROWS, step.shape[1])), np.zeros((ROWS, step.shape[1])), 0]
+            place = own - block * ROWS
+            held[1][place] += often
+            held[2][place] += step
+            held[3][place] += gain
+            held[4] += shards
+    if key is not None:
+        yield result()
+
+
+def _brought_together(model: LogBilinear, moved: list, shards: int) -> LogBilinear:
+    """The model after the summed moves of all shards."""
+    params, seen = model.state()
+    seen = seen or {n: np.full_like(x, 1e-8) for n, x in params.items()}
+    for kind, names in KINDS.items():
+        now, size = _table(params, kind), _table(seen, kind)
+        for r in moved:
+            if r["kind"] == kind:
+                ids, often = np.frombuffer(r["ids"], np.uint32).astype(int), np.frombuffer(r["seen"], np.float64)
+                step, gain = (np.frombuffer(r[c], np.float32).reshape(len(ids), -1) for c in ("moves", "gains"))
+                now[ids] += step / (often if kind == "m" else np.maximum(1, often))[:, None]
+                size[ids] += gain / shards
+        for table_, into in ((now, params), (size, seen)):
+            if kind == "m":
+                half = table_.shape[1] // 2
+                parts = [table_[0, :half].reshape(into[names[0]].shape), table_[0, half:].reshape(into[names[1]].shape)]
+            else:
+                parts = [table_[:, :-1], table_[:, -1]]
+            for name, x in zip(names, parts, strict=True):
+                into[name] = np.ascontiguousarray(x, np.float32)
+    return model.restored((params, seen))
 
 
 def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS, shard_documents: int = SHARD_DOCUMENTS) -> LogBilinear:
-    """Learn from every text of ``docs`` (doc_id, text): a round trains a copy of
-    the model on each shard and averages the copies by their tokens. Equal
-    threes of words within 2**20 tokens are learnt once, by their number; where
-    they are few they are learnt again, LEAST_STEPS steps in all."""
+    """Learn from every text of ``docs`` (doc_id, text), ``rounds`` times. The
+    texts of a shard come in PARTS parts; each shard trains a copy of the model
+    on a part, then the copies are brought together. Equal threes of words
+    within 2**20 tokens are learnt once, by their number; where they are few they
+    are learnt again, LEAST_STEPS steps in all."""
     spark = docs.sparkSession
-    model = LogBilinear(unigram)
-    size, blocks, words = len(model.blob()), 16, len(unigram)
-    edges = np.linspace(0, size, blocks + 1).astype(int)
-    rows = cut(dealt(docs, place, -(-docs.count() // shard_documents) or 1)).sortWithinPartitions("shard", "h", "doc_id")
+    model, words = LogBilinear(unigram), len(unigram)
+    shards = -(-docs.count() // shard_documents) or 1
+    dealt_rows = cut(dealt(docs, place, shards))
 
-    for number in range(rounds):
-        shared = spark.sparkContext.broadcast((model.blob(), unigram))
+    for number in range(rounds * PARTS):
+        shared = spark.sparkContext.broadcast((model.state(), unigram))
+        rate = 0.05 / (1 + number // PARTS)
 
         def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray]]]:
             """Texts of one shard at a time, about 2**20 tokens each time."""
@@ -222,51 +325,39 @@ def train(docs: DataFrame, place: dict[bytes, int], unigram: np.ndarray, rounds:
                         yield shard, held
                         held, tokens = [], 0
                     shard = at
-                    held.append(np.frombuffer(ids, np.uint16))
+                    held.append(np.frombuffer(ids, np.uint32))
                     tokens += len(held[-1])
             if held:
                 yield shard, held
 
-        def learn(frames: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
-            blob, base = shared.value
-            own, total, shard = None, 0, None
+        def learn(frames: Iterator[pd.DataFrame], shared=shared, number=number, rate=rate) -> Iterator[pd.DataFrame]:
+            state, base = shared.value
+            before, own, counts, shard = LogBilinear(base).restored(state), None, None, None
             for at, texts in parts(frames):
                 if at != shard:
                     if own is not None:
-                        yield learnt(shard, total, own)
-                    own, total, shard = LogBilinear(base, seed=17 + at).load(blob), 0, at
+                        yield _moves(shard, counts, before, own)
+                    own, counts, shard = LogBilinear(base, seed=17 + at + number * 1_000_003).restored(state), np.zeros(words, np.int64), at
                 w = np.concatenate(texts).astype(np.int64)
                 b2, b1 = _contexts(w, np.array([len(t) for t in texts], np.int64))
                 grams, n = np.unique((b2 * words + b1) * words + w, return_counts=True)
-                total += len(w)
+                counts += np.bincount(w, minlength=words)
                 for _ in range(-(-LEAST_STEPS // -(-len(grams) // BATCH))):
                     order = own.rng.permutation(len(grams))
                     for s in range(0, len(grams), BATCH):
                         g = grams[order[s : s + BATCH]]
-                        own.learn(g // (words * words), g // words % words, g % words, n[order[s : s + BATCH]].astype(np.float32), 0.05 / (1 + number))
+                        own.learn(g // (words * words), g // words % words, g % words, n[order[s : s + BATCH]].astype(np.float32), rate)
             if own is not None:
-                yield learnt(shard, total, own)
-
-        def learnt(shard: int, total: int, own: LogBilinear) -> pd.DataFrame:
-            out = own.blob()
-            return pd.DataFrame({"block": np.arange(blocks), "shard": shard, "n": total, "x": [out[a:b].astype(np.float32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
-
-        def average(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, n, x = None, 0, 0.0
-            for pdf in frames:
-                for at, more, part in zip(pdf["block"].tolist(), pdf["n"].tolist(), pdf["x"], strict=True):
-                    if at != block:
-                        if block is not None:
-                            yield pd.DataFrame({"block": [block], "x": [(x / n).astype(np.float32).tobytes()]})
-                        block, n, x = at, 0, 0.0
-                    n, x = n + more, x + more * np.frombuffer(part, np.float32).astype(float)
-            if block is not None:
-                yield pd.DataFrame({"block": [block], "x": [(x / n).astype(np.float32).tobytes()]})
-
-        copies = rows.mapInPandas(lean(learn), "block int, shard int, n long, x binary").repartition(blocks, "block").sortWithinPartitions("block", "shard")
-        got = copies.mapInPandas(lean(average), "block int, x binary").collect()
+                yield _moves(shard, counts, before, own)
+
+        some = dealt_rows.filter(F.col("part") == number % PARTS).sortWithinPartitions("shard", "h", "doc_id")
+        moved, groups = some.mapInPandas(lean(learn), MOVES), 0
+        while groups != 1:  # a tree: FAN shards, or sums of them, become one
+            groups = -(-(groups or shards) // FAN)
+            moved = moved.repartition("kind", "block", F.floor(F.col("shard") / FAN)).sortWithinPartitions("kind", "block", "shard").mapInPandas(lean(_gathered), MOVES)
+        got = moved.collect()  # one row for each block
         if got:
-            model = LogBilinear(unigram).load(np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: r["block"])]))
+            model = _brought_together(model, got, max(r["shards"] for r in got if r["kind"] == "m"))
     return model
 
 
@@ -290,7 +381,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     total, distinct = int(sums["n"] or 0), int(sums["v"])
     head = most_frequent(counts.filter(F.length("word") <= WORD_BYTES), HEAD_WORDS).toPandas()  # at most HEAD_WORDS short words
     held = {bytes(w): int(n) for w, n in zip(head["word"], head["n"], strict=True)}
-    ranked = sorted((w for w in held if w != END_WORD), key=lambda w: (-held[w], w))[: MOST_WORDS - 2]
+    ranked = sorted((w for w in held if w != END_WORD), key=lambda w: (-held[w], w))
     ranked = [w for i, w in enumerate(ranked) if i < LEAST_WORDS - 2 or held[w] >= MODEL_COUNT]
     place = {END_WORD: END} | {w: i + 2 for i, w in enumerate(ranked)}
     own = np.zeros(len(ranked) + 2)
@@ -301,18 +392,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # Within the class of other words: smoothed counts, and one place for the unseen.
     inside = max(total - (own.sum() - own[OTHER]), 0) + SMOOTH * (distinct - len(place) + 1)
     whole = total + SMOOTH * (distinct + 1)
-    shared = spark.sparkContext.broadcast((held, place, model.blob(), own))
+    shared = spark.sparkContext.broadcast((held, place, model.state()[0], own))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, place, blob, own = shared.value
-        m = LogBilinear(own).load(blob)
+        held, place, params, own = shared.value
+        m = LogBilinear(own).restored((params, None))
         ln10, log_whole, log_inside = np.log(10), np.log10(whole), np.log10(inside)
         index = {w: i for i, w in enumerate(held)}
         # Of each held word, and last of any other: log of its smoothed count, model id.
         log_count = np.append(np.log10(np.fromiter(held.values(), float, len(held)) + SMOOTH), 0.0)
         model_id = np.append(np.fromiter((place.get(w, OTHER) for w in held), np.int64, len(held)), OTHER)
         for pdf in frames:
-            for part in text_batches(pdf, "text", 1 << 20):
+            for part in text_batches(pdf, "text", 1 << 22):
                 texts = [(*words_of(t), END_WORD) for t in part["text"]]
                 flat, sizes = [w for t in texts for w in t], np.array([len(t) for t in texts], np.int64)
                 at = np.fromiter((index.get(w, -1) for w in flat), np.int64, len(flat))

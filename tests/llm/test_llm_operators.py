@@ -374,6 +374,52 @@ def test_model_learns_what_follows(spark):
     assert held and sum(r["score"] for r in held) > 0.85 * sum(r["base_score"] for r in held)
 
 
+def test_document_scores_by_brute_force(spark, sf_dir, docs, monkeypatch):
+    """Every probability of some documents from whole softmaxes, without classes
+    or contexts being shared."""
+    made = []
+    real = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **b: made.append((real(*a, **b), a[1])) or made[-1][0])
+    got = {r["doc_id"]: r for r in lm.op6_lm_scores(spark, sf_dir).collect()}
+    model, place = made[0]
+    words = {i: [*lm.words_of(t), lm.END_WORD] for i, t in docs}
+    count = collections.Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    inside = sum(n for w, n in count.items() if w not in place) + 0.1 * (len(count) - len(place) + 1)
+    for i in [i for i, ws in words.items() if len(ws) < 300][:8]:
+        total, b2, b1 = 0.0, lm.END, lm.END
+        for w in words[i]:
+            at = place.get(w, lm.OTHER)
+            q = model.r[b1].astype(float) @ model.c1 + model.r[b2].astype(float) @ model.c2
+            kinds, own = model.rc @ q + model.bc, (model.r @ q + model.b)[model.of == model.of[at]]
+            p = np.exp(kinds[model.of[at]] - kinds.max()) / np.exp(kinds - kinds.max()).sum() * np.exp(model.r[at] @ q + model.b[at] - own.max()) / np.exp(own - own.max()).sum()
+            total += math.log10(p) + (math.log10((count[w] + 0.1) / inside) if at == lm.OTHER else 0)
+            b2, b1 = b1, at
+        assert abs(got[i]["score"] - total) < 1e-3 * max(1, abs(total))
+
+
+def test_shards_do_not_lose_what_one_learns(spark):
+    """The same texts in one shard and in thirty: the gain over the base score
+    of held-out texts stays."""
+    rng = random.Random(8)
+    follow = {f"w{i}": [f"w{rng.randrange(60)}" for _ in range(3)] for i in range(60)}
+
+    def text():
+        w = [f"w{rng.randrange(60)}"]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]) if rng.random() < 0.8 else f"w{rng.randrange(60)}")
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    gain = {}
+    for size in (1000, 20):
+        with pytest.MonkeyPatch.context() as patch:
+            real = lm.train
+            patch.setattr(lm, "train", lambda *a, real=real, size=size: real(*a, shard_documents=size))
+            held = [r for r in lm.lm_scores(df).collect() if r["held_out"]]
+        gain[size] = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain[1000] > 0.2 and gain[20] > 0.95 * gain[1000]
+
+
 def test_lm_edge_cases(spark):
     df = odd_documents(spark)
     got = lm.lm_scores(df).collect()
