@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessella.llm._components import components
 from tessella.llm._shared import cut, join_skewed, table
 
-COSINE, SAMPLE, CELL, MOST_CELLS, BLOCK = 0.93, 20_000, 2000, 1024, 2048
+COSINE, SAMPLE, CELL, MOST_CELLS, BLOCK, MOST_BLOCK = 0.93, 20_000, 2000, 1024, 2048, 65_536
+PRODUCT = 1 << 21  # numbers of a product that are held at once
 REACH = float(np.sqrt(1 - COSINE**2))
 
 
@@ -75,6 +76,19 @@ def fit_cells(distinct: DataFrame, total: int, sample: int = SAMPLE) -> dict[tup
     return {at: spherical_kmeans(np.stack(g["x"].to_numpy()), cells[at]) for at, g in got.groupby(["label", "width"]) if at in cells}
 
 
+def visits(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, cell, home) for slices of ``x``: every cell that a row
+    visits, and its home. The distance of two unit centroids comes from their
+    product, for the homes of a slice only."""
+    step = max(1, PRODUCT // len(c))
+    for start in range(0, len(x), step):
+        near = x[start : start + step] @ c.T
+        home = near.argmax(1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+        row, cell = np.nonzero(near.max(1, keepdims=True) - near <= REACH * apart + 1e-7)
+        yield start, row, cell, home
+
+
 def assign(distinct: DataFrame, cells: dict[tuple[int, int], np.ndarray]) -> DataFrame:
     """Every vector in its own cell (home), and as a visitor in every cell
     where a partner may have its home. With d the home's centroid less the
@@ -88,53 +102,55 @@ def assign(distinct: DataFrame, cells: dict[tuple[int, int], np.ndarray]) -> Dat
             alone = np.array([at not in shared.value for at in zip(pdf["label"], pdf["width"], strict=True)], bool)
             yield pdf[alone][names].assign(cell=0, home=True)
             rest = pdf[~alone]
-            for start in range(0, len(rest), 2048):
-                for at, g in rest.iloc[start : start + 2048].groupby(["label", "width"]):
-                    x, c = np.stack(g["x"].to_numpy()), shared.value[at]
-                    near = x @ c.T
-                    home = near.argmax(1)
-                    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
-                    row, cell = np.nonzero(near.max(1, keepdims=True) - near <= REACH * apart[home] + 1e-9)
-                    yield pd.DataFrame({**{k: g[k].to_numpy()[row] for k in names}, "cell": cell, "home": home[row] == cell})
+            for at, g in rest.groupby(["label", "width"]):
+                for start, row, cell, home in visits(np.stack(g["x"].to_numpy()), shared.value[at]):
+                    yield pd.DataFrame({**{k: g[k].to_numpy()[start + row] for k in names}, "cell": cell, "home": home[row] == cell})
 
     return distinct.select(*names).mapInPandas(run, "node long, copies long, label long, width int, x array<double>, cell int, home boolean")
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the left and the right block: (b, n) the links of each
-    left vector, counted with copies, and (a, b) a forest of the links."""
+    left vector, counted with copies, and (a, b) a forest of the links. Products
+    are taken BLOCK rows of either side at a time."""
     left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
     out = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
     if not len(left) or not len(right):
         return out
-    y, rid, copies = np.stack(right["x"].to_numpy()), right["node"].to_numpy(), right["copies"].to_numpy()
+    x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+    lids, rids, copies = left["node"].to_numpy(), right["node"].to_numpy(), right["copies"].to_numpy()
     parts = []
-    for start in range(0, len(left), BLOCK):
-        part = left.iloc[start : start + BLOCK]
-        lid = part["node"].to_numpy()
-        linked = (np.stack(part["x"].to_numpy()) @ y.T >= COSINE) & (lid[:, None] != rid[None, :])
-        at, to = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-        if not len(at):
-            continue
-        parts.append(pd.DataFrame({"a": lid[at], "b": lid[at], "n": (linked @ copies)[at]}))
-        linked = linked[np.ix_(at, to)]
-        a, b, most = lid[at].copy(), rid[to].copy(), np.iinfo(np.int64).max
-        while True:
-            new_b = np.minimum(b, np.where(linked, a[:, None], most).min(0))
-            new_a = np.minimum(a, np.where(linked, new_b[None, :], most).min(1))
-            if (new_a == a).all() and (new_b == b).all():
-                break
-            a, b = new_a, new_b
-        parts.append(pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([lid[at], rid[to]]), "n": 0}))
+    for start in range(0, len(x), BLOCK):
+        lid, n = lids[start : start + BLOCK], np.zeros(len(lids[start : start + BLOCK]), np.int64)
+        for begin in range(0, len(y), BLOCK):
+            rid = rids[begin : begin + BLOCK]
+            linked = (x[start : start + BLOCK] @ y[begin : begin + BLOCK].T >= COSINE) & (lid[:, None] != rid[None, :])
+            at, to = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if not len(at):
+                continue
+            n += linked @ copies[begin : begin + BLOCK]
+            linked = linked[np.ix_(at, to)]
+            a, b, most = lid[at].copy(), rid[to].copy(), np.iinfo(np.int64).max
+            while True:
+                new_b = np.minimum(b, np.where(linked, a[:, None], most).min(0))
+                new_a = np.minimum(a, np.where(linked, new_b[None, :], most).min(1))
+                if (new_a == a).all() and (new_b == b).all():
+                    break
+                a, b = new_a, new_b
+            parts.append(pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([lid[at], rid[to]]), "n": 0}))
+        met = np.flatnonzero(n)
+        if len(met):
+            parts.append(pd.DataFrame({"a": lid[met], "b": lid[met], "n": n[met]}))
     return pd.concat([out, *parts])
 
 
 def links(assigned: DataFrame, total: int) -> DataFrame:
     """Compare the vectors of each label and cell, home against all, in pairs
-    of blocks. A cell over the block size is split by hash; as a block holds
-    at least 1/4096 of all vectors, at most 4096 groups with one cell and the
-    MOST_CELLS fitted cells are that large."""
-    block = max(BLOCK, total // 4096)
+    of blocks. A cell over the block size is split by hash; a block holds 1/4096
+    of all vectors within BLOCK and MOST_BLOCK, so up to 2^28 vectors at most
+    4096 labels with one cell and the MOST_CELLS fitted cells are larger, and
+    beyond that one for each MOST_BLOCK vectors."""
+    block = min(MOST_BLOCK, max(BLOCK, total // 4096))
     cell = ["label", "width", "cell"]
     large = (
         assigned.groupBy(*cell).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)

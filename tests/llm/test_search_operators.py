@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessella.llm import prefixtrie, spelling, topk
+from tessella.llm import neardup, prefixtrie, spelling, topk
 
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -225,3 +225,51 @@ def test_blocks_are_pruned(monkeypatch):
         want = sorted(zip(-s, range(1000)))[:6]
         mine = found[found["query"] == bytes([b])]
         assert sorted(zip(-mine["score"], mine["vec_id"])) == [(int(a), int(i)) for a, i in want]
+
+
+# -- op2 -------------------------------------------------------------------
+def test_wide_vectors_find_their_cells_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = unit(rng.normal(size=(1024, 256)))
+    x = unit(c[rng.integers(0, 1024, 4096)] + 0.03 * rng.normal(size=(4096, 256)))
+    tracemalloc.start()
+    got = [(start + row, cell, home) for start, row, cell, home in neardup.visits(x, c)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    cells = {(int(r), int(k)) for row, cell, _ in got for r, k in zip(row, cell)}
+    near = x[:50] @ c.T
+    for i in range(50):
+        apart = np.linalg.norm(c[near[i].argmax()] - c, axis=1)
+        assert {(i, int(k)) for k in np.flatnonzero(near[i].max() - near[i] <= neardup.REACH * apart)} <= cells
+
+
+def test_blocks_of_any_size_link_alike(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 8))[rng.integers(0, 12, 300)] + 0.08 * rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = lambda left: pd.DataFrame({"node": np.arange(300), "copies": rng.integers(1, 3, 300), "x": list(x), "left": left})
+    pdf = pd.concat([side(True), side(False)], ignore_index=True)
+    pdf["copies"] = np.tile(pdf["copies"].to_numpy()[:300], 2)
+
+    def result():
+        got = neardup._block_links(pdf)
+        up = list(range(300))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in zip(got["a"], got["b"]):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        return got[got["n"] > 0].groupby("b")["n"].sum().to_dict(), [root(i) for i in range(300)]
+
+    whole = result()
+    monkeypatch.setattr(neardup, "BLOCK", 37)
+    assert result() == whole and len(set(whole[1])) < 300
