@@ -162,20 +162,37 @@ def rule_violations(df: DataFrame, id_col: str, rules: dict[str, Column]) -> Dat
     return df.select(F.col(id_col).alias("id"), F.explode(broken).alias("rule"))
 
 
+RUN_STATES = ["new", "running", "paused", "draining", "stopped"]
+COMMANDS = {"start": (["new", "stopped"], "running"), "pause": (["running"], "paused"), "resume": (["paused"], "running"), "drain": (["running", "paused"], "draining"), "stop": (["running", "paused", "draining"], "stopped")}
+FOLD = 1024
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """Fold of each run's commands, in order: the last one that its state
-    allows decides. (run_id, state)"""
-    allowed = {"start": ["new", "stopped"], "pause": ["running"], "resume": ["paused"], "drain": ["running", "paused"], "stop": ["running", "paused", "draining"]}
-    result = {"start": "running", "pause": "paused", "resume": "running", "drain": "draining", "stop": "stopped"}
+    allows decides. (run_id, state)
+
+    FOLD commands in a row become the map of the state before them to the state
+    after them; FOLD such maps in a row are composed to one, level by level, so
+    that no row holds more than FOLD of a run's commands."""
 
-    def step(state, e):
+    def step(state: Column, command: Column) -> Column:
         out = state
-        for command, states in allowed.items():
-            out = F.when((e["command"] == command) & state.isin(*states), result[command]).otherwise(out)
+        for name, (before, after) in COMMANDS.items():
+            out = F.when((command == name) & state.isin(*before), after).otherwise(out)
         return out
 
-    ordered = F.sort_array(F.collect_list(F.struct("at", "seq", "command")))
-    return events.groupBy("run_id").agg(F.aggregate(ordered, F.lit("new"), step).alias("state"))
+    every = F.array(*map(F.lit, RUN_STATES))
+    numbered = events.withColumn("_n", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "seq")) - 1)
+    most = numbered.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    block = F.floor(F.col("_n") / FOLD)
+    ordered = F.sort_array(F.collect_list(F.struct("_n", "command")))
+    maps = numbered.groupBy("run_id", block.alias("_b")).agg(ordered.alias("_c")).select("run_id", F.col("_b").alias("_n"), F.transform(every, lambda s: F.aggregate("_c", s, lambda state, e: step(state, e["command"]))).alias("_to"))
+    blocks = -(-most // FOLD)
+    while blocks > 1:
+        inner = F.aggregate("_m", every, lambda now, m: F.transform(now, lambda s: F.get(m["_to"], (F.array_position(every, s) - 1).cast("int"))))
+        maps = maps.groupBy("run_id", block.alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_n", "_to"))).alias("_m")).select("run_id", F.col("_b").alias("_n"), inner.alias("_to"))
+        blocks = -(-blocks // FOLD)
+    return maps.select("run_id", F.get("_to", F.lit(0)).alias("state"))
 
 
 class Arbiter:

@@ -98,10 +98,11 @@ def greedy_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, b
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.schema).select(*names)
 
 
-def prefix_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int) -> DataFrame:
-    """Rows until the first that would pass the budget."""
+def prefix_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int, used: str = "used") -> DataFrame:
+    """Rows until the first that would pass the budget, with what is ``used``
+    up to each."""
     total = F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_used", total).filter(F.col("_used") <= budget).drop("_used")
+    return df.withColumn(used, total).filter(F.col(used) <= budget)
 
 
 def merge_graph(current: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:

@@ -31,7 +31,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def text_top_k(rows: DataFrame, fields: dict[str, str], terms: Sequence[str], k: int | None = None, ties: Sequence[str] = ("id",)) -> DataFrame:
-    """Full-text search; ``fields`` maps columns to weight letters."""
+    """Full-text search; ``fields`` maps columns to weight letters. A text's
+    tokens are read once, for those that are terms."""
     terms = sorted({t.lower() for t in terms})
     score, held = F.lit(0.0), F.lit(True)
     for term in terms:
@@ -47,7 +48,7 @@ def text_top_k(rows: DataFrame, fields: dict[str, str], terms: Sequence[str], k:
         some = some & F.lower(F.concat_ws(" ", *fields)).contains(term)
     out = rows.filter(some)
     for column in fields:
-        out = out.withColumn(f"_tok_{column}", tokens(column))
+        out = out.withColumn(f"_tok_{column}", F.filter(tokens(column), lambda t: t.isin(*terms)))
     out = out.filter(held).withColumn("score", score).drop(*[f"_tok_{c}" for c in fields])
     return out if k is None else out.orderBy(F.desc("score"), *ties).limit(k)
 

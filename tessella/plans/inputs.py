@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_documents(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:
+    """Documents as sources; without ``canonical`` the labels are not read."""
     docs = table(spark, sf_dir, "documents")
+    if not canonical:
+        return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 50).alias("title"), F.col("text").alias("body"))
     canon = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("canonical")).distinct()
     return docs.join(canon, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.substring("text", 1, 50).alias("title"), F.col("text").alias("body"),

@@ -383,3 +383,22 @@ def test_more_than_sixteen_groups_merge(spark):
     edges = spark.createDataFrame([("g00", "a", "b", "t"), ("g01", "a", "b", "t"), ("lone", "a", "b", "t")], "grp string, src string, dst string, type string")
     merged = graph.merged_edges(edges, spark.createDataFrame(list(got.items()), "grp string, merged string"))
     assert sorted(map(tuple, merged.collect())) == [("g00", "a", "b", "t"), ("lone", "a", "b", "t")]
+
+
+def test_run_states_fold_in_blocks(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(r, i, i, rnd.choice([*lifecycle.COMMANDS, "unknown"])) for r in range(6) for i in range(rnd.choice([1, 3, 4, 17, 40]))]
+
+    def fold(commands):
+        state = "new"
+        for c in commands:
+            before, after = lifecycle.COMMANDS.get(c, ([], ""))
+            state = after if state in before else state
+        return state
+
+    want = {r: fold(c for k, _, _, c in rows if k == r) for r in range(6)}
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "run_id long, at long, seq long, command string")
+    for size in (1024, 3, 2):
+        monkeypatch.setattr(lifecycle, "FOLD", size)
+        assert dict(map(tuple, lifecycle.run_states(df).collect())) == want
+    assert lifecycle.run_states(df.limit(0)).count() == 0
