@@ -71,7 +71,8 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], dict]) -> dict:
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
 
     names = sample.columns
-    return pickle.loads(sample.repartition(1).mapInPandas(lean(run), "model binary").first()["model"])
+    # collect() lets the worker end; first() would close its pipe while it writes.
+    return pickle.loads(sample.repartition(1).mapInPandas(lean(run), "model binary").collect()[0]["model"])
 
 
 def give_back() -> None:
