@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import lifecycle as L
+from tessella.operators import preflight as P
 from tessella.operators import relational as J
 from tessella.operators import reports as R
 from tessella.operators import retrieval as T
@@ -294,3 +295,69 @@ def s18b(spark, d):
 @query("r15_first_occurrence", with_("embedded") + "SELECT id FROM embedded QUALIFY row_number() OVER (PARTITION BY text ORDER BY document_id, idx) = 1")
 def r15b(spark, d):
     return T.first_by(I.embedded(spark, d), ["text"], ["document_id", "idx"]).select("id")
+
+
+# -- preflight and constraints ------------------------------------------------
+_PROFILE = {"provider": "'p'", "endpoint_class": "'local'", "implementation": "'i'", "model": "CASE WHEN label % 4 = 3 THEN 'other' ELSE 'm' END", "model_revision": "'1'", "dimensions": "64", "output_encoding": "'float'", "storage_type": "'vector'", "normalize": "true", "distance_metric": "'cosine'", "input_type": "CASE WHEN label = 7 THEN 'query' ELSE 'text' END"}
+
+
+@query("q09_preflight", """WITH s AS (SELECT label, count(*) AS total, count(*) FILTER (WHERE vec_id % 7 <> 0 OR label > 2) AS embedded FROM embeddings GROUP BY label),
+ f AS (SELECT label, total, embedded, list_filter([CASE WHEN label = 0 THEN 'active_space_missing' END, CASE WHEN label = 0 THEN 'space_metadata_missing' END, CASE WHEN label = 0 THEN 'stored_profile_missing' END, CASE WHEN label = 9 THEN 'active_space_missing' END, CASE WHEN label = 9 THEN 'space_retired' END,
+   CASE WHEN label = 5 THEN 'state_expected_dimensions_mismatch' END, CASE WHEN label = 6 THEN 'physical_dimension_mismatch' END, CASE WHEN label = 6 THEN 'configured_dimension_mismatch' END, CASE WHEN label = 6 THEN 'profile_dimensions_mismatch' END, CASE WHEN label = 8 THEN 'stored_profile_unresolvable' END, CASE WHEN label % 4 = 3 THEN 'profile_model_mismatch' END, CASE WHEN label = 7 THEN 'profile_input_type_mismatch' END,
+   CASE WHEN label = 4 THEN 'multiple_active_spaces' END, CASE WHEN label = 4 THEN 'stored_profile_missing' END], lambda x: x IS NOT NULL) AS bad FROM s)
+ SELECT label, CASE WHEN len(bad) > 0 THEN 'blocked' ELSE 'ready' END AS status, total AS total_rows, embedded AS embedded_rows, array_to_string(list_sort(CASE WHEN embedded < total THEN list_append(bad, 'embedding_coverage_incomplete') ELSE bad END), ',') AS findings FROM f""")
+def q09b(spark, d):
+    """Each label is a space with a semantic index of its own; 0 has no
+    record, 9 is retired, 4 has a second active space, 5 and 6 disagree on the
+    width, 8 names a profile that is not there, 3 and 7 were made by others."""
+    label = F.col("label")
+    vectors = table(spark, d, "embeddings").select(label.alias("space"), F.when((F.col("vec_id") % 7 != 0) | (label > 2), F.col("embedding")).alias("embedding"))
+    spaces = table(spark, d, "embeddings").select("label").distinct()
+    fields = F.expr("'f' || label").alias("fingerprint")
+    stored = spaces.filter("label <> 8").select(fields, *(F.expr(sql).alias(f) for f, sql in _PROFILE.items()))
+    wanted = _PROFILE | {"model": "'m'", "input_type": "'text'", "dimensions": "CASE WHEN label = 6 THEN 32 ELSE 64 END"}
+    configured = F.struct(fields, *(F.expr(sql).alias(f) for f, sql in wanted.items()))
+    width = F.when(label == 6, 48).otherwise(64)
+    index = F.concat(F.lit("ix"), label)
+    expected = spaces.select(label.alias("semantic_index"), label.alias("space"), width.alias("expected_dimensions"), F.lit("cosine").alias("distance_metric"), index.alias("index_name"), configured.alias("configured"))
+    state = F.when(label == 9, "retired").otherwise("active")
+    recorded = spaces.filter("label <> 0").select(label.alias("semantic_index"), label.alias("space"), state.alias("state"), F.when(label == 5, 16).otherwise(width).alias("expected_dimensions"), F.lit("cosine").alias("distance_metric"), index.alias("index_name"), F.concat(F.lit("f"), label).alias("profile_fingerprint"))
+    second = recorded.filter("space = 4").withColumn("space", F.lit(44))
+    out = P.preflight(expected, recorded.unionByName(second), stored, vectors)
+    return out.select(F.col("space").alias("label"), "status", "total_rows", "embedded_rows", F.array_join("findings", ",").alias("findings"))
+
+
+_JOB = """j AS (SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'leased' WHEN '2' THEN 'retry_wait' WHEN '3' THEN 'synced' WHEN '4' THEN 'pending' ELSE 'odd' END AS state, o_custkey % 4 AS attempts, o_custkey % 5 AS used, o_orderstatus <> 'O' AS owner, o_orderstatus = 'F' AS next, o_totalprice > 100000 AS print, o_totalprice > 50000 AS stamp FROM orders)"""
+
+
+@query("l17_job_rules", f"""WITH {_JOB} SELECT 'known_state' AS rule, id FROM j WHERE state = 'odd' UNION ALL SELECT 'budget', id FROM j WHERE used > 3 UNION ALL SELECT 'lease', id FROM j WHERE CASE WHEN state = 'leased' THEN NOT (attempts > 0 AND owner) ELSE owner END
+ UNION ALL SELECT 'retry_time', id FROM j WHERE (state = 'retry_wait') <> next UNION ALL SELECT 'verified', id FROM j WHERE CASE WHEN state = 'synced' THEN NOT (print AND stamp) ELSE print OR stamp END""")
+def l17b(spark, d):
+    rank = F.substring("o_orderpriority", 1, 1)
+    state = F.when(rank == "1", "leased").when(rank == "2", "retry_wait").when(rank == "3", "synced").when(rank == "4", "pending").otherwise("odd")
+    given = lambda ok, v: F.when(ok, v)
+    owned, price = F.col("o_orderstatus") != "O", F.col("o_totalprice")
+    jobs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), state.alias("state"), (F.col("o_custkey") % 4).alias("attempts"), (F.col("o_custkey") % 5).alias("budget_used"), F.lit(3).alias("budget"), given(owned, F.lit("w")).alias("lease_owner"),
+        given(owned, F.col("o_orderdate")).alias("lease_until"), given(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("next_at"), given(price > 100000, F.lit("fp")).alias("verified_print"), given(price > 50000, F.col("o_orderdate")).alias("verified_at"),
+    )
+    return L.rule_violations(jobs, "id", P.job_rules())
+
+
+@query("l17_count_rules", "SELECT 'counts_reconcile' AS rule, event_id AS id FROM events WHERE NOT (event_type = 'view' OR (event_type <> 'error' AND value >= 10))")
+def l17c(spark, d):
+    whole = F.floor("value")
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") != "view", whole).alias("proposed"), F.when(~F.col("event_type").isin("view", "error"), whole - 10).alias("accepted"), F.when(F.col("event_type") != "view", F.lit(10)).alias("rejected"),
+    )
+    return L.rule_violations(rows, "id", P.count_rules())
+
+
+@query("l17_unique_rules", "SELECT 'one_open_order' AS rule, o_custkey::VARCHAR AS key, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey HAVING count(*) > 1")
+def l17d(spark, d):
+    return P.unique_violations(table(spark, d, "orders"), ["o_custkey"], "one_open_order", F.col("o_orderstatus") == "O")
+
+
+@query("l17_reference_rules", "SELECT 'known_part' AS rule, l_partkey::VARCHAR AS key, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey")
+def l17e(spark, d):
+    return P.reference_violations(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").filter("p_size > 5"), "p_partkey", "known_part")

@@ -34,7 +34,7 @@ def f07(spark, d):
     return kinds.select("p_type", X.screaming_snake(F.concat(F.lit("p.q "), "p_type", F.lit(" made-Of.the  brass!"))).alias("name"), X.token_case(F.concat(F.lit("camelCaseName "), "p_type")).alias("token"))
 
 
-@query("f08_dedupe_key")
+@query("f08_dedupe_key", r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))) AS key FROM documents")
 def f08(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.dedupe_key("text"), 256).alias("key"))
 
