@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import checkpointed
+
 COUNTS = ["episodes", "jobs", "stale", "leased", "non_pending", "non_synced", "mismatched", "active_runs"]
 
 
@@ -37,8 +39,10 @@ def inventory(episodes: DataFrame, jobs: DataFrame, runs: DataFrame, operations:
 
 
 def _guarded(found: DataFrame, step: str, rules: list[tuple[str, Column]], state: Column) -> DataFrame:
+    """One decided row per scope, written to the shared folder: what a step has
+    decided is not looked at again when a later one is."""
     refusal = F.coalesce(*(F.when(broken, F.lit(code)) for code, broken in rules))
-    return found.select("scope", F.lit(step).alias("step"), refusal.alias("refusal"), F.when(refusal.isNull(), state).otherwise(F.col("op_state")).alias("state"), "episodes", "jobs", "identity")
+    return checkpointed(found.select("scope", F.lit(step).alias("step"), refusal.alias("refusal"), F.when(refusal.isNull(), state).otherwise(F.col("op_state")).alias("state"), "episodes", "jobs", "identity"))
 
 
 def prepare(found: DataFrame, audited: DataFrame) -> DataFrame:

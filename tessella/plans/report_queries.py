@@ -361,3 +361,16 @@ def l17d(spark, d):
 @query("l17_reference_rules", "SELECT 'known_part' AS rule, l_partkey::VARCHAR AS key, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY l_partkey")
 def l17e(spark, d):
     return P.reference_violations(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").filter("p_size > 5"), "p_partkey", "known_part")
+
+
+@query("d06_generated", "SELECT doc_id, CASE WHEN n_chars < 5000 THEN lang || ':' || n_chars END AS answer, CASE WHEN n_chars >= 5000 THEN 'TimeoutError' END AS error FROM documents")
+def d06(spark, d):
+    """A model that echoes its prompt and never answers a long one."""
+
+    def model(prompts):
+        if any(int(p.split(":")[1]) >= 5000 for p in prompts):
+            raise TimeoutError
+        return prompts
+
+    rows = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit(":"), F.col("n_chars").cast("string")).alias("prompt"))
+    return C.generate(rows, "doc_id", "prompt", model, size=1)

@@ -148,6 +148,26 @@ def embed_missing(rows: DataFrame, key: str, text: str, column: str, embed: Call
     return missing.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {column} array<double>, error string")
 
 
+def generate(rows: DataFrame, key: str, prompt: str, model: Callable[[list[str]], list[str]], size: int = 16) -> DataFrame:
+    """(key, answer, error) for each prompt, in batches of ``size``. ``model``
+    is any text model: prompts to texts. The rows of a batch that it fails on, or
+    answers with another number of texts, have the name of the error instead."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in range(0, len(pdf), size):
+                part = pdf.iloc[start : start + size]
+                try:
+                    answers, error = list(model([p if isinstance(p, str) else "" for p in part[prompt]])), None
+                    if len(answers) != len(part):
+                        raise ValueError("one answer for each prompt")
+                except Exception as e:  # any model may raise anything; the rows say so
+                    answers, error = [None] * len(part), type(e).__name__
+                yield pd.DataFrame({key: part[key].array, "answer": pd.Series(answers, dtype=object), "error": pd.Series([error] * len(part), dtype=object)})
+
+    return rows.select(key, prompt).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, answer string, error string")
+
+
 def with_embeddings(rows: DataFrame, key: str, column: str, made: DataFrame) -> DataFrame:
     """Rows with the vectors that were made for them."""
     return rows.join(made.select(key, F.col(column).alias("_made")), key, "left").withColumn(column, F.coalesce(column, "_made")).drop("_made")
