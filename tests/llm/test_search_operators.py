@@ -273,3 +273,57 @@ def test_blocks_of_any_size_link_alike(monkeypatch):
     whole = result()
     monkeypatch.setattr(neardup, "BLOCK", 37)
     assert result() == whole and len(set(whole[1])) < 300
+
+
+# -- very long texts -------------------------------------------------------
+def long_texts():
+    words = ["the", "of", "hello", "idiot", "monde", "Straße", "naïve", "日本語"]
+    rnd = random.Random(5)
+    return [" ".join(rnd.choice(words) for _ in range(700_000)), "x" * 400_000, "é" * 100_000 + " end", "a b " * 300_000, "", None, "short one"]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, tmp_path_factory):
+    """Very long texts beside short ones, with labels, as the tables of a folder."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    texts = long_texts()
+    short = [(100 + i, f"{'idiot ' if i % 5 == 0 else ''}hello number {i} of the day", "en") for i in range(120)] + [(300 + i, f"bonjour le monde et la nuit numéro {i}", "fr") for i in range(60)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(i, t, lang, "s", len(t)) for i, t, lang in short]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("idiot" in (t or ""))) for i, t, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, {i: t for i, t, *_ in rows}
+
+
+def test_very_long_texts_through_the_classifiers(spark, long_docs):
+    from tessella.llm import langid, toxicity
+
+    folder, texts = long_docs
+    got = {r["doc_id"]: r for r in langid.op5_language_id(spark, folder).collect()}
+    assert set(got) == set(texts) and got[4]["lang_pred"] == got[5]["lang_pred"] == "und" and got[0]["lang_pred"] in ("en", "fr")
+    got = {r["doc_id"]: r for r in toxicity.op8_toxicity(spark, folder).collect()}
+    assert set(got) == set(texts) and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_very_long_texts_are_scored_and_encoded_whole(spark, long_docs):
+    import public_tokenizers
+
+    from tessella.llm import bpe, exact, lm, packing, tokencount
+
+    folder, texts = long_docs
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
+    scored = {r["doc_id"]: r for r in lm.op6_lm_scores(spark, folder).collect()}
+    assert {i: r["n_tokens"] for i, r in scored.items()} == {i: n + 1 for i, n in words.items()}
+    digests = {r["doc_id"]: r["text_sha256"] for r in exact.op4_exact_dedup(spark, folder).collect()}
+    assert digests == {i: hashlib.sha256((t or "").translate(LOW).encode()).hexdigest() for i, t in texts.items()}
+    tok = bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in bpe.op9_bpe_round_trip(spark, folder).filter("doc_id < 10").collect():
+        ids = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    pieces = packing.op7_best_fit_packing(spark, folder).groupBy("doc_id").agg({"length": "sum", "piece": "max"}).collect()
+    packer = bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for r in pieces:
+        if r["doc_id"] < 10:
+            n = len(packer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids) + 1
+            assert (r["sum(length)"], r["max(piece)"]) == (n, (n - 1) // 2048)
+    counts = {r["doc_id"]: r["n_bytes"] for r in tokencount.op1_token_counts(spark, folder).collect()}
+    assert counts == {i: len((t or "").encode()) for i, t in texts.items()}
