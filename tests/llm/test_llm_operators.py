@@ -635,6 +635,31 @@ def test_pipeline_runs(spark, sf_dir):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
 
 
+def test_whole_pipeline_by_brute_force(spark, sf_dir):
+    """The rows of run() from plain Python over all documents; only the two
+    classifiers' scores are the operators' own."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.select("doc_id", "text").collect()}
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    model = langid.train(rows.filter(F.col("doc_id").isin([i for i in texts if learn(i)])))
+    guess = {r["doc_id"]: r["guess"] for r in langid.predict(rows, model).select("doc_id", "guess").collect()}
+    kept = {i for i in texts if guess[i]["lang_pred"] != "und" and guess[i]["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    left = rows.filter(F.col("doc_id").isin(list(kept)))
+    odds = {r["doc_id"]: r["odds"] for r in toxicity.score(left, toxicity.train(left, labels), into="odds").collect()}
+    kept = {i for i in kept if odds[i] < toxicity.THRESHOLD}
+    last = {}
+    for i in sorted(kept):
+        last[texts[i].translate(LOW)] = i
+    kept = set(last.values())
+    kept = {i for i, (_, top) in brute_groups([(i, texts[i]) for i in sorted(kept)]).items() if i == top}
+    assert 0 < len(kept) < len(texts)
+    used, least = check_packing(corpus_pipeline.run(spark, sf_dir).collect(), [(i, texts[i]) for i in kept], 2048)
+    assert used <= least * 1.05 + 1
+
+
 def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
     import corpus_pipeline
 
