@@ -181,7 +181,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     decimal ids joined by commas) and decoded_sha256; without, doc_id, ids and
     decoded. A null text reads as empty and has no ids. Special strings inside
     a text are handled as the library does by default. Repeated rows give a
-    row each; other columns are ignored; an empty table gives no rows.
+    row each; other columns are ignored; an empty table gives no rows. A text of
+    any length is encoded whole.
     """
     small_batches(docs.sparkSession)
     held = word_table(docs, path, text_col).toPandas()  # at most TABLE_WORDS short words

@@ -41,7 +41,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     reads as empty; rows without conv_id belong to no conversation. Repeated
     rows are turns of their own. Of equal conversations the smallest conv_id
     stays and n_copies counts them; a conversation that is a proper prefix of
-    another is dropped. An empty table gives no rows. Other columns are ignored.
+    another is dropped. An empty table gives no rows. Other columns are ignored. A long
+    conversation is rendered into one row, and so are its texts, of any length.
     """
     prefixes = turn_prefixes(turns)
     whole = (

@@ -148,7 +148,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty. Of equal texts the largest id stays (null ids sort below all
     others). Rows that repeat an id are rows of their own in group_size and
     all of them are kept if their id is. Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. A text of any length is hashed whole and goes no
+    further than its digest.
     """
     small_batches(docs.sparkSession)
     rows = cut(digests(docs, id_col, text_col))

@@ -174,7 +174,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     The model learns from the documents that are not held out. Only the text
     enters a prediction. Repeated rows give a row each; other columns are
-    ignored; without any labelled text every document is ``und``.
+    ignored; without any labelled text every document is ``und``. A text of any
+    length is read whole, in its n-grams.
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = train(rows.filter(~F.col("held_out")))

@@ -368,7 +368,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Learns from the documents that are not held out. Tokens are the words and
     one end. base_score is the smoothed unigram log10 probability, score the
     model's. A null text reads as empty and is its end only. Repeated rows
-    give a row each; other columns are ignored; an empty table gives no rows.
+    give a row each; other columns are ignored; an empty table gives no rows. A
+    text of any length is learnt from and scored whole; its words are held at once.
     Frequent words are looked up in a broadcast table of HEAD_WORDS at most;
     the others are joined with their counts.
     """

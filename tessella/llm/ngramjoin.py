@@ -395,7 +395,8 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     >= 75 * union. A null text, or one without words, has no shingles and
     links with nothing; texts with equal sets always link. Rows without an id
     keep their size and have the component of their set. Repeated rows give a
-    row each; other columns are ignored; an empty table gives no rows.
+    row each; other columns are ignored; an empty table gives no rows. A text of
+    any length enters whole; its words are hashed in slices.
     Shingles are told apart by 62 bits, sets by 64.
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)

@@ -127,7 +127,8 @@ def pack(docs: DataFrame, path: str, size: int = LENGTH, open_bins: int = OPEN_B
     pieces with its own bins online, in the order of their hashes, so long and
     short pieces meet while bins are open however the table is ordered.
     A null or empty text is the single id 0. Repeated rows are packed each;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows. A text of any
+    length is encoded whole; its ids are held at once and its pieces are rows.
     """
     small_batches(docs.sparkSession)
     whole = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()

@@ -177,7 +177,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Only the text enters a score. Repeated rows give a row each; other columns
-    are ignored; without labelled texts every score is one half.
+    are ignored; without labelled texts every score is one half. A text of any
+    length is scored whole; its terms are held at once.
     """
     model = train(docs, labels)
     rows = docs.select("doc_id", "text", F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
