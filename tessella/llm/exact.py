@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,20 +15,27 @@ from tessella.llm._shared import cut, join_skewed, lean, small_batches, table
 
 
 class CuckooIndex:
-    """Cuckoo filter with buckets of four slots; each slot also keeps the whole
-    digest and a value, so that a hit is verified and an overflow can rebuild
-    a filter of twice the size from the stored keys. Digests can be deleted."""
+    """Live digests behind a cuckoo filter, with insertion and deletion.
+
+    The filter has buckets of four slots; a slot holds a 16-bit mark and the row
+    where its content is. Content (digest, id, count) lies in flat arrays beside
+    the filter, so a digest that no mark meets costs two buckets of marks, and a
+    hit is verified against the content of its row. Rows of deleted digests are
+    used again. Where an insertion finds no room, a filter of twice the size is
+    built from the stored digests."""
 
     WIDTH, KICKS = 4, 200
+    FREE, HELD, NO_ID = range(3)
 
     def __init__(self, buckets: int = 1 << 8) -> None:
+        self.digests, self.bytes = bytearray(), 0
+        self.ids, self.counts, self.state, self.free = array("q"), array("q"), bytearray(), array("i")
+        self.size = self._turn = 0
         self._clear(buckets)
 
     def _clear(self, buckets: int) -> None:
-        self.buckets, self.size, self._turn = buckets, 0, 0
-        self.marks = array("H", bytes(2 * buckets * self.WIDTH))
-        self.keys: list[bytes | None] = [None] * (buckets * self.WIDTH)
-        self.values: list[object] = [None] * (buckets * self.WIDTH)
+        self.buckets = buckets
+        self.marks, self.rows = array("H", bytes(2 * buckets * self.WIDTH)), array("i", bytes(4 * buckets * self.WIDTH))
 
     def _place(self, key: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(key[:2], "little") or 1
@@ -37,55 +45,87 @@ class CuckooIndex:
     def _other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995)) & (self.buckets - 1)
 
-    def find(self, key: bytes) -> int:
-        """The slot that holds ``key``, or -1. A matching mark is verified
-        against the digest kept in that slot."""
+    def digest(self, row: int) -> bytes:
+        return bytes(self.digests[row * self.bytes : (row + 1) * self.bytes])
+
+    def id_of(self, row: int) -> int | None:
+        return None if self.state[row] == self.NO_ID else self.ids[row]
+
+    def _slot(self, key: bytes) -> int:
         mark, first, second = self._place(key)
         for bucket in (first, second):
             for slot in range(bucket * self.WIDTH, bucket * self.WIDTH + self.WIDTH):
-                if self.marks[slot] == mark and self.keys[slot] == key:
-                    return slot
+                if self.marks[slot] == mark:
+                    at = self.rows[slot] * self.bytes
+                    if self.digests[at : at + self.bytes] == key:
+                        return slot
         return -1
 
-    def insert(self, key: bytes, value: object) -> None:
-        """Add a digest that is not in the index."""
-        mark, bucket, second = self._place(key)
-        for b in (bucket, second):
-            if self._put(b, mark, key, value):
-                self.size += 1
-                return
+    def find(self, key: bytes) -> int:
+        """The row that holds ``key``, or -1."""
+        slot = self._slot(key)
+        return -1 if slot < 0 else self.rows[slot]
+
+    def insert(self, key: bytes, id_: int | None, n: int = 1) -> None:
+        """Add a digest that is not in the index; all digests have one length."""
+        self.bytes = len(key)
+        if self.free:
+            row = self.free.pop()
+        else:
+            row = len(self.state)
+            self.digests += key
+            self.ids.append(0)
+            self.counts.append(0)
+            self.state.append(0)
+        self.digests[row * self.bytes : (row + 1) * self.bytes] = key
+        self.ids[row], self.counts[row], self.state[row] = id_ or 0, n, self.NO_ID if id_ is None else self.HELD
+        self.size += 1
+        if not self._add(row):
+            self._grow()
+
+    def _add(self, row: int) -> bool:
+        """Put a row into the filter; False if something found no room."""
+        mark, bucket, second = self._place(self.digest(row))
+        if self._put(bucket, mark, row) or self._put(second, mark, row):
+            return True
         for _ in range(self.KICKS):
             self._turn += 1
             slot = bucket * self.WIDTH + self._turn % self.WIDTH
-            old = self.marks[slot], self.keys[slot], self.values[slot]
-            self.marks[slot], self.keys[slot], self.values[slot] = mark, key, value
-            mark, key, value = old
+            old = self.marks[slot], self.rows[slot]
+            self.marks[slot], self.rows[slot] = mark, row
+            mark, row = old
             bucket = self._other(bucket, mark)
-            if self._put(bucket, mark, key, value):
-                self.size += 1
+            if self._put(bucket, mark, row):
+                return True
+        return False
+
+    def _grow(self) -> None:
+        buckets = self.buckets
+        while True:
+            buckets *= 2
+            self._clear(buckets)
+            if all(self._add(row) for row in range(len(self.state)) if self.state[row]):
                 return
-        held = [*self.items(), (key, value)]
-        self._clear(self.buckets * 2)
-        for k, v in held:
-            self.insert(k, v)
 
-    def _put(self, bucket: int, mark: int, key: bytes, value: object) -> bool:
+    def _put(self, bucket: int, mark: int, row: int) -> bool:
         for slot in range(bucket * self.WIDTH, bucket * self.WIDTH + self.WIDTH):
             if not self.marks[slot]:
-                self.marks[slot], self.keys[slot], self.values[slot] = mark, key, value
+                self.marks[slot], self.rows[slot] = mark, row
                 return True
         return False
 
     def delete(self, key: bytes) -> bool:
-        slot = self.find(key)
+        slot = self._slot(key)
         if slot < 0:
             return False
-        self.marks[slot], self.keys[slot], self.values[slot] = 0, None, None
+        row = self.rows[slot]
+        self.marks[slot], self.state[row] = 0, self.FREE
+        self.free.append(row)
         self.size -= 1
         return True
 
-    def items(self) -> Iterator[tuple[bytes, object]]:
-        return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
+    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
+        return ((self.digest(row), self.id_of(row), self.counts[row]) for row in range(len(self.state)) if self.state[row])
 
 
 def text_digest(text: str | None) -> bytes:
@@ -114,21 +154,25 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _live_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each digest of a partition: the largest id and the rows so
-    far. A digest that is already live is replaced by its later state."""
+    far. A later row with a larger id takes the place of the live one, which is
+    deleted."""
     index = CuckooIndex()
     for pdf in frames:
-        for key, keep, n in zip(pdf["digest"], pdf["keep_id"], pdf["group_size"], strict=True):
-            slot = index.find(key)
-            if slot < 0:
-                index.insert(key, (keep, n))
+        ids = [None if pd.isna(i) else int(i) for i in pdf["keep_id"]]
+        for key, keep, n in zip(pdf["digest"], ids, pdf["group_size"].tolist(), strict=True):
+            row = index.find(key)
+            if row < 0:
+                index.insert(key, keep, n)
+                continue
+            best, had = index.id_of(row), index.counts[row]
+            if keep is not None and (best is None or keep > best):
+                index.delete(key)
+                index.insert(key, keep, had + n)
             else:
-                best, had = index.values[slot]
-                best = keep if pd.isna(best) or (not pd.isna(keep) and keep > best) else best
-                index.values[slot] = (best, had + n)
-    held = list(index.items())
-    for i in range(0, len(held), 50_000):
-        part = held[i : i + 50_000]
-        yield pd.DataFrame({"digest": [k for k, _ in part], "keep_id": pd.array([None if pd.isna(v[0]) else int(v[0]) for _, v in part], dtype="Int64"), "group_size": [int(v[1]) for _, v in part]})
+                index.counts[row] = had + n
+    held = index.items()
+    while part := list(islice(held, 50_000)):
+        yield pd.DataFrame({"digest": [k for k, _, _ in part], "keep_id": pd.array([i for _, i, _ in part], dtype="Int64"), "group_size": [n for _, _, n in part]})
 
 
 GROUPS = "digest binary, keep_id long, group_size long"
@@ -174,21 +218,26 @@ def apply_changes(live: DataFrame, removed: DataFrame, added: DataFrame) -> Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, seen = CuckooIndex(), []
         for pdf in frames:
-            for key, doc, step in zip(pdf["digest"], pdf["doc_id"], pdf["step"], strict=True):
-                slot = index.find(key)
+            ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
+            for key, doc, step in zip(pdf["digest"], ids, pdf["step"], strict=True):
+                row = index.find(key)
                 if step == 1:
-                    if slot >= 0 and index.values[slot] == doc:
+                    if row >= 0 and index.id_of(row) == doc:
                         index.delete(key)
-                elif slot < 0:
+                elif row < 0:
                     index.insert(key, doc)
                 elif step == 2:
-                    seen.append((key, doc, "duplicate", index.values[slot]))
+                    seen.append((key, doc, "duplicate", index.id_of(row)))
             if len(seen) >= 50_000:
-                yield pd.DataFrame(seen, columns=["digest", "doc_id", "status", "live_id"])
+                yield rows_of(seen)
                 seen = []
-        seen += [(k, v, "live", v) for k, v in index.items()]
-        if seen:
-            yield pd.DataFrame(seen, columns=["digest", "doc_id", "status", "live_id"])
+        live = ((k, i, "live", i) for k, i, _ in index.items())
+        while part := [*seen, *islice(live, 50_000)]:
+            yield rows_of(part)
+            seen = []
+
+    def rows_of(seen: list) -> pd.DataFrame:
+        return pd.DataFrame(seen, columns=["digest", "doc_id", "status", "live_id"]).astype({"doc_id": "Int64", "live_id": "Int64"})
 
     parts = [df.select("digest", "doc_id", F.lit(i).alias("step")) for i, df in enumerate((live, removed, added))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -214,17 +214,27 @@ def test_cuckoo_index_against_a_dict():
                 index.insert(key, step)
         else:
             assert index.delete(key) == (held.pop(key, None) is not None)
-        slot = index.find(key)
-        assert (slot >= 0) == (key in held) and (slot < 0 or index.values[slot] == held[key])
-    assert dict(index.items()) == held and index.size == len(held)
+        row = index.find(key)
+        assert (row >= 0) == (key in held) and (row < 0 or index.id_of(row) == held[key])
+    assert {k: i for k, i, _ in index.items()} == held and index.size == len(held)
+    assert len(index.state) < 1500  # rows of deleted digests are used again
 
 
 def test_cuckoo_index_with_one_mark():
     index = exact.CuckooIndex(1)
     keys = [b"\1\0" + bytes([i]) + b"\0" * 7 + bytes([i]) for i in range(7)]
-    for k in keys:
-        index.insert(k, k)
-    assert all(index.values[index.find(k)] == k for k in keys)
+    for i, k in enumerate(keys):
+        index.insert(k, None if i == 3 else i, i + 1)
+    assert [index.id_of(index.find(k)) for k in keys] == [0, 1, 2, None, 4, 5, 6]
+    assert [index.counts[index.find(k)] for k in keys] == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_cuckoo_index_in_few_bytes():
+    index = exact.CuckooIndex()
+    for i in range(100_000):
+        index.insert(hashlib.sha256(b"%d" % i).digest(), i)
+    held = len(index.digests) + sum(x.itemsize * len(x) for x in (index.ids, index.counts, index.marks, index.rows)) + len(index.state)
+    assert held < 65 * 100_000 and sorted(i for _, i, _ in index.items()) == list(range(100_000))
 
 
 def test_exact_dedup_edge_cases(spark):
