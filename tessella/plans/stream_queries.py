@@ -101,3 +101,12 @@ def t01(spark, d):
     tokens = S.event_stream(spark, f"{d}/events.parquet*").select(F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 2).alias("token"), F.lit(False).alias("final"))
     out = S.drained(S.messages(tokens), _name("messages"), "update")
     return out.groupBy("stream_id").agg(F.max_by("text", F.length("text")).alias("text"), F.max_by("done", F.length("text")).alias("done"))
+
+
+@query("t01_final_messages", "SELECT user_id AS stream_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'pu' ELSE string_agg(substr(event_type, 1, 2), '' ORDER BY event_id) END AS text, bool_or(event_type = 'purchase') AS done FROM events GROUP BY user_id")
+def t01b(spark, d):
+    """A purchase is a final token: it takes the place of what was streamed."""
+    kind = F.col("event_type")
+    tokens = S.event_stream(spark, f"{d}/events.parquet*").select(F.col("user_id").cast("long").alias("stream_id"), F.col("event_id").alias("seq"), F.substring("event_type", 1, 2).alias("token"), (kind == "purchase").alias("final"))
+    out = S.drained(S.messages(tokens), _name("finals"), "update")
+    return out.groupBy("stream_id").agg(F.max_by("text", F.struct("done", F.length("text"))).alias("text"), F.max("done").alias("done"))
