@@ -85,13 +85,15 @@ def common_start(a: Column, b: Column) -> Column:
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
-    """(word, other, other_n): ordered pairs of words that differ by exactly
-    one inserted, deleted or replaced letter, each once."""
+    """(word, n, other, other_n): ordered pairs of words that differ by exactly
+    one inserted, deleted or replaced letter, each once. Both sides of the join
+    ask for the same columns under the same conditions, so that Spark shuffles
+    them once."""
     keyed = vocabulary.select("word", "n", anagram_key(F.col("word")).alias("key"))
     rows, far = reduced(keyed), halves(keyed)
     x, y = rows.alias("x"), rows.alias("y")
     whole = lambda r: F.col(f"{r}.at") == 0
-    exchange = ~whole("x") & (F.col("x.at") == F.col("y.at")) & (F.col("x.letter") != F.col("y.letter"))
+    exchange = ~whole("x") & ~whole("y") & (F.col("x.at") == F.col("y.at")) & (F.col("x.letter") != F.col("y.letter"))
     one_more = (~whole("x") & F.col("x.first") & whole("y")) | (whole("x") & ~whole("y") & F.col("y.first"))
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rest") == F.col("y.rest")) & (exchange | one_more))
     x, y = far.alias("x"), far.alias("y")
@@ -103,7 +105,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     shared = common_start(F.col("x.word"), F.col("y.word"))
     after = lambda r: F.substr(f"{r}.word", F.col("shared") + 1 + F.length(f"{r}.letter"))
     long_ = x.join(y, same & (F.col("x.letter") != F.col("y.letter"))).filter(once).withColumn("shared", shared).filter(after("x") == after("y"))
-    pair = [F.col("x.word").alias("word"), F.col("y.word").alias("other"), F.col("y.n").alias("other_n")]
+    pair = [F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("y.word").alias("other"), F.col("y.n").alias("other_n")]
     return met.select(*pair).unionByName(long_.select(*pair))
 
 
@@ -134,10 +136,10 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     """
     vocabulary = cut(words(docs))
     best = F.min(F.struct((-F.col("other_n")).alias("minus"), F.col("other").alias("other"))).alias("best")
-    near = near_words(vocabulary).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
+    near = near_words(vocabulary).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best)
     has = F.coalesce(-F.col("best.minus") >= TIMES * F.col("n"), F.lit(False))
     found = cut(
-        vocabulary.join(near, "word", "left").select(
+        vocabulary.join(near, ["word", "n"], "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(has, F.col("best.other")).alias("form"), F.when(has, -F.col("best.minus")).alias("form_n"),
         )
