@@ -7,6 +7,7 @@ in ``operators.lifecycle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.operators.graph import shared_folder
 from tessella.sources.snapshots import BucketedSnapshot
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -116,8 +118,18 @@ def leases(events: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return the memory table."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    """Run a stream over what is there now and return what it gave. Every
+    micro-batch is written by the executors to a folder of its own in the shared
+    folder, so no row passes through the driver; a micro-batch that comes twice
+    is written once."""
+    spark, made = stream.sparkSession, []
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{epoch}")
+        made.append(f"{folder}/{epoch}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).queryName(name).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     q = writer.start()
@@ -125,7 +137,8 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = No
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    paths = sorted(set(made[-1:] if mode == "complete" else made))  # one for each micro-batch
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def load_incrementally(stream: DataFrame, sources: BucketedSnapshot, jobs: BucketedSnapshot | None, content: str, checkpoint: str) -> None:

@@ -272,3 +272,14 @@ def test_packed_paragraphs_with_overlap(spark):
 def test_keywords(spark):
     text = 'the Iron Gate of Arn said "by oath" and "by oath" in the  Old Hall. École Thé'
     assert one(spark, X.keywords(F.lit(text))) == ["Iron Gate", "Arn", "Old Hall", "by oath"]
+
+
+def test_drained_streams_stay_out_of_the_driver(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i, "x")], "id long, v string").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    s = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*/part-*")
+    got = jobs.drained(s, "drained_test", "append")
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 2]
+    assert len(got.inputFiles()) >= 3  # written by the executors, not held in a memory table
+    empty = spark.readStream.schema("id long, v string").parquet(str(tmp_path))
+    assert jobs.drained(empty.filter("id < 0"), "drained_none", "append").count() == 0
