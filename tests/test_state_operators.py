@@ -402,3 +402,18 @@ def test_run_states_fold_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(lifecycle, "FOLD", size)
         assert dict(map(tuple, lifecycle.run_states(df).collect())) == want
     assert lifecycle.run_states(df.limit(0)).count() == 0
+
+
+def test_exactly_once_keeps_its_ids_in_rocksdb(spark, sf_dir, monkeypatch):
+    from tessella.plans import catalog
+    from tessella.streaming import jobs, timers
+
+    seen, drained = [], jobs.drained
+
+    def spy(stream, *rest):
+        seen.append((spark.conf.get(timers.PROVIDER), sorted(stream.columns)))
+        return drained(stream, *rest)
+
+    monkeypatch.setattr(jobs, "drained", spy)
+    assert catalog.queries()["t08_exactly_once"](spark, sf_dir).count() > 0
+    assert seen == [(timers.ROCKSDB, ["delivery", "event_id", "event_type", "ts"])]
