@@ -276,15 +276,17 @@ def t02(spark, d):
  done AS (SELECT greatest((SELECT m1 FROM m), (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE) AS m2)
  SELECT user_id, n, epoch_us(first) AS first, epoch_us(last) AS last FROM e1 UNION ALL SELECT user_id, n, epoch_us(first), epoch_us(last) FROM two WHERE last + INTERVAL 6 HOUR <= (SELECT m2 FROM done)""")
 def t05c(spark, d):
-    """The events come in three files; the sign-ups come last, and those behind
-    the watermark of the first file are late and are dropped."""
-    events, folder = table(spark, d, "events"), f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    """The events come in three lots, a micro-batch each; the sign-ups come
+    last, and those behind the watermark of the first lot are late and are
+    dropped. A lot has as many files as the table has splits."""
+    events, folder, outs = table(spark, d, "events"), f"{shared_folder(spark)}/late-{uuid.uuid4().hex}", []
     kind = F.col("event_type")
     for i, part in enumerate((~kind.isin("signup", "error"), kind == "error", kind == "signup")):
-        events.filter(part).coalesce(1).write.parquet(f"{folder}/{i}")
-    with T.rocksdb(spark):
-        out = S.drained(T.sessions(S.event_stream(spark, f"{folder}/*/part-*"), 6 * 3600), _name("sessions"), "append")
-    return out.select("user_id", "n", "first", "last")
+        events.filter(part).write.parquet(f"{folder}/in/{i}")
+        stream = T.sessions(S.event_stream(spark, f"{folder}/in/*/part-*", None), 6 * 3600)
+        with T.rocksdb(spark), T.unfinished(spark, i < 2):
+            outs.append(S.drained(stream, _name("sessions"), "append", f"{folder}/checkpoint"))
+    return outs[0].unionByName(outs[1]).unionByName(outs[2]).select("user_id", "n", "first", "last")
 
 
 # -- incremental load ---------------------------------------------------------

@@ -21,9 +21,11 @@ from tessella.sources.snapshots import BucketedSnapshot
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Parquet files as an event stream; zone-less times are read as UTC."""
-    raw = spark.readStream.schema(EVENTS.replace("ts timestamp", "ts timestamp_ntz")).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, path: str, files: int | None = 1) -> DataFrame:
+    """Parquet files as an event stream, ``files`` to a micro-batch or all that
+    are there; zone-less times are read as UTC."""
+    reader = spark.readStream.schema(EVENTS.replace("ts timestamp", "ts timestamp_ntz"))
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -417,3 +417,25 @@ def test_exactly_once_keeps_its_ids_in_rocksdb(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jobs, "drained", spy)
     assert catalog.queries()["t08_exactly_once"](spark, sf_dir).count() > 0
     assert seen == [(timers.ROCKSDB, ["delivery", "event_id", "event_type", "ts"])]
+
+
+@pytest.mark.parametrize("name, source, made", [("t05_expired_sessions", "events", "late-*/in/0"), ("t06_incremental_load", "documents", "load-*/in/1")])
+def test_streamed_lots_are_written_by_many_tasks(spark, sf_dir, tmp_path, name, source, made):
+    import glob
+    import shutil
+
+    from tessella.operators.graph import shared_folder
+    from tessella.plans import catalog
+
+    shutil.copytree(sf_dir, tmp_path / "sf")
+    (tmp_path / "sf" / f"{source}.parquet").unlink()
+    spark.read.parquet(f"{sf_dir}/{source}.parquet").repartition(3).write.parquet(f"{tmp_path}/sf/{source}.parquet")
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/{made}"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a file to a task
+    try:
+        assert catalog.queries()[name](spark, f"{tmp_path}/sf").count() == catalog.queries()[name](spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    new = set(glob.glob(f"{root}/{made}")) - before
+    assert max(len(glob.glob(f"{n}/part-*")) for n in new) == 3
