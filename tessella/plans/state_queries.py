@@ -297,12 +297,13 @@ def t06(spark, d):
     low quality edited; a changed source is queued again."""
     folder = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
-    for version, (wanted, text) in enumerate([("true", F.col("text")), ("quality is not null", F.col("text")), ("quality = 0", F.concat("text", F.lit("!")))], 1):
-        docs.filter(wanted).select("doc_id", F.lit(version).alias("version"), F.sha2(text, 256).alias("fingerprint")).coalesce(1).write.parquet(f"{folder}/in/{version}")
-    stream = spark.readStream.schema("doc_id long, version int, fingerprint string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*/part-*")
-    sources = N.BucketedSnapshot(spark, f"{folder}/sources", "doc_id long, version int, fingerprint string", "doc_id", "version", 16)
+    schema = "doc_id long, version int, fingerprint string"
+    sources = N.BucketedSnapshot(spark, f"{folder}/sources", schema, "doc_id", "version", 16)
     jobs = N.BucketedSnapshot(spark, f"{folder}/jobs", "doc_id long, generation int, state string", "doc_id", "generation", 16)
-    S.load_incrementally(stream, sources, jobs, "fingerprint", f"{folder}/checkpoint")
+    for version, (wanted, text) in enumerate([("true", F.col("text")), ("quality is not null", F.col("text")), ("quality = 0", F.concat("text", F.lit("!")))], 1):
+        docs.filter(wanted).select("doc_id", F.lit(version).alias("version"), F.sha2(text, 256).alias("fingerprint")).write.parquet(f"{folder}/in/{version}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in/*/part-*")
+        S.load_incrementally(stream, sources, jobs, "fingerprint", f"{folder}/checkpoint")
     return sources.read().join(jobs.read(), "doc_id")
 
 
