@@ -112,9 +112,18 @@ def set_overlaps(members: DataFrame, key: str, value: str, size: int = 1024) ->
 
 def greedy_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Rows of each key in order that still fit the budget, skipping those
-    that do not; where none fits, the first row alone. Rows stream past in
-    order, so a key of any size takes the memory of one batch."""
-    names = df.columns
+    that do not; where none fits, the first row alone. Costs are zero or more.
+
+    What is used only grows, so once a row of some cost does not fit, no later
+    one of that cost does: only the first ``budget / cost`` rows of each cost can
+    be kept, and of those over the budget the first. The others go before a key's
+    rows are read in order, so that is done for some ``budget`` times the
+    logarithm of ``budget`` rows and those without cost."""
+    names, dear = df.columns, F.coalesce(F.col(cost) > budget, F.lit(True))
+    place = F.row_number().over(Window.partitionBy(key, F.when(~dear, F.col(cost))).orderBy(*order))
+    most = F.when(dear, 1).when(F.col(cost) > 0, F.floor(budget / F.col(cost)))
+    schema = df.schema
+    df = df.withColumn("_place", place).filter((~dear & (F.col(cost) == 0)) | (F.col("_place") <= most)).drop("_place")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, used, first = None, 0, None
@@ -133,7 +142,7 @@ def greedy_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, b
         if first is not None:
             yield first
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.schema).select(*names)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema).select(*names)
 
 
 def prefix_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int, used: str = "used") -> DataFrame:

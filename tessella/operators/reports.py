@@ -127,8 +127,10 @@ def rollback_totals(steps: DataFrame, report: DataFrame) -> DataFrame:
 def within_budget(rows: DataFrame, key: str, pos: str, score: str, text: str, cost: str, budget: int) -> DataFrame:
     """The texts that fit the budget, taken by score, back in their own
     order: ``rank`` counts the kept ones of a key by ``pos``. A single text that
-    is too long for the budget alone is cut to it."""
-    kept = greedy_budget(rows, key, [F.desc(score), F.asc(pos)], cost, budget)
+    is too long for the budget alone is cut to it. ``pos`` names a row of its key;
+    the texts stay where they are until it is known which are kept."""
+    names = greedy_budget(rows.select(key, pos, score, cost), key, [F.desc(score), F.asc(pos)], cost, budget).select(F.col(key).alias("_key"), F.col(pos).alias("_pos"))
+    kept = rows.join(names, F.col(key).eqNullSafe(F.col("_key")) & (F.col(pos) == F.col("_pos")), "left_semi")
     n = F.row_number().over(Window.partitionBy(key).orderBy(pos))
     return kept.withColumn("rank", n).withColumn(text, F.when(F.col(cost) > budget, word_truncated(F.col(text), budget)).otherwise(F.col(text)))
 
