@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import checkpointed
+
 # What a failure's disposition does: (disposition, budget left?,
 # outcome, job state, whether a unit of the budget is used).
 TRANSITIONS = [
@@ -275,9 +277,15 @@ def attempt_rows(decisions: DataFrame, commands: DataFrame) -> DataFrame:
     return own.select("scope", "run", "job", F.row_number().over(Window.partitionBy("scope", "job").orderBy("at", "seq")).alias("attempt"), "seq")
 
 
-def backfill_batches(pending: DataFrame, id_col: str, size: int, most_requests: int) -> DataFrame:
-    """(batch, id): pending rows in ordered batches, within the request limit.
-    The top-k bound is batch size times requests."""
-    few = pending.orderBy(id_col).limit(size * most_requests)
-    n = F.row_number().over(Window.orderBy(id_col)) - 1
-    return few.select(F.floor(n / size).alias("batch"), F.col(id_col).alias("id"))
+def backfill_batches(pending: DataFrame, id_col: str, size: int, most_requests: int | None = None) -> DataFrame:
+    """(batch, id): pending rows in ordered batches, all of them or, with
+    ``most_requests``, those within the request limit. Rows are dealt to ranges
+    of ids, each numbered by itself after the rows of the ranges before it."""
+    few = pending.select(F.col(id_col).alias("id"))
+    if most_requests is not None:
+        few = few.orderBy("id").limit(size * most_requests)
+    dealt = checkpointed(few.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")))
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each range
+    n = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1 + F.col("before")
+    return dealt.join(F.broadcast(before), "part").select(F.floor(n / size).alias("batch"), "id")

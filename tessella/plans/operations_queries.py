@@ -119,9 +119,9 @@ def l10(spark, d):
     return L.run_states(rows)
 
 
-@query("l14_backfill_batches", "SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, doc_id AS id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 128)")
+@query("l14_backfill_batches", "SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch, doc_id AS id FROM documents")
 def l14(spark, d):
-    return L.backfill_batches(table(spark, d, "documents"), "doc_id", 32, 4)
+    return L.backfill_batches(table(spark, d, "documents"), "doc_id", 32)
 
 
 @query("l17_rule_violations", """SELECT 'positive_value' AS rule, event_id AS id FROM events WHERE NOT value > 1 UNION ALL SELECT 'known_type', event_id FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')""")

@@ -283,3 +283,81 @@ def test_drained_streams_stay_out_of_the_driver(spark, tmp_path):
     assert len(got.inputFiles()) >= 3  # written by the executors, not held in a memory table
     empty = spark.readStream.schema("id long, v string").parquet(str(tmp_path))
     assert jobs.drained(empty.filter("id < 0"), "drained_none", "append").count() == 0
+
+
+def test_weighted_paths_write_no_round(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", float(rng.randrange(4))) for _ in range(60)]
+    edges = spark.createDataFrame(rows, "src string, dst string, distance double")
+    starts = spark.createDataFrame([("n0",), ("n3",), ("n9",), ("none",)], "id string")
+    calls, kept = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: calls.append(df.columns) or kept(df))
+    got = sorted(map(str, graph.weighted_paths(edges, starts).collect()))
+    assert all("path" not in c for c in calls)  # paths are never written
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    assert sorted(map(str, graph.weighted_paths(edges, starts).collect())) == got
+    w = {}
+    for a, b, x in rows:
+        w[a, b] = min(x, w.get((a, b), x))
+    want = {}
+    for s in ("n0", "n3", "n9"):
+        front = {s: (0.0, 0, [s])}
+        best = {}
+        for hop in range(1, 6):
+            new = {}
+            for at, (far, _, path) in front.items():
+                for (a, b), x in w.items():
+                    if a == at and b not in path:
+                        new[b] = min(new.get(b, (far + x, hop, [*path, b])), (far + x, hop, [*path, b]))
+            front = {b: v for b, v in new.items() if b not in best or v[0] < best[b][0]}
+            best |= front
+        want |= {(s, b): v for b, v in best.items()}
+    assert {(r["start"], r["id"]): (r["distance"], r["hops"], r["path"]) for r in graph.weighted_paths(edges, starts).collect()} == want
+
+
+def test_overlaps_meet_by_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(u, rng.randrange(40) if rng.random() < 0.9 else None) for u in range(70) for _ in range(rng.randrange(9))] + [(None, 1)]
+    sets = {}
+    for u, v in rows:
+        if u is not None and v is not None:
+            sets.setdefault(u, set()).add(v)
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = relational.set_overlaps(spark.createDataFrame(rows, "u long, v long"), "u", "v", size=20)
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
+    assert "Join" not in got._jdf.queryExecution().toString()  # no row for each shared value
+
+
+def test_budget_reads_few_rows_in_order(spark):
+    rows = [("a", i, i * 7919 % 50) for i in range(3000)] + [("b", i, 60 + i) for i in range(100)] + [("c", 1, None), ("c", 2, 3)] + [(None, i, 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, i long, cost int")
+    want, used, first = set(), {}, {}
+    for k, i, c in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        first.setdefault(k, (k, i, c))
+        if c is not None and used.get(k, 0) + c <= 50:
+            used[k] = used.get(k, 0) + c
+            want.add((k, i, c))
+    want |= {v for k, v in first.items() if k not in used}
+    out = relational.greedy_budget(df, "k", [F.asc("i")], "cost", 50)
+    assert set(map(tuple, out.collect())) == want
+    assert "Window" in out._jdf.queryExecution().toString()  # rows that cannot fit go before they are read in order
+
+
+def test_backfill_covers_every_row(spark):
+    ids = [i * 37 % 1009 for i in range(1000)] + [None, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").repartition(7)
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    got = [tuple(r) for r in lifecycle.backfill_batches(rows, "i", 32).collect()]
+    assert sorted(got, key=str) == sorted([(n // 32, i) for n, i in enumerate(order)], key=str)
+    assert lifecycle.backfill_batches(rows, "i", 32, 4).count() == 128
+
+
+def test_orphans_send_each_end_once(spark, sf_dir):
+    from tessella.plans import catalog
+
+    plan = catalog.queries()["v06_orphans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in plan and "Aggregate [l_suppkey" not in plan and "Aggregate [src" not in plan
