@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,18 +150,26 @@ class SemanticChunker:
         return out
 
 
-def semantic_chunks(docs: DataFrame, id_col: str, title_col: str, sentences_col: str, vectors_col: str, **options) -> DataFrame:
+def semantic_chunks(docs: DataFrame, id_col: str, title_col: str, sentences_col: str, vectors_col: str, size: int = 32, **options) -> DataFrame:
     """(id, chunk_index, text, token_count). The sentences and their vectors
     are columns, so the embedding model stays outside; the fold over one
-    document's sentences is the only part that runs in Python."""
+    document's sentences is the only part that runs in Python, where the
+    sentences and chunks of ``size`` documents at a time are held as objects."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = SemanticChunker(**options)
-        for pdf in frames:
-            rows = []
-            for key, title, s, v in zip(pdf[id_col], pdf[title_col], pdf[sentences_col], pdf[vectors_col], strict=True):
-                rows += [(key, i, text, n) for i, (text, n) in enumerate(chunker.chunk(list(s), [list(x) for x in v], title or ""))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "token_count"])
+        for whole in batches:
+            made = whole.schema.field(id_col).type
+            for start in range(0, whole.num_rows, size):
+                part = whole.slice(start, size)
+                keys, titles, texts = (part.column(part.schema.get_field_index(c)) for c in (id_col, title_col, sentences_col))
+                vectors = part.column(part.schema.get_field_index(vectors_col))
+                rows = []
+                for i, (key, title) in enumerate(zip(keys.to_pylist(), titles.to_pylist(), strict=True)):
+                    rows += [(key, j, text, n) for j, (text, n) in enumerate(chunker.chunk(texts[i].as_py() or [], vectors[i].as_py() or [], title or ""))]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                kinds = (made, pa.int32(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[id_col, "chunk_index", "text", "token_count"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, title_col, sentences_col, vectors_col).mapInPandas(run, f"{id_col} {kind}, chunk_index int, text string, token_count long")
+    return docs.select(id_col, title_col, sentences_col, vectors_col).mapInArrow(run, f"{id_col} {kind}, chunk_index int, text string, token_count long")
