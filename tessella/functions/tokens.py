@@ -34,6 +34,17 @@ def library_tokenizer(path: str) -> tuple[Callable[[list[str]], list[Tokens]], C
     def encode(texts: list[str]) -> list[Tokens]:
         return [[(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)] for e in model().encode_batch(texts, add_special_tokens=False)]
 
+    def head(texts: list[str], most: int) -> list[tuple[int, Tokens]]:
+        """How many tokens each text has, and the first ``most``: the others
+        are counted where they are and not made into Python objects."""
+        out = []
+        for e in model().encode_batch(texts, add_special_tokens=False):
+            n = len(e)
+            e.truncate(most)
+            out.append((n, [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]))
+        return out
+
+    encode.head = head
     return encode, lambda ids: model().decode(ids, skip_special_tokens=False)
 
 
@@ -52,7 +63,10 @@ def cut_at(text: str, tokens: Tokens, most: int) -> tuple[int, str]:
 def tokenised(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[Tokens]], most: int, decode: Callable[[list[int]], str] | None = None, size: int = 64) -> DataFrame:
     """(key, n_tokens, kept, truncated, decoded) for each row: the number of
     tokens, how many the truncated text has, that text and, with ``decode``,
-    what the kept tokens decode to. A null text is empty."""
+    what the kept tokens decode to. An encoder with a ``head`` is asked for no
+    more tokens than are kept, and the count. A null text is empty."""
+
+    head = getattr(encode, "head", None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -60,9 +74,11 @@ def tokenised(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]]
                 part = pdf.iloc[start : start + size]
                 texts = [t if isinstance(t, str) else "" for t in part[text]]
                 out = []
-                for t, tokens in zip(texts, encode(texts), strict=True):
+                # One token more than is kept says where the last kept one ends.
+                found = head(texts, max(0, most) + 1) if head else [(len(tokens), tokens) for tokens in encode(texts)]
+                for t, (total, tokens) in zip(texts, found, strict=True):
                     n, cut = cut_at(t, tokens, most)
-                    out.append((len(tokens), n, cut, decode([i for i, _, _ in tokens[:n]]) if decode else None))
+                    out.append((total, n, cut, decode([i for i, _, _ in tokens[:n]]) if decode else None))
                 yield pd.DataFrame(out, columns=["n_tokens", "kept", "truncated", "decoded"]).assign(**{key: part[key].to_numpy()})[[key, "n_tokens", "kept", "truncated", "decoded"]]
 
     kind = dict(rows.dtypes)[key]

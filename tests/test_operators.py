@@ -361,3 +361,27 @@ def test_orphans_send_each_end_once(spark, sf_dir):
 
     plan = catalog.queries()["v06_orphans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [id" in plan and "Aggregate [l_suppkey" not in plan and "Aggregate [src" not in plan
+
+
+def test_semantic_chunks_hold_few_documents_at_a_time(spark):
+    rows = [(i, f"t{i}", [f"{w} {i} " * 40 for w in ("one", "two", "three")] if i % 9 else [], [[1.0, i / 50], [0.5, 1.0], [1.0, 0.0]] if i % 9 else []) for i in range(100)]
+    df = spark.createDataFrame(rows, "i long, t string, s array<string>, v array<array<double>>").coalesce(1)
+    want = {(i, j, text, n) for i, t, s, v in rows for j, (text, n) in enumerate(chunking.SemanticChunker().chunk(s, v, t))}
+    out = chunking.semantic_chunks(df, "i", "t", "s", "v", size=7)
+    assert set(map(tuple, out.collect())) == want
+
+
+def test_library_tokens_beyond_the_cut_are_only_counted(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tessella.functions import tokens
+
+    encode, decode = tokens.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "one", "Größe 漢字 \U0001f600\U0001f680 end " * 9, "plain words here"]
+    for most in range(0, 14):
+        for (n, first), whole in zip(encode.head(texts, most + 1), encode(texts), strict=True):
+            assert n == len(whole) and first == whole[: most + 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    plain = lambda rows: encode(rows)
+    for most in (0, 3, 11, 300):
+        got, want = (sorted(map(tuple, tokens.tokenised(df, "i", "text", e, most, decode).collect())) for e in (encode, plain))
+        assert got == want
