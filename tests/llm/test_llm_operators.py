@@ -430,6 +430,65 @@ def test_shards_do_not_lose_what_one_learns(spark):
     assert gain[1000] > 0.2 and gain[20] > 0.95 * gain[1000]
 
 
+def test_noise_step_by_brute_force(monkeypatch):
+    """A step equals one that goes through every row and every draw of noise,
+    though each drawn word is met once."""
+    columns, sigmoid, draws = [], lm._sigmoid, []
+    monkeypatch.setattr(lm, "_sigmoid", lambda x: columns.append(x.shape[1:]) or sigmoid(x))
+    rng, words, rows, k = np.random.default_rng(5), 20, 70, 25.0
+    m = lm.LogBilinear(rng.integers(1, 900, words).astype(float), width=6)
+    drawn = m._drawn
+    monkeypatch.setattr(m, "_drawn", lambda *a: draws.append(drawn(*a)) or draws[-1])
+    start = {n: x.astype(float) for n, x in m.state()[0].items()}
+    b2, b1, w = (rng.integers(0, words, rows) for _ in range(3))
+    weight = rng.integers(1, 5, rows).astype(np.float32)
+    m.learn(b2, b1, w, weight)
+    assert [int(n.sum()) for _, n in draws] == [lm.NOISE, lm.CLASS_NOISE]
+    assert max(c[0] for c in columns if c) <= words + len(m.pc)
+    grad = {n: np.zeros_like(x) for n, x in start.items()}
+    for x2, x1, target, share in zip(b2, b1, w, weight / weight.sum(), strict=True):
+        q = start["r"][x1] @ start["c1"] + start["r"][x2] @ start["c2"]
+        dq = np.zeros_like(q)
+        for r, b, p, of, (noise, times) in (("r", "b", m.p, target, draws[0]), ("rc", "bc", m.pc, m.of[target], draws[1])):
+            for at, good in [(of, True), *((x, False) for x in np.repeat(noise, times))]:
+                true = 1 / (1 + np.exp(-(start[r][at] @ q + start[b][at] - np.log(k * p[at]))))
+                error = share * (true - 1) if good else share * true * k / times.sum()
+                dq += error * start[r][at]
+                grad[r][at] += error * q
+                grad[b][at] += error
+        for x, c in ((x1, "c1"), (x2, "c2")):
+            grad["r"][x] += start[c] @ dq
+            grad[c] += np.outer(start["r"][x], dq)
+    for n, x in start.items():
+        assert np.allclose(m.state()[0][n], x - 0.05 * grad[n] / np.sqrt(1e-8 + grad[n] ** 2), atol=2e-4)
+
+
+def test_shards_of_a_task_leave_it_as_one():
+    """What the shards of a lot moved is one row for each block of words, and
+    brings the model where rows of each shard do."""
+    rng, words = np.random.default_rng(6), 1500
+    unigram = rng.integers(1, 900, words).astype(float)
+    before = lm.LogBilinear(unigram)
+    each, lot = [], lm._Moves(before)
+    for shard in range(5):
+        own, w = lm.LogBilinear(unigram, seed=shard).restored(before.state()), rng.integers(0, words, (3, 4000))
+        own.learn(*w, np.ones(4000, np.float32))
+        single = lm._Moves(before)
+        for moves in (single, lot):
+            moves.add(np.bincount(w[2], minlength=words), own)
+        each.append(single.rows(shard))
+    together = lot.rows(0)
+    assert len(together) == len(each[0]) == 4 and together["shards"].eq(5).all()
+    assert together["moves"].str.len().sum() < 1.3 * each[0]["moves"].str.len().sum()
+    models = []
+    for rows in ([together], each):
+        rows = lm.pd.concat(rows).sort_values(["kind", "block", "lot"])
+        got = lm.pd.concat(lm._gathered(iter([rows]))).to_dict("records")
+        models.append(lm._brought_together(lm.LogBilinear(unigram), got, 5).state())
+    for a, b in zip(*models, strict=True):
+        assert all(np.allclose(a[n], b[n], rtol=2e-3, atol=2e-4) for n in a)
+
+
 def test_lm_edge_cases(spark):
     df = odd_documents(spark)
     got = lm.lm_scores(df).collect()
