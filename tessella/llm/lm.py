@@ -516,9 +516,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 uids = part["uid"].to_numpy()
                 yield doc[names]
                 if rare:
-                    none = {"doc_id": pd.NA, "held_out": pd.NA, "n_tokens": pd.NA, "n_known": pd.NA, "base": np.nan, "score": np.nan}
-                    rest = pd.DataFrame({"uid": [uids[o] for o, _ in rare], "word": [w for _, w in rare], "k": list(rare.values())}).assign(**none)
-                    yield rest[names].astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64"})
+                    no, gone = np.zeros(len(rare), np.int64), np.ones(len(rare), bool)
+                    none = pd.arrays.IntegerArray(no, gone)
+                    rest = pd.DataFrame({"uid": uids[[o for o, _ in rare]], "word": [w for _, w in rare], "k": list(rare.values()), "doc_id": none, "held_out": pd.arrays.BooleanArray(no.astype(bool), gone), "n_tokens": none, "n_known": none, "base": np.nan, "score": np.nan})
+                    yield rest[names]
 
     schema = "uid long, word binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     names = [c.split(" ")[0] for c in schema.split(", ")]
