@@ -174,6 +174,15 @@ def test_plan_stops_by_a_running_total(spark):
     assert len(plan(1000)) == len(plan(None)) == 9 + 21
 
 
+def test_statistics_count_renames_to_an_empty_type(spark):
+    rows = [("a", "x", "y", " - ", ""), ("b", "x", "y", "KNOWS", ""), ("c", "x", "z", "", ""), ("d", "x", "z", "%", "")]
+    edges = spark.createDataFrame(rows, "id string, src string, dst string, type string, fact string")
+    plan = validation.correction_plan(edges)
+    assert {(r["id"], r["new_type"]) for r in plan.collect()} == {("a", ""), ("d", "")}
+    assert validation.rollback_statistics(plan).first()["renames"] == 2
+    assert {r["id"]: r["type"] for r in validation.apply_corrections(edges, plan).collect()} == {"a": "", "b": "KNOWS", "c": "", "d": ""}
+
+
 # -- snapshots and state
 def _bytes(folder):
     return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
