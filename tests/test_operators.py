@@ -317,6 +317,37 @@ def test_weighted_paths_write_no_round(spark, monkeypatch):
     assert {(r["start"], r["id"]): (r["distance"], r["hops"], r["path"]) for r in graph.weighted_paths(edges, starts).collect()} == want
 
 
+def test_paths_of_a_start_are_found_in_one_task(spark):
+    import random
+
+    rng = random.Random(7)
+    later = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", float(rng.randrange(3))) for _ in range(90)]
+    rows = later + [(f"s{i}", f"n{rng.randrange(30)}", float(rng.randrange(3))) for i in range(200) for _ in range(3)] + [("s1", "leaf", 1.0), ("n3", "s1", 0.0), ("s2", None, 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, distance double")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(200)] + [("n3",), ("s1",), ("none",)], "id string")
+    found = graph.weighted_paths(edges, starts, sep=">")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "array_contains" not in plan  # no round sorts all paths
+    got = {(r["start"], r["id"]): (r["distance"], r["hops"], r["path"].split(">")) for r in found.collect()}
+    assert got == {(r["start"], r["id"]): (r["distance"], r["hops"], r["path"]) for r in graph.weighted_paths(edges, starts).collect()}
+    w = {}
+    for a, b, x in rows:
+        w[a, b] = min(x, w.get((a, b), x))
+    want = {}
+    for s in {f"s{i}" for i in range(200)} | {"n3"}:
+        front, best = {s: (0.0, 0, [s])}, {}
+        for hop in range(1, 6):
+            new = {}
+            for at, (far, _, path) in front.items():
+                for (a, b), x in w.items():
+                    if a == at and b is not None and b not in path:
+                        new[b] = min(new.get(b, (far + x, hop, [*path, b])), (far + x, hop, [*path, b]))
+            best |= {b: v for b, v in new.items() if b not in best or v < best[b]}
+            front = new  # each hop's best, as in the SQL
+        want |= {(s, b): v for b, v in best.items()}
+    assert got == want and ("s1", "leaf") in got
+
+
 def test_overlaps_meet_by_blocks(spark):
     import random
 
