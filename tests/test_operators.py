@@ -363,6 +363,21 @@ def test_overlaps_meet_by_blocks(spark):
     assert "Join" not in got._jdf.queryExecution().toString()  # no row for each shared value
 
 
+def test_overlaps_shuffle_no_copies(spark):
+    import random
+
+    rng = random.Random(9)
+    sets = {f"u{i}": {f"v{rng.randrange(60)}" for _ in range(rng.randrange(1, 12))} for i in range(300)}
+    df = spark.createDataFrame([(u, v) for u, vs in sets.items() for v in vs], "u string, v string")
+    got = relational.set_overlaps(df, "u", "v", size=30)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "explode" not in plan  # a block is read where it meets another, not sent there
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert relational.set_overlaps(df.filter("u is null"), "u", "v").count() == 0
+
+
 def test_budget_reads_few_rows_in_order(spark):
     rows = [("a", i, i * 7919 % 50) for i in range(3000)] + [("b", i, 60 + i) for i in range(100)] + [("c", 1, None), ("c", 2, 3)] + [(None, i, 5) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, i long, cost int")
