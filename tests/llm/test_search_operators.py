@@ -275,6 +275,25 @@ def test_blocks_of_any_size_link_alike(monkeypatch):
     assert result() == whole and len(set(whole[1])) < 300
 
 
+def test_vectors_are_not_shuffled_to_every_cell(spark, monkeypatch):
+    """Vectors without clusters visit nearly every cell, and are shuffled once."""
+    monkeypatch.setattr(neardup, "CELL", 150)
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    rng = np.random.default_rng(17)
+    a = rng.normal(size=(1200, 64))
+    x = np.concatenate([a, a[:900] + 0.04 * rng.normal(size=(900, 64)), 3 * a[:40], rng.normal(size=(900, 32)) @ np.eye(32, 64)]).astype(np.float32)
+    ids = rng.permutation(len(x)) * 3
+    df = spark.createDataFrame([(int(i), [float(e) for e in v], 1 if i % 7 else 2) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, label int").repartition(3)
+    df = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda all_: [all_.apply(i) for i in range(all_.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    assert written() - before < 3 * x.nbytes
+    u, label = neardup.units(x)[1], np.where(ids % 7, 1, 2)
+    want = ((u @ u.T >= neardup.COSINE) & (label[:, None] == label)).sum(1) - 1
+    assert [got[int(i)] for i in ids] == want.tolist() and want.sum() > 1000
+
+
 # -- very long texts -------------------------------------------------------
 def long_texts():
     words = ["the", "of", "hello", "idiot", "monde", "Straße", "naïve", "日本語"]
